@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import packing, simhash
+from trackframe.llm import media, packing, simhash
 from trackframe.llm.common import table
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -25,6 +29,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media_columns": op2_media_columns,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
