@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontamination, media, packing, simhash, wordpieces
+from trackframe.llm import decontamination, media, packing, quality, simhash, wordpieces
 from trackframe.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = wordpieces.piece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return counts.withColumnRenamed("id", "doc_id")
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 
