@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontamination, media, packing, quality, simhash, wordpieces
+from trackframe.llm import decontamination, media, packing, quality, simhash, warc, wordpieces
 from trackframe.llm.common import table
+from trackframe.llm.oracles import ORACLES, WARC_DATE
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages"), WARC_DATE))
+    return records.withColumnRenamed("id", "page_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumnRenamed("id", "doc_id")
@@ -48,9 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 
-#: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
