@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,67 +52,74 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once for each row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def prefix_sums(lengths: Column) -> Column:
-    """Exclusive prefix sums of an array of longs, as an array one longer.
+    """Sums of the first 0, 1, 2, ... entries of a non-empty array of longs.
 
     Works in chunks, so an array of n entries costs n * 512 copies and not n * n.
     """
     chunk = 512
-    last = lambda a: F.element_at(a, -1)
-    step = lambda acc, x: F.concat(acc, F.array(last(acc) + x))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.expr("0") + F.floor((F.size(lengths) - 1) / chunk).cast("int")),
-        lambda i: F.slice(lengths, i * chunk + 1, chunk),
-    )
-    zero = F.array(F.lit(0).cast("long"))
-    bases = lambda c: F.aggregate(
-        F.transform(c, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)), zero, step
-    )
-    summed = F.concat(
-        F.flatten(
-            F.zip_with(
-                chunks,
-                F.slice(bases(chunks), F.lit(1), F.size(chunks)),
-                lambda c, b: F.slice(F.aggregate(c, F.array(b), step), F.lit(1), F.size(c)),
-            )
-        ),
-        F.array(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, y: a + y)),
-    )
-    return F.when(F.size(lengths) > 0, summed).otherwise(zero)
-
-
-def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
+    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    cut = lambda a: F.transform(F.sequence(F.lit(1), F.size(a), F.lit(chunk)), lambda i: F.slice(a, i, chunk))
+
+    def chunked(chunks: Column) -> Column:
+        totals = F.aggregate(F.transform(chunks, _sum), F.array(F.lit(0).cast("long")), add)
+        inner = let(totals, lambda t: F.zip_with(chunks, F.slice(t, F.lit(1), F.size(chunks)), lambda c, b: F.slice(F.aggregate(c, F.array(b), add), F.lit(2), F.size(c))))
+        return F.concat(F.array(F.lit(0).cast("long")), F.flatten(inner))
+
+    return let(cut(lengths), chunked)
+
+
+SPAN = "array<struct<start:bigint,end:bigint,match:string,part:string,before:string,after:string>>"
+
+
+def regex_spans(text: Column, pattern: str, group: int = 0, context: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as an array of structs.
 
-    Each has ``start`` and ``end`` (code points, end exclusive), ``match`` and
-    ``part`` (the text of ``group``). The pieces between the matches, which
-    ``split`` gives, locate the matches. Texts without a match cost one pass.
+    Each has ``start`` and ``end`` (code points, end exclusive), ``match``,
+    ``part`` (the text of ``group``) and, of the text between it and its
+    neighbours, up to ``context`` characters ``before`` and ``after``. The pieces
+    between the matches, which ``split`` gives, locate them. A text without a
+    match costs one pass.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    # piece 0, match 0, piece 1, match 1, ...
-    lengths = F.flatten(
-        F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(found)),
-            found,
-            lambda p, m: F.array(F.char_length(p).cast("long"), F.char_length(m).cast("long")),
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    ends = lambda p, side: side(p, F.lit(context)) if context else F.lit("")
+
+    def located(v: Column) -> Column:
+        lengths = F.flatten(F.zip_with(F.slice(v["pieces"], F.lit(1), F.size(v["found"])), v["found"], lambda p, m: F.array(F.char_length(p).cast("long"), F.char_length(m).cast("long"))))
+        return let(
+            prefix_sums(lengths),
+            lambda at: F.transform(
+                F.sequence(F.lit(1), F.size(v["found"])),
+                lambda i: F.struct(
+                    F.element_at(at, i * 2).alias("start"),
+                    F.element_at(at, i * 2 + 1).alias("end"),
+                    F.element_at(v["found"], i).alias("match"),
+                    F.element_at(v["part"], i).alias("part"),
+                    ends(F.element_at(v["pieces"], i), F.right).alias("before"),
+                    ends(F.element_at(v["pieces"], i + 1), F.left).alias("after"),
+                ),
+            ),
         )
-    )
-    at = prefix_sums(lengths)
-    spans = F.zip_with(
-        F.arrays_zip(found.alias("m"), part.alias("p")),
-        F.sequence(F.lit(1), F.size(found)),
-        lambda x, i: F.struct(i.alias("i"), x["m"].alias("m"), x["p"].alias("p")),
-    )
-    out = F.transform(
-        spans,
-        lambda x: F.struct(
-            F.element_at(at, x["i"] * 2).alias("start"),
-            F.element_at(at, x["i"] * 2 + 1).alias("end"),
-            x["m"].alias("match"),
-            x["p"].alias("part"),
-        ),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,part:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), out).otherwise(empty)
+
+    all_three = F.struct(found.alias("found"), (part if group else found).alias("part"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(F.rlike(text, F.lit(pattern)), let(all_three, located)).otherwise(F.array().cast(SPAN))
+
+
+def span_list(spans: Column) -> Column:
+    """``kind:start:end`` of spans (structs start, rank, kind, end) by start, then rank, comma-joined."""
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def as_spans(found: Column, rank: int, kind: str) -> Column:
+    """Matches of ``regex_spans`` as spans of one kind."""
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end")))

@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontamination, media, packing, quality, simhash, warc, wordpieces
+from trackframe.llm import decontamination, media, packing, quality, secrets, simhash, warc, wordpieces
 from trackframe.llm.common import table
 from trackframe.llm.oracles import ORACLES, WARC_DATE
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_media_columns": op2_media_columns,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
