@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontamination, media, packing, quality, secrets, simhash, warc, wordpieces
+from trackframe.llm import decontamination, media, packing, pii, quality, secrets, simhash, warc, wordpieces
 from trackframe.llm.common import table
 from trackframe.llm.oracles import ORACLES, WARC_DATE
 
@@ -39,6 +39,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.digests(pii.scan(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.responses(table(spark, sf_dir, "pages"), WARC_DATE))
     return records.withColumnRenamed("id", "page_id")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
