@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackframe.llm import warc
+from trackframe.llm import licenses, warc
 
 
 def _quote(text: str) -> str:
@@ -51,7 +51,37 @@ SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, da
 FROM records"""
 
 
+def _licence_sql() -> str:
+    values = ", ".join(f"({i}, {_quote(name)}, {_quote(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    cue, word = _quote(licenses.CUE), _quote(licenses.WORD)
+    weigh = lambda rows, key: f"""(WITH t AS (SELECT {key}, word, count(*) AS tf FROM (SELECT {key}, unnest(words) AS word FROM {rows}) GROUP BY ALL),
+      w AS (SELECT {key}, word, tf * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM t LEFT JOIN frequency USING (word), total)
+      SELECT {key}, word, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM w)"""
+    return f"""
+WITH files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, path, text, list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_matches(x, {cue})) AS lines FROM files),
+parts AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS directory, list_transform(lines, lambda x: regexp_extract_all(lower(x), {word})) AS statements,
+  len(regexp_extract_all(lower(text), {word})) AS n_words, regexp_matches(regexp_extract(path, '[^/]*$'), {_quote(licenses.LICENCE_NAME)}) AS named FROM lines),
+rows_ AS (SELECT doc_id, directory, statements, named OR (len(statements) > 0 AND 2 * list_sum(list_transform(statements, lambda x: len(x))) >= n_words) AS is_licence FROM parts),
+said AS (SELECT doc_id, words, array_to_string(words, ' ') AS statement FROM (SELECT doc_id, unnest(statements) AS words FROM rows_)),
+distinct_ AS (SELECT statement, first(words) AS words, count(*) AS copies FROM said GROUP BY statement),
+total AS (SELECT coalesce(sum(copies), 0)::DOUBLE AS n FROM distinct_),
+frequency AS (SELECT word, sum(copies) AS df FROM (SELECT DISTINCT statement, copies, unnest(words) AS word FROM distinct_) GROUP BY word),
+templates AS (SELECT template, licence, regexp_extract_all(lower(text), {word}) AS words FROM (VALUES {values}) v(template, licence, text)),
+dots AS (SELECT statement, template, licence, round(sum(a.w * b.w), 6) AS cosine FROM {weigh("distinct_", "statement")} a JOIN {weigh("templates", "template, licence")} b USING (word) GROUP BY ALL),
+found AS (SELECT statement, licence, cosine FROM dots WHERE cosine >= {licenses.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, template) = 1),
+own AS (SELECT doc_id, licence, cosine FROM said JOIN found USING (statement) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+stated AS (SELECT r.doc_id, directory, is_licence, len(statements) AS n_statements, licence, cosine FROM rows_ r LEFT JOIN own o ON r.doc_id = o.doc_id),
+holders AS (SELECT directory AS above, licence AS given, cosine AS given_cosine FROM stated WHERE is_licence AND licence IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, licence) = 1),
+near AS (SELECT d.directory, above, given, given_cosine FROM (SELECT DISTINCT directory FROM stated) d JOIN holders h ON above = directory OR above = '' OR starts_with(directory, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(above) DESC) = 1)
+SELECT doc_id, coalesce(licence, given) AS licence, CASE WHEN licence IS NOT NULL THEN 'statement' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  coalesce(cosine, given_cosine) AS cosine, CASE WHEN licence IS NULL THEN above END AS licence_directory, n_statements::BIGINT AS n_statements
+FROM stated LEFT JOIN near USING (directory)"""
+
+
 #: ``pages`` has no fetch date.
 WARC_DATE = "2025-01-01T00:00:00Z"
 
-ORACLES: dict[str, str] = {"op8_warc_derivatives": _warc_sql(WARC_DATE)}
+ORACLES: dict[str, str] = {"op5_license_scans": _licence_sql(), "op8_warc_derivatives": _warc_sql(WARC_DATE)}

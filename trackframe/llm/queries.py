@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontamination, media, packing, pii, quality, secrets, simhash, warc, wordpieces
+from trackframe.llm import decontamination, licenses, media, packing, pii, quality, secrets, simhash, warc, wordpieces
 from trackframe.llm.common import table
 from trackframe.llm.oracles import ORACLES, WARC_DATE
 
@@ -34,6 +34,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths: a document is a file under its source and language."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", path).withColumnRenamed("id", "doc_id")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scans": op5_license_scans,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_warc_derivatives": op8_warc_derivatives,
