@@ -45,6 +45,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many ids at most (some 30 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False) -> DataFrame:
+    """``docs`` without the rows of ``ids`` (one column), or (``keep``) only those; null ids match none."""
+    ids = materialize(ids.toDF(id_col).where(F.col(id_col).isNotNull()).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi" if keep else "left_anti")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over at least as many partitions as there are cores, for work that multiplies its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize, small_batches
+from trackframe.llm.common import materialize, small_batches, without_ids
 
 #: Each has five words; together they hit every tried 15-word passage with a fifth of its words substituted.
 MASKS = ("111011", "110111", "1101011")
@@ -213,5 +213,4 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those rows that leak a benchmark item; other rows and all columns stay."""
-    found = leaks(docs, benchmark, id_col, **options).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    return without_ids(docs, leaks(docs, benchmark, id_col, **options).select("id"), id_col)

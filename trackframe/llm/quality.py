@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize, small_batches
+from trackframe.llm.common import materialize, small_batches, without_ids
 
 TRAIN_ROWS = 20_000
 EXCHANGED = 300
@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **opti
     """``docs`` without the ids whose every row is rejected; all columns stay."""
     scored = classify(docs, labels, id_col, **options)
     bad = scored.where("id is not null").groupBy("id").agg(F.max("keep").alias("keep")).where(~F.col("keep"))
-    return docs.join(bad.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    return without_ids(docs, bad.select("id"), id_col)
