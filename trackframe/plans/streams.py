@@ -102,7 +102,7 @@ def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resample_sql(points: str, live: bool = False) -> str:
     return f"""WITH {EVENTS_SQL}, ends AS (SELECT stream_id, min(t) AS a, max(t) AS b FROM events_ GROUP BY 1),
 grid AS (SELECT stream_id, n, a + n / {GRID_FPS} AS target FROM (SELECT stream_id, a, unnest(range(0, {points})) AS n FROM ends)),
-near AS (SELECT g.stream_id, n, target, arg_min(event_id, (abs(t - target), t)) AS event_id FROM grid g JOIN events_ e ON g.stream_id = e.stream_id AND abs(e.t - target) <= 1e7 GROUP BY ALL)
+near AS (SELECT g.stream_id, n, target, event_id FROM grid g JOIN events_ e ON g.stream_id = e.stream_id QUALIFY row_number() OVER (PARTITION BY g.stream_id, n ORDER BY abs(t - target), t) = 1)
 SELECT stream_id, n::BIGINT AS n, target, event_id FROM near"""
 
 
