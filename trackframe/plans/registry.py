@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.plans import streams
+from trackframe.plans import clips, streams
 
-_MODULES = (streams,)
+_MODULES = (streams, clips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
