@@ -75,7 +75,7 @@ def detokenise(ids: Column, vocabulary: Column, ignored: int = -1) -> Column:
 
 def strip_special(ids: Column, eos: Column) -> Column:
     """Without one leading and all trailing ``eos``."""
-    led = F.when(ids[0] == eos, F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
+    led = F.when(F.get(ids, F.lit(0)) == eos, F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
     last = lambda a: F.aggregate(F.transform(a, lambda x, i: F.when(x != eos, i + 1).otherwise(0)), F.lit(0), lambda m, i: F.greatest(m, i))
     return F.element_at(F.transform(F.array(led), lambda a: F.slice(a, F.lit(1), last(a))), 1)
 

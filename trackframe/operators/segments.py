@@ -67,8 +67,8 @@ def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting =
     firsts = rows.groupBy(stream, "_b").agg(F.max("_upto").alias("_m"))
     firsts = firsts.select(stream, "_b", F.max("_m").over(Window.partitionBy(stream).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     rows = rows.join(firsts, [stream, "_b"]).withColumn("_stretch", F.coalesce(before, F.when(quiet, F.coalesce("_lag", "_carried")), F.lit(float("-inf"))))
-    groups = rows.groupBy(stream, "_stretch").agg(F.max("e").alias("_most"), F.array_sort(F.collect_list(F.struct("t", "e"))).alias("frames")).where(F.col("_most") >= p.start)
-    found = groups.select(stream, F.explode(fold(F.col("frames"), p)).alias("s")).select(stream, "s.*")
+    groups = rows.groupBy(stream, "_stretch").agg(F.max("e").alias("_most"), F.array_sort(F.collect_list(F.struct("t", "e"))).alias("_frames")).where(F.col("_most") >= p.start)
+    found = groups.select(stream, F.explode(fold(F.col("_frames"), p)).alias("_s")).select(stream, "_s.*")
     order = F.row_number().over(Window.partitionBy(stream).orderBy("start_time"))
     return found.select(stream, order.alias("sequence"), "start_time", "end_time", "reason")
 

@@ -38,7 +38,7 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
     item = F.struct(F.col(cand).alias("cand"), F.col(box).alias("box"))
     frames = candidates.groupBy(stream, frame).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     frames = carry(frames, stream, frame, F.when(F.size("_items") == 1, F.col(frame)), "_stretch", bucket)
-    rows = frames.groupBy(stream, F.coalesce(F.col("_stretch"), F.lit(-1)).alias("_stretch")).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col("_items").alias("items")))).alias("frames"))
+    rows = frames.groupBy(stream, F.coalesce(F.col("_stretch"), F.lit(-1)).alias("_stretch")).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col("_items").alias("items")))).alias("_frames"))
     kind = f"struct<frame:bigint,cand:{dict(candidates.dtypes)[cand]},box:{candidates.schema[box].dataType.simpleString()}>"
     start = F.array().cast(f"array<{kind}>")
 
@@ -47,8 +47,8 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
         picked = choose(f["items"], last, least_iou)
         return F.concat(done, F.array(F.struct(f["frame"].cast("bigint").alias("frame"), picked["cand"].alias("cand"), picked["box"].alias("box")).cast(kind)))
 
-    picked = rows.select(stream, F.explode(F.aggregate("frames", start, step)).alias("x"))
-    return picked.select(stream, F.col("x.frame").alias(frame), F.col("x.cand").alias(cand), F.col("x.box").alias(box))
+    picked = rows.select(stream, F.explode(F.aggregate("_frames", start, step)).alias("_x"))
+    return picked.select(stream, F.col("_x.frame").alias(frame), F.col("_x.cand").alias(cand), F.col("_x.box").alias(box))
 
 
 def with_detections(frames: DataFrame, detections: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.plans import clips, streams
+from trackframe.plans import clips, live, streams
 
-_MODULES = (streams, clips)
+_MODULES = (streams, clips, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
