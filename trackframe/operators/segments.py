@@ -17,10 +17,10 @@ from trackframe.params import Segmenting
 _STATE = "struct<start:double,active:double,last:double,out:array<struct<start_time:double,end_time:double,reason:string>>>"
 
 
-def step(state: Column, frame: Column, p: Segmenting) -> Column:
+def step(state: Column, frame: Column, p: Segmenting, start: Column, stop: Column) -> Column:
     """The state after a frame (t, e). The opening frame emits nothing; length beats silence."""
     t, e, opened = frame["t"], frame["e"], state["start"].isNotNull()
-    active = F.when(e >= p.stop, t).otherwise(state["active"])
+    active = F.when(e >= stop, t).otherwise(state["active"])
     length, quiet = t - state["start"], t - F.coalesce(active, t)
     reason = F.when(length >= p.max_length, "max_length").when((quiet >= p.hangover) & (length >= p.min_length), "silence")
     closed = opened & reason.isNotNull()
@@ -28,8 +28,8 @@ def step(state: Column, frame: Column, p: Segmenting) -> Column:
     new = F.struct(state["start"].alias("start_time"), t.alias("end_time"), reason.alias("reason"))
     none = F.lit(None).cast("double")
     return F.struct(
-        F.when(closed | dropped, none).when(opened, state["start"]).when(e >= p.start, t).alias("start"),
-        F.when(closed | dropped, none).when(opened, active).when(e >= p.start, t).alias("active"),
+        F.when(closed | dropped, none).when(opened, state["start"]).when(e >= start, t).alias("start"),
+        F.when(closed | dropped, none).when(opened, active).when(e >= start, t).alias("active"),
         t.alias("last"),
         F.when(closed, F.concat(state["out"], F.array(new))).otherwise(state["out"]).alias("out"),
     ).cast(_STATE)
@@ -42,20 +42,22 @@ def finish(state: Column, p: Segmenting) -> Column:
     return F.when(length >= p.min_length, F.concat(state["out"], F.array(last))).otherwise(state["out"])
 
 
-def fold(frames: Column, p: Segmenting) -> Column:
+def fold(frames: Column, p: Segmenting, start: Column, stop: Column) -> Column:
     """The segments of an array of frames (t, e) in order."""
-    start = F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("active"), F.lit(None).cast("double").alias("last"), F.array().alias("out")).cast(_STATE)
-    return F.aggregate(frames, start, lambda s, x: step(s, x, p), lambda s: finish(s, p))
+    first = F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("active"), F.lit(None).cast("double").alias("last"), F.array().alias("out")).cast(_STATE)
+    return F.aggregate(frames, first, lambda s, x: step(s, x, p, start, stop), lambda s: finish(s, p))
 
 
-def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting = Segmenting()) -> DataFrame:
+def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting = Segmenting(), start: Column | None = None, stop: Column | None = None) -> DataFrame:
     """(stream, sequence, start_time, end_time, reason) of every stream; ``sequence`` counts from 1.
 
     Rows without energy or time are left out. An activity time of 0 is a time like any other.
+    ``start`` and ``stop`` may be columns, of one value for each stream, instead of those of ``p``.
     """
-    rows = frames.where(F.col(t).isNotNull() & F.col(energy).isNotNull()).select(stream, F.col(t).cast("double").alias("t"), F.col(energy).cast("double").alias("e"))
+    start, stop = F.lit(p.start) if start is None else start, F.lit(p.stop) if stop is None else stop
+    rows = frames.where(F.col(t).isNotNull() & F.col(energy).isNotNull()).select(stream, F.col(t).cast("double").alias("t"), F.col(energy).cast("double").alias("e"), start.alias("_start"), stop.alias("_stop"))
     width = 64 * p.max_length
-    rows = carry(rows, stream, "t", F.when(F.col("e") >= p.stop, F.col("t")), "_active", width)
+    rows = carry(rows, stream, "t", F.when(F.col("e") >= F.col("_stop"), F.col("t")), "_active", width)
     quiet = F.col("_active").isNull() | (F.col("t") - F.col("_active") >= p.hangover)
     # a stretch is named by the quiet frame before it
     along = Window.partitionBy(stream, F.floor(F.col("t") / width)).orderBy("t")
@@ -67,8 +69,8 @@ def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting =
     firsts = rows.groupBy(stream, "_b").agg(F.max("_upto").alias("_m"))
     firsts = firsts.select(stream, "_b", F.max("_m").over(Window.partitionBy(stream).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     rows = rows.join(firsts, [stream, "_b"]).withColumn("_stretch", F.coalesce(before, F.when(quiet, F.coalesce("_lag", "_carried")), F.lit(float("-inf"))))
-    groups = rows.groupBy(stream, "_stretch").agg(F.max("e").alias("_most"), F.array_sort(F.collect_list(F.struct("t", "e"))).alias("_frames")).where(F.col("_most") >= p.start)
-    found = groups.select(stream, F.explode(fold(F.col("_frames"), p)).alias("_s")).select(stream, "_s.*")
+    groups = rows.groupBy(stream, "_stretch").agg(F.max("e").alias("_most"), F.first("_start").alias("_start"), F.first("_stop").alias("_stop"), F.array_sort(F.collect_list(F.struct("t", "e"))).alias("_frames")).where(F.col("_most") >= F.col("_start"))
+    found = groups.select(stream, F.explode(fold(F.col("_frames"), p, F.col("_start"), F.col("_stop"))).alias("_s")).select(stream, "_s.*")
     order = F.row_number().over(Window.partitionBy(stream).orderBy("start_time"))
     return found.select(stream, order.alias("sequence"), "start_time", "end_time", "reason")
 

@@ -7,8 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.operators import timeseries
 from trackframe.operators.segments import segment, segment_counts
-from trackframe.operators.timeseries import motion_energy
 from trackframe.params import Segmenting
 
 
@@ -20,19 +20,23 @@ def settings(statistics: list[str], windows: list[int], starts: list[float], sto
 def sweep(motion: DataFrame, stream: str, t: str, aperture: str, label: Column, grid: list[tuple[str, int, float, float]], lengths: Segmenting) -> DataFrame:
     """(statistic, window, start, stop, hits, misses, false_alarms, score), best first.
 
-    ``label`` is true for streams that should have a segment. The settings are a
-    parameter, so they become branches of one plan; the energy of one (statistic,
-    window) is computed once and shared by its thresholds.
+    ``label`` is true for streams that should have a segment. The energy of a
+    (statistic, window) is computed once; its rows are then dealt to that pair's
+    thresholds, each (stream, setting) being a stream of its own.
     """
     labelled = motion.groupBy(stream).agg(F.bool_or(label).alias("wanted"))
-    out = None
+    dealt = None
     for statistic, window in dict.fromkeys(x[:2] for x in grid):
-        energies = motion_energy(motion, stream, t, aperture, window, statistic)
-        for start, stop in (x[2:] for x in grid if x[:2] == (statistic, window)):
-            p = Segmenting(start, stop, lengths.hangover, lengths.min_length, lengths.max_length)
-            counts = segment_counts(segment(energies, stream, t, "energy", p), motion, stream).join(labelled, stream)
-            named = counts.select(F.lit(statistic).alias("statistic"), F.lit(window).alias("window"), F.lit(start).alias("start"), F.lit(stop).alias("stop"), "wanted", (F.col("segments") > 0).alias("found"))
-            out = named if out is None else out.unionByName(named)
+        energies = timeseries.motion_energy(motion, stream, t, aperture, window, statistic)
+        own = [F.struct(F.lit(statistic).alias("statistic"), F.lit(window).alias("window"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for *_, a, b in (x for x in grid if x[:2] == (statistic, window))]
+        rows = energies.select(F.col(stream).alias("_s"), F.col(t).alias("t"), "energy", F.explode(F.array(*own)).alias("_p"))
+        dealt = rows if dealt is None else dealt.unionByName(rows)
+    dealt = dealt.withColumn("_key", F.struct("_s", "_p"))
+    found = segment(dealt, "_key", "t", "energy", lengths, F.col("_key._p.start"), F.col("_key._p.stop"))
+    settings_ = F.array(*(F.struct(F.lit(s).alias("statistic"), F.lit(w).alias("window"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for s, w, a, b in grid))
+    every = labelled.select(F.col(stream).alias("_s"), "wanted", F.explode(settings_).alias("_p"))
+    hit = found.select("_key._s", "_key._p").distinct().withColumn("found", F.lit(True))
+    out = every.join(hit, ["_s", "_p"], "left").select("_p.*", "wanted", F.coalesce("found", F.lit(False)).alias("found"))
     scored = out.groupBy("statistic", "window", "start", "stop").agg(
         F.count_if(F.col("wanted") & F.col("found")).alias("hits"),
         F.count_if(F.col("wanted") & ~F.col("found")).alias("misses"),

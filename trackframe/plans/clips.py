@@ -220,13 +220,13 @@ def _iou(a: str, b: str) -> str:
     return f"(CASE WHEN {both} > 0 THEN {both} / ({a}width * {a}height + {b}width * {b}height - {both}) ELSE 0 END)"
 
 
-@query(f"WITH {_BOXES} SELECT a.frame, a.cand, round({_iou('a.', 'b.')}, 6) AS iou, a.x + a.width / 2 AS centre_x, a.y + a.height / 2 AS centre_y FROM cand a JOIN cand b ON a.frame = b.frame AND b.cand = a.cand + 1")
+@query(f"WITH {_BOXES} SELECT a.frame, a.cand, round({_iou('a.', 'b.')}, 12) AS iou, a.x + a.width / 2 AS centre_x, a.y + a.height / 2 AS centre_y FROM cand a JOIN cand b ON a.frame = b.frame AND b.cand = a.cand + 1")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates(spark, sf_dir)
     after = rows.select("frame", (F.col("cand") - 1).alias("cand"), F.col("box").alias("other"))
     found = rows.join(after, ["frame", "cand"])
     centre = geometry.centre(F.col("box"))
-    return found.select("frame", "cand", F.round(geometry.iou(F.col("box"), F.col("other")), 6).alias("iou"), centre["x"].alias("centre_x"), centre["y"].alias("centre_y"))
+    return found.select("frame", "cand", F.round(geometry.iou(F.col("box"), F.col("other")), 12).alias("iou"), centre["x"].alias("centre_x"), centre["y"].alias("centre_y"))
 
 
 @query(
