@@ -173,6 +173,17 @@ def test_similarity_recovers_the_pose(spark, dx, dy, scale, turn):
     assert np.allclose([tuple(p) for p in back[0]], reference) and back[1] is None
 
 
+def test_robust_fit_ignores_an_outlier(spark):
+    reference = [(89.3, 94.6), (169.5, 94.6), (129.4, 141.2), (129.4, 183.5)]
+    a, c = np.cos(0.3) * 1.4, np.sin(0.3) * 1.4
+    moved = [(a * x - c * y + 7, c * x + a * y - 3) for x, y in reference]
+    points = lambda ps: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ps))
+    spoiled = [*moved[:2], (moved[2][0] + 60, moved[2][1] - 45), moved[3]]
+    row = spark.range(1).select(geometry.robust_fit(points(spoiled), points(reference), 4), geometry.robust_fit(points([(2, 2)] * 4), points(reference), 4)).first()
+    back = spark.range(1).select(geometry.transform_points(points(moved), F.struct(*(F.lit(row[0][k]).alias(k) for k in row[0].__fields__)))).first()
+    assert np.allclose([tuple(p) for p in back[0]], reference) and row[1] is None
+
+
 def test_tracking_keeps_its_subject(spark):
     near, far = (10, 10, 40, 40), (200, 10, 90, 90)
     rows = [(1, 0, 0, near)] + [(1, f, c, b) for f in range(1, 9) if f != 4 for c, b in enumerate([far, (near[0] + f, *near[1:])])] + [(1, 9, 0, far), (1, 10, 0, near), (1, 10, 1, far)]

@@ -129,3 +129,52 @@ def similarity_fit(points: Column, reference: Column) -> Column:
         return F.element_at(F.transform(F.array(sums), solved), 1)
 
     return F.element_at(F.transform(F.array(means), fitted), 1)
+
+
+def robust_fit(points: Column, reference: Column, n: int) -> Column:
+    """The similarity of the pair of points whose median residual over all ``n`` is smallest, refitted on the points near it.
+
+    Deterministic least median of squares: every pair is tried, the first of equal
+    medians wins. Near are points within 2.5 robust deviations. Null where no pair is apart.
+    """
+    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    square = lambda m: F.transform(
+        F.arrays_zip(transform_points(points, m).alias("p"), reference.alias("q")),
+        lambda z: (z["p"]["x"] - z["q"]["x"]) * (z["p"]["x"] - z["q"]["x"]) + (z["p"]["y"] - z["q"]["y"]) * (z["p"]["y"] - z["q"]["y"]),
+    )
+    middle = lambda a: one(F.array_sort(a), lambda s: (F.element_at(s, (n + 1) // 2) + F.element_at(s, n // 2 + 1)) / 2)
+    tried = [
+        one(similarity_fit(F.array(points[i], points[j]), F.array(reference[i], reference[j])), lambda m, k=k: F.when(m.isNotNull(), F.struct(middle(square(m)).alias("median"), F.lit(k).alias("order"), m.alias("m"))))
+        for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i + 1, n))
+    ]
+
+    def refitted(best: Column) -> Column:
+        limit = F.greatest(best["median"] * (2.5 * 1.4826) ** 2, F.lit(1e-9))
+        near = F.filter(F.arrays_zip(points.alias("p"), reference.alias("q"), square(best["m"]).alias("r")), lambda z: z["r"] <= limit)
+        return one(near, lambda z: similarity_fit(z["p"], z["q"]))
+
+    best = F.array_min(F.transform(F.filter(F.array(*tried), lambda x: x.isNotNull()), lambda x: x))
+    return one(best, lambda b: F.when(b.isNotNull(), refitted(b)))
+
+
+# Which of 68 face landmarks make the right eye, the left eye, the nose and the mouth (first, past the last).
+GROUPS = ((36, 42), (42, 48), (31, 36), (48, 68))
+
+
+def reference_points(landmarks: Column, groups: tuple[tuple[int, int], ...] = GROUPS, reference_size: int = 256, target_size: int = 256) -> Column:
+    """The mean point of each group of landmarks, moved to the middle of a frame of ``target_size``."""
+    shift = (reference_size - target_size) / 2
+    mean = lambda part, k: F.aggregate(part, F.lit(0.0), lambda a, p: a + p[k]) / F.size(part) - shift
+    parts = [F.slice(landmarks, a + 1, b - a) for a, b in groups]
+    return F.array(*(F.struct(mean(part, "x").alias("x"), mean(part, "y").alias("y")) for part in parts))
+
+
+def best_mouth_box(contour: Column, point: Column, face: Column) -> Column:
+    """The measured box, else the approximate one."""
+    return F.coalesce(F.when(contour.isNotNull(), contour_box(contour)), mouth_box(point, face))
+
+
+def status_json(detected: Column, energy: Column, face: Column, mouth: Column, height: Column, width: Column) -> Column:
+    """A frame's status as JSON; nulls stay, energy has four digits."""
+    row = F.struct(detected.alias("mouth_detected"), F.bround(energy, 4).alias("energy"), face.alias("face_box"), mouth.alias("mouth_box"), height.alias("frame_height"), width.alias("frame_width"))
+    return F.to_json(row, {"ignoreNullFields": "false"})

@@ -92,3 +92,15 @@ def collect(segments: DataFrame, frames: DataFrame, stream: str, t: str, lead_in
     rows = frames.withColumn("_bucket", F.floor(F.col(t) / width))
     inside = F.col(t).between(F.col("start_time") - lead_in, F.col("end_time"))
     return dealt.join(rows, [stream, "_bucket"]).where(inside).drop("_bucket")
+
+
+def collect_by_count(segments: DataFrame, frames: DataFrame, stream: str, t: str, lead_in: float, width: float, fps: float, most_seconds: float) -> DataFrame:
+    """Like ``collect``, but of each segment only the last round(length * fps) frames, as a buffer that counts frames gives.
+
+    A capture faster than ``fps`` loses the beginning of its segments. Length is
+    that of the segment and the lead-in, at most ``most_seconds``.
+    """
+    rows = collect(segments, frames, stream, t, lead_in, width)
+    rank = F.row_number().over(Window.partitionBy(stream, "sequence").orderBy(F.col(t).desc()))
+    wanted = F.rint(F.least(F.col("end_time") - F.col("start_time") + lead_in, F.lit(most_seconds)) * fps)
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= wanted).drop("_rank")

@@ -159,3 +159,9 @@ def tumbling_rate(df: DataFrame, stream: str, t: str, width: float) -> DataFrame
     """(stream, window_start, frames, rate) of windows of ``width`` seconds."""
     start = F.floor(F.col(t) / width) * width
     return df.groupBy(stream, start.cast("double").alias("window_start")).agg(F.count("*").alias("frames")).withColumn("rate", F.col("frames") / width)
+
+
+def hold_last(df: DataFrame, stream: str, t: str, value: str, width: float) -> DataFrame:
+    """Replaces null ``value`` by the last one before it; ``error`` says where none has been seen yet."""
+    rows = carry(df, stream, t, F.col(value), "_held", width)
+    return rows.withColumn(value, F.col("_held")).withColumn("error", F.when(F.col("_held").isNull(), "no value yet")).drop("_held")

@@ -336,6 +336,33 @@ def mouth_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round("s.aperture", 6).alias("aperture"), F.round("s.centre.x", 6).alias("centre_x"), box["x"].alias("x"), box["width"].alias("width"))
 
 
+@query(
+    f"""WITH {KEYPOINTS_SQL} SELECT vec_id, {", ".join(f"round((points[{2 * a + k}] + points[{2 * a + 2 + k}]) / 2 - 16, 9) AS {'xy'[k - 1]}{i}" for i, a in ((1, 0), (2, 2)) for k in (1, 2))} FROM keypoints"""
+)
+def reference_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of two groups of two points, moved from a frame of 128 to one of 96."""
+    rows = keypoints(spark, sf_dir).select("vec_id", geometry.reference_points(_points(), ((0, 2), (2, 4)), 128, 96).alias("r"))
+    return rows.select("vec_id", *(F.round(F.col("r")[i][k], 9).alias(f"{k}{i + 1}") for i in (0, 1) for k in "xy"))
+
+
+@query()
+def robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit that outliers do not move; ``tests/test_operators.py`` holds it against brute force."""
+    reference = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _REFERENCE))
+    rows = keypoints(spark, sf_dir).select("vec_id", geometry.robust_fit(_points(), reference, 4).alias("m"))
+    return rows.select("vec_id", *(F.round(F.col("m")[k], 5).alias(k) for k in ("a", "c", "tx", "ty")))
+
+
+@query(
+    """SELECT p_partkey, '{"mouth_detected":' || (p_size > 10) || ',"energy":' || (p_partkey % 100 / 100)::DOUBLE || ',"face_box":' || CASE WHEN p_size > 10 THEN '{"x":1,"y":2,"width":' || p_size || ',"height":9}' ELSE 'null' END ||
+',"mouth_box":null,"frame_height":480,"frame_width":640}' AS json FROM part"""
+)
+def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    face = F.when(F.col("p_size") > 10, geometry.box(F.lit(1), F.lit(2), F.col("p_size"), F.lit(9)))
+    json = geometry.status_json(F.col("p_size") > 10, F.col("p_partkey") % 100 / 100, face, F.lit(None).cast("struct<x:int,y:int,width:int,height:int>"), F.lit(480), F.lit(640))
+    return table(spark, sf_dir, "part").select("p_partkey", json.alias("json"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 100)
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(pixels, i * 8 + 1, 8))
@@ -438,6 +465,18 @@ def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source").orderBy("doc_id").limit(5)
 
 
+@query("SELECT d.doc_id, quality, text AS transcript FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def manifest_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for a manifest, documents for its transcripts."""
+    stems = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("transcript"))
+    return table(spark, sf_dir, "labels").join(stems, "doc_id").select("doc_id", "quality", "transcript")
+
+
+@query("SELECT count(*) AS rows FROM lineitem")
+def describe_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.describe(spark, f"{sf_dir}/lineitem.parquet").agg(F.sum("rows").alias("rows"))
+
+
 @query("WITH n AS (SELECT count(*) AS n FROM orders) SELECT o_orderkey, p // s AS nth, p // s // 4 AS sheet_row, (p // s) % 4 AS sheet_column FROM (SELECT o_orderkey, o_orderkey AS p, greatest(1, n // 12) AS s FROM orders, n) WHERE p % s = 0 AND p < s * 12")
 def contact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve evenly spaced rows on a sheet of four columns."""

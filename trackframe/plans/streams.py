@@ -99,6 +99,23 @@ def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("stream_id", "sequence", "event_id", "t")
 
 
+@query(
+    f"""{_SEGMENTS}, j AS (SELECT s.stream_id, sequence, event_id, start_time, end_time, row_number() OVER (PARTITION BY s.stream_id, sequence ORDER BY t DESC) AS r FROM segments s JOIN events_ e ON s.stream_id = e.stream_id AND t BETWEEN start_time - 3600 AND end_time)
+SELECT stream_id, sequence, event_id FROM j WHERE r <= round_even(least(end_time - start_time + 3600, 300000) * {GRID_FPS}, 0)"""
+)
+def segment_frames_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = segments.collect_by_count(event_segments(spark, sf_dir), events(spark, sf_dir), "stream_id", "t", 3600.0, P.max_length, GRID_FPS, 300_000.0)
+    return joined.select("stream_id", "sequence", "event_id")
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, h AS (SELECT event_id, stream_id, last_value(aperture IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS aperture FROM events_)
+SELECT event_id, stream_id, aperture, CASE WHEN aperture IS NULL THEN 'no value yet' END AS error FROM h"""
+)
+def hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.hold_last(events(spark, sf_dir), "stream_id", "t", "aperture", WEEK).select("event_id", "stream_id", "aperture", "error")
+
+
 def _resample_sql(points: str, live: bool = False) -> str:
     return f"""WITH {EVENTS_SQL}, ends AS (SELECT stream_id, min(t) AS a, max(t) AS b FROM events_ GROUP BY 1),
 grid AS (SELECT stream_id, n, a + n / {GRID_FPS} AS target FROM (SELECT stream_id, a, unnest(range(0, {points})) AS n FROM ends)),
