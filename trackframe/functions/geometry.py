@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackframe.functions.lets import let
+
 
 def box(x: Column, y: Column, width: Column, height: Column) -> Column:
     return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), width.cast("int").alias("width"), height.cast("int").alias("height"))
@@ -126,9 +128,9 @@ def similarity_fit(points: Column, reference: Column) -> Column:
             found = F.struct(a.alias("a"), (-c).alias("b"), (m["qx"] - a * m["px"] + c * m["py"]).alias("tx"), c.alias("c"), a.alias("d"), (m["qy"] - c * m["px"] - a * m["py"]).alias("ty"))
             return F.when(s["square"] > 1e-12, found)
 
-        return F.element_at(F.transform(F.array(sums), solved), 1)
+        return let(sums, solved)
 
-    return F.element_at(F.transform(F.array(means), fitted), 1)
+    return let(means, fitted)
 
 
 def robust_fit(points: Column, reference: Column, n: int) -> Column:
@@ -137,24 +139,23 @@ def robust_fit(points: Column, reference: Column, n: int) -> Column:
     Deterministic least median of squares: every pair is tried, the first of equal
     medians wins. Near are points within 2.5 robust deviations. Null where no pair is apart.
     """
-    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     square = lambda m: F.transform(
         F.arrays_zip(transform_points(points, m).alias("p"), reference.alias("q")),
         lambda z: (z["p"]["x"] - z["q"]["x"]) * (z["p"]["x"] - z["q"]["x"]) + (z["p"]["y"] - z["q"]["y"]) * (z["p"]["y"] - z["q"]["y"]),
     )
-    middle = lambda a: one(F.array_sort(a), lambda s: (F.element_at(s, (n + 1) // 2) + F.element_at(s, n // 2 + 1)) / 2)
+    middle = lambda a: let(F.array_sort(a), lambda s: (F.element_at(s, (n + 1) // 2) + F.element_at(s, n // 2 + 1)) / 2)
     tried = [
-        one(similarity_fit(F.array(points[i], points[j]), F.array(reference[i], reference[j])), lambda m, k=k: F.when(m.isNotNull(), F.struct(middle(square(m)).alias("median"), F.lit(k).alias("order"), m.alias("m"))))
+        let(similarity_fit(F.array(points[i], points[j]), F.array(reference[i], reference[j])), lambda m, k=k: F.when(m.isNotNull(), F.struct(middle(square(m)).alias("median"), F.lit(k).alias("order"), m.alias("m"))))
         for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i + 1, n))
     ]
 
     def refitted(best: Column) -> Column:
         limit = F.greatest(best["median"] * (2.5 * 1.4826) ** 2, F.lit(1e-9))
         near = F.filter(F.arrays_zip(points.alias("p"), reference.alias("q"), square(best["m"]).alias("r")), lambda z: z["r"] <= limit)
-        return one(near, lambda z: similarity_fit(z["p"], z["q"]))
+        return let(near, lambda z: similarity_fit(z["p"], z["q"]))
 
     best = F.array_min(F.transform(F.filter(F.array(*tried), lambda x: x.isNotNull()), lambda x: x))
-    return one(best, lambda b: F.when(b.isNotNull(), refitted(b)))
+    return let(best, lambda b: F.when(b.isNotNull(), refitted(b)))
 
 
 # Which of 68 face landmarks make the right eye, the left eye, the nose and the mouth (first, past the last).

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from trackframe.functions.lets import let
+
 
 @F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -35,7 +37,7 @@ def edit_distance(reference: Column, hypothesis: Column) -> Column:
     code = lambda i: F.when(i <= 20_000, i + 0x4DFF).otherwise(i - 20_001 + 0x10000)
     char = lambda i: F.decode(F.unhex(F.lpad(F.hex(code(i).cast("long")), 8, "0")), "UTF-32")
     spelled = lambda k, ws: F.array_join(F.transform(ws, lambda w: char(F.array_position(k, w))), "")
-    return F.element_at(F.transform(F.array(known), lambda k: F.levenshtein(spelled(k, reference), spelled(k, hypothesis))), 1)
+    return let(known, lambda k: F.levenshtein(spelled(k, reference), spelled(k, hypothesis)))
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:
@@ -77,7 +79,7 @@ def strip_special(ids: Column, eos: Column) -> Column:
     """Without one leading and all trailing ``eos``."""
     led = F.when(F.get(ids, F.lit(0)) == eos, F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
     last = lambda a: F.aggregate(F.transform(a, lambda x, i: F.when(x != eos, i + 1).otherwise(0)), F.lit(0), lambda m, i: F.greatest(m, i))
-    return F.element_at(F.transform(F.array(led), lambda a: F.slice(a, F.lit(1), last(a))), 1)
+    return let(led, lambda a: F.slice(a, F.lit(1), last(a)))
 
 
 def piece_ids(pieces: Column, ids: Column, unknown: str = "<unk>") -> Column:

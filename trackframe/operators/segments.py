@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.functions.lets import let
 from trackframe.operators.timeseries import carry
 from trackframe.params import Segmenting
 
@@ -19,20 +20,24 @@ _STATE = "struct<start:double,active:double,last:double,out:array<struct<start_t
 
 def step(state: Column, frame: Column, p: Segmenting, start: Column, stop: Column) -> Column:
     """The state after a frame (t, e). The opening frame emits nothing; length beats silence."""
-    t, e, opened = frame["t"], frame["e"], state["start"].isNotNull()
+    t, e, none = frame["t"], frame["e"], F.lit(None).cast("double")
     active = F.when(e >= stop, t).otherwise(state["active"])
-    length, quiet = t - state["start"], t - F.coalesce(active, t)
-    reason = F.when(length >= p.max_length, "max_length").when((quiet >= p.hangover) & (length >= p.min_length), "silence")
-    closed = opened & reason.isNotNull()
-    dropped = opened & reason.isNull() & (quiet >= p.hangover)
-    new = F.struct(state["start"].alias("start_time"), t.alias("end_time"), reason.alias("reason"))
-    none = F.lit(None).cast("double")
-    return F.struct(
-        F.when(closed | dropped, none).when(opened, state["start"]).when(e >= start, t).alias("start"),
-        F.when(closed | dropped, none).when(opened, active).when(e >= start, t).alias("active"),
-        t.alias("last"),
-        F.when(closed, F.concat(state["out"], F.array(new))).otherwise(state["out"]).alias("out"),
-    ).cast(_STATE)
+    idle = F.when(e >= start, t)
+    before_open = F.struct(idle.alias("start"), idle.alias("active"), t.alias("last"), state["out"].alias("out")).cast(_STATE)
+
+    def opened(active: Column) -> Column:
+        length, over = t - state["start"], t - active >= p.hangover
+        reason = F.when(length >= p.max_length, "max_length").when(over & (length >= p.min_length), "silence").when(over, "")
+
+        def left(reason: Column) -> Column:
+            new = F.struct(state["start"].alias("start_time"), t.alias("end_time"), reason.alias("reason"))
+            stays = reason.isNull()
+            out = F.when(reason != "", F.concat(state["out"], F.array(new))).otherwise(state["out"])
+            return F.struct(F.when(stays, state["start"]).otherwise(none).alias("start"), F.when(stays, active).otherwise(none).alias("active"), t.alias("last"), out.alias("out")).cast(_STATE)
+
+        return let(reason, left)
+
+    return F.when(state["start"].isNull(), before_open).otherwise(let(active, opened))
 
 
 def finish(state: Column, p: Segmenting) -> Column:

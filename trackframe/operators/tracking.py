@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.functions.geometry import area, iou
+from trackframe.functions.lets import let
 from trackframe.operators.timeseries import carry
 
 
@@ -23,7 +24,7 @@ def _first_max(items: Column, value) -> Column:
 
 def choose(candidates: Column, last: Column, least_iou: float) -> Column:
     """A sole candidate; else the one of largest overlap with the last box, if enough; else the largest. Ties: the first."""
-    near = F.element_at(F.transform(F.array(_first_max(candidates, lambda c: iou(last, c["box"]))), lambda n: F.when(last.isNotNull() & (n["value"] >= least_iou), n["item"])), 1)
+    near = let(_first_max(candidates, lambda c: iou(last, c["box"])), lambda n: F.when(last.isNotNull() & (n["value"] >= least_iou), n["item"]))
     large = _first_max(candidates, lambda c: area(c["box"]).cast("double"))["item"]
     return F.when(F.size(candidates) == 1, candidates[0]).otherwise(F.coalesce(near, large))
 
@@ -40,14 +41,18 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
     frames = carry(frames, stream, frame, F.when(F.size("_items") == 1, F.col(frame)), "_stretch", bucket)
     rows = frames.groupBy(stream, F.coalesce(F.col("_stretch"), F.lit(-1)).alias("_stretch")).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col("_items").alias("items")))).alias("_frames"))
     kind = f"struct<frame:bigint,cand:{dict(candidates.dtypes)[cand]},box:{candidates.schema[box].dataType.simpleString()}>"
-    start = F.array().cast(f"array<{kind}>")
+    box_kind = candidates.schema[box].dataType.simpleString()
+    state = f"struct<last:{box_kind},out:array<{kind}>>"
+    start = F.struct(F.lit(None).cast(box_kind).alias("last"), F.array().cast(f"array<{kind}>").alias("out")).cast(state)
 
-    def step(done: Column, f: Column) -> Column:
-        last = F.when(F.size(done) > 0, F.element_at(F.concat(done, F.array(F.lit(None).cast(kind))), F.greatest(F.size(done), F.lit(1)))["box"])
-        picked = choose(f["items"], last, least_iou)
-        return F.concat(done, F.array(F.struct(f["frame"].cast("bigint").alias("frame"), picked["cand"].alias("cand"), picked["box"].alias("box")).cast(kind)))
+    def step(s: Column, f: Column) -> Column:
+        def taken(p: Column) -> Column:
+            row = F.struct(f["frame"].cast("bigint").alias("frame"), p["cand"].alias("cand"), p["box"].alias("box")).cast(kind)
+            return F.struct(p["box"].alias("last"), F.concat(s["out"], F.array(row)).alias("out")).cast(state)
 
-    picked = rows.select(stream, F.explode(F.aggregate("_frames", start, step)).alias("_x"))
+        return let(choose(f["items"], s["last"], least_iou), taken)
+
+    picked = rows.select(stream, F.explode(F.aggregate("_frames", start, step, lambda s: s["out"])).alias("_x"))
     return picked.select(stream, F.col("_x.frame").alias(frame), F.col("_x.cand").alias(cand), F.col("_x.box").alias(box))
 
 
