@@ -36,7 +36,7 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")
-    return rows.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), seconds(F.col("ts")).alias("t"), F.lit(None).cast("double").alias("aperture"), F.col("value").alias("energy"), F.lit("frame").alias("kind"))
+    return rows.select(F.col("user_id").alias("stream_id"), F.timestamp_micros(F.round(seconds(F.col("ts")) * 1e6).cast("long")).alias("ts"), seconds(F.col("ts")).alias("t"), F.lit(None).cast("double").alias("aperture"), F.col("value").alias("energy"), F.lit("frame").alias("kind"))
 
 
 def _run(stream: DataFrame, folder: str, each=None) -> None:
