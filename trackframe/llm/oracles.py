@@ -18,12 +18,10 @@ def _warc_sql(date: str) -> str:
             text = f"replace({text}, '&{name};', {_quote(char)})"
         return f"replace({text}, '&amp;', '&')"
 
-    text = "html"
-    for pattern in [warc.COMMENT, *warc.HIDDEN_PATTERNS]:
-        text = f"regexp_replace({text}, {_quote(pattern)}, '', 'g')"
+    text = f"regexp_replace(html, {_quote(warc.NO_TEXT)}, '', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {_quote(warc.BLOCK)}, chr(10), 'g'), {_quote(warc.TAG)}, '', 'g')"
     text = f"regexp_replace({unescape(text)}, {_quote(warc.BLANKS)}, ' ', 'g')"
-    text = rf"regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '\A[ \n]+|[ \n]+\z', '', 'g')"
+    text = rf"trim(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     one_line = lambda x: rf"trim(regexp_replace({unescape(x)}, '\s+', ' ', 'g'))"
     return f"""
 WITH pages_ AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),

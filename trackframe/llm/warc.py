@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.llm.common import let
+
 CRLF = "\r\n"
 SOFTWARE = "trackframe"
 
@@ -20,14 +22,15 @@ BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcapt
 HIDDEN = ("script", "style", "noscript", "template")
 NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€"}
 
-COMMENT = r"(?s)<!--.*?(-->|\z)"
-HIDDEN_PATTERNS = [rf"(?is)<{tag}\b[^<>]*>.*?(</{tag}\s*>|\z)" for tag in HIDDEN]
+#: Comments and elements whose content is no text, to their end or that of the page.
+NO_TEXT = "(?is)<(?:!--.*?(?:-->|\\z)|" + "|".join(rf"{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)" for tag in HIDDEN) + ")"
 BLOCK = rf"(?i)</?({BLOCKS})\b[^<>]*>"
 TAG = r"<[A-Za-z/!?][^<>]*>"
 TITLE = r"(?i)<title[^<>]*>([^<]*)"
 LANGUAGE = r"(?i)<html[^<>]*\slang=[\"']?([A-Za-z-]+)"
 LINK = r"(?i)<a\s[^<>]*?href=[\"']([^\"'<>]*)[\"']"
-BLANKS = r"[\x20\t\x0B\f\r\x{A0}]+"
+#: Blanks that are not one space.
+BLANKS = r"[\x20\t\x0B\f\r\x{A0}]{2,}|[\t\x0B\f\r\x{A0}]"
 
 
 def _numeric(text: Column, pattern: str, lead: str, base: int) -> Column:
@@ -39,8 +42,11 @@ def _numeric(text: Column, pattern: str, lead: str, base: int) -> Column:
         legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         return F.when(legal, F.replace(out, F.concat(F.lit(lead), digits, F.lit(";")), char)).otherwise(out)
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(found, text, one)).otherwise(text)
+    def replaced(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
+        return F.when(F.rlike(t, F.lit(pattern)), F.aggregate(found, t, one)).otherwise(t)
+
+    return let(text, replaced)  # else every mention of ``text`` would make it anew
 
 
 def unescape(text: Column) -> Column:
@@ -54,11 +60,10 @@ def unescape(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """The text of a page: no comments, scripts or tags, a line for each block, single blanks."""
-    for pattern in [COMMENT, *HIDDEN_PATTERNS]:
-        html = F.regexp_replace(html, pattern, "")
-    text = unescape(F.regexp_replace(F.regexp_replace(html, BLOCK, "\n"), TAG, ""))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, NO_TEXT, ""), BLOCK, "\n"), TAG, "")
+    text = unescape(text)
     text = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"\A[ \n]+|[ \n]+\z", "")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
