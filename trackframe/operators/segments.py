@@ -64,16 +64,8 @@ def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting =
     width = 64 * p.max_length
     rows = carry(rows, stream, "t", F.when(F.col("e") >= F.col("_stop"), F.col("t")), "_active", width)
     quiet = F.col("_active").isNull() | (F.col("t") - F.col("_active") >= p.hangover)
-    # a stretch is named by the quiet frame before it
-    along = Window.partitionBy(stream, F.floor(F.col("t") / width)).orderBy("t")
-    rows = rows.withColumn("_quiet", F.when(quiet, F.col("t")))
-    rows = carry(rows, stream, "t", F.col("_quiet"), "_upto", width)
-    before = F.when(~quiet, F.col("_upto"))
-    # a quiet frame ends the stretch that the quiet frame before it began
-    rows = rows.withColumn("_lag", F.lag("_upto").over(along)).withColumn("_b", F.floor(F.col("t") / width))
-    firsts = rows.groupBy(stream, "_b").agg(F.max("_upto").alias("_m"))
-    firsts = firsts.select(stream, "_b", F.max("_m").over(Window.partitionBy(stream).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    rows = rows.join(firsts, [stream, "_b"]).withColumn("_stretch", F.coalesce(before, F.when(quiet, F.coalesce("_lag", "_carried")), F.lit(float("-inf"))))
+    # a stretch is named by the quiet frame before it; a quiet frame ends the stretch that the one before it began
+    rows = carry(rows, stream, "t", F.when(quiet, F.col("t")), "_stretch", width, strict=True)
     groups = rows.groupBy(stream, "_stretch").agg(F.max("e").alias("_most"), F.first("_start").alias("_start"), F.first("_stop").alias("_stop"), F.array_sort(F.collect_list(F.struct("t", "e"))).alias("_frames")).where(F.col("_most") >= F.col("_start"))
     found = groups.select(stream, F.explode(fold(F.col("_frames"), p, F.col("_start"), F.col("_stop"))).alias("_s")).select(stream, "_s.*")
     order = F.row_number().over(Window.partitionBy(stream).orderBy("start_time"))

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carry(df: DataFrame, stream: str, t: str, value: Column, name: str, width: float, back: bool = True) -> DataFrame:
+def carry(df: DataFrame, stream: str, t: str, value: Column, name: str, width: float, back: bool = True, strict: bool = False) -> DataFrame:
     """Adds ``name``: the last non-null ``value`` up to and at a row's ``t``, or (not ``back``) the first from it on.
 
+    ``strict`` leaves the row itself out.
+
     ``width`` is the bucket's length in the unit of ``t``; it changes the work, not the result.
     """
     buckets = df.withColumn("_value", value).withColumn("_bucket", F.floor(F.col(t) / width))
     order = F.col(t) if back else F.col(t).desc()
-    inside = Window.partitionBy(stream, "_bucket").orderBy(order, F.col("_value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(stream, "_bucket").orderBy(order, F.col("_value").isNull()).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     rows = buckets.withColumn("_own", F.last("_value", ignorenulls=True).over(inside))
     pick = F.max_by if back else F.min_by
     held = buckets.groupBy(stream, "_bucket").agg(pick("_value", F.when(F.col("_value").isNotNull(), F.col(t))).alias("_edge"))
