@@ -7,8 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tests.oracle import same
 from trackframe.llm import secrets
-from trackframe.llm.queries import op1_secret_scans
+from trackframe.llm.queries import ORACLES, op1_secret_scans
 
 
 def brute(text):
@@ -38,6 +39,11 @@ def test_query_equals_brute_force(spark):
     assert sum(r.n_random for r in rows) >= 0.7 * sum(r.n_hex for r in rows) > 0
 
 
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert same(op1_secret_scans(spark, sf), ORACLES["op1_secret_scans"], sf) == 1000
+
+
 def test_base_edges(spark):
     rnd = random.Random(4)
     texts = [

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from trackframe.llm import licenses, warc
+import re
+
+from trackframe.llm import licenses, secrets, warc
 
 
 def _quote(text: str) -> str:
@@ -79,7 +81,47 @@ SELECT doc_id, coalesce(licence, given) AS licence, CASE WHEN licence IS NOT NUL
 FROM stated LEFT JOIN near USING (directory)"""
 
 
+def _secrets_sql() -> str:
+    """The battery in plain SQL; RE2 has no lookahead, so an encoding's needed classes are tested one by one."""
+
+    def fits(pattern: str) -> str:
+        needed, allowed = re.findall(r"\(\?=\.\*(\[[^\]]+\])\)", pattern), re.search(r"(\[[^\]]+\]\+)\\z", pattern)[1]
+        return " AND ".join([f"regexp_full_match(match, {_quote(allowed)})", *(f"regexp_matches(match, {_quote(x)})" for x in needed)])
+
+    def spans(kind: str, pattern: str, group: int, good: str) -> str:
+        p = _quote(pattern)
+        return f"""SELECT doc_id, '{kind}' AS kind, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start, found[i] AS match, parts[i] AS part
+        FROM (SELECT doc_id, pieces, found, parts, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, {p}) AS pieces, regexp_extract_all(text, {p}) AS found, regexp_extract_all(text, {p}, {group}) AS parts FROM texts WHERE regexp_matches(text, {p}))) WHERE {good}"""
+
+    kinds = [("assign", secrets.ASSIGN, 2, "length(part) >= 6"), ("access", secrets.ACCESS, 0, "length(match) >= 20"), ("hex", secrets.HEX, 0, "length(match) >= 24")]
+    base = " UNION ALL ".join(f"SELECT {rank} AS rank, * FROM ({spans(*k)})" for rank, k in enumerate(kinds))
+    names = " ".join(f"WHEN {fits(pattern)} THEN {i}" for i, (_, pattern, _) in enumerate(secrets.ENCODINGS))
+    alphabets, labels = [a for *_, a in secrets.ENCODINGS], [n for n, *_ in secrets.ENCODINGS]
+    excess, crossing, correlation = secrets.LIMITS
+    cdf = lambda z: f"(1 / (1 + exp(-1.5976 * {z} - 0.07056 * {z} * {z} * {z})))"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({base}),
+runs AS (SELECT *, CASE {names} END AS which FROM ({spans("run", secrets.CANDIDATE, 0, "true")})),
+symbols AS (SELECT *, {labels}[which + 1] AS encoding, length({alphabets}[which + 1])::DOUBLE AS k, length(match)::DOUBLE AS n, list_transform(string_split(match, ''), lambda c: strpos({alphabets}[which + 1], c) - 1) AS s FROM runs WHERE which IS NOT NULL),
+means AS (SELECT *, list_sum(s)::DOUBLE / n AS mean, list_sum(list_transform(list_distinct(s), lambda x: len(list_filter(s, lambda y: y = x)) ** 2)) * k / n - n AS chi,
+  list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN (s[i] * 2 >= k) <> (s[i + 1] * 2 >= k) THEN 1.0 ELSE 0.0 END))::DOUBLE / (n - 1) AS rate FROM symbols),
+centred AS (SELECT *, list_transform(s, lambda x: x - mean) AS c FROM means),
+serial AS (SELECT *, list_sum(list_transform(c, lambda x: x * x)) AS square, list_sum(list_transform(range(1, len(c)), lambda i: c[i] * c[i + 1])) AS lag FROM centred),
+shares AS (SELECT *, CASE WHEN square > 0 THEN lag / square ELSE 1 END AS r, k - 1 + n * {excess} AS m, 2 * (k - 1 + 2 * n * {excess}) / (9 * (k - 1 + n * {excess}) ** 2) AS share FROM serial),
+scores AS (SELECT *, greatest(-30, least(30, (pow(greatest(chi, 0) / m, 1 / 3) - (1 - share)) / sqrt(share))) AS z1, greatest(-30, least(30, (abs(rate - 0.5) - {crossing}) * sqrt(n - 1) * 2)) AS z2,
+  greatest(-30, least(30, (abs(r) - {correlation}) * sqrt(n))) AS z3 FROM shares),
+levels AS (SELECT *, least(floor(-log10(greatest({cdf("z1")}, {cdf("z2")}, {cdf("z3")}, 1e-30)) * {secrets.PER_DECADE} + 1e-9), {secrets.LEVELS})::INT AS level FROM scores),
+counts AS (SELECT level, sum(count(*)) OVER (ORDER BY level DESC) AS seen, sum(count(*)) OVER () AS total FROM levels GROUP BY level),
+cut AS (SELECT coalesce(min(level), {secrets.LEVELS + 1}) AS least FROM counts WHERE pow(10, -level / {secrets.PER_DECADE}) <= {secrets.FDR} * seen / total),
+spans AS (SELECT doc_id, rank, kind, start, start + length(match) AS stop FROM base UNION ALL SELECT doc_id, {len(secrets.KINDS)}, 'random_' || encoding, start, start + length(match) FROM levels, cut WHERE level >= least),
+digests AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.KINDS)}, count(*) FILTER (WHERE rank = {len(secrets.KINDS)}) AS n_random,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(secrets.KINDS)}) AS own, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM texts t LEFT JOIN digests d ON t.doc_id = d.doc_id"""
+
+
 #: ``pages`` has no fetch date.
 WARC_DATE = "2025-01-01T00:00:00Z"
 
-ORACLES: dict[str, str] = {"op5_license_scans": _licence_sql(), "op8_warc_derivatives": _warc_sql(WARC_DATE)}
+ORACLES: dict[str, str] = {"op1_secret_scans": _secrets_sql(), "op5_license_scans": _licence_sql(), "op8_warc_derivatives": _warc_sql(WARC_DATE)}
