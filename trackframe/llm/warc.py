@@ -9,6 +9,8 @@ column expressions, so Spark runs it as one map without Python or shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ HIDDEN = ("script", "style", "noscript", "template")
 NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€"}
 
 #: Comments and elements whose content is no text, to their end or that of the page.
-NO_TEXT = "(?is)<(?:!--.*?(?:-->|\\z)|" + "|".join(rf"{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)" for tag in HIDDEN) + ")"
+NO_TEXT = "(?s)<(?:!--.*?(?:-->|\\z)|" + "|".join(rf"(?i:{tag})\b[^<>]*>.*?(?:</(?i:{tag})\s*>|\z)" for tag in HIDDEN) + ")"
 BLOCK = rf"(?i)</?({BLOCKS})\b[^<>]*>"
 TAG = r"<[A-Za-z/!?][^<>]*>"
 TITLE = r"(?i)<title[^<>]*>([^<]*)"
@@ -33,36 +35,50 @@ LINK = r"(?i)<a\s[^<>]*?href=[\"']([^\"'<>]*)[\"']"
 BLANKS = r"[\x20\t\x0B\f\r\x{A0}]{2,}|[\t\x0B\f\r\x{A0}]"
 
 
-def _numeric(text: Column, pattern: str, lead: str, base: int) -> Column:
-    """Replace numeric character references; those of no character stay."""
+def _numeric(piece: Column, pattern: str, base: int) -> Column:
+    """A piece that begins with a numeric reference, decoded; null if it stands for no character."""
+    digits = F.regexp_extract(piece, pattern, 1)
+    code = F.conv(digits, base, 10).cast("long")
+    char = F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+    legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(legal, F.concat(char, F.substr(piece, F.char_length(F.regexp_extract(piece, pattern, 0)) + 1)))
 
-    def one(out: Column, digits: Column) -> Column:
-        code = F.conv(digits, base, 10).cast("long")
-        char = F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
-        legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        return F.when(legal, F.replace(out, F.concat(F.lit(lead), digits, F.lit(";")), char)).otherwise(out)
 
-    def replaced(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
-        return F.when(F.rlike(t, F.lit(pattern)), F.aggregate(found, t, one)).otherwise(t)
+def unescape(text: Column) -> Column:
+    """Decode decimal, hexadecimal and the listed named character references, each once."""
+    decimal, hexadecimal = r"\A#([0-9]{1,7});", r"\A#[xX]([0-9a-fA-F]{1,6});"
 
-    return let(text, replaced)  # else every mention of ``text`` would make it anew
+    def decoded(piece: Column) -> Column:
+        number = F.when(F.rlike(piece, F.lit(decimal)), _numeric(piece, decimal, 10)).when(F.rlike(piece, F.lit(hexadecimal)), _numeric(piece, hexadecimal, 16))
+        out = F.when(F.startswith(piece, F.lit("#")), number)
+        for name, char in {"amp": "&", **NAMED}.items():
+            out = out.when(F.startswith(piece, F.lit(f"{name};")), F.concat(F.lit(char), F.substr(piece, F.lit(len(name) + 2))))
+        return F.coalesce(out, F.concat(F.lit("&"), piece))
 
+    def joined(pieces: Column) -> Column:
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), decoded), ""))
 
-def unescape(text: Column) -> Column:
-    """Decode decimal, hexadecimal and the listed named character references, each once."""
-    text = _numeric(text, "&#([0-9]{1,7});", "&#", 10)
-    text = _numeric(text, "&#x([0-9a-fA-F]{1,6});", "&#x", 16)
-    for name, char in NAMED.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return _if_any(text, ["&"], lambda t: let(F.split(t, "&"), joined))
+
+
+def _if_any(text: Column, marks: list[str], change: Callable[[Column], Column]) -> Column:
+    """``change`` of a text that has one of ``marks``; looking for a mark costs far less than a replacement."""
+
+    def looked(t: Column) -> Column:
+        found = F.contains(t, F.lit(marks[0]))
+        for mark in marks[1:]:
+            found = found | F.contains(t, F.lit(mark))
+        return F.when(found, change(t)).otherwise(t)
+
+    return let(text, looked)
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page: no comments, scripts or tags, a line for each block, single blanks."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, NO_TEXT, ""), BLOCK, "\n"), TAG, "")
     text = unescape(text)
-    text = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), r" ?\n[ \n]*", "\n")
+    text = _if_any(text, ["  ", "\t", "\x0b", "\f", "\r", "\xa0"], lambda t: F.regexp_replace(t, BLANKS, " "))
+    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
 
