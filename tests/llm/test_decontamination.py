@@ -2,6 +2,9 @@
 
 import random
 import re
+from itertools import combinations
+
+import pytest
 
 from trackframe.llm import decontamination as d
 from trackframe.llm.queries import op6_benchmark_decontamination
@@ -75,3 +78,35 @@ def test_query_finds_every_whole_item(spark):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     whole = {(x.doc_id, i.item_id) for x in docs for i in items if i.text in (x.text or "")}
     assert whole and whole <= found and len(found) < len(docs) / 5
+
+
+@pytest.mark.parametrize("n", range(1, 16))
+def test_every_allowed_substitution_is_found(n):
+    words = [f"w{i}" for i in range(n)]
+    index = d.Index([(7, " ".join(words))])
+    for k in range(n // 5 + 1):
+        for changed in combinations(range(n), k):
+            text = " ".join(["a", "b", *("XX" if i in changed else w for i, w in enumerate(words)), "c"])
+            assert [x[0] for x in index.leaks(text, d.MIN_OVERLAP, d.SIMILARITY)] == [7], changed
+
+
+def test_other_thresholds_miss_nothing():
+    for need, similarity, k in [(8, 0.6, 3), (6, 0.5, 3), (9, 1.0, 0), (15, 0.7, 4)]:
+        words = [f"w{i}" for i in range(need)]
+        index = d.Index([(7, " ".join(words))], need, similarity)
+        for changed in combinations(range(need), k):
+            text = " ".join("XX" if i in changed else w for i, w in enumerate(words))
+            assert index.leaks(text, need, similarity), (need, changed)
+
+
+def test_short_items_by_both_joins(spark):
+    items = [(i, " ".join(f"q{i}w{j}" for j in range(n))) for i, n in enumerate([5, 6, 7, 10, 11, 12])]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        for j in range(len(words)):
+            docs.append((len(docs), " ".join(["a", *words[:j], "XX", *words[j + 1 :], "b"]), i))
+    left = spark.createDataFrame(docs, "doc_id long, text string, made_of long")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    for words in (d.BROADCAST_WORDS, 0):
+        assert sorted((r.id, r.item_id) for r in d.leaks(left, right, broadcast_words=words).collect()) == [(a, i) for a, _, i in docs]

@@ -14,8 +14,9 @@ joined by a shuffle of the seeds, and only the texts that have hits are read aga
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +27,19 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.common import materialize, small_batches, without_ids
 
-#: Each has five words; together they hit every tried 15-word passage with a fifth of its words substituted.
-MASKS = ("111011", "110111", "1101011")
+#: By number of words: masks of which one at least hits, wherever a fifth of the words is substituted (a test tries all
+#: places). With fewer than 5 words none may be.
+MASKS = {
+    5: ("1111", "11011", "11101", "10111"),
+    6: ("1111", "11011"),
+    7: ("111011", "11111", "110111"),
+    10: ("111011", "11111", "11010011"),
+    11: ("111011", "11111", "111101"),
+} | {n: ("111011", "11111") for n in (8, 9, 12, 13, 14, 15)}
 MIN_OVERLAP = 15
 SIMILARITY = 0.8
 #: A benchmark of up to so many words (some 100 MB of index at most) is broadcast.
 BROADCAST_WORDS = 2_000_000
-#: An item of fewer words than the shortest mask is sought as it is.
-SHORTEST = min(map(len, MASKS))
 HITS = "id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, similarity double"
 
 _WORD = re.compile(r"\w+")
@@ -58,9 +64,18 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def masks_for(n_words: int) -> list[str]:
-    """The masks by which an item of so many words is sought."""
-    return [m for m in MASKS if len(m) <= n_words] if n_words >= SHORTEST else ["1" * n_words] * (n_words > 0)
+def masks_for(n_words: int, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY) -> tuple[str, ...]:
+    """Masks of which one at least hits every leak of an item of so many words."""
+    need = min(n_words, min_overlap)
+    if need < 1:
+        return ()
+    substituted = need - math.ceil(similarity * need - 1e-9)
+    if not substituted:
+        return ("1" * need,)
+    if need in MASKS and substituted <= need // 5:
+        return MASKS[need]
+    # so many substitutions leave a run of this length at least
+    return ("1" * max(1, math.ceil((need - substituted) / (substituted + 1))),)
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -99,11 +114,11 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_overlap: int =
 class Index:
     """The benchmark's seeds: a bit table that most words fail, then sorted hashes."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY):
         self.items = [(key, word_hashes(text)) for key, text in items]
         by_mask: dict[str, list] = {}
         for n, (_, words) in enumerate(self.items):
-            for mask in masks_for(len(words)):
+            for mask in masks_for(len(words), min_overlap, similarity):
                 found = seeds(words, mask)
                 by_mask.setdefault(mask, []).append((found, np.full(len(found), n), np.arange(len(found))))
         self.masks = {}
@@ -129,15 +144,15 @@ class Index:
 
 
 @lru_cache(maxsize=2)
-def _index(items: tuple) -> Index:
-    return Index(list(items))
+def _index(items: tuple, min_overlap: int, similarity: float) -> Index:
+    return Index(list(items), min_overlap, similarity)
 
 
 def _broadcast_hits(docs: DataFrame, items: tuple, min_overlap: int, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _index(shared.value)
+        index = _index(shared.value, min_overlap, similarity)
         for batch in batches:
             rows = [(key, *leak) for key, text in zip(batch["id"], batch["text"], strict=True) for leak in index.leaks(text, min_overlap, similarity)]
             yield _frame(rows)
@@ -150,14 +165,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype({"id": "Int64", "item_id": "Int64"})
 
 
-def _seed_rows(texts: DataFrame, masks: tuple[str, ...] | None) -> DataFrame:
-    """(id, mask, hash, position); of a benchmark (masks None) only the masks that seek the item."""
+def _seed_rows(texts: DataFrame, masks_of: Callable[[int], tuple[str, ...]]) -> DataFrame:
+    """(id, mask, hash, position) by the masks for a text's number of words."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 words = word_hashes(text)
-                for mask in masks_for(len(words)) if masks is None else masks:
+                for mask in masks_of(len(words)):
                     found = seeds(words, mask)
                     yield pd.DataFrame({"id": key, "mask": mask, "hash": found.view(np.int64), "position": np.arange(len(found))})
 
@@ -166,10 +181,10 @@ def _seed_rows(texts: DataFrame, masks: tuple[str, ...] | None) -> DataFrame:
 
 def _shuffled_hits(docs: DataFrame, items: DataFrame, min_overlap: int, similarity: float) -> DataFrame:
     """The same rows by a shuffle join; ids must not be null here and name one text each."""
-    wanted = materialize(_seed_rows(items, None), "benchmark-seeds")
-    masks = tuple(r.mask for r in wanted.select("mask").distinct().collect())  # those of MASKS and of short items
+    wanted = materialize(_seed_rows(items, lambda n: masks_for(n, min_overlap, similarity)), "benchmark-seeds")
+    masks = tuple(r.mask for r in wanted.select("mask").distinct().collect())  # those by which any item is sought
     wanted = wanted.select(F.col("id").alias("item_id"), "mask", "hash", F.col("position").alias("item_at"))
-    hits = _seed_rows(docs, masks).join(wanted, ["mask", "hash"])
+    hits = _seed_rows(docs, lambda _: masks).join(wanted, ["mask", "hash"])
     hits = hits.select("id", "item_id", (F.col("position") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = hits.join(docs, "id").join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
 
