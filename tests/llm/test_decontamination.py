@@ -110,3 +110,12 @@ def test_short_items_by_both_joins(spark):
     right = spark.createDataFrame(items, "item_id long, text string")
     for words in (d.BROADCAST_WORDS, 0):
         assert sorted((r.id, r.item_id) for r in d.leaks(left, right, broadcast_words=words).collect()) == [(a, i) for a, _, i in docs]
+
+
+def test_null_and_repeated_ids_by_both_joins(spark):
+    docs, items = fixture()
+    left = spark.createDataFrame([(None, items[0][1]), (None, items[1][1]), (3, items[0][1]), (3, items[2][1]), (9, items[2][1])], "doc_id long, text string")
+    right = spark.createDataFrame([(None, items[0][1]), (7, items[1][1]), (7, items[2][1]), (None, items[2][1])], "item_id long, text string")
+    want = sorted(map(str, [(None, None), (None, 7), (3, None), (3, 7), (3, None), (9, 7), (9, None)]))
+    for words in (d.BROADCAST_WORDS, 0):
+        assert sorted(str((r.id, r.item_id)) for r in d.leaks(left, right, broadcast_words=words).collect()) == want

@@ -9,7 +9,7 @@ at least ``similarity`` equal words is a leak.
 
 The join is a hash join. A benchmark whose words stay under ``BROADCAST_WORDS``
 (counted first) is sent to the tasks and no text is shuffled; a larger one is
-joined by a shuffle of the seeds, and only the texts that have hits are read again.
+joined by a shuffle of the seeds; the texts are written once with row numbers, and joined with the hits by them.
 """
 
 from __future__ import annotations
@@ -179,12 +179,18 @@ def _seed_rows(texts: DataFrame, masks_of: Callable[[int], tuple[str, ...]]) ->
     return texts.mapInPandas(emit, "id long, mask string, hash long, position long")
 
 
+def _numbered(texts: DataFrame, label: str) -> DataFrame:
+    """(key, id, text): ``id`` becomes a row number, ``key`` is the old one. Written, so that every reading has the same numbers."""
+    return materialize(texts.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("key"), "text"), label)
+
+
 def _shuffled_hits(docs: DataFrame, items: DataFrame, min_overlap: int, similarity: float) -> DataFrame:
-    """The same rows by a shuffle join; ids must not be null here and name one text each."""
-    wanted = materialize(_seed_rows(items, lambda n: masks_for(n, min_overlap, similarity)), "benchmark-seeds")
+    """The same rows by a shuffle join on row numbers, so ids may be null or repeated."""
+    docs, items = _numbered(docs, "documents"), _numbered(items, "benchmark")
+    wanted = materialize(_seed_rows(items.select("id", "text"), lambda n: masks_for(n, min_overlap, similarity)), "benchmark-seeds")
     masks = tuple(r.mask for r in wanted.select("mask").distinct().collect())  # those by which any item is sought
     wanted = wanted.select(F.col("id").alias("item_id"), "mask", "hash", F.col("position").alias("item_at"))
-    hits = _seed_rows(docs, lambda _: masks).join(wanted, ["mask", "hash"])
+    hits = _seed_rows(docs.select("id", "text"), lambda _: masks).join(wanted, ["mask", "hash"])
     hits = hits.select("id", "item_id", (F.col("position") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = hits.join(docs, "id").join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
 
@@ -196,7 +202,9 @@ def _shuffled_hits(docs: DataFrame, items: DataFrame, min_overlap: int, similari
                 rows += [(x.id, x.item_id, *leak)] * bool(leak)
             yield _frame(rows)
 
-    return pairs.select("id", "item_id", "diagonal", "text", "item").mapInPandas(verify, HITS)
+    found = pairs.select("id", "item_id", "diagonal", "text", "item").mapInPandas(verify, HITS)
+    found = found.join(docs.select("id", "key"), "id").join(items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key")), "item_id")
+    return found.select(F.col("key").alias("id"), F.col("item_key").alias("item_id"), "doc_start", "item_start", "n_words", "n_equal", "similarity")
 
 
 def leaks(
@@ -212,8 +220,8 @@ def leaks(
 ) -> DataFrame:
     """(id, item_id, doc_start, item_start, n_words, n_equal, similarity): one row for each leaked stretch.
 
-    Starts count words. Null and empty texts and items leak nothing; rows with a
-    null id are searched too while the benchmark is broadcast. Repeated rows give
+    Starts count words. Null and empty texts and items leak nothing; rows and
+    items with a null id are searched too. Repeated rows give
     repeated leaks, several items or places give several rows. Other columns
     of either table are ignored. An empty table on either side gives no rows.
     """
