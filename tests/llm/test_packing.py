@@ -7,9 +7,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from trackframe.llm import packing
 from trackframe.llm.queries import op4_best_fit_packing
-from trackframe.llm.tokens import ids_of
+from trackframe.llm.tokens import added_tokens, ids_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -90,3 +91,16 @@ def test_nulls_repeats_and_whole_sequences(spark):
     for r in rows:
         assert whole[r.sequence_id][r.offset : r.offset + r.length] == list(r.ids)
     assert packing.token_pieces(docs.limit(0), *RANKS).count() == 0
+
+
+def test_added_tokens_equal_the_other_library_by_default(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  <|endoftext|> ", "a <|endoftext|", "<|ENDOFTEXT|>", "<<|endoftext|>>\n\n", "plain"]
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in texts:
+        assert ids_of(text, *RANKS, added).tolist() == t.encode(text, add_special_tokens=False).ids
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, x in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in op4_best_fit_packing(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()} == want

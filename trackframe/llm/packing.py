@@ -49,12 +49,14 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, path: str, pattern: str, end_id: int = 2, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, pattern: str, end_id: int = 2, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids]) of every text's ids and ``end_id``.
 
     A null or empty text has the one id ``end_id``. Only texts of more than
-    ``limit`` ids are cut; their first piece may be shorter. A map without shuffle.
+    ``limit`` ids are cut; their first piece may be shorter. ``added`` are the
+    vocabulary's added tokens (``tokens.added_tokens``). A map without shuffle.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
@@ -63,7 +65,7 @@ def token_pieces(
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"], batch["text"], strict=True):
-                ids = np.append(ids_of(text, path, pattern), np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids_of(text, path, pattern, added), np.uint32(end_id)).astype("<u4")
                 key = None if pd.isna(key) else key
                 for i, (start, n) in enumerate(cut(len(ids), limit)):
                     own = ids[start : start + n]
@@ -153,9 +155,9 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Cut the texts of ``docs`` into pieces and pack them; see ``token_pieces`` and ``pack``."""
-    pieces = token_pieces(docs, path, pattern, end_id, capacity.max_tokens, id_col, text_col)
+    pieces = token_pieces(docs, path, pattern, end_id, capacity.max_tokens, id_col, text_col, added=added)
     return pack(materialize(pieces, "pieces"), capacity)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trackframe.llm import decontamination, licenses, media, packing, pii, quality, secrets, simhash, warc, wordpieces
 from trackframe.llm.common import table
 from trackframe.llm.oracles import ORACLES, WARC_DATE
+from trackframe.llm.tokens import added_tokens
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,8 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
     return packed.withColumnRenamed("id", "doc_id")
 
 
