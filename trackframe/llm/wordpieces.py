@@ -29,10 +29,12 @@ class Automaton:
     """Counts the pieces of words.
 
     ``first`` are the pieces that begin a word, ``rest`` those that continue it.
-    A word that greedy matching can't cut counts as one unknown piece.
+    With ``bare`` a word that none of ``first`` begins has a piece for its beginning
+    alone, and all of it is cut by ``rest``. A word that greedy matching can't cut
+    counts as one unknown piece.
     """
 
-    def __init__(self, first: Iterable[str], rest: Iterable[str]):
+    def __init__(self, first: Iterable[str], rest: Iterable[str], bare: bool = False):
         self.edges: list[dict[str, int]] = [{}, {}]  # node 0: the word's start, 1: after a piece
         self.is_piece = [False, False]
         for root, pieces in ((0, first), (1, rest)):
@@ -41,6 +43,8 @@ class Automaton:
                     self._add(root, piece)
         self.fail: list[int] = [-1] * len(self.edges)
         self.popped = [0] * len(self.edges)
+        if bare:
+            self.fail[0], self.popped[0] = 1, 1
         self._link()
         self.memo: dict[str, int] = {}
 
@@ -107,10 +111,13 @@ class Automaton:
 
 @lru_cache(maxsize=2)
 def byte_vocabulary(path: str) -> Automaton:
-    """The automaton of a file of base64 tokens and ranks: those with a leading space begin a word."""
+    """The automaton of a file of base64 tokens and ranks: those with a leading space begin a word.
+
+    Where none fits, the space alone does: the file has all single bytes, so every word can be cut.
+    """
     with open(path, "rb") as lines:
         tokens = [base64.b64decode(line.split()[0]).decode("latin-1") for line in lines]
-    return Automaton((t[1:] for t in tokens if t[0] == " "), (t for t in tokens if t[0] != " "))
+    return Automaton((t[1:] for t in tokens if t[0] == " "), (t for t in tokens if t[0] != " "), bare=" " in tokens)
 
 
 def piece_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
