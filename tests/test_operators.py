@@ -1,6 +1,7 @@
 """Operators on small inputs: golden values, brute force, edges."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from trackframe.functions import geometry, tensor, text
 from trackframe.operators import jobs, nbest, segments, sweeps, timeseries, tracking
 from trackframe.params import Decoding, Live, Segmenting
+from trackframe.plans import registry
 from trackframe.streaming import live, scorers
 from trackframe.streaming.control import action
 
@@ -236,3 +238,21 @@ def test_scorers_and_control(spark):
 
 def test_sweep_settings():
     assert sweeps.settings(["mean"], [3], [2.0, 1.0], [1.0, 0.5]) == [("mean", 3, 2.0, 1.0), ("mean", 3, 2.0, 0.5), ("mean", 3, 1.0, 0.5)]
+
+
+def _reference_normal(t):
+    t = re.sub(r"[^\w\s']", " ", unicodedata.normalize("NFKC", t).lower())
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def test_transcript_queries_compose_first(spark, tmp_path):
+    pairs = [("Cafe\u0301 au lait", "café au lait"), ("Ｆｕｌｌ　Ｗｉｄｔｈ １２", "full width 12"), ("ﬁne oﬃce", "fine office"), ("plain words", "plain word")]
+    turns = [(i, j, "user", t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, p[0]) for i, p in enumerate(pairs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()
+    rows = {r.doc_id: r for r in found["normalise_text"](spark, str(tmp_path)).collect()}
+    assert {i: (r.normal, r.n_words) for i, r in rows.items()} == {i: (n := _reference_normal(p[0]), len(n.split())) for i, p in enumerate(pairs)}
+    joined = {(r.conv_id, r.turn): (r.ref, r.hyp) for r in found["reference_join"](spark, str(tmp_path)).collect()}
+    assert all(joined[i, 0] == tuple(map(_reference_normal, p)) for i, p in enumerate(pairs))
+    assert [joined[i, 0][0] == joined[i, 0][1] for i in range(4)] == [True, True, True, False]

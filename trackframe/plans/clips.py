@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     return add
 
 
-# --- transcripts: turn n is the reference, turn n + 1 the hypothesis
+# --- transcripts: turn n is the reference, turn n + 1 the hypothesis; SQL has no NFKC, so it holds for texts that NFKC leaves as they are
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\p{{Z}}'']', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 _PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {_NORMAL.format("a.text")} AS ref, {_NORMAL.format("coalesce(b.text, '')")} AS hyp
@@ -32,7 +32,7 @@ _PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {_NORMAL.format("a.text
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.normalise(F.col("text")).alias("ref"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.normalise(F.col("text"), compose=True).alias("ref"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return turns.join(after, ["conv_id", "turn"], "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
 
@@ -44,7 +44,7 @@ def reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_NORMAL.format('text')} AS normal, len(list_filter(string_split({_NORMAL.format('text')}, ' '), lambda w: w <> '')) AS n_words FROM documents")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("normal"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text"), compose=True).alias("normal"))
     return rows.withColumn("n_words", F.size(text.words(F.col("normal"))).cast("long"))
 
 
