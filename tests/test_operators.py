@@ -256,3 +256,8 @@ def test_transcript_queries_compose_first(spark, tmp_path):
     joined = {(r.conv_id, r.turn): (r.ref, r.hyp) for r in found["reference_join"](spark, str(tmp_path)).collect()}
     assert all(joined[i, 0] == tuple(map(_reference_normal, p)) for i, p in enumerate(pairs))
     assert [joined[i, 0][0] == joined[i, 0][1] for i in range(4)] == [True, True, True, False]
+
+
+def test_stacked_frames_collect_nothing(spark):
+    plan = registry.queries()["stacked_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "count(" in plan

@@ -385,11 +385,13 @@ def denormalised_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS frames, 8 AS height, 8 AS width, true AS regular, 3 AS channels FROM embeddings GROUP BY label")
 def stacked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every label's images in order, as one nested list with three channels."""
-    rows = images(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "image"))).alias("s"))
-    shape = tensor.shape(F.col("s.image"))
-    channels = F.size(tensor.promote(F.col("s")[0]["image"])[0][0])
-    return rows.select("label", shape["frames"].cast("long").alias("frames"), shape["height"].alias("height"), shape["width"].alias("width"), shape["regular"].alias("regular"), channels.alias("channels"))
+    """The shape of every label's images, stacked in order as one nested list with three channels; no list is built, a label may have any number."""
+    rows = images(spark, sf_dir).select("label", "vec_id", tensor.shape(F.array("image")).alias("s"), F.size(tensor.promote(F.col("image"))[0][0]).alias("channels"))
+    rows = rows.select("label", "vec_id", "s.height", "s.width", "s.regular", "channels")
+    same = F.every("regular") & (F.min("height") == F.max("height")) & (F.min("width") == F.max("width"))
+    first = F.min(F.struct("vec_id", "height", "width", "channels")).alias("first")
+    found = rows.groupBy("label").agg(F.count("*").alias("frames"), first, same.alias("regular"))
+    return found.select("label", "frames", "first.height", "first.width", "regular", "first.channels")
 
 
 # --- files: a page is a file, its address the name
