@@ -1,9 +1,11 @@
 """Decontamination against brute force over all diagonals."""
 
+import math
 import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from trackframe.llm import decontamination as d
@@ -71,13 +73,51 @@ def test_empty_null_and_repeated(spark):
     assert d.leaks(left.limit(0), right, broadcast_words=0).count() == 0
 
 
-def test_query_finds_every_whole_item(spark):
-    sf = "/root/testdata/sf0.01"
+def all_leaks(docs, items):
+    """Pairs (doc, item) by all diagonals of every pair of texts that share enough words."""
+    number = {}
+    words = lambda t: [number.setdefault(w, len(number)) for w in re.findall(r"\w+", (t or "").lower())]
+    own = [(key, words(t)) for key, t in items]
+    out = set()
+    for key, text in docs:
+        a = words(text)
+        known = set(a)
+        for item, b in own:
+            need = min(len(b), 15)
+            if not need or sum(w in known for w in b) < math.ceil(0.8 * need - 1e-9):
+                continue
+            equal = np.array(a)[:, None] == np.array(b)[None, :]
+            for shift in range(-len(b), len(a)):
+                same = np.diagonal(equal, -shift)
+                if len(same) >= need and (np.convolve(same, np.ones(need), "valid") >= 0.8 * need - 1e-9).any():
+                    out.add((key, item))
+                    break
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     found = {(r.doc_id, r.item_id) for r in op6_benchmark_decontamination(spark, sf).collect()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    whole = {(x.doc_id, i.item_id) for x in docs for i in items if i.text in (x.text or "")}
-    assert whole and whole <= found and len(found) < len(docs) / 5
+    assert found and found == all_leaks(docs, items)
+
+
+def test_chance_hits_string_ids_and_large_items_by_both_joins(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = [("a", "x y w3 w4 w5 w6 w7 z"), ("b", item), (None, "q " + item), ("c", "the " * 3000), ("d", "the " * 9 + "cat")]
+    left = spark.createDataFrame(docs, "doc_id string, text string")
+    right = spark.createDataFrame([("i", item), ("j", "the " * 40), ("k", "漢" * 500), ("l", None)], "item_id string, text string")
+    want = sorted(map(str, {("b", "i"), (None, "i"), ("c", "j")}))
+    ways = [{"broadcast_words": d.BROADCAST_WORDS}, {"broadcast_words": 0}]
+    rows = [sorted(map(tuple, d.leaks(left, right, **w).collect()), key=str) for w in ways]
+    assert rows[0] == rows[1] and sorted({str(r[:2]) for r in rows[0]}) == want
+    for name in ("BROADCAST_BYTES", "BROADCAST_ITEMS"):
+        monkeypatch.setattr(d, name, 1)
+        assert sorted(map(tuple, d.leaks(left, right).collect()), key=str) == rows[0]
+    monkeypatch.undo()
+    monkeypatch.setattr(d, "HITS_AT_ONCE", 100)
+    index = d.Index([(7, "the " * 40), (8, item)])
+    assert {x[0] for x in index.leaks("the " * 300 + item, d.MIN_OVERLAP, d.SIMILARITY)} == {7, 8}
 
 
 @pytest.mark.parametrize("n", range(1, 16))

@@ -7,9 +7,11 @@ position minus benchmark position), and along it the aligned words are compared:
 a stretch of ``min_overlap`` words, or of the whole item if that is shorter, with
 at least ``similarity`` equal words is a leak.
 
-The join is a hash join. A benchmark whose words stay under ``BROADCAST_WORDS``
-(counted first) is sent to the tasks and no text is shuffled; a larger one is
-joined by a shuffle of the seeds; the texts are written once with row numbers, and joined with the hits by them.
+The join is a hash join. A benchmark whose words, bytes and items stay under
+``BROADCAST_WORDS``, ``BROADCAST_BYTES`` and ``BROADCAST_ITEMS`` (counted first) is
+sent to the tasks and no text is shuffled; a larger one is joined by a shuffle of
+the seeds, and the texts, written once with row numbers, are joined with the hits
+by them. Both give the same rows: the switch is one of cost.
 """
 
 from __future__ import annotations
@@ -40,7 +42,10 @@ MIN_OVERLAP = 15
 SIMILARITY = 0.8
 #: A benchmark of up to so many words (some 100 MB of index at most) is broadcast.
 BROADCAST_WORDS = 2_000_000
-HITS = "id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, similarity double"
+BROADCAST_BYTES, BROADCAST_ITEMS = 64 << 20, 500_000
+#: So many hits of one text are looked up at a time.
+HITS_AT_ONCE = 1 << 20
+LEAK = "doc_start long, item_start long, n_words long, n_equal long, similarity double"
 
 _WORD = re.compile(r"\w+")
 
@@ -132,14 +137,19 @@ class Index:
 
     def leaks(self, text: str | None, min_overlap: int, similarity: float) -> list[tuple]:
         """(item_id, ...) of every diagonal of a text that holds a leak."""
-        words, found = word_hashes(text), set()
+        words, found = word_hashes(text), np.empty(0, np.int64)
         for mask, (shift, table, hashes, owner, at) in self.masks.items():
             own = seeds(words, mask)
             maybe = np.flatnonzero(table[own >> shift])
             low, high = (np.searchsorted(hashes, own[maybe], side) for side in ("left", "right"))
-            for position, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
-                found.update((int(owner[i]), position - int(at[i])) for i in range(a, b))
-        rows = ((n, overlap(words, self.items[n][1], diagonal, min_overlap, similarity)) for n, diagonal in sorted(found))
+            maybe, low, high = maybe[high > low], low[high > low], high[high > low]
+            # a seed that many items hold, or a text that repeats one, is taken in pieces: memory holds the distinct diagonals only
+            cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // HITS_AT_ONCE)) + 1
+            for position, a, n in zip(np.split(maybe, cuts), np.split(low, cuts), np.split(high - low, cuts), strict=True):
+                i = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found = np.union1d(found, (owner[i] << 32) + np.repeat(position, n) - at[i] + (1 << 31))
+        pairs = zip((found >> 32).tolist(), ((found & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True)
+        rows = ((n, overlap(words, self.items[n][1], diagonal, min_overlap, similarity)) for n, diagonal in pairs)
         return [(self.items[n][0], *leak) for n, leak in rows if leak]
 
 
@@ -148,21 +158,33 @@ def _index(items: tuple, min_overlap: int, similarity: float) -> Index:
     return Index(list(items), min_overlap, similarity)
 
 
-def _broadcast_hits(docs: DataFrame, items: tuple, min_overlap: int, similarity: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _broadcast_hits(docs: DataFrame, items: tuple, item_kind: str, min_overlap: int, similarity: float) -> DataFrame:
+    shared, schema = docs.sparkSession.sparkContext.broadcast(items), _hits(docs, item_kind)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = _index(shared.value, min_overlap, similarity)
         for batch in batches:
             rows = [(key, *leak) for key, text in zip(batch["id"], batch["text"], strict=True) for leak in index.leaks(text, min_overlap, similarity)]
-            yield _frame(rows)
+            yield _frame(rows, schema)
 
-    return docs.mapInPandas(search, HITS)
+    return docs.mapInPandas(search, schema)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [x.split()[0] for x in HITS.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"id": "Int64", "item_id": "Int64"})
+def _hits(docs: DataFrame, item_kind: str) -> str:
+    """The schema of leaks; ids keep their kind."""
+    return f"id {dict(docs.dtypes)['id']}, item_id {item_kind}, {LEAK}"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    fields = [x.split() for x in schema.split(", ")]
+    own = pd.DataFrame(rows, columns=[name for name, _ in fields])
+    return own.astype({name: "Int64" for name, kind in fields[:2] if kind == "bigint"})
+
+
+def _id(df: DataFrame, name: str) -> Column:
+    """An id column: whole numbers as longs, everything else as strings."""
+    whole = dict(df.select(F.col(name).alias("id")).dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(name).cast("long" if whole else "string").alias("id")
 
 
 def _seed_rows(texts: DataFrame, masks_of: Callable[[int], tuple[str, ...]]) -> DataFrame:
@@ -194,15 +216,14 @@ def _shuffled_hits(docs: DataFrame, items: DataFrame, min_overlap: int, similari
     hits = hits.select("id", "item_id", (F.col("position") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = hits.join(docs, "id").join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
 
+    schema = f"id bigint, item_id bigint, {LEAK}"
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for x in batch.itertuples(index=False):
-                leak = overlap(word_hashes(x.text), word_hashes(x.item), int(x.diagonal), min_overlap, similarity)
-                rows += [(x.id, x.item_id, *leak)] * bool(leak)
-            yield _frame(rows)
+            found = ((x.id, x.item_id, overlap(word_hashes(x.text), word_hashes(x.item), int(x.diagonal), min_overlap, similarity)) for x in batch.itertuples(index=False))
+            yield _frame([(key, item, *leak) for key, item, leak in found if leak], schema)
 
-    found = pairs.select("id", "item_id", "diagonal", "text", "item").mapInPandas(verify, HITS)
+    found = pairs.select("id", "item_id", "diagonal", "text", "item").mapInPandas(verify, schema)
     found = found.join(docs.select("id", "key"), "id").join(items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key")), "item_id")
     return found.select(F.col("key").alias("id"), F.col("item_key").alias("item_id"), "doc_start", "item_start", "n_words", "n_equal", "similarity")
 
@@ -221,16 +242,18 @@ def leaks(
     """(id, item_id, doc_start, item_start, n_words, n_equal, similarity): one row for each leaked stretch.
 
     Starts count words. Null and empty texts and items leak nothing; rows and
-    items with a null id are searched too. Repeated rows give
-    repeated leaks, several items or places give several rows. Other columns
-    of either table are ignored. An empty table on either side gives no rows.
+    items with a null id are searched too; ids are whole numbers (given back as
+    longs) or strings. Repeated rows give repeated leaks, several items or places
+    give several rows. Other columns of either table are ignored. An empty table
+    on either side gives no rows.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    docs = docs.select(_id(docs, id_col), F.col(text_col).alias("text"))
+    items = benchmark.select(_id(benchmark, item_col), F.col(item_text_col).alias("text")).where("text is not null")
     n_words: Column = F.size(F.split("text", r"\W+")) + F.size(F.split("text", r"[^\x00-\x7f]"))
-    if (items.agg(F.sum(n_words)).first()[0] or 0) <= broadcast_words:
-        return _broadcast_hits(docs, tuple((r.id, r.text) for r in items.collect()), min_overlap, similarity)
+    total, size, n = items.agg(F.sum(n_words), F.sum(F.octet_length("text")), F.count("*")).first()
+    if (total or 0) <= broadcast_words and (size or 0) <= BROADCAST_BYTES and n <= BROADCAST_ITEMS:
+        return _broadcast_hits(docs, tuple((r.id, r.text) for r in items.collect()), dict(items.dtypes)["id"], min_overlap, similarity)
     return _shuffled_hits(docs, items, min_overlap, similarity)
 
 
