@@ -33,7 +33,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_ranges_nulls_repeats_and_damaged_members(spark, tmp_path):
-    rows = [(i, os.urandom(3000).hex(), "x") for i in range(40)] + [(5, None, "y"), (5, "", "y"), (None, "same", "z"), (7, "same", "z")]
+    rows = [(i, os.urandom(3000).hex(), "x") for i in range(40)] + [(99, "long " * 300_000, "x")] + [(5, None, "y"), (5, "", "y"), (None, "same", "z"), (7, "same", "z")]
     docs = spark.createDataFrame(rows, "id2 long, text string, payload string").withColumnRenamed("id2", "doc_id").coalesce(2)
     media.store_texts(docs, str(tmp_path))
     got = media.read_media(spark, str(tmp_path), splitBytes=10_000).collect()
@@ -70,3 +70,40 @@ def test_members_are_retried_by_themselves(tmp_path, monkeypatch):
     monkeypatch.setattr(media, "from_png", flaky)
     batches = [b for p in reader.partitions() for b in reader.read(p)]
     assert [(r["id"], r["attempts"], r["error"]) for b in batches for r in b.to_pylist()] == [(3, 2, None)]
+
+
+def test_appends_add_and_overwrites_replace(spark, tmp_path):
+    docs = lambda a, b: spark.createDataFrame([(i, f"text {i} " * 40) for i in range(a, b)], "doc_id long, text string")
+    ids = lambda: sorted(r.id for r in media.read_media(spark, str(tmp_path)).collect())
+    archives = lambda: [x for x in os.listdir(tmp_path) if x.endswith(".zip")]
+    media.store_texts(docs(0, 30), str(tmp_path), archiveBytes=500)
+    assert len(archives()) > 8
+    media.store_texts(docs(30, 40), str(tmp_path))
+    assert ids() == list(range(40))
+    media.Writer(str(tmp_path)).write(iter([]))
+    with open(tmp_path / "media-lost.zip", "wb") as f:  # of an attempt that was not committed
+        f.write(b"PK")
+    media.store_texts(docs(5, 8), str(tmp_path), mode="overwrite")
+    assert ids() == [5, 6, 7]
+    media.store_texts(docs(0, 0), str(tmp_path), mode="overwrite")
+    assert ids() == [] and archives() == ["media-lost.zip"]
+
+
+def test_other_file_systems():
+    with pytest.raises(ValueError, match="another folder"):
+        media.store("nosuch://a/b")
+    fs, root = media.store("s3a://bucket/a?region=x")
+    assert fs.type_name == "s3" and root == "bucket/a"
+
+
+def test_foreign_archives_with_long_headers(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        for i in range(5):
+            info = zipfile.ZipInfo("n" * 3000 + f"{i}.png")
+            info.extra = b"\x99\x99" + (2000).to_bytes(2, "little") + bytes(2000)
+            archive.writestr(info, media.to_png(media.pad(bytes([65 + i]))))
+    reader = media.Reader({"path": str(tmp_path), "splitbytes": "7000"})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["payload"][:1] for r in rows] == [b"A", b"B", b"C", b"D", b"E"] and not any(r["error"] for r in rows)

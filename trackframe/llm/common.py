@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,29 +23,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder of this
-    process is taken and set.
+    Only where the session names none and runs on one machine (as in tests) a
+    folder of this process is taken; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="trackframe-shared-")
         spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    Unlike a local checkpoint the files outlive any executor.
+    Unlike a local checkpoint the files outlive any executor. ``remove`` deletes
+    them; what a result still reads stays, as Spark's own checkpoints do.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(written: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` gave, once nothing reads it any more."""
+    spark, folders = written.sparkSession, {f.rsplit("/", 1)[0] for f in written.inputFiles()}
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key of each row: its Parquet file and its place there, the same at every reading.
+
+    A table that is no plain Parquet scan is written first.
+    """
+    key = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")).alias(name)
+    try:
+        return docs.select("*", key)
+    except AnalysisException:
+        return materialize(docs, "rows").select("*", key)
+
+
 #: So many ids at most (some 30 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -56,6 +77,24 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False
     return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi" if keep else "left_anti")
 
 
+#: At most so many keys count as heavy in ``join_unique``, whatever the size of the input.
+HEAVY_KEYS = 10_000
+
+
+def join_unique(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row for each key and, in ``n``, how many of ``rows`` hold that key.
+
+    A key that holds more than its share (one in ``HEAVY_KEYS``) of all rows goes by a broadcast of at most
+    ``HEAVY_KEYS`` rows, so no task gets all rows of such a key; the others by a shuffle. ``n`` is dropped.
+    """
+    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(1, total // HEAVY_KEYS)
+    heavy = F.broadcast(one.where(F.col("n") > share).drop("n"))
+    few = rows.join(heavy, key)
+    rest = rows.join(heavy.select(key), key, "left_anti").join(one.where(F.col("n") <= share).drop("n"), key)
+    return few.unionByName(rest)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small table over at least as many partitions as there are cores, for work that multiplies its rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -9,8 +9,11 @@ grey PNG of 64 samples a line, lossless) and reads archive folders back:
 * a member is fetched by its own offset and, if that fails, fetched again by
   itself; one that stays unreadable becomes a row with ``error``.
 
-The writer names files by task attempt and lists those that were committed, so
-that repeated or lost attempts leave nothing that is read.
+A task reads the members of a range in blocks of neighbours, and only a member that
+fails there is fetched alone. The writer begins a new archive at ``ARCHIVE_BYTES``,
+so that the directory each range has to read stays short. Every committed write
+adds a list of its archives, which names the lists that it replaces, if any; what
+is in no list (of repeated or lost attempts) is not read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,12 @@ from trackframe.llm.common import shared_dir, small_batches
 LINE = 64
 BATCH_BYTES = 8 << 20
 SPLIT_BYTES = 32 << 20
+ARCHIVE_BYTES = 128 << 20
 SCHEMA = "id bigint, n_bytes bigint, media binary, payload binary, archive string, member_offset bigint, attempts int, error string"
+#: A member's own header: 30 bytes, and its name and extra field, which have two length bytes each.
+HEAD_BYTES = 30 + 2 * 0xFFFF
+#: Hadoop's names of schemes that the file systems here know by another.
+ALIASES = {"s3a": "s3", "s3n": "s3"}
 PNG_START = b"\x89PNG\r\n\x1a\n"
 
 
@@ -90,56 +98,86 @@ class ByteRange(InputPartition):
 
 
 @dataclass
-class Archive(WriterCommitMessage):
-    name: str
-    size: int
-    members: int
+class Archives(WriterCommitMessage):
+    names_and_sizes: list[tuple[str, int]]
 
 
 def store(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a URI or local path."""
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), os.path.abspath(path))
+    """The file system of a URI or local path; Hadoop's names of a scheme count as the plain one."""
+    if "://" not in path and not path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), os.path.abspath(path)
+    scheme, rest = path.split(":", 1)
+    try:
+        return pa.fs.FileSystem.from_uri(f"{ALIASES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"media archives can't be kept under {scheme}: ({e}); name another folder by ``path``") from e
 
 
 class Writer(DataSourceWriter):
-    """One archive for each task; members are stored as they are, being compressed."""
+    """Archives of up to some ``archive_bytes``; members are stored as they are, being compressed."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False, archive_bytes: int = ARCHIVE_BYTES):
+        self.path, self.overwrite, self.archive_bytes = path, overwrite, archive_bytes
 
-    def write(self, iterator: Iterator) -> Archive:
+    def write(self, iterator: Iterator) -> Archives:
         fs, root = store(self.path)
         fs.create_dir(root, recursive=True)
-        name, members = f"media-{uuid.uuid4().hex}.zip", 0
-        with fs.open_output_stream(f"{root}/{name}") as out, zipfile.ZipFile(_Unseekable(out), "w", zipfile.ZIP_STORED) as archive:
-            for row in iterator:
-                raw = (row.text or "").encode("utf-8")
-                info = zipfile.ZipInfo(f"{members}.png")
-                info.comment = json.dumps([row.id, len(raw)]).encode()
-                archive.writestr(info, to_png(pad(raw)))
-                members += 1
-        return Archive(name, fs.get_file_info(f"{root}/{name}").size, members)
-
-    def commit(self, messages: list[Archive | None]) -> None:
+        rows, made = iter(iterator), []
+        row = next(rows, None)
+        while row is not None:
+            name, members = f"media-{uuid.uuid4().hex}.zip", 0
+            with fs.open_output_stream(f"{root}/{name}") as raw_out:
+                out = _Unseekable(raw_out)
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    while row is not None and (not members or out.size < self.archive_bytes):
+                        raw = (row.text or "").encode("utf-8")
+                        info = zipfile.ZipInfo(f"{members}.png")
+                        info.comment = json.dumps([row.id, len(raw)]).encode()
+                        archive.writestr(info, to_png(pad(raw)))
+                        members += 1
+                        row = next(rows, None)
+            made.append((name, out.size))
+        return Archives(made)
+
+    def commit(self, messages: list[Archives | None]) -> None:
         fs, root = store(self.path)
-        with fs.open_output_stream(f"{root}/archives.json") as out:
-            out.write(json.dumps([[m.name, m.size] for m in messages if m and m.members]).encode())
-
-    def abort(self, messages: list[Archive | None]) -> None:
+        fs.create_dir(root, recursive=True)
+        before = _lists(fs, root)
+        own = {"archives": [x for m in messages if m for x in m.names_and_sizes], "replaces": sorted(before) if self.overwrite else []}
+        with fs.open_output_stream(f"{root}/archives-{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps(own).encode())
+        for name in own["replaces"]:  # the new list is in force; what is left after a failure here is not read
+            for archive, _ in before[name]["archives"]:
+                fs.delete_file(f"{root}/{archive}")
+            fs.delete_file(f"{root}/{name}")
+
+    def abort(self, messages: list[Archives | None]) -> None:
         fs, root = store(self.path)
-        for m in messages:
-            if m and fs.get_file_info(f"{root}/{m.name}").type != pa.fs.FileType.NotFound:
-                fs.delete_file(f"{root}/{m.name}")
+        for name, _ in (x for m in messages if m for x in m.names_and_sizes):
+            if fs.get_file_info(f"{root}/{name}").type != pa.fs.FileType.NotFound:
+                fs.delete_file(f"{root}/{name}")
+
+
+def _lists(fs: pa.fs.FileSystem, root: str) -> dict[str, dict]:
+    """The lists of archives in force, by file name."""
+    found = {}
+    for f in fs.get_file_info(pa.fs.FileSelector(root)):
+        if f.base_name.startswith("archives-") and f.extension == "json":
+            with fs.open_input_stream(f.path) as names:
+                found[f.base_name] = json.loads(names.read())
+    replaced = {name for x in found.values() for name in x["replaces"]}
+    return {name: x for name, x in found.items() if name not in replaced}
 
 
 class _Unseekable:
     """Lets ``zipfile`` write to a stream that cannot seek."""
 
     def __init__(self, out):
-        self.out = out
+        self.out, self.size = out, 0
 
     def write(self, data) -> int:
         self.out.write(bytes(data))
+        self.size += len(data)
         return len(data)
 
     def flush(self) -> None:
@@ -154,12 +192,11 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, root = store(self.path)
-        listed = f"{root}/archives.json"
-        if fs.get_file_info(listed).type == pa.fs.FileType.NotFound:  # a folder of other archives
+        lists = _lists(fs, root)
+        if lists:
+            files = [(f"{root}/{name}", size) for x in lists.values() for name, size in x["archives"]]
+        else:  # a folder of other archives
             files = [(f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(root)) if f.extension == "zip"]
-        else:
-            with fs.open_input_stream(listed) as names:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(names.read())]
         ranges = [ByteRange(p, n, at, min(at + self.split, n)) for p, n in files for at in range(0, n, self.split)]
         return ranges or [ByteRange("", 0, 0, 0)]
 
@@ -168,45 +205,58 @@ class Reader(DataSourceReader):
             return
         fs, _ = store(self.path)
         rows, held = [], 0
-        for info in self._directory(fs, partition):
-            row = self._member(fs, partition.archive, info)
-            rows.append(row)
-            held += len(row[2] or b"") + len(row[3] or b"")
-            if held >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
+        for group in _neighbours(self._directory(fs, partition)):
+            block = self._block(fs, partition.archive, group)
+            for info in group:
+                row = self._member(fs, partition.archive, info, block)
+                rows.append(row)
+                held += len(row[2] or b"") + len(row[3] or b"")
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
         if rows:
             yield _batch(rows)
 
     def _again(self, work):
-        """``work()``, tried again after errors: (result, attempts, error)."""
+        """``work(n)`` of the n-th try, tried again after errors: (result, attempts, error)."""
         for n in range(1, self.tries + 1):
             try:
-                return work(), n, None
+                return work(n), n, None
             except (OSError, ValueError, zlib.error, zipfile.BadZipFile, struct.error) as e:
                 error = f"{type(e).__name__}: {e}"
                 time.sleep(0.05 * (n < self.tries))
         return None, self.tries, error
 
     def _directory(self, fs: pa.fs.FileSystem, partition: ByteRange) -> list[zipfile.ZipInfo]:
-        def entries():
+        def entries(_):
             with fs.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as archive:
                 return [x for x in archive.infolist() if partition.start <= x.header_offset < partition.end]
 
         found, _, error = self._again(entries)
         if error:
             raise OSError(f"{partition.archive}: {error}")
-        return found
+        return sorted(found, key=lambda x: x.header_offset)
+
+    def _block(self, fs: pa.fs.FileSystem, archive: str, group: list[zipfile.ZipInfo]) -> tuple[int, bytes]:
+        """Where neighbouring members begin, and their bytes; none if they can't be read at once."""
+        first, last = group[0].header_offset, group[-1]
+        try:
+            with fs.open_input_file(archive) as f:
+                return first, f.read_at(last.header_offset + HEAD_BYTES + last.compress_size - first, first)
+        except OSError:
+            return first, b""
 
-    def _member(self, fs: pa.fs.FileSystem, archive: str, info: zipfile.ZipInfo) -> tuple:
+    def _member(self, fs: pa.fs.FileSystem, archive: str, info: zipfile.ZipInfo, block: tuple[int, bytes]) -> tuple:
         key, n_bytes = json.loads(info.comment or b"[null, null]")
 
-        def fetch():
-            with fs.open_input_file(archive) as f:
-                head = f.read_at(30, info.header_offset)
-                name, extra = struct.unpack("<HH", head[26:30])
-                media = f.read_at(info.compress_size, info.header_offset + 30 + name + extra)
-            if head[:4] != b"PK\x03\x04" or zlib.crc32(media) != info.CRC:
+        def fetch(attempt: int):
+            raw = block[1][info.header_offset - block[0] :][: HEAD_BYTES + info.compress_size] if attempt == 1 else b""
+            if not raw:
+                with fs.open_input_file(archive) as f:
+                    raw = f.read_at(HEAD_BYTES + info.compress_size, info.header_offset)
+            name, extra = struct.unpack("<HH", raw[26:30])
+            media = raw[30 + name + extra :][: info.compress_size]
+            if raw[:4] != b"PK\x03\x04" or zlib.crc32(media) != info.CRC:
                 raise ValueError("damaged member")
             return media, from_png(media)
 
@@ -215,6 +265,18 @@ class Reader(DataSourceReader):
         return key, n_bytes, media, payload, archive, info.header_offset, attempts, error
 
 
+def _neighbours(members: list[zipfile.ZipInfo]) -> Iterator[list[zipfile.ZipInfo]]:
+    """Members in groups that span at most some ``BATCH_BYTES`` of the archive."""
+    group: list[zipfile.ZipInfo] = []
+    for x in members:
+        if group and x.header_offset + x.compress_size - group[0].header_offset > BATCH_BYTES:
+            yield group
+            group = []
+        group.append(x)
+    if group:
+        yield group
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.string()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -235,15 +297,18 @@ class MediaArchives(DataSource):
         return Reader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"])
+        return Writer(self.options["path"], overwrite, int(self.options.get("archivebytes", ARCHIVE_BYTES)))
+
 
+def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append", **options) -> None:
+    """Store every text (null: empty) as UTF-8, padded, in archives under ``path``. Other columns are left out.
 
-def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Store every text (null: empty) as UTF-8, padded, in archives under ``path``. Other columns are left out."""
+    ``mode`` append adds to what is there, overwrite replaces it.
+    """
     small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MediaArchives)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.write.format("media_archives").mode("append").save(path)
+    rows.write.format("media_archives").options(**options).mode(mode).save(path)
 
 
 def read_media(spark, path: str, **options) -> DataFrame:
