@@ -1,35 +1,94 @@
-"""Licence scans: TF-IDF cosine of statements to templates, then inheritance along paths.
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-A statement is a line of a file that has a licence cue (``CUE``); the lines of a
-licence file are statements like others. Equal statements are compared once, however
-many files hold them. Their words are weighted by term frequency and by inverse
-document frequency over all statements of all files, and their sparse cosine with
-every template is a join on the words. A file takes the licence of its best
-statement. One that has none takes that of the nearest directory above it that
-holds a licence file: a file with a licence name, or one at least half of whose
-words are statements. Directories are compared once too, however many files they hold.
+A file is looked at in units: all of its text, its header (the comment lines it
+begins with), its blocks (lines between blank ones, joined, so wrapped statements
+are whole again), its sentences and its lines; comment marks are taken off first. A
+unit counts up to twice the words of the longest template; what is longer is seen by
+its parts. Equal units are compared once, however many files hold them.
+
+Words are weighed by term frequency and by inverse document frequency over all
+files; a word that no template has weighs like the rarest one that some template
+has. So the weights of all templates fit a small table, and the sparse cosine of
+every unit with every template is a join on the words with it.
+
+Only units that hold a word of ``cues`` are compared, which loses none: those words
+are chosen from the weights so that a unit without any of them stays below the
+threshold with every template (what is left of a template's unit vector is shorter
+than it).
+
+A file takes the licence of its best unit; a mere reservation of rights (``FALLBACK``)
+counts only where nothing else is found. A file without a licence takes that of the
+nearest directory above it that holds a licence file: one with a licence's name, or
+one whose whole text is a licence. Directories are compared once, however many files
+they hold.
 
 Column expressions, joins and aggregations only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize
+from trackframe.llm.common import join_unique, let, materialize
 
-CUE = r"(?i)licen[sc]e|copyright|spdx|copying|redistribut|public domain|permission is hereby"
 WORD = "[a-z0-9]+"
 SIMILARITY = 0.7
 LICENCE_NAME = r"(?i)\A(licen[sc]e|copying|unlicense|notice)([-._].*)?\z"
+#: What marks a line as a comment, at its beginning and its end.
+COMMENT = "^[ \\t]*(?://+|/\\*+|\\*+/?|#+|--+|;+|%+|<!--|\"\"\"|''')"
+COMMENT_END = "[ \\t]*(?:\\*+/|-->|\"\"\"|''')?[ \\t]*$"
+SENTENCE_END = r"""([.!?]["')]*)[ \t]+"""
+FALLBACK = "proprietary"
+
+_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+    "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+_NO_ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+    "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+    "the following conditions: "
+)
+_MIT_END = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+    "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 
-# Statements by which files name their licence.
+
+def _gnu(name: str, version: str, thing: str, pause: str) -> str:
+    return (
+        f"This {thing} is free software{pause} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, "
+        "or (at your option) any later version."
+    )
+
+
+# The sentences, notices, titles and short whole texts by which files name their licence.
 TEMPLATES = (
+    ("AGPL-3.0", _gnu("Affero General Public License", "3", "program", ":")),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", _BSD + _WARRANTY),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", _BSD + _NO_ENDORSEMENT + _WARRANTY),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -39,113 +98,194 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2"),
+    ("GPL-2.0", _gnu("General Public License", "2", "program", ";")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", _gnu("General Public License", "3", "program", ":")),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", "library", ";")),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", "library", ":")),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
     ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_END),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "Copyright. All rights reserved"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (FALLBACK, "Copyright. All rights reserved"),
+    (FALLBACK, "All rights reserved"),
 )
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(template, licence, words) of ``TEMPLATES``."""
-    rows = spark.createDataFrame([(i, licence, text) for i, (licence, text) in enumerate(TEMPLATES)], "template int, licence string, text string")
-    return rows.select("template", "licence", words_of(F.col("text")).alias("words"))
+def _split(text: str) -> list[str]:
+    """The words of a template, as ``words_of`` finds them."""
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
+VOCABULARY = tuple(sorted({w for _, text in TEMPLATES for w in _split(text)}))
+#: Longer units are looked at by their parts.
+LONGEST = 2 * max(len(_split(text)) for _, text in TEMPLATES)
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def files_with_statements(files: DataFrame, id_col: str, path: Column, text_col: str) -> DataFrame:
-    """(row, id, directory, statements, is_licence) of every file; texts go no further."""
+def _strings(values) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def document_frequencies(text: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of files, and in how many each word of ``VOCABULARY`` is (so many rows at most)."""
+    known = text.select(F.array_intersect(words_of(F.col("text")), _strings(VOCABULARY)).alias("words"))
+    # one row for all files, and one for each word
+    rows = known.select(F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    counts = {r["word"]: r["n"] for r in rows}
+    return counts.pop("", 0), counts
+
+
+def weigh(n: int, df: dict[str, int]) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """The idf of every word of ``VOCABULARY``, and the unit vector of every template."""
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in VOCABULARY}
+    vectors = []
+    for _, text in TEMPLATES:
+        own = _split(text)
+        raw = {w: own.count(w) * idf[w] for w in sorted(set(own))}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        vectors.append({w: x / norm for w, x in raw.items()})
+    return idf, vectors
+
+
+def cues(vectors: list[dict[str, float]], similarity: float) -> list[str]:
+    """Words of which every unit has one that reaches ``similarity`` with some template."""
+    chosen: set[str] = set()
+    for vector in vectors:
+        rest = sum(x * x for w, x in vector.items() if w not in chosen)
+        for w, x in sorted(vector.items(), key=lambda wx: (-wx[1], wx[0])):
+            if rest < similarity * similarity - 1e-4:
+                break
+            if w not in chosen:
+                chosen.add(w)
+                rest -= x * x
+    return sorted(chosen)
+
+
+def units(text: Column, cue: list[str]) -> Column:
+    """(whole, units) of a text: its words, and the distinct word sequences of its units that hold a cue, space-joined."""
+    fits = lambda ws: F.size(ws).between(1, LONGEST) & F.arrays_overlap(ws, _strings(cue))
+    spelled = lambda ws: F.array_join(ws, " ")
+    lines = F.split(text, r"\r?\n")
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, COMMENT + "?[ \\t]*", ""), COMMENT_END, ""))
+    code = F.transform(lines, lambda x: ~F.rlike(x, F.lit(COMMENT)) & ~F.rlike(x, F.lit("^[ \\t]*$")))
+
+    def cut(v: Column) -> Column:
+        first = F.array_position(v["code"], True)  # 0: comments all over
+        header = F.array_join(F.slice(v["bare"], F.lit(1), F.when(first == 0, F.size(v["bare"])).otherwise(first - 1).cast("int")), " ")
+        joined = F.array_join(v["bare"], "\n")
+        blocks = F.transform(F.split(joined, r"\n\n+"), lambda b: F.replace(b, F.lit("\n"), F.lit(" ")))
+        sentences = lambda bs: F.flatten(F.transform(bs, lambda b: F.split(F.regexp_replace(b, SENTENCE_END, "$1\n"), "\n")))
+        parts = let(blocks, lambda bs: F.concat(F.array(joined, header), bs, sentences(bs), v["bare"]))
+        found = F.transform(F.filter(F.transform(parts, words_of), fits), spelled)
+        return F.struct(spelled(words_of(joined)).alias("whole"), F.array_distinct(found).alias("units"))
+
+    return let(F.struct(bare.alias("bare"), code.alias("code")), cut)
+
+
+def files_with_units(files: DataFrame, id_col: str, path: Column, text_col: str, cue: list[str]) -> DataFrame:
+    """(row, id, directory, named, units of (key, words, is_whole)) of every file; texts go no further."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.when(F.rlike(text, F.lit(CUE)), F.filter(F.split(text, r"\r?\n"), lambda x: F.rlike(x, F.lit(CUE)))).otherwise(F.array().cast("array<string>"))
-    rows = files.select(F.col(id_col).alias("id"), path.alias("path"), lines.alias("lines"), text.alias("text"))
-    own = F.aggregate(F.transform("lines", lambda x: F.size(words_of(x))), F.lit(0), lambda a, n: a + n)
-    mostly = F.when(F.size("lines") > 0, own * 2 >= F.size(words_of(F.col("text")))).otherwise(F.lit(False))
-    name = F.regexp_extract("path", "[^/]*$", 0)
-    return rows.select(
+    has = F.arrays_overlap(words_of(text), _strings(cue))
+    keyed = lambda v: F.transform(v["units"], lambda u: F.struct(F.sha2(u, 256).alias("key"), u.alias("words"), (u == v["whole"]).alias("is_whole")))
+    none = F.array().cast("array<struct<key:string,words:string,is_whole:boolean>>")
+    name = F.regexp_extract(path, "[^/]*$", 0)
+    return files.select(
         F.monotonically_increasing_id().alias("row"),
-        "id",
-        F.regexp_replace("path", "/?[^/]*$", "").alias("directory"),
-        F.transform("lines", words_of).alias("statements"),
-        (mostly | F.coalesce(F.rlike(name, F.lit(LICENCE_NAME)), F.lit(False))).alias("is_licence"),
+        F.col(id_col).alias("id"),
+        F.regexp_replace(path, "/?[^/]*$", "").alias("directory"),
+        F.coalesce(F.rlike(name, F.lit(LICENCE_NAME)), F.lit(False)).alias("named"),
+        F.when(has, let(units(text, cue), keyed)).otherwise(none).alias("units"),
     )
 
 
-def cosines(statements: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(statement, licence, cosine) of the best template of each distinct statement that reaches ``similarity``.
+def cosines(distinct: DataFrame, idf: dict[str, float], vectors: list[dict[str, float]], similarity: float = SIMILARITY) -> DataFrame:
+    """(key, licence, fallback, cosine, n) of the best template of each distinct unit (key, words, n) that reaches ``similarity``.
 
-    ``statements`` has (statement, words, copies); the inverse document frequency
-    of a word counts the copies of all statements that hold it. Ties go to the
-    first template.
+    Of equal cosines the first template wins; ``FALLBACK`` gives way to any other.
     """
-    n = statements.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    term = F.explode("words").alias("word")
-    counted = statements.select("statement", "copies", term).groupBy("statement", "copies", "word").agg(F.count("*").alias("tf"))
-    frequency = counted.groupBy("word").agg(F.sum("copies").alias("df"))
-    own = known.select("template", "licence", term).groupBy("template", "licence", "word").agg(F.count("*").alias("tf"))
-
-    def weighted(rows: DataFrame, key: list[str]) -> DataFrame:
-        idf = F.log((F.lit(float(n)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-        joined = rows.join(frequency, "word", "left")
-        joined = joined.select(*key, "word", (F.col("tf") * idf).alias("w"))
-        norms = joined.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return joined.join(norms, key).select(*key, "word", (F.col("w") / F.col("norm")).alias("w"))
-
-    right = weighted(own, ["template", "licence"]).withColumnRenamed("w", "v")
-    dots = weighted(counted, ["statement"]).join(F.broadcast(right), "word").groupBy("statement", "template", "licence")
-    dots = dots.agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= similarity)
-    best = F.max(F.struct("cosine", (-F.col("template")).alias("first"), "licence")).alias("best")
-    return dots.groupBy("statement").agg(best).select("statement", "best.licence", "best.cosine")
+    spark = distinct.sparkSession
+    weights = spark.createDataFrame([(i, TEMPLATES[i][0], w, x, idf[w]) for i, v in enumerate(vectors) for w, x in v.items()], "template int, licence string, word string, v double, idf double")
+    counted = distinct.select("key", "n", F.explode(F.split("words", " ")).alias("word")).groupBy("key", "n", "word").agg(F.count("*").alias("tf"))
+    known = F.broadcast(weights.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "v")).alias("of")))
+    rows = counted.join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(max(idf.values()))))
+    # a row for the norm, and one for each template that has the word
+    rows = rows.select("key", "n", "w", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("licence"), F.col("w").alias("v"))), F.coalesce("of", F.array().cast("array<struct<template:int,licence:string,v:double>>")))).alias("t"))
+    dots = rows.groupBy("key", "n", "t.template", "t.licence").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
+    one = F.struct((F.col("licence") != FALLBACK).alias("specific"), "dot", (-F.col("template")).alias("first"), "licence")
+    norm = F.sqrt(F.max(F.when(F.col("template") < 0, F.col("dot"))))
+    reach = F.filter(F.col("all"), lambda x: F.round(x["dot"] / F.col("norm"), 6) >= similarity)
+    rounded = F.transform(reach, lambda x: F.struct(x["specific"].alias("specific"), F.round(x["dot"] / F.col("norm"), 6).alias("cosine"), x["first"].alias("first"), x["licence"].alias("licence")))
+    best = dots.groupBy("key", "n").agg(norm.alias("norm"), F.collect_list(F.when(F.col("template") >= 0, one)).alias("all"))  # as many as there are templates at most
+    best = best.select("key", "n", F.array_max(rounded).alias("best")).where("best is not null")
+    return best.select("key", "best.licence", "best.specific", "best.cosine", "n")
+
+
+def _best(prefix: str = "") -> Column:
+    """The best of many (licence, specific, cosine): specific before not, then cosine, then the smallest name."""
+    ranks = sorted({name for name, _ in TEMPLATES}, reverse=True)
+    rank = F.array_position(_strings(ranks), F.col(f"{prefix}licence"))
+    return F.max(F.struct(F.col(f"{prefix}specific").alias("specific"), F.col(f"{prefix}cosine").alias("cosine"), rank.alias("rank"), F.col(f"{prefix}licence").alias("licence")))
 
 
 def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, licence, origin, cosine, licence_directory, n_statements) of every file.
 
-    ``origin`` is ``statement``, ``inherited`` or ``none``. Of equal cosines the
-    smallest licence name wins. Null and empty texts have no statements; a null
-    path has no directory and inherits nothing; repeated rows stay; an empty
-    table gives no rows. Other columns of ``files`` are ignored.
+    ``origin`` is ``statement``, ``inherited`` or ``none``; ``n_statements`` counts
+    the distinct units that reach the threshold. Of equal cosines the smallest
+    licence name wins. Null and empty texts have no units; a null path has no
+    directory and inherits nothing; repeated rows stay; an empty table gives no
+    rows. Other columns of ``files`` are ignored.
     """
-    rows = materialize(files_with_statements(files, id_col, path, text_col), "licences")
-    said = rows.select("row", F.explode("statements").alias("words")).withColumn("statement", F.array_join("words", " "))
-    distinct = said.groupBy("statement").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
-    found = materialize(cosines(distinct, templates(files.sparkSession), similarity), "statements")
-    best = F.max_by(F.struct("licence", "cosine"), F.struct("cosine", "reverse")).alias("best")
-    # of equal cosines the smallest name: names are ordered by a descending rank
-    ranked = found.join(F.broadcast(_name_rank(files.sparkSession)), "licence")
-    own = said.join(ranked, "statement").groupBy("row").agg(best).select("row", "best.*")
-    rows = rows.select("row", "id", "directory", "is_licence", F.size("statements").alias("n_statements")).join(own, "row", "left")
-
-    ranks = _name_rank(files.sparkSession)
-    holders = rows.where("is_licence and licence is not null and directory is not null").join(F.broadcast(ranks), "licence")
-    holders = holders.groupBy("directory").agg(best).select(F.col("directory").alias("above"), F.struct("best.licence", "best.cosine").alias("given"))
-    named = nearest(rows.where("directory is not null").select("directory").distinct(), holders)
-    rows = rows.join(named, "directory", "left")
-    stated, given = F.col("licence").isNotNull(), F.col("given").isNotNull()
+    n, df = document_frequencies(files.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    idf, vectors = weigh(n, df)
+    rows = materialize(files_with_units(files, id_col, path, text_col, cues(vectors, similarity)), "licences")
+    said = rows.select("row", F.explode("units").alias("u")).select("row", "u.*")
+    distinct = said.groupBy("key").agg(F.first("words").alias("words"), F.count("*").alias("n"))
+    found = materialize(cosines(distinct, idf, vectors, similarity), "statements")
+    own = join_unique(said.select("row", "key", "is_whole"), found, "key").groupBy("row").agg(_best().alias("best"), F.bool_or("is_whole").alias("whole"), F.count("*").alias("n_statements"))
+    rows = rows.select("row", "id", "directory", "named").join(own, "row", "left")
+    rows = materialize(rows.select("id", "directory", (F.col("named") | F.coalesce("whole", F.lit(False))).alias("is_licence"), "best", F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements")), "stated")
+
+    inside = rows.where("directory is not null")
+    holders = inside.where("is_licence and best is not null").groupBy("directory").agg(_best("best.").alias("given")).withColumnRenamed("directory", "above")
+    directories = inside.groupBy("directory").agg(F.count("*").alias("n"))
+    named = directories.join(nearest(directories.select("directory"), holders), "directory", "left")
+    nothing = dict(named.dtypes)["given"]
+    rows = join_unique(inside, materialize(named, "directories"), "directory").unionByName(
+        rows.where("directory is null").withColumn("above", F.lit(None).cast("string")).withColumn("given", F.lit(None).cast(nothing))
+    )
+    stated, given = F.col("best").isNotNull(), F.col("given").isNotNull()
     return rows.select(
         "id",
-        F.coalesce("licence", "given.licence").alias("licence"),
+        F.coalesce("best.licence", "given.licence").alias("licence"),
         F.when(stated, "statement").when(given, "inherited").otherwise("none").alias("origin"),
-        F.coalesce("cosine", "given.cosine").alias("cosine"),
+        F.coalesce("best.cosine", "given.cosine").alias("cosine"),
         F.when(~stated & given, F.col("above")).alias("licence_directory"),
-        F.col("n_statements").cast("long").alias("n_statements"),
+        "n_statements",
     )
 
 
-def _name_rank(spark: SparkSession) -> DataFrame:
-    """(licence, reverse): the larger ``reverse``, the smaller the name."""
-    names = sorted({licence for licence, _ in TEMPLATES})
-    return spark.createDataFrame([(name, -i) for i, name in enumerate(names)], "licence string, reverse int")
-
-
 def nearest(directories: DataFrame, holders: DataFrame) -> DataFrame:
     """(directory, above, given): the nearest holder at or above each directory; both sides distinct."""
     parts = F.split("directory", "/")

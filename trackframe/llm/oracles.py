@@ -7,6 +7,10 @@ import re
 from trackframe.llm import licenses, secrets, warc
 
 
+#: After a comment mark, which a line may lack.
+MAYBE = "?[ \\t]*"
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -52,28 +56,39 @@ FROM records"""
 
 
 def _licence_sql() -> str:
+    """Every unit of every file is compared: there are no cues here."""
     values = ", ".join(f"({i}, {_quote(name)}, {_quote(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
-    cue, word = _quote(licenses.CUE), _quote(licenses.WORD)
-    weigh = lambda rows, key: f"""(WITH t AS (SELECT {key}, word, count(*) AS tf FROM (SELECT {key}, unnest(words) AS word FROM {rows}) GROUP BY ALL),
-      w AS (SELECT {key}, word, tf * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM t LEFT JOIN frequency USING (word), total)
-      SELECT {key}, word, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM w)"""
+    words = lambda x: f"regexp_extract_all(lower({x}), {_quote(licenses.WORD)})"
+    order = f"(licence <> '{licenses.FALLBACK}') DESC, cosine DESC"
     return f"""
 WITH files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT doc_id, path, text, list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_matches(x, {cue})) AS lines FROM files),
-parts AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS directory, list_transform(lines, lambda x: regexp_extract_all(lower(x), {word})) AS statements,
-  len(regexp_extract_all(lower(text), {word})) AS n_words, regexp_matches(regexp_extract(path, '[^/]*$'), {_quote(licenses.LICENCE_NAME)}) AS named FROM lines),
-rows_ AS (SELECT doc_id, directory, statements, named OR (len(statements) > 0 AND 2 * list_sum(list_transform(statements, lambda x: len(x))) >= n_words) AS is_licence FROM parts),
-said AS (SELECT doc_id, words, array_to_string(words, ' ') AS statement FROM (SELECT doc_id, unnest(statements) AS words FROM rows_)),
-distinct_ AS (SELECT statement, first(words) AS words, count(*) AS copies FROM said GROUP BY statement),
-total AS (SELECT coalesce(sum(copies), 0)::DOUBLE AS n FROM distinct_),
-frequency AS (SELECT word, sum(copies) AS df FROM (SELECT DISTINCT statement, copies, unnest(words) AS word FROM distinct_) GROUP BY word),
-templates AS (SELECT template, licence, regexp_extract_all(lower(text), {word}) AS words FROM (VALUES {values}) v(template, licence, text)),
-dots AS (SELECT statement, template, licence, round(sum(a.w * b.w), 6) AS cosine FROM {weigh("distinct_", "statement")} a JOIN {weigh("templates", "template, licence")} b USING (word) GROUP BY ALL),
-found AS (SELECT statement, licence, cosine FROM dots WHERE cosine >= {licenses.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, template) = 1),
-own AS (SELECT doc_id, licence, cosine FROM said JOIN found USING (statement) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
-stated AS (SELECT r.doc_id, directory, is_licence, len(statements) AS n_statements, licence, cosine FROM rows_ r LEFT JOIN own o ON r.doc_id = o.doc_id),
+total AS (SELECT count(*)::DOUBLE AS n FROM files),
+templates AS (SELECT template, licence, {words("text")} AS words FROM (VALUES {values}) v(template, licence, text)),
+vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM templates),
+frequency AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({words("text")}) AS word FROM files) GROUP BY word),
+idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN frequency USING (word), total),
+lines AS (SELECT doc_id, path, regexp_split_to_array(text, '\r?\n') AS lines FROM files),
+bare AS (SELECT doc_id, path, list_transform(lines, lambda x: regexp_replace(regexp_replace(x, {_quote(licenses.COMMENT + MAYBE)}, ''), {_quote(licenses.COMMENT_END)}, '')) AS bare,
+  list_position(list_transform(lines, lambda x: NOT regexp_matches(x, {_quote(licenses.COMMENT)}) AND NOT regexp_matches(x, '^[ \t]*$')), true) AS code FROM lines),
+joined AS (SELECT doc_id, path, bare, array_to_string(bare, chr(10)) AS joined, array_to_string(CASE WHEN coalesce(code, 0) = 0 THEN bare ELSE bare[1:code - 1] END, ' ') AS header FROM bare),
+blocks AS (SELECT *, list_transform(regexp_split_to_array(joined, '\n\n+'), lambda b: replace(b, chr(10), ' ')) AS blocks FROM joined),
+parts AS (SELECT doc_id, path, joined, list_concat([joined, header], list_concat(blocks, list_concat(flatten(list_transform(blocks, lambda b: string_split(regexp_replace(b, {_quote(licenses.SENTENCE_END)}, '\1' || chr(10), 'g'), chr(10)))), bare))) AS parts FROM blocks),
+rows_ AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS directory, regexp_matches(regexp_extract(path, '[^/]*$'), {_quote(licenses.LICENCE_NAME)}) AS named, array_to_string({words("joined")}, ' ') AS whole,
+  list_distinct(list_transform(list_filter(list_transform(parts, lambda x: {words("x")}), lambda w: len(w) BETWEEN 1 AND {licenses.LONGEST}), lambda w: array_to_string(w, ' '))) AS units FROM parts),
+said AS (SELECT doc_id, unit, unit = whole AS is_whole FROM (SELECT doc_id, whole, unnest(units) AS unit FROM rows_)),
+distinct_ AS (SELECT DISTINCT unit, string_split(unit, ' ') AS words FROM said),
+terms AS (SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(words) AS word FROM distinct_) GROUP BY ALL),
+weighed AS (SELECT unit, word, tf * coalesce(idf, (SELECT max(idf) FROM idf)) AS w FROM terms LEFT JOIN idf USING (word)),
+norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY unit),
+vectors AS (SELECT template, licence, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS v FROM (SELECT template, licence, word, count(*) AS tf FROM (SELECT template, licence, unnest(words) AS word FROM templates) GROUP BY ALL) JOIN idf USING (word)),
+dots AS (SELECT unit, template, licence, sum(w * v) AS dot FROM weighed JOIN vectors USING (word) GROUP BY ALL),
+found AS (SELECT unit, licence, cosine FROM (SELECT unit, template, licence, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (unit)) WHERE cosine >= {licenses.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY {order}, template) = 1),
+matched AS (SELECT doc_id, licence, cosine, is_whole FROM said JOIN found USING (unit)),
+counts AS (SELECT doc_id, count(*) AS n_statements, bool_or(is_whole) AS whole FROM matched GROUP BY doc_id),
+own AS (SELECT doc_id, licence, cosine FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {order}, licence) = 1),
+stated AS (SELECT r.doc_id, directory, named OR coalesce(c.whole, false) AS is_licence, coalesce(n_statements, 0) AS n_statements, licence, cosine FROM rows_ r LEFT JOIN counts c ON r.doc_id = c.doc_id LEFT JOIN own o ON r.doc_id = o.doc_id),
 holders AS (SELECT directory AS above, licence AS given, cosine AS given_cosine FROM stated WHERE is_licence AND licence IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, licence) = 1),
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY {order}, licence) = 1),
 near AS (SELECT d.directory, above, given, given_cosine FROM (SELECT DISTINCT directory FROM stated) d JOIN holders h ON above = directory OR above = '' OR starts_with(directory, above || '/')
   QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(above) DESC) = 1)
 SELECT doc_id, coalesce(licence, given) AS licence, CASE WHEN licence IS NOT NULL THEN 'statement' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
