@@ -36,7 +36,79 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = op1_secret_scans(spark, sf).collect()
     check(rows, [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
-    assert sum(r.n_random for r in rows) >= 0.7 * sum(r.n_hex for r in rows) > 0
+    assert sum(r.n_random for r in rows) >= 0.95 * sum(r.n_hex for r in rows) > 0
+
+
+def plain_p(match, alphabet, excess):
+    s, k, n = [alphabet.index(c) for c in match], len(alphabet), len(match)
+    chi, crossing, serial = statistics(s, k)
+    cdf = lambda z: 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
+    bounded = lambda z: cdf(max(-30.0, min(30.0, z)))
+    mean, spread = k - 1 + n * excess, 2 * (k - 1 + 2 * n * excess)
+    share = spread / (9 * mean * mean)
+    return max(
+        bounded(((max(chi, 0) / mean) ** (1 / 3) - (1 - share)) / math.sqrt(share)),
+        bounded((abs(crossing - 0.5) - secrets.LIMITS[0]) * math.sqrt(n - 1) * 2),
+        bounded((abs(serial) - secrets.LIMITS[1]) * math.sqrt(n)),
+    )
+
+
+def brute_random(docs):
+    """{row: [(start, encoding, end)]} of the battery's spans, by sorting the p-values of every stratum."""
+    strata = {}
+    for row, text in enumerate(docs):
+        for m in re.finditer(secrets.CANDIDATE, text or ""):
+            for name, pattern, alphabet, excess in secrets.ENCODINGS:
+                if re.search(pattern.replace(r"\z", r"\Z"), m[0]):
+                    n = len(m[0])
+                    p = 10 ** (-min(secrets.LEVELS, math.floor(-math.log10(max(plain_p(m[0], alphabet, excess), 1e-30)) * 50 + 1e-9)) / 50)
+                    strata.setdefault((name, sum(n >= x for x in secrets.LENGTHS)), []).append((p, row, m.start(), name, m.end()))
+                    break
+    out = {}
+    for own in strata.values():
+        own.sort()
+        ordinary = min(len(own), 2 * (1 + sum(x[0] > 0.5 for x in own)))
+        last = max((i for i, x in enumerate(own, 1) if x[0] <= 0.1 * min(1, i / ordinary) * (1 + 1e-12)), default=0)
+        last = max((i for i, x in enumerate(own, 1) if last and x[0] <= own[last - 1][0]), default=0)
+        for _, row, start, name, end in own[:last]:
+            out.setdefault(row, []).append((start, name, end))
+    return out
+
+
+def mixed_tokens(seed):
+    """(token, kind) of random tokens of 20 to 40 characters in several encodings, and of ordinary identifiers."""
+    rnd = random.Random(seed)
+    words = "get set user name data base time stamp value list index file path config request response handler factory manager service client server error message type object string count".split()
+    out = []
+    for name, _, alphabet, _ in secrets.ENCODINGS[:7]:
+        for n in (20, 24, 32, 40):
+            out += [("".join(rnd.choices(alphabet, k=n)), (name, n)) for _ in range(60)]
+    for _ in range(400):
+        camel = "".join(rnd.choice(words).capitalize() for _ in range(rnd.randint(4, 7))) + str(rnd.randint(0, 99))
+        path = "/".join(rnd.choices(words, k=5)) + f"/{rnd.choice(words).capitalize()}{rnd.randint(1, 9)}"
+        out += [(camel[0].lower() + camel[1:], "camel"), (path, "path"), (f"{rnd.choice(words)}_{rnd.choice(words)}_{rnd.choice(words).upper()}_{rnd.randint(1, 99)}", "snake")]
+    rnd.shuffle(out)
+    return out
+
+
+def test_spans_equal_brute_force_and_recall(spark):
+    tokens = mixed_tokens(7)
+    docs = [f"é {t} and {'' if i % 5 else 'token = ' + t}" for i, (t, _) in enumerate(tokens)] + [None, ""]
+    rows = secrets.digests(secrets.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))).collect()
+    want = brute_random(docs)
+    hits, sizes = {}, {}
+    for r in rows:
+        spans = sorted([(a, k, n, b) for a, k, n, b in brute(docs[r.id])] + [(a, 3, f"random_{n}", b) for a, n, b in want.get(r.id, [])])
+        assert r.spans == ",".join(f"{n}:{a}:{b}" for a, _, n, b in spans)
+        if r.id < len(tokens):
+            kind = tokens[r.id][1]
+            sizes[kind] = sizes.get(kind, 0) + 1
+            hits[kind] = hits.get(kind, 0) + (r.n_random > 0)
+    share = {k: hits[k] / sizes[k] for k in sizes}
+    print({k: round(v, 2) for k, v in sorted(share.items(), key=str)})
+    long = [v for k, v in share.items() if isinstance(k, tuple) and k[1] >= 32]
+    assert sum(long) / len(long) > 0.9
+    assert all(share[k] < 0.1 for k in ("camel", "path", "snake"))
 
 
 def test_query_equals_sql(spark):
@@ -96,7 +168,8 @@ def test_threshold_is_benjamini_hochberg():
     for _ in range(50):
         levels = [rnd.choice([rnd.randint(0, 60), rnd.randint(0, 300)]) for _ in range(rnd.randint(1, 60))]
         p = sorted(10 ** (-x / 50) for x in levels)
-        want = max((x for i, x in enumerate(p, 1) if x <= 0.1 * i / len(p)), default=0)
+        ordinary = min(len(p), (sum(x > 0.5 for x in p) + 1) / 0.5)
+        want = max((x for i, x in enumerate(p, 1) if x <= 0.1 * min(1, i / ordinary)), default=0)
         best = secrets.threshold({x: levels.count(x) for x in levels})
         assert sum(x >= best for x in levels) == sum(x <= want * (1 + 1e-12) for x in p)
 

@@ -5,12 +5,14 @@ inferred (the smallest alphabet of which it has every class of characters), and
 three statistics measure how far its symbols are from independent uniform ones:
 chi-squared over the alphabet, the rate at which symbols cross the alphabet's
 middle (runs), and the lag-1 serial correlation. Each is tested against "at least
-as far from random as ``LIMITS``", so that a small p-value speaks for a secret;
-the p-value of the battery is the largest of the three. The distance that a test
-can exclude depends on the length, so a short run cannot have a small p-value.
-Over all runs of all texts the Benjamini-Hochberg rule at level ``FDR`` then
-bounds the share of false discoveries. It needs only how many runs have each
-p-value, rounded up to one of ``LEVELS`` values.
+as far from random as ordinary identifiers are" (``LIMITS`` and the encoding's own
+excess), so that a small p-value speaks for a secret; the p-value of the battery is
+the largest of the three. The distance that a test can exclude depends on the length,
+so false discoveries are controlled by length: within each stratum of an encoding and a
+length class (``LENGTHS``) the adaptive Benjamini-Hochberg rule at level ``FDR`` holds,
+which estimates from the p-values above 0.5 how many runs are ordinary. No run with
+a p-value above ``FDR`` is taken. The rule needs only how many runs of a stratum have
+each p-value, rounded up to one of ``LEVELS`` values.
 
 Column expressions only.
 """
@@ -30,22 +32,26 @@ KINDS = ("assign", "access", "hex")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: name, characters, needed classes, alphabet; the first that fits is inferred.
+#: name, characters and needed classes, alphabet, excess of chi-squared for each symbol that counts as ordinary; the first that fits is inferred.
 ENCODINGS = (
-    ("hex", r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]+\z", _DIGITS + "abcdef"),
-    ("hex_upper", r"\A(?=.*[0-9])(?=.*[A-F])[0-9A-F]+\z", _DIGITS + "ABCDEF"),
-    ("base32", r"\A(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+\z", _UPPER + "234567"),
-    ("base36", r"\A(?=.*[0-9])(?=.*[a-z])[a-z0-9]+\z", _DIGITS + _LOWER),
-    ("base36_upper", r"\A(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+\z", _DIGITS + _UPPER),
-    ("base62", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+\z", _UPPER + _LOWER + _DIGITS),
-    ("base64", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+\z", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+\z", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("hex", r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]+\z", _DIGITS + "abcdef", 1.0),
+    ("hex_upper", r"\A(?=.*[0-9])(?=.*[A-F])[0-9A-F]+\z", _DIGITS + "ABCDEF", 1.0),
+    ("base32", r"\A(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+\z", _UPPER + "234567", 1.0),
+    ("base36", r"\A(?=.*[0-9])(?=.*[a-z])[a-z0-9]+\z", _DIGITS + _LOWER, 1.0),
+    ("base36_upper", r"\A(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+\z", _DIGITS + _UPPER, 1.0),
+    ("base62", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+\z", _UPPER + _LOWER + _DIGITS, 1.5),
+    ("base64", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+\z", _UPPER + _LOWER + _DIGITS + "+/", 1.5),
+    ("base64url", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+\z", _UPPER + _LOWER + _DIGITS + "-_", 1.0),
 )
-#: Excess of chi-squared for each symbol (ordinary words have 2 and more), of the crossing rate, of the correlation.
-LIMITS = (1.0, 0.35, 0.7)
+#: Distance of the crossing rate from one half, and size of the correlation, that count as ordinary.
+LIMITS = (0.42, 0.75)
+#: Where a new length class begins.
+LENGTHS = (24, 32, 48, 96)
 FDR = 0.1
 #: p-values count as 10 ** (-level / 50).
 LEVELS, PER_DECADE = 1000, 50
+#: The last level whose p-value is above 0.5.
+HALF = 15
 
 
 def normal_cdf(z: Column) -> Column:
@@ -89,9 +95,9 @@ def serial_correlation(symbols: Column) -> Column:
     return let(centred, ratio)
 
 
-def battery_p(symbols: Column, size: Column) -> Column:
-    """The largest p-value of the three tests that the symbols are random to within ``LIMITS``."""
-    n, (excess, crossing, correlation) = F.size(symbols), LIMITS
+def battery_p(symbols: Column, size: Column, excess: Column) -> Column:
+    """The largest p-value of the three tests that the symbols are closer to random than ``excess`` and ``LIMITS``."""
+    n, (crossing, correlation) = F.size(symbols), LIMITS
     mean, spread = size - 1 + n * excess, 2 * (size - 1 + 2 * n * excess)
     share = spread / (9 * mean * mean)
     cube_root = F.pow(F.greatest(chi_squared(symbols, size), F.lit(0.0)) / mean, F.lit(1 / 3))
@@ -102,34 +108,38 @@ def battery_p(symbols: Column, size: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs whose encoding is inferred: array of (start, end, encoding, level)."""
+    """Runs whose encoding is inferred: array of (start, end, encoding, stratum, level)."""
 
     def encoded(x: Column) -> Column:
         which = F.lit(None).cast("int")
-        for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
+        for i, (_, pattern, *_) in reversed(list(enumerate(ENCODINGS))):
             which = F.when(F.rlike(x["match"], F.lit(pattern)), i).otherwise(which)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), which.alias("which"))
 
-    alphabets = F.array(*(F.lit(a) for *_, a in ENCODINGS))
-    names = F.array(*(F.lit(name) for name, *_ in ENCODINGS))
+    names, _, alphabets, excesses = (F.array(*map(F.lit, column)) for column in zip(*ENCODINGS, strict=True))
 
     def tested(x: Column) -> Column:
-        alphabet = F.element_at(alphabets, x["which"] + 1)
-        symbols = let(alphabet, lambda a: F.transform(F.split(x["match"], ""), lambda c: F.instr(a, c) - 1))
-        p = let(symbols, lambda s: battery_p(s, F.char_length(alphabet)))
+        of = lambda values: F.element_at(values, x["which"] + 1)
+        symbols = let(of(alphabets), lambda a: F.transform(F.split(x["match"], ""), lambda c: F.instr(a, c) - 1))
+        p = let(symbols, lambda s: battery_p(s, F.char_length(of(alphabets)), of(excesses)))
         level = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * PER_DECADE + 1e-9), F.lit(LEVELS)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(names, x["which"] + 1).alias("encoding"), level.alias("level"))
+        length_class = F.lit(0)
+        for n in LENGTHS:
+            length_class = length_class + (F.char_length(x["match"]) >= n).cast("int")
+        stratum = x["which"] * (len(LENGTHS) + 1) + length_class
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), of(names).alias("encoding"), stratum.alias("stratum"), level.alias("level"))
 
     found = F.transform(regex_spans(text, CANDIDATE), encoded)
     return F.transform(F.filter(found, lambda x: x["which"].isNotNull()), tested)
 
 
 def threshold(counts: dict[int, int], fdr: float = FDR) -> int:
-    """The lowest level that Benjamini-Hochberg accepts, given how many runs have each level; above all levels if none."""
+    """The lowest level that the adaptive Benjamini-Hochberg rule accepts, given how many runs have each level; above all levels if none."""
     total, seen, best = sum(counts.values()), 0, LEVELS + 1
+    ordinary = min(total, 2 * (1 + sum(n for level, n in counts.items() if level <= HALF)))
     for level in sorted(counts, reverse=True):
         seen += counts[level]
-        if 10 ** (-level / PER_DECADE) <= fdr * seen / total:
+        if 10 ** (-level / PER_DECADE) <= fdr * min(1.0, seen / ordinary):
             best = level
     return best
 
@@ -156,9 +166,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     base = F.concat(*(as_spans(found, rank, kind) for rank, (kind, found) in enumerate(base_spans(text).items())))
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(k).alias(f"kept_{k}") for k in keep), base.alias("base"), candidates(text).alias("runs"))
     rows = materialize(rows, "secrets")
-    levels = rows.select(F.explode("runs.level").alias("level")).groupBy("level").agg(F.count("*").alias("n"))
-    least = threshold({r["level"]: r["n"] for r in levels.collect()}, fdr)  # at most LEVELS + 1 rows
-    good = F.filter("runs", lambda x: x["level"] >= least)
+    levels = rows.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.level").agg(F.count("*").alias("n"))
+    strata: list[dict[int, int]] = [{} for _ in range(len(ENCODINGS) * (len(LENGTHS) + 1))]
+    for r in levels.collect():  # at most LEVELS + 1 rows of a stratum
+        strata[r["stratum"]][r["level"]] = r["n"]
+    least = F.array(*(F.lit(threshold(own, fdr)) for own in strata))
+    good = F.filter("runs", lambda x: x["level"] >= F.element_at(least, x["stratum"] + 1))
     found = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("random_"), x["encoding"]).alias("kind"), x["end"].alias("end")))
     return rows.select("id", *(F.col(f"kept_{k}").alias(k) for k in keep), "base", found.alias("found"))
 
