@@ -142,13 +142,18 @@ def regex_spans(text: Column, pattern: str, group: int = 0, context: int = 0) ->
 
     Each has ``start`` and ``end`` (code points, end exclusive), ``match``,
     ``part`` (the text of ``group``) and, of the text between it and its
-    neighbours, up to ``context`` characters ``before`` and ``after``. The pieces
-    between the matches, which ``split`` gives, locate them. A text without a
-    match costs one pass.
+    neighbours, up to ``context`` characters ``before`` and ``after``, without words
+    that do not lie in them as a whole. The pieces between the matches, which
+    ``split`` gives, locate them. A text without a match costs one pass.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    ends = lambda p, side: side(p, F.lit(context)) if context else F.lit("")
+
+    def ends(piece: Column, side: Callable, cut: str) -> Column:
+        """The end of a piece that is next to a match; one more character shows whether its outermost word is whole."""
+        if not context:
+            return F.lit("")
+        return let(side(piece, F.lit(context + 1)), lambda p: F.when(F.char_length(p) > context, F.regexp_replace(p, cut, "")).otherwise(p))
 
     def located(v: Column) -> Column:
         lengths = F.flatten(F.zip_with(F.slice(v["pieces"], F.lit(1), F.size(v["found"])), v["found"], lambda p, m: F.array(F.char_length(p).cast("long"), F.char_length(m).cast("long"))))
@@ -161,8 +166,8 @@ def regex_spans(text: Column, pattern: str, group: int = 0, context: int = 0) ->
                     F.element_at(at, i * 2 + 1).alias("end"),
                     F.element_at(v["found"], i).alias("match"),
                     F.element_at(v["part"], i).alias("part"),
-                    ends(F.element_at(v["pieces"], i), F.right).alias("before"),
-                    ends(F.element_at(v["pieces"], i + 1), F.left).alias("after"),
+                    ends(F.element_at(v["pieces"], i), F.right, r"\A\S*").alias("before"),
+                    ends(F.element_at(v["pieces"], i + 1), F.left, r"\S*\z").alias("after"),
                 ),
             ),
         )

@@ -10,6 +10,10 @@ that are believed, an instance's is the chance that one of its patterns is right
 Occurrences that a pattern of high confidence and enough support surrounds are
 new spans.
 
+An identifier-like token has at least ``TOKEN_DIGITS`` digits, whatever its length. A
+context has the whole words that lie within ``CONTEXT`` characters of an occurrence,
+up to the next one of its kind.
+
 Column expressions, joins and aggregations only.
 """
 
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import as_spans, let, materialize, regex_spans, span_list
+from trackframe.llm.common import as_spans, join_unique, let, materialize, regex_spans, span_list
 
 # The base kinds. The possessive forms and looks at the character before match what
 # the plain ones do, [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and the like, without
@@ -33,7 +37,7 @@ _BYTE = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: An identifier-like token: a run of these characters that has a digit.
 _RUN = r"[A-Za-z0-9@._%+/#-]"
 TOKEN = rf"(?<!{_RUN})[A-Za-z@._%+/#-]*+[0-9]{_RUN}*+"
-TOKEN_LENGTH, TOKEN_DIGITS = (5, 64), 4
+TOKEN_DIGITS = 4
 CONTEXT = 60
 ROUNDS = 3
 #: A pattern needs so many distinct believed instances, and such a confidence, to find others.
@@ -92,14 +96,14 @@ def occurrences(base: Column, tokens: Column) -> Column:
         return F.regexp_replace(x["match"], r"[._%+/#-]+\z", "")
 
     def shaped(x: Column) -> Column:
-        return let(trimmed(x), lambda t: F.char_length(t).between(*TOKEN_LENGTH) & (F.char_length(F.regexp_replace(t, "[^0-9]", "")) >= TOKEN_DIGITS))
+        return F.char_length(F.regexp_replace(x["match"], "[^0-9]", "")) >= TOKEN_DIGITS
 
     others = F.transform(F.filter(tokens, shaped), lambda x: let(trimmed(x), lambda t: row(x, x["start"] + F.char_length(t), t, False)))
     return F.concat(seeds, others)
 
 
 def confidences(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence, support) of distinct edges (pattern, instance, seed) after ``rounds``.
+    """(pattern, confidence, support, n) of distinct edges (pattern, instance, seed) after ``rounds``.
 
     Seeds are believed fully and always, other instances not at all at first.
     """
@@ -110,11 +114,11 @@ def confidences(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         else:
             rated = edges.join(belief, "instance", "left").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         scored = rated.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.count("*").alias("n"), F.count_if(F.col("belief") >= BELIEVED).alias("support"))
-        scored = scored.select("pattern", (F.col("sum") / (F.col("n") + SMOOTHING)).alias("confidence"), "support")
+        scored = scored.select("pattern", (F.col("sum") / (F.col("n") + SMOOTHING)).alias("confidence"), "support", "n")
         scored = materialize(scored.where(F.col("support") >= SUPPORT), "patterns")
         if left > 1:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-            belief = edges.where("not seed").join(scored, "pattern").groupBy("instance").agg((1 - doubt).alias("belief"))
+            belief = join_unique(edges.where("not seed"), scored, "pattern").groupBy("instance").agg((1 - doubt).alias("belief"))
     return scored
 
 
@@ -141,8 +145,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     free = seen.where(F.col("seed") | free)
     edges = free.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    good = confidences(materialize(edges, "edges")).where(F.col("confidence") >= CONFIDENCE).select("pattern")
-    new = free.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    good = confidences(materialize(edges, "edges")).where(F.col("confidence") >= CONFIDENCE).select("pattern", "n")
+    new = join_unique(free.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern")), good, "pattern")
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("context").alias("kind"), "end")
     new = new.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("found"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
@@ -150,7 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digests(scanned: DataFrame) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context) of what ``scan`` returns."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context, n_spans) of what ``scan`` returns."""
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.select(
         "id",
@@ -158,4 +162,5 @@ def digests(scanned: DataFrame) -> DataFrame:
         F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
         span_list(F.concat("base", "found")).alias("spans"),
         F.size("found").cast("long").alias("n_context"),
+        (F.size("base") + F.size("found")).cast("long").alias("n_spans"),
     )
