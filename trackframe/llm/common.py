@@ -79,15 +79,19 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False
 
 #: At most so many keys count as heavy in ``join_unique``, whatever the size of the input.
 HEAVY_KEYS = 10_000
+#: Of so few rows in all, the keys (no more of them, a few MB) are broadcast whole.
+FEW_ROWS = 50_000
 
 
-def join_unique(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+def join_unique(rows: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``one``, which has one row for each key and, in ``n``, how many of ``rows`` hold that key.
 
-    A key that holds more than its share (one in ``HEAVY_KEYS``) of all rows goes by a broadcast of at most
-    ``HEAVY_KEYS`` rows, so no task gets all rows of such a key; the others by a shuffle. ``n`` is dropped.
+    A key that holds more than its share (one in ``HEAVY_KEYS``) of ``total`` (if not given, the sum of ``n``) goes by
+    a broadcast of at most ``HEAVY_KEYS`` rows, so no task gets all rows of such a key; the others by a shuffle. ``n`` is dropped.
     """
-    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if total is None else total
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(one.drop("n")), key)
     share = max(1, total // HEAVY_KEYS)
     heavy = F.broadcast(one.where(F.col("n") > share).drop("n"))
     few = rows.join(heavy, key)
