@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.llm import decontamination, licenses, media, packing, pii, quality, secrets, simhash, warc, wordpieces
-from trackframe.llm.common import table
+from trackframe.llm.common import spread
+from trackframe.llm.common import table as given
 from trackframe.llm.oracles import ORACLES, WARC_DATE
 from trackframe.llm.tokens import added_tokens
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; a small one over all cores, because what is done with each row takes long."""
+    return spread(given(spark, sf_dir, name))
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
     return found.withColumnRenamed("id", "doc_id")
