@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import html
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -26,12 +27,26 @@ def parse(raw):
         raw = rest[n + 4 :]
 
 
+def members(raw):
+    """The contents of the gzip members of a file."""
+    while raw:
+        one = zlib.decompressobj(31)
+        yield one.decompress(raw)
+        raw = one.unused_data
+
+
 def test_written_records_are_linked_and_whole(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     source = {r.record_id: r for r in warc.responses(pages, "2025-01-01T00:00:00Z").collect()}
-    warc.write_warc(warc.derive(warc.responses(pages, "2025-01-01T00:00:00Z")), str(tmp_path / "out"))
-    records = [x for p in (tmp_path / "out").glob("*.gz") for x in parse(gzip.decompress(p.read_bytes()))]
+    warc.write_warc(warc.derive(warc.responses(pages.union(pages.limit(9)), "2025-01-01T00:00:00Z")), str(tmp_path / "out"))
+    files = list((tmp_path / "out").iterdir())
+    assert files and all(p.name.endswith(".warc.gz") for p in files)
+    records = []
+    for p in files:
+        first, *own = [next(parse(m)) for m in members(p.read_bytes())]  # a gzip member holds one record
+        assert first[0]["WARC-Type"] == "warcinfo" and first[0]["WARC-Filename"] == p.name
+        records += own
     assert len(records) == 2 * pages.count()
     by = {f["WARC-Record-ID"]: f for f, _ in records}
     assert len(by) == len(records)

@@ -55,19 +55,19 @@ def remove(written: DataFrame) -> None:
 
 
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key of each row: its Parquet file and its place there, the same at every reading.
+    """``docs`` with a key of each row: its Parquet file (as a hash) and its place there, the same at every reading.
 
     A table that is no plain Parquet scan is written first.
     """
-    key = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")).alias(name)
+    key = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias(name)
     try:
         return docs.select("*", key)
     except AnalysisException:
         return materialize(docs, "rows").select("*", key)
 
 
-#: So many ids at most (some 30 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: So many ids at most (some 30 MB, if they are row keys) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = False) -> DataFrame:

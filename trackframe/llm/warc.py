@@ -9,12 +9,20 @@ column expressions, so Spark runs it as one map without Python or shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import gzip
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timezone
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from trackframe.llm.common import let
+from trackframe.llm.media import store
 
 CRLF = "\r\n"
 SOFTWARE = "trackframe"
@@ -176,7 +184,70 @@ def derive(source: DataFrame) -> DataFrame:
     return rows.select(*rows.columns[:-1], headers.alias("headers"), "body")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write records as WARC files, one gzip file for each partition."""
-    whole = records.select(F.concat("headers", F.lit(CRLF * 2), "body").alias("value"))
-    whole.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+class _WarcWriter(DataSourceWriter):
+    """One file for each task, every record a gzip member of its own, a ``warcinfo`` record first.
+
+    Files of committed tasks get their names at the end, so that lost attempts leave none.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator) -> "_Written":
+        fs, root = store(self.path)
+        fs.create_dir(f"{root}/_temporary", recursive=True)
+        name, info = f"part-{uuid.uuid4().hex}.warc.gz", f"software: {SOFTWARE}{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+        with fs.open_output_stream(f"{root}/_temporary/{name}", compression=None) as out:
+            when = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+            head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {when}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(info)}"]
+            out.write(_member(CRLF.join(head), info))
+            for row in iterator:
+                out.write(_member(row.headers, (row.body or "").encode("utf-8")))
+        return _Written(name)
+
+    def commit(self, messages: list["_Written | None"]) -> None:
+        fs, root = store(self.path)
+        for m in messages:
+            if m:
+                fs.move(f"{root}/_temporary/{m.name}", f"{root}/{m.name}")
+        if fs.get_file_info(f"{root}/_temporary").type != pa.fs.FileType.NotFound:
+            fs.delete_dir(f"{root}/_temporary")
+
+    def abort(self, messages: list["_Written | None"]) -> None:
+        fs, root = store(self.path)
+        if fs.get_file_info(f"{root}/_temporary").type != pa.fs.FileType.NotFound:
+            fs.delete_dir(f"{root}/_temporary")
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+def _member(headers: str, body: bytes) -> bytes:
+    return gzip.compress(headers.encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
+
+
+class WarcFiles(DataSource):
+    """``format("warc_files")``: writes (headers, body) rows; the folder must be of one writer at a time."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_files"
+
+    def schema(self) -> str:
+        return "headers string, body string"
+
+    def writer(self, schema, overwrite: bool) -> _WarcWriter:
+        return _WarcWriter(self.options["path"])
+
+
+def write_warc(records: DataFrame, path: str, once: bool = True) -> None:
+    """Write records as ``.warc.gz`` files under ``path``.
+
+    Repeated responses have records of one identifier, which a set of files may
+    hold once only; ``once`` drops the repetitions.
+    """
+    records.sparkSession.dataSource.register(WarcFiles)
+    rows = records.dropDuplicates(["record_id"]) if once else records
+    rows.select("headers", "body").write.format("warc_files").mode("append").save(path)
