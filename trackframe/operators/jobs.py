@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.operators.timeseries import numbered
 
-def number(jobs: DataFrame, stream: str, order: str) -> DataFrame:
+
+def number(jobs: DataFrame, stream: str, order: str, width: float = 600.0) -> DataFrame:
     """Adds ``sequence``: a job's number within its stream, from 1."""
-    return jobs.withColumn("sequence", F.row_number().over(Window.partitionBy(stream).orderBy(order)))
+    return numbered(jobs, stream, order, width, "_at").withColumn("sequence", F.col("_at") + 1).drop("_at")
 
 
-def shed(jobs: DataFrame, stream: str, sequence: str, queue: int = 2) -> DataFrame:
+def shed(jobs: DataFrame, stream: str, sequence: str, queue: int = 2, width: float = 4096.0) -> DataFrame:
     """Of the jobs pending at one time the newest ``queue`` of each stream stay: adds ``status`` and ``displaced_older``.
 
     ``status`` is ``queued`` or ``displaced``; ``displaced_older`` flags a job whose arrival pushed another one out.
     """
-    along = Window.partitionBy(stream).orderBy(F.col(sequence).desc())
-    rows = jobs.withColumn("_newness", F.row_number().over(along)).withColumn("_age", F.row_number().over(Window.partitionBy(stream).orderBy(sequence)))
-    status = F.when(F.col("_newness") <= queue, "queued").otherwise("displaced")
-    return rows.withColumn("status", status).withColumn("displaced_older", F.col("_age") > queue).drop("_newness", "_age")
+    rows = numbered(jobs, stream, sequence, width, "_age", "_all")
+    status = F.when(F.col("_all") - F.col("_age") <= queue, "queued").otherwise("displaced")
+    return rows.withColumn("status", status).withColumn("displaced_older", F.col("_age") >= queue).drop("_all", "_age")
 
 
 def stale(jobs: DataFrame, created: Column, now: Column, max_age: float = 6.0) -> DataFrame:

@@ -52,6 +52,7 @@ def clip_summary(frames: DataFrame, clip: str, detected: Column, cropped: Column
 def outcome(ratio: Column, total_frames: Column, ready: Column, hypotheses: Column, p: Preprocessing = Preprocessing()) -> Column:
     """(mouth_detected, error): the first failing condition gives the message, null if all hold."""
     seen = ratio >= p.min_detection_ratio
+    # The four messages.
     message = (
         F.when(~seen, F.format_string("The mouth was only visible in %d%% of frames, which is too little to read. Face the camera and keep your mouth in view.", F.rint(ratio * 100).cast("int")))
         .when(total_frames < p.min_frames, F.format_string("Clip is %d frames; at least %d are needed.", total_frames, F.lit(p.min_frames)))
@@ -65,3 +66,12 @@ def result_json(text: Column, confidence_: Column, frames: Column, error: Column
     """One JSON object; empty error and diagnostics are left out."""
     shown = F.when(F.size(diagnostics) > 0, diagnostics)
     return F.to_json(F.struct(text.alias("text"), F.bround(confidence_, 4).alias("confidence"), frames.alias("frames_processed"), F.nullif(error, F.lit("")).alias("error"), shown.alias("diagnostics")))
+
+
+def merged(*maps: Column) -> Column:
+    """Diagnostics of several steps in one map; of equal keys the later one counts."""
+    out = maps[0]
+    for later in maps[1:]:
+        own = later
+        out = F.map_concat(F.map_filter(out, lambda k, _: ~F.coalesce(F.map_contains_key(own, k), F.lit(False))), own)  # noqa: B023
+    return out

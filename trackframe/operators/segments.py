@@ -2,74 +2,122 @@
 
 A frame that comes ``hangover`` or more after the last frame of at least ``stop``
 always leaves the segmenter idle, whatever went before. Streams are cut after such
-quiet frames, so that one group is one stretch of activity and not a whole
-stream, and the recurrence runs as an expression over each stretch.
+quiet frames into stretches of activity, which tasks walk independently. A task
+reads its frames in order, batch by batch, and holds a segmenter's small state, so a
+stream that never falls quiet costs time and no memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.functions.lets import let
-from trackframe.operators.timeseries import carry
+from trackframe.operators.timeseries import carry, numbered
 from trackframe.params import Segmenting
 
-_STATE = "struct<start:double,active:double,last:double,out:array<struct<start_time:double,end_time:double,reason:string>>>"
-
-
-def step(state: Column, frame: Column, p: Segmenting, start: Column, stop: Column) -> Column:
-    """The state after a frame (t, e). The opening frame emits nothing; length beats silence."""
-    t, e, none = frame["t"], frame["e"], F.lit(None).cast("double")
-    active = F.when(e >= stop, t).otherwise(state["active"])
-    idle = F.when(e >= start, t)
-    before_open = F.struct(idle.alias("start"), idle.alias("active"), t.alias("last"), state["out"].alias("out")).cast(_STATE)
 
-    def opened(active: Column) -> Column:
-        length, over = t - state["start"], t - active >= p.hangover
-        reason = F.when(length >= p.max_length, "max_length").when(over & (length >= p.min_length), "silence").when(over, "")
+class Hysteresis:
+    """A segmenter's state. ``frame`` and ``flush`` return a closed segment (start_time, end_time, reason) or None."""
 
-        def left(reason: Column) -> Column:
-            new = F.struct(state["start"].alias("start_time"), t.alias("end_time"), reason.alias("reason"))
-            stays = reason.isNull()
-            out = F.when(reason != "", F.concat(state["out"], F.array(new))).otherwise(state["out"])
-            return F.struct(F.when(stays, state["start"]).otherwise(none).alias("start"), F.when(stays, active).otherwise(none).alias("active"), t.alias("last"), out.alias("out")).cast(_STATE)
+    __slots__ = ("p", "high", "low", "start", "active", "last")
 
-        return let(reason, left)
+    def __init__(self, p: Segmenting, start: float | None = None, stop: float | None = None):
+        self.p, self.high, self.low = p, p.start if start is None else start, p.stop if stop is None else stop
+        self.start = self.active = self.last = None
 
-    return F.when(state["start"].isNull(), before_open).otherwise(let(active, opened))
+    def frame(self, t: float, e: float) -> tuple[float, float, str] | None:
+        """The opening frame emits nothing; length beats silence."""
+        self.last = t
+        if self.start is None:
+            if e >= self.high:
+                self.start = self.active = t
+            return None
+        if e >= self.low:
+            self.active = t
+        length = t - self.start
+        if length >= self.p.max_length:
+            return self._close(t, "max_length")
+        if t - self.active >= self.p.hangover:
+            return self._close(t, "silence" if length >= self.p.min_length else None)
+        return None
 
+    def flush(self) -> tuple[float, float, str] | None:
+        if self.start is None:
+            return None
+        return self._close(self.last, "stream_end" if self.last - self.start >= self.p.min_length else None)
 
-def finish(state: Column, p: Segmenting) -> Column:
-    """The segments, with the one that the end of the stream closes."""
-    length = state["last"] - state["start"]
-    last = F.struct(state["start"].alias("start_time"), state["last"].alias("end_time"), F.lit("stream_end").alias("reason"))
-    return F.when(length >= p.min_length, F.concat(state["out"], F.array(last))).otherwise(state["out"])
+    def reset(self) -> None:
+        self.start = self.active = None
 
+    def _close(self, t: float, reason: str | None) -> tuple[float, float, str] | None:
+        closed = (self.start, t, reason) if reason else None
+        self.start = self.active = None
+        return closed
 
-def fold(frames: Column, p: Segmenting, start: Column, stop: Column) -> Column:
-    """The segments of an array of frames (t, e) in order."""
-    first = F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("active"), F.lit(None).cast("double").alias("last"), F.array().alias("out")).cast(_STATE)
-    return F.aggregate(frames, first, lambda s, x: step(s, x, p, start, stop), lambda s: finish(s, p))
 
+def walk(frames: DataFrame, stream: str, p: Segmenting, thresholds: list[tuple[float, float]]) -> DataFrame:
+    """(stream, setting, start_time, end_time, reason) of frames (stream, t, e); ``setting`` numbers the (start, stop) pairs.
 
-def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting = Segmenting(), start: Column | None = None, stop: Column | None = None) -> DataFrame:
-    """(stream, sequence, start_time, end_time, reason) of every stream; ``sequence`` counts from 1.
-
-    Rows without energy or time are left out. An activity time of 0 is a time like any other.
-    ``start`` and ``stop`` may be columns, of one value for each stream, instead of those of ``p``.
+    The stretches are cut where the lowest stop is quiet, where all the others are then too.
     """
-    start, stop = F.lit(p.start) if start is None else start, F.lit(p.stop) if stop is None else stop
-    rows = frames.where(F.col(t).isNotNull() & F.col(energy).isNotNull()).select(stream, F.col(t).cast("double").alias("t"), F.col(energy).cast("double").alias("e"), start.alias("_start"), stop.alias("_stop"))
     width = 64 * p.max_length
-    rows = carry(rows, stream, "t", F.when(F.col("e") >= F.col("_stop"), F.col("t")), "_active", width)
+    lowest = min(stop for _, stop in thresholds)
+    rows = carry(frames, stream, "t", F.when(F.col("e") >= lowest, F.col("t")), "_active", width)
     quiet = F.col("_active").isNull() | (F.col("t") - F.col("_active") >= p.hangover)
     # a stretch is named by the quiet frame before it; a quiet frame ends the stretch that the one before it began
     rows = carry(rows, stream, "t", F.when(quiet, F.col("t")), "_stretch", width, strict=True)
-    groups = rows.groupBy(stream, "_stretch").agg(F.max("e").alias("_most"), F.first("_start").alias("_start"), F.first("_stop").alias("_stop"), F.array_sort(F.collect_list(F.struct("t", "e"))).alias("_frames")).where(F.col("_most") >= F.col("_start"))
-    found = groups.select(stream, F.explode(fold(F.col("_frames"), p, F.col("_start"), F.col("_stop"))).alias("_s")).select(stream, "_s.*")
-    order = F.row_number().over(Window.partitionBy(stream).orderBy("start_time"))
-    return found.select(stream, order.alias("sequence"), "start_time", "end_time", "reason")
+    rows = rows.select(F.col(stream).alias("key"), "_stretch", "t", "e").repartition("key", "_stretch").sortWithinPartitions("key", "_stretch", "t")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, states, out, key_type = None, [], [], None
+
+        def flushed() -> None:
+            for i, state in enumerate(states):
+                closed = state.flush()
+                if closed:
+                    out.append((at[0], i, *closed))
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (key_type, pa.int32(), pa.float64(), pa.float64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "setting", "start_time", "end_time", "reason"])
+
+        for rows_ in batches:
+            key_type = rows_.schema.field("key").type
+            for key, stretch, t, e in zip(*(rows_.column(n).to_pylist() for n in ("key", "_stretch", "t", "e")), strict=True):
+                if at != (key, stretch) or at is None:
+                    flushed()
+                    at, states = (key, stretch), [Hysteresis(p, *x) for x in thresholds]
+                for i, state in enumerate(states):
+                    closed = state.frame(t, e)
+                    if closed:
+                        out.append((key, i, *closed))
+            yield batch()
+            out = []
+        flushed()
+        if out:
+            yield batch()
+
+    found = rows.mapInArrow(folded, f"key {kind}, setting int, start_time double, end_time double, reason string")
+    return found.withColumnRenamed("key", stream)
+
+
+def _frames(frames: DataFrame, stream: str, t: str, energy: str) -> DataFrame:
+    return frames.where(F.col(t).isNotNull() & F.col(energy).isNotNull()).select(stream, F.col(t).cast("double").alias("t"), F.col(energy).cast("double").alias("e"))
+
+
+def segment(frames: DataFrame, stream: str, t: str, energy: str, p: Segmenting = Segmenting()) -> DataFrame:
+    """(stream, sequence, start_time, end_time, reason) of every stream; ``sequence`` counts from 1.
+
+    Rows without energy or time are left out. An activity time of 0 is a time like any other.
+    """
+    found = walk(_frames(frames, stream, t, energy), stream, p, [(p.start, p.stop)])
+    found = numbered(found, stream, "start_time", 64 * p.max_length, "_at")
+    return found.select(stream, (F.col("_at") + 1).cast("int").alias("sequence"), "start_time", "end_time", "reason")
 
 
 def segment_counts(segments: DataFrame, streams: DataFrame, stream: str) -> DataFrame:
@@ -95,9 +143,21 @@ def collect_by_count(segments: DataFrame, frames: DataFrame, stream: str, t: str
     """Like ``collect``, but of each segment only the last round(length * fps) frames, as a buffer that counts frames gives.
 
     A capture faster than ``fps`` loses the beginning of its segments. Length is
-    that of the segment and the lead-in, at most ``most_seconds``.
+    that of the segment and the lead-in, at most ``most_seconds``. A segment that has no
+    frame of its own (they may have been left out of ``frames``) has as many of the last
+    frames before its end, whatever their age.
     """
+    wanted = F.rint(F.least(F.col("end_time") - F.col("start_time") + lead_in, F.lit(most_seconds)) * fps)
     rows = collect(segments, frames, stream, t, lead_in, width)
     rank = F.row_number().over(Window.partitionBy(stream, "sequence").orderBy(F.col(t).desc()))
-    wanted = F.rint(F.least(F.col("end_time") - F.col("start_time") + lead_in, F.lit(most_seconds)) * fps)
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= wanted).drop("_rank")
+    own = rows.withColumn("_rank", rank).where(F.col("_rank") <= wanted).drop("_rank")
+
+    empty = segments.join(rows.select(stream, "sequence").distinct(), [stream, "sequence"], "left_anti")
+    # how many frames of the stream there are up to the end, by one order of both; then an equi join on their numbers
+    placed = numbered(frames, stream, t, width, "_i")
+    ends = empty.select(stream, F.col("end_time").alias("_t"), F.struct(*empty.columns).alias("_s"))
+    both = placed.select(stream, F.col(t).alias("_t"), "_i").unionByName(ends, allowMissingColumns=True)
+    last = carry(both, stream, "_t", F.col("_i"), "_last", width).where("_s is not null").select("_s.*", "_last")
+    numbers = F.sequence(F.greatest(F.lit(0), F.col("_last") - wanted.cast("long") + 1), F.col("_last"))
+    dealt = last.where((F.col("_last") >= 0) & (wanted >= 1)).withColumn("_i", F.explode(numbers)).drop("_last")
+    return own.unionByName(dealt.join(placed, [stream, "_i"]).drop("_i").select(own.columns))

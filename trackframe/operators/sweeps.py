@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.operators import timeseries
-from trackframe.operators.segments import segment, segment_counts
+from trackframe.operators.segments import segment, segment_counts, walk
 from trackframe.params import Segmenting
 
 
@@ -17,31 +17,31 @@ def settings(statistics: list[str], windows: list[int], starts: list[float], sto
     return [x for x in product(statistics, windows, starts, stops) if x[3] < x[2]]
 
 
-def sweep(motion: DataFrame, stream: str, t: str, aperture: str, label: Column, grid: list[tuple[str, int, float, float]], lengths: Segmenting) -> DataFrame:
+def sweep(motion: DataFrame, stream: str, t: str, aperture: str, label: Column, grid: list[tuple[str, int, float, float]], lengths: Segmenting, width: float = 600.0) -> DataFrame:
     """(statistic, window, start, stop, hits, misses, false_alarms, score), best first.
 
     ``label`` is true for streams that should have a segment. The energy of a
-    (statistic, window) is computed once; its rows are then dealt to that pair's
-    thresholds, each (stream, setting) being a stream of its own.
+    (statistic, window) is computed once, and one walk along its frames tries all of
+    that pair's thresholds, so no frame is copied for a setting.
     """
     labelled = motion.groupBy(stream).agg(F.bool_or(label).alias("wanted"))
-    dealt = None
+    hit = None
     for statistic, window in dict.fromkeys(x[:2] for x in grid):
-        energies = timeseries.motion_energy(motion, stream, t, aperture, window, statistic)
-        own = [F.struct(F.lit(statistic).alias("statistic"), F.lit(window).alias("window"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for *_, a, b in (x for x in grid if x[:2] == (statistic, window))]
-        rows = energies.select(F.col(stream).alias("_s"), F.col(t).alias("t"), "energy", F.explode(F.array(*own)).alias("_p"))
-        dealt = rows if dealt is None else dealt.unionByName(rows)
-    dealt = dealt.withColumn("_key", F.struct("_s", "_p"))
-    found = segment(dealt, "_key", "t", "energy", lengths, F.col("_key._p.start"), F.col("_key._p.stop"))
-    settings_ = F.array(*(F.struct(F.lit(s).alias("statistic"), F.lit(w).alias("window"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for s, w, a, b in grid))
-    every = labelled.select(F.col(stream).alias("_s"), "wanted", F.explode(settings_).alias("_p"))
-    hit = found.select("_key._s", "_key._p").distinct().withColumn("found", F.lit(True))
-    out = every.join(hit, ["_s", "_p"], "left").select("_p.*", "wanted", F.coalesce("found", F.lit(False)).alias("found"))
-    scored = out.groupBy("statistic", "window", "start", "stop").agg(
+        own = [x for x in grid if x[:2] == (statistic, window)]
+        energies = timeseries.motion_energy(motion.select(stream, t, aperture), stream, t, aperture, window, statistic, width)
+        found = walk(energies.select(stream, F.col(t).cast("double").alias("t"), F.col("energy").alias("e")).where("t is not null"), stream, lengths, [x[2:] for x in own])
+        rows = found.select(F.col(stream).alias("_s"), (F.col("setting") + grid.index(own[0])).alias("setting")).distinct()
+        assert own == grid[grid.index(own[0]) :][: len(own)], "settings of a (statistic, window) stand together"
+        hit = rows if hit is None else hit.unionByName(rows)
+    every = labelled.select(F.col(stream).alias("_s"), "wanted", F.explode(F.array(*map(F.lit, range(len(grid))))).alias("setting"))
+    out = every.join(hit.withColumn("found", F.lit(True)), ["_s", "setting"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    scored = out.groupBy("setting").agg(
         F.count_if(F.col("wanted") & F.col("found")).alias("hits"),
         F.count_if(F.col("wanted") & ~F.col("found")).alias("misses"),
         F.count_if(~F.col("wanted") & F.col("found")).alias("false_alarms"),
     )
+    named = F.array(*(F.struct(F.lit(s).alias("statistic"), F.lit(w).alias("window"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for s, w, a, b in grid))
+    scored = scored.select(F.get(named, F.col("setting")).alias("p"), "hits", "misses", "false_alarms").select("p.*", "hits", "misses", "false_alarms")
     return scored.withColumn("score", F.col("hits") - 2 * F.col("false_alarms") - F.col("misses"))
 
 

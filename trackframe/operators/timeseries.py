@@ -1,14 +1,19 @@
 """Operators over keyed, time-ordered frames.
 
-A stream may be most of the input, so what looks back or ahead without limit works
-in two levels: windows within (stream, time bucket), and a small window over the
-buckets' own last or first values.
+A stream may be most of the input, so no window spans one. What looks back or ahead
+without limit works in two levels: windows within (stream, time bucket), and a small
+window over the buckets' own values. What looks at a number of neighbours works in
+blocks of consecutive rows, to which the neighbours' edge rows are copied.
+
+``width`` is the length of a time bucket in the unit of the order column; it changes
+the work, not the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def carry(df: DataFrame, stream: str, t: str, value: Column, name: str, width: float, back: bool = True, strict: bool = False) -> DataFrame:
@@ -29,9 +34,52 @@ def carry(df: DataFrame, stream: str, t: str, value: Column, name: str, width: f
     return rows.join(held, [stream, "_bucket"]).withColumn(name, F.coalesce("_own", "_carried")).drop("_value", "_bucket", "_own", "_carried")
 
 
-def frame_index(df: DataFrame, stream: str, t: str, name: str = "frame_index") -> DataFrame:
+def numbered(df: DataFrame, stream: str, order: str, width: float, name: str, total: str | None = None) -> DataFrame:
+    """Adds ``name``, the position of each row within its stream from 0, and ``total``, the stream's number of rows."""
+    rows = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    up_to = Window.partitionBy(stream).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(stream, "_bucket").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(F.col(stream).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy(stream)).alias("_total"))
+    own = F.row_number().over(Window.partitionBy(stream, "_bucket").orderBy(order))
+    # null-safe: a null stream or order is a key like others
+    joined = rows.withColumn("_own", own).join(sizes, F.col(stream).eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b"))).drop("_s", "_b")
+    joined = joined.withColumn(name, F.col("_first") + F.col("_own") - 1)
+    return (joined.withColumn(total, F.col("_total")) if total else joined).drop("_bucket", "_own", "_first", "_total")
+
+
+#: Rows in one block.
+BLOCK = 8192
+
+
+def blocks(df: DataFrame, stream: str, order: str, width: float, before: int = 0, after: int = 0, total: str | None = None) -> DataFrame:
+    """Rows with ``_i`` (position within the stream) and ``_block``, each block with ``before`` and ``after`` rows of its neighbours.
+
+    Windows over (stream, ``_block``) in the order of ``_i`` see what windows over whole streams would, within that
+    reach; only rows with ``_inside`` count then. ``after`` and ``before`` are at most ``BLOCK``.
+    """
+    rows = numbered(df, stream, order, width, "_i", total)
+    own, place = F.floor(F.col("_i") / BLOCK), F.col("_i") % BLOCK
+    copies = [F.struct(own.alias("b"), F.lit(True).alias("inside"))]
+    if before:
+        copies.append(F.when(place >= BLOCK - before, F.struct((own + 1).alias("b"), F.lit(False).alias("inside"))))
+    if after:
+        copies.append(F.when((place < after) & (own > 0), F.struct((own - 1).alias("b"), F.lit(False).alias("inside"))))
+    dealt = rows.withColumn("_c", F.explode(F.filter(F.array(*copies), lambda c: c.isNotNull())))
+    return dealt.withColumn("_block", F.col("_c.b")).withColumn("_inside", F.col("_c.inside")).drop("_c")
+
+
+def along(stream: str) -> WindowSpec:
+    """The window along the rows of a block of ``blocks``."""
+    return Window.partitionBy(stream, "_block").orderBy("_i")
+
+
+def _ended(rows: DataFrame, *drop: str) -> DataFrame:
+    return rows.where("_inside").drop("_i", "_block", "_inside", *drop)
+
+
+def frame_index(df: DataFrame, stream: str, t: str, name: str = "frame_index", width: float = 600.0) -> DataFrame:
     """Adds the position of each row within its stream, from 0."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(stream).orderBy(t)) - 1)
+    return numbered(df, stream, t, width, name)
 
 
 def grid(frames: DataFrame, stream: str, t: str, fps: float, max_frames: int | None = None, live: bool = False) -> DataFrame:
@@ -81,16 +129,14 @@ def interpolate(df: DataFrame, stream: str, order: str, value: str, width: float
     return rows.withColumn(value, filled).drop("_prev", "_next")
 
 
-def smooth(df: DataFrame, stream: str, order: str, points: str, window: int) -> DataFrame:
+def smooth(df: DataFrame, stream: str, order: str, points: str, window: int, width: float = 600.0) -> DataFrame:
     """Mean shape over a symmetric margin that shrinks at the ends, put back on the frame's own centroid.
 
     ``points`` is an array of x, y, x, y, ...; rows are consecutive in ``order``.
     """
     half = window // 2
-    whole = Window.partitionBy(stream)
-    near = Window.partitionBy(stream).orderBy(order).rowsBetween(-half, half)
-    index = F.row_number().over(Window.partitionBy(stream).orderBy(order)) - 1
-    rows = df.withColumn("_i", index).withColumn("_n", F.count("*").over(whole)).withColumn("_near", F.collect_list(points).over(near))
+    rows = blocks(df, stream, order, width, half, half, "_n")
+    rows = rows.withColumn("_near", F.collect_list(points).over(along(stream).rowsBetween(-half, half))).where("_inside")
     margin = F.least(F.lit(half), F.col("_i"), F.col("_n") - 1 - F.col("_i"))
     rows = rows.withColumn("_m", margin.cast("int"))
     # the collected rows begin at most ``half`` before this one
@@ -105,36 +151,36 @@ def smooth(df: DataFrame, stream: str, order: str, points: str, window: int) ->
     shifts = [centre(F.col(points), axis) - centre(F.col("_mean"), axis) for axis in (0, 1)]
     rows = rows.withColumn("_dx", shifts[0]).withColumn("_dy", shifts[1])
     moved = F.transform("_mean", lambda x, k: x + F.when(k % 2 == 0, F.col("_dx")).otherwise(F.col("_dy")))
-    return rows.withColumn(points, moved).drop("_i", "_n", "_near", "_m", "_mean", "_dx", "_dy")
+    return rows.withColumn(points, moved).drop("_i", "_block", "_inside", "_n", "_near", "_m", "_mean", "_dx", "_dy")
 
 
-def motion_energy(df: DataFrame, stream: str, t: str, aperture: str, window: int = 3, statistic: str = "mean") -> DataFrame:
+def motion_energy(df: DataFrame, stream: str, t: str, aperture: str, window: int = 3, statistic: str = "mean", width: float = 600.0) -> DataFrame:
     """Adds ``energy``: mean or max of the last ``window`` absolute changes of ``aperture``.
 
     A null aperture resets; it and the first frame after it have energy 0.
     """
-    along = Window.partitionBy(stream).orderBy(t)
-    rows = df.withColumn("_run", F.count_if(F.col(aperture).isNull()).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(stream, "_run").orderBy(t)
-    rows = rows.withColumn("_change", F.abs(F.col(aperture) - F.lag(aperture).over(run)))
+    ordered = along(stream)
+    rows = blocks(df, stream, t, width, window)
+    rows = rows.withColumn("_change", F.abs(F.col(aperture) - F.lag(aperture).over(ordered)))
+    # the changes since the last row without one: the null itself, the first known frame, or the beginning
+    rows = rows.withColumn("_run", F.count_if(F.col("_change").isNull()).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     pick = {"mean": F.avg, "max": F.max}[statistic]
-    energy = pick("_change").over(run.rowsBetween(-(window - 1), 0))
-    # the run's first rows: the null itself and the first known frame, neither of which has a change
-    return rows.withColumn("energy", F.when(F.col("_change").isNull(), 0.0).otherwise(energy)).drop("_run", "_change")
+    energy = pick("_change").over(Window.partitionBy(stream, "_block", "_run").orderBy("_i").rowsBetween(-(window - 1), 0))
+    return _ended(rows.withColumn("energy", F.when(F.col("_change").isNull(), 0.0).otherwise(energy)), "_run", "_change")
 
 
-def inter_arrival_fps(df: DataFrame, stream: str, t: str, keep: float = 0.9, least: float = 0.001) -> DataFrame:
+def inter_arrival_fps(df: DataFrame, stream: str, t: str, keep: float = 0.9, least: float = 0.001, width: float = 600.0) -> DataFrame:
     """(stream, ema, fps) of the smoothed gap between frames; 0 fps where there is one frame only.
 
     ema = keep * previous + (1 - keep) * gap, begun with the first gap, each at
     least ``least``. Written as a weighted sum: the weights fall geometrically, so
     it is an aggregation and not a walk along the stream.
     """
-    along = Window.partitionBy(stream).orderBy(t)
-    gaps = df.withColumn("_gap", F.greatest(F.col(t) - F.lag(t).over(along), F.lit(least))).withColumn("_left", F.row_number().over(Window.partitionBy(stream).orderBy(F.col(t).desc())) - 1)
-    first = F.max("_left").over(Window.partitionBy(stream)) - 1  # rows after the first gap
-    weight = F.pow(F.lit(keep), F.col("_left")) * F.when(F.col("_left") == first, 1.0).otherwise(1 - keep)
-    sums = gaps.withColumn("_w", weight).groupBy(stream).agg(F.sum(F.col("_w") * F.col("_gap")).alias("ema"))
+    rows = blocks(df.select(stream, t), stream, t, width, 1, total="_n")
+    rows = rows.withColumn("_gap", F.greatest(F.col(t) - F.lag(t).over(along(stream)), F.lit(least))).where("_inside")
+    weight = F.pow(F.lit(keep), F.col("_n") - 1 - F.col("_i")) * F.when(F.col("_i") == 1, 1.0).otherwise(1 - keep)
+    gap = F.when(F.col("_i") > 0, F.col("_gap"))
+    sums = rows.groupBy(stream).agg(F.sum(weight * gap).alias("ema"))
     return sums.withColumn("fps", F.when(F.col("ema") > 0, 1 / F.col("ema")).otherwise(0.0))
 
 
@@ -150,10 +196,22 @@ def oldest(df: DataFrame, stream: str, t: str, n: int) -> DataFrame:
     return df.withColumn("position", rank).where(F.col("position") <= n)
 
 
-def order_violations(df: DataFrame, stream: str, t: str, index: str) -> DataFrame:
-    """(stream, rows, not_increasing, not_sequential) of rows in the order of ``index``."""
-    along = Window.partitionBy(stream).orderBy(index)
-    rows = df.withColumn("_dt", F.col(t) - F.lag(t).over(along)).withColumn("_di", F.col(index) - F.lag(index).over(along))
+def window_of(df: DataFrame, stream: str, t: str, seconds: float, fps: float) -> DataFrame:
+    """The last round(seconds * fps) rows of each stream, as a buffer that counts frames gives for a time."""
+    return latest(df, stream, t, round(seconds * fps))
+
+
+def drain(df: DataFrame, stream: str, t: str, seconds: float, fps: float) -> DataFrame:
+    """All that a buffer of round(seconds * fps) frames still holds, oldest first in ``position`` (1 is oldest)."""
+    held = latest(df, stream, t, round(seconds * fps))
+    size = F.max("recency").over(Window.partitionBy(stream))  # of at most as many rows as the buffer holds
+    return held.withColumn("position", size - F.col("recency") + 1).drop("recency")
+
+
+def order_violations(df: DataFrame, stream: str, t: str, index: str, width: float = 600.0) -> DataFrame:
+    """(stream, rows, not_increasing, not_sequential) of rows in the order of ``index``; ``width`` is in its unit."""
+    rows = blocks(df.select(stream, t, index), stream, index, width, 1)
+    rows = rows.withColumn("_dt", F.col(t) - F.lag(t).over(along(stream))).withColumn("_di", F.col(index) - F.lag(index).over(along(stream))).where("_inside")
     return rows.groupBy(stream).agg(F.count("*").alias("rows"), F.count_if(F.col("_dt") <= 0).alias("not_increasing"), F.count_if(F.col("_di") != 1).alias("not_sequential"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.functions.geometry import area, iou
-from trackframe.functions.lets import let
-from trackframe.operators.timeseries import carry
+from trackframe.operators.timeseries import along, blocks, carry
 
 
 def preferred(candidates: DataFrame, keys: list[str], priority: str) -> DataFrame:
@@ -16,44 +17,88 @@ def preferred(candidates: DataFrame, keys: list[str], priority: str) -> DataFram
     return candidates.join(first, keys).where(F.col(priority) == F.col("_first")).drop("_first")
 
 
-def _first_max(items: Column, value) -> Column:
-    """The first item of the largest value, as (value, item)."""
-    rows = F.transform(items, lambda x, i: F.struct(value(x).alias("value"), (-i).alias("first"), x.alias("item")))
-    return F.aggregate(rows, F.element_at(rows, 1), lambda a, x: F.when((x["value"] > a["value"]) | ((x["value"] == a["value"]) & (x["first"] > a["first"])), x).otherwise(a))
+class Subject:
+    """A tracker's state, the last chosen box. Boxes are (x, y, width, height)."""
+
+    def __init__(self, least_iou: float, last: tuple | None = None):
+        self.least_iou, self.last = least_iou, last
+
+    def choose(self, candidates: list[tuple]) -> tuple:
+        """Of a frame's (cand, box) in order: a sole one; else that of largest overlap with the last box, if enough; else the largest. Ties: the first."""
+        best = candidates[0]
+        if len(candidates) > 1:
+            near = max(candidates, key=lambda c: overlap(self.last, c[1])) if self.last else None
+            best = near if near and overlap(self.last, near[1]) >= self.least_iou else max(candidates, key=lambda c: c[1][2] * c[1][3])
+        self.last = best[1]
+        return best
 
 
-def choose(candidates: Column, last: Column, least_iou: float) -> Column:
-    """A sole candidate; else the one of largest overlap with the last box, if enough; else the largest. Ties: the first."""
-    near = let(_first_max(candidates, lambda c: iou(last, c["box"])), lambda n: F.when(last.isNotNull() & (n["value"] >= least_iou), n["item"]))
-    large = _first_max(candidates, lambda c: area(c["box"]).cast("double"))["item"]
-    return F.when(F.size(candidates) == 1, candidates[0]).otherwise(F.coalesce(near, large))
+def overlap(a: tuple, b: tuple) -> float:
+    """Intersection over union of two boxes, 0 without overlap or area; the plain form of ``geometry.iou``."""
+    common = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    union = a[2] * a[3] + b[2] * b[3] - common
+    return common / union if common > 0 and union > 0 else 0.0
 
 
 def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, least_iou: float = 0.2, bucket: float = 1e4) -> DataFrame:
     """(stream, frame, cand, box) of the chosen candidate of every frame that has one.
 
     The last box survives frames without candidates. A frame with a sole candidate
-    fixes the track whatever came before, so streams are cut there and the fold
-    runs over each stretch between such frames, not over a whole stream.
+    fixes the track whatever came before, so streams are cut there into stretches. A task
+    walks a stretch candidate by candidate and holds one frame and one box.
     """
-    item = F.struct(F.col(cand).alias("cand"), F.col(box).alias("box"))
-    frames = candidates.groupBy(stream, frame).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    frames = carry(frames, stream, frame, F.when(F.size("_items") == 1, F.col(frame)), "_stretch", bucket)
-    rows = frames.groupBy(stream, F.coalesce(F.col("_stretch"), F.lit(-1)).alias("_stretch")).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col("_items").alias("items")))).alias("_frames"))
-    kind = f"struct<frame:bigint,cand:{dict(candidates.dtypes)[cand]},box:{candidates.schema[box].dataType.simpleString()}>"
-    box_kind = candidates.schema[box].dataType.simpleString()
-    state = f"struct<last:{box_kind},out:array<{kind}>>"
-    start = F.struct(F.lit(None).cast(box_kind).alias("last"), F.array().cast(f"array<{kind}>").alias("out")).cast(state)
-
-    def step(s: Column, f: Column) -> Column:
-        def taken(p: Column) -> Column:
-            row = F.struct(f["frame"].cast("bigint").alias("frame"), p["cand"].alias("cand"), p["box"].alias("box")).cast(kind)
-            return F.struct(p["box"].alias("last"), F.concat(s["out"], F.array(row)).alias("out")).cast(state)
-
-        return let(choose(f["items"], s["last"], least_iou), taken)
-
-    picked = rows.select(stream, F.explode(F.aggregate("_frames", start, step, lambda s: s["out"])).alias("_x"))
-    return picked.select(stream, F.col("_x.frame").alias(frame), F.col("_x.cand").alias(cand), F.col("_x.box").alias(box))
+    counts = candidates.groupBy(stream, frame).agg(F.count("*").alias("_n"))
+    cuts = carry(counts, stream, frame, F.when(F.col("_n") == 1, F.col(frame)), "_stretch", bucket).drop("_n")
+    rows = candidates.select(stream, frame, F.col(cand).alias("cand"), *(F.col(box)[k].alias(k) for k in SIDES)).join(cuts, [stream, frame])
+    rows = rows.withColumnsRenamed({stream: "key", frame: "frame"}).select("key", "_stretch", "frame", "cand", *SIDES)
+    rows = rows.repartition("key", "_stretch").sortWithinPartitions("key", "_stretch", "frame", "cand", *SIDES)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subject, at, held, out, schema = None, None, [], [], None
+
+        def chosen() -> None:
+            if held:
+                best = subject.choose(held)
+                out.append((at[0], at[2], best[0], *best[1]))
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, ("key", "frame", "cand", *SIDES), strict=True)], ["key", "frame", "cand", *SIDES])
+
+        for rows_ in batches:
+            schema = rows_.schema
+            for key, stretch, frame_, cand_, *sides in zip(*(rows_.column(n).to_pylist() for n in ("key", "_stretch", "frame", "cand", *SIDES)), strict=True):
+                if at != (key, stretch, frame_):
+                    chosen()
+                    if at is None or at[:2] != (key, stretch):
+                        subject = Subject(least_iou)
+                    at, held = (key, stretch, frame_), []
+                held.append((cand_, tuple(sides)))
+            yield batch()
+            out = []
+        chosen()
+        if out:
+            yield batch()
+
+    picked = rows.mapInArrow(walk, ", ".join(f"{n} {kinds[n]}" for n in ("key", "frame", "cand", *SIDES)))
+    return picked.select(F.col("key").alias(stream), F.col("frame").alias(frame), F.col("cand").alias(cand), F.struct(*SIDES).alias(box))
+
+
+#: The fields of a box.
+SIDES = ("x", "y", "width", "height")
+
+
+def stability(points: DataFrame, stream: str, order: str, x: str, y: str, width: float = 600.0) -> DataFrame:
+    """(stream, std_x, std_y, mean_change, max_jump): how still a point of consecutive frames is."""
+    rows = blocks(points.select(stream, order, F.col(x).alias("_x"), F.col(y).alias("_y")), stream, order, width, 1)
+    rows = rows.withColumn("_dx", F.col("_x") - F.lag("_x").over(along(stream))).withColumn("_dy", F.col("_y") - F.lag("_y").over(along(stream))).where("_inside")
+    return rows.groupBy(stream).agg(
+        F.stddev_pop("_x").alias("std_x"),
+        F.stddev_pop("_y").alias("std_y"),
+        F.avg((F.abs("_dx") + F.abs("_dy")) / 2).alias("mean_change"),
+        F.max(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))).alias("max_jump"),
+    )
 
 
 def with_detections(frames: DataFrame, detections: DataFrame, keys: list[str], value: str) -> DataFrame:

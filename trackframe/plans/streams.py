@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.operators import jobs, segments, sweeps, timeseries
+from trackframe.operators import jobs, segments, sweeps, timeseries, tracking
 from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL, KEYPOINTS_SQL, WEEK, events, keypoints
 
 P = EVENT_PARAMS
@@ -36,13 +36,13 @@ motion AS (SELECT *, CASE WHEN change IS NULL THEN 0 ELSE {statistic}(change) OV
 
 @query(f"WITH {EVENTS_SQL}, {_energy_sql('avg', 3)} SELECT event_id, stream_id, t, round(energy, 6) AS energy FROM motion")
 def motion_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = timeseries.motion_energy(events(spark, sf_dir), "stream_id", "t", "aperture")
+    found = timeseries.motion_energy(events(spark, sf_dir), "stream_id", "t", "aperture", width=WEEK)
     return _rounded(found.select("event_id", "stream_id", "t", "energy"), "energy")
 
 
 @query(f"WITH {EVENTS_SQL}, {_energy_sql('max', 5)} SELECT event_id, stream_id, t, round(energy, 6) AS energy FROM motion")
 def motion_energy_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = timeseries.motion_energy(events(spark, sf_dir), "stream_id", "t", "aperture", 5, "max")
+    found = timeseries.motion_energy(events(spark, sf_dir), "stream_id", "t", "aperture", 5, "max", WEEK)
     return _rounded(found.select("event_id", "stream_id", "t", "energy"), "energy")
 
 
@@ -144,7 +144,7 @@ SELECT k.event_id, k.stream_id, k.i AS frame_index, round(CASE WHEN k.aperture I
 FROM k LEFT JOIN n a ON a.stream_id = k.stream_id AND a.i = p LEFT JOIN n b ON b.stream_id = k.stream_id AND b.i = q"""
 )
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timeseries.frame_index(events(spark, sf_dir), "stream_id", "t")
+    rows = timeseries.frame_index(events(spark, sf_dir), "stream_id", "t", width=WEEK)
     rows = rows.withColumn("aperture", F.when(F.col("aperture").isNotNull(), F.array("aperture")))
     filled = timeseries.interpolate(rows, "stream_id", "frame_index", "aperture", 64.0)
     return filled.select("event_id", "stream_id", F.col("frame_index").cast("long").alias("frame_index"), F.round(F.col("aperture")[0], 6).alias("aperture"))
@@ -158,7 +158,7 @@ d AS (SELECT *, (own[1] + own[3] + own[5] + own[7] - s1 - s3 - s5 - s7) / 4 AS d
 SELECT stream_id, vec_id, {", ".join(f"round(s{k} + {'dx' if k % 2 else 'dy'}, 5) AS p{k}" for k in range(1, 9))} FROM d"""
 )
 def smooth_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timeseries.smooth(keypoints(spark, sf_dir), "stream_id", "vec_id", "points", 12)
+    rows = timeseries.smooth(keypoints(spark, sf_dir), "stream_id", "vec_id", "points", 12, 4096)
     return rows.select("stream_id", "vec_id", *(F.round(F.col("points")[k], 5).alias(f"p{k + 1}") for k in range(8)))
 
 
@@ -169,7 +169,7 @@ SELECT u.stream_id, round(ema, 4) AS ema, round(coalesce(1 / ema, 0), 9) AS fps
 LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY i DESC) = 1) l ON l.stream_id = u.stream_id"""
 )
 def inter_arrival_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = timeseries.inter_arrival_fps(events(spark, sf_dir), "stream_id", "t")
+    found = timeseries.inter_arrival_fps(events(spark, sf_dir), "stream_id", "t", width=WEEK)
     return found.select("stream_id", F.round("ema", 4).alias("ema"), F.round("fps", 9).alias("fps"))
 
 
@@ -188,7 +188,7 @@ def buffer_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT stream_id, count(*) AS rows, count(*) FILTER (WHERE dt <= 0) AS not_increasing, count(*) FILTER (WHERE di <> 1) AS not_sequential FROM d GROUP BY 1"""
 )
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.order_violations(events(spark, sf_dir), "stream_id", "t", "event_id")
+    return timeseries.order_violations(events(spark, sf_dir), "stream_id", "t", "event_id", 4096)
 
 
 @query(f"WITH {EVENTS_SQL} SELECT stream_id, floor(t / 604800) * 604800 AS window_start, count(*) AS frames, count(*) / 604800 AS rate FROM events_ GROUP BY ALL")
@@ -198,7 +198,7 @@ def tumbling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL} SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS frames_received FROM events_ QUALIFY frames_received % 5 = 0")
 def status_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timeseries.frame_index(events(spark, sf_dir), "stream_id", "t").withColumn("frames_received", F.col("frame_index") + 1)
+    rows = timeseries.frame_index(events(spark, sf_dir), "stream_id", "t", width=WEEK).withColumn("frames_received", F.col("frame_index") + 1)
     return rows.where(F.col("frames_received") % 5 == 0).select("stream_id", "event_id", F.col("frames_received").cast("long").alias("frames_received"))
 
 
@@ -238,7 +238,7 @@ SELECT statistic, "window", "start", "stop", count(*) FILTER (WHERE wanted AND f
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of even users should have a segment; the five best settings."""
     grid = [("mean" if s == "avg" else s, *rest) for s, *rest in _SWEEP]
-    scored = sweeps.sweep(events(spark, sf_dir), "stream_id", "t", "aperture", F.col("stream_id") % 2 == 0, grid, P)
+    scored = sweeps.sweep(events(spark, sf_dir), "stream_id", "t", "aperture", F.col("stream_id") % 2 == 0, grid, P, WEEK)
     return sweeps.leaderboard(scored, 5)
 
 
@@ -250,7 +250,7 @@ SELECT m.stream_id, count(*) FILTER (WHERE aperture IS NULL) AS unfitted, round(
 FROM motion m LEFT JOIN c ON c.stream_id = m.stream_id GROUP BY m.stream_id"""
 )
 def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    motion = timeseries.motion_energy(events(spark, sf_dir), "stream_id", "t", "aperture")
+    motion = timeseries.motion_energy(events(spark, sf_dir), "stream_id", "t", "aperture", width=WEEK)
     return _rounded(sweeps.report(motion, "stream_id", "t", "aperture", "energy", F.col("stream_id") % 2 == 0, P), "p50", "p90")
 
 
@@ -287,8 +287,8 @@ SELECT a.stream_id, a.sequence, created, started, trunc((started - created) * 10
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups stand for jobs, purchases for their results."""
     rows = events(spark, sf_dir)
-    made = jobs.number(rows.where("event_type = 'signup'").select("stream_id", F.col("t").alias("created")), "stream_id", "created")
-    done = jobs.number(rows.where("event_type = 'purchase'").select("stream_id", F.col("t").alias("started")), "stream_id", "started")
+    made = jobs.number(rows.where("event_type = 'signup'").select("stream_id", F.col("t").alias("created")), "stream_id", "created", WEEK)
+    done = jobs.number(rows.where("event_type = 'purchase'").select("stream_id", F.col("t").alias("started")), "stream_id", "started", WEEK)
     return jobs.results(made, done, ["stream_id", "sequence"])
 
 
@@ -310,7 +310,7 @@ def control_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     frames = rows.where("event_type <> 'signup'").select("stream_id", "t", "event_id", F.lit("frame").alias("kind"))
     control = rows.where("event_type = 'signup'").select("stream_id", "t", F.lit("flush").alias("kind"))
-    return jobs.number(frames.unionByName(control, allowMissingColumns=True), "stream_id", "t").select("stream_id", "event_id", "kind", "sequence")
+    return jobs.number(frames.unionByName(control, allowMissingColumns=True), "stream_id", "t", WEEK).select("stream_id", "event_id", "kind", "sequence")
 
 
 @query(
@@ -319,10 +319,5 @@ SELECT stream_id, round(stddev_pop(x), 6) AS std_x, round(stddev_pop(y), 6) AS s
 )
 def track_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread, mean change and largest jump of the fourth point of every stream."""
-    along = Window.partitionBy("stream_id").orderBy("vec_id")
     rows = keypoints(spark, sf_dir).select("stream_id", "vec_id", F.col("points")[6].alias("x"), F.col("points")[7].alias("y"))
-    rows = rows.withColumn("dx", F.col("x") - F.lag("x").over(along)).withColumn("dy", F.col("y") - F.lag("y").over(along))
-    found = rows.groupBy("stream_id").agg(
-        F.stddev_pop("x").alias("std_x"), F.stddev_pop("y").alias("std_y"), F.avg((F.abs("dx") + F.abs("dy")) / 2).alias("mean_change"), F.max(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("max_jump")
-    )
-    return _rounded(found, "std_x", "std_y", "mean_change", "max_jump")
+    return _rounded(tracking.stability(rows, "stream_id", "vec_id", "x", "y", 4096), "std_x", "std_y", "mean_change", "max_jump")

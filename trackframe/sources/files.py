@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe import schemas
 
+# Suffixes of files that are taken.
 ALLOWED_SUFFIXES = (".mp4", ".mov", ".webm", ".mkv", ".avi")
 MAX_UPLOAD = 200 << 20
 
@@ -56,9 +62,9 @@ def manifest_columns(rows: DataFrame, frames: str, fps: str) -> DataFrame:
     return rows.withColumn("seconds", F.bround(seconds, 2)).withColumn("expected_frames_at_25fps", F.greatest(F.lit(1), (seconds * 25).cast("int")))
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str = schemas.MANIFEST) -> DataFrame:
-    """A JSON array of flat objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, schema: str = schemas.MANIFEST, lines: bool = False) -> DataFrame:
+    """A JSON array of flat objects, or (``lines``) one object a line, as ``write_manifest`` writes."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -111,9 +117,41 @@ def compare_keys(present: DataFrame, required: DataFrame, key: str, ignorable: t
     return both.select(key, status.alias("status"))
 
 
+#: So many known keys at most are named in an error.
+NAMED_KEYS = 50
+
+
 def look_up(rows: DataFrame, catalog: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows with the catalogue's ``value``; an unknown key gets an ``error`` that lists the known ones."""
-    known = catalog.agg(F.array_join(F.sort_array(F.collect_set(key)), ", ")).first()[0]
+    """Rows with the catalogue's ``value``; an unknown key gets an ``error`` that lists the known ones, the first ``NAMED_KEYS`` of them."""
+    known = catalog.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy("k").limit(NAMED_KEYS + 1).collect()
+    named = ", ".join(str(r["k"]) for r in known[:NAMED_KEYS]) + ", ..." * (len(known) > NAMED_KEYS)
     joined = rows.join(F.broadcast(catalog.select(key, value)) if catalog.limit(10_001).count() <= 10_000 else catalog.select(key, value), key, "left")
-    error = F.when(F.col(value).isNull(), F.concat(F.lit("Unknown key '"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("'. Known: "), F.lit(known)))
+    error = F.when(F.col(value).isNull(), F.concat(F.lit("Unknown key '"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"'. Known: {named}")))
     return joined.withColumn("error", error)
+
+
+def missing(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """The rows of ``required`` whose ``key`` is not among ``present``."""
+    return required.join(present.select(key).distinct(), key, "left_anti")
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(file, columns, row_groups, rows, bytes) of every file of a Parquet dataset, by its footer; tasks read the footers."""
+    names = spark.createDataFrame([(f,) for f in spark.read.parquet(path).inputFiles()], "file string")
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name in batch["file"]:
+                fs, own = pyarrow.fs.FileSystem.from_uri(name)
+                with fs.open_input_file(own) as f:
+                    found = pyarrow.parquet.ParquetFile(f).metadata
+                    out.append((name.rsplit("/", 1)[-1], found.num_columns, found.num_row_groups, found.num_rows, f.size()))
+            yield pd.DataFrame(out, columns=["file", "columns", "row_groups", "rows", "bytes"])
+
+    return names.repartition(max(1, min(names.count(), spark.sparkContext.defaultParallelism))).mapInPandas(footers, "file string, columns int, row_groups int, rows long, bytes long")
+
+
+def still_counts(stills: DataFrame) -> DataFrame:
+    """(decoded, rejected) of what ``read_stills`` gives."""
+    return stills.agg(F.count_if("valid").alias("decoded"), F.count_if(~F.col("valid")).alias("rejected"))

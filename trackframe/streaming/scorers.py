@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trackframe.functions.tensor import MEAN, STD
 
@@ -36,18 +37,47 @@ def create(name: str) -> Callable[[], Scorer]:
     return factory
 
 
-def transcribe(frames: DataFrame, clip: str, order: str, factory: Callable[[], Scorer]) -> DataFrame:
-    """One row of ``RESULT`` for each clip; the factory runs in the workers. A scorer's exception is the row's error."""
+def transcribe(frames: DataFrame, clip: str, order: str, factory: Callable[[], Scorer], most_frames: int | None = None) -> DataFrame:
+    """One row of ``RESULT`` for each clip. A scorer's exception is the row's error.
 
-    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        try:
-            found, error = factory()(rows.sort_values(order)), None
-        except Exception as e:  # the clip fails, not the job
-            found, error = [], f"{type(e).__name__}: {e}"
-        named = [{"text": t, "score": float(s), "token_ids": list(ids)} for t, s, ids in found]
-        return pd.DataFrame([(str(key[0]), len(rows), named, error)], columns=["clip_id", "frames", "hypotheses", "error"])
+    Each task makes one scorer and reads its clips in order. A scorer takes a whole
+    clip; a clip of more than ``most_frames`` frames is never held, its row has an error.
+    """
+    rows = frames.repartition(clip).sortWithinPartitions(clip, order)
+    where, kind = frames.columns.index(clip), frames.schema[clip].dataType
 
-    return frames.groupBy(clip).applyInPandas(score, RESULT)
+    def clips(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """(clip, number of frames, its parts, or None if they are too many)."""
+        key, n, parts = None, 0, []
+        for batch in batches:
+            own = batch.iloc[:, where]
+            starts = np.flatnonzero((own != own.shift()) & ~(own.isna() & own.shift().isna())).tolist() if len(own) else []
+            for a, b in zip([0, *starts], [*starts, len(batch)], strict=True):
+                if a == b:
+                    continue
+                if n and not (own.iloc[a] == key or (pd.isna(own.iloc[a]) and pd.isna(key))):
+                    yield key, n, parts
+                    n, parts = 0, []
+                key, n = own.iloc[a], n + b - a
+                parts = None if parts is None or (most_frames is not None and n > most_frames) else [*parts, batch.iloc[a:b]]
+        if n:
+            yield key, n, parts
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = None
+        for key, n, parts in clips(batches):
+            try:
+                if parts is None:
+                    raise ValueError(f"{n} frames, at most {most_frames} are taken")
+                scorer = scorer or factory()
+                found, error = scorer(pd.concat(parts, ignore_index=True)), None
+            except Exception as e:  # the clip fails, not the job
+                found, error = [], f"{type(e).__name__}: {e}"
+            named = [{"text": t, "score": float(s), "token_ids": list(ids)} for t, s, ids in found]
+            name = None if pd.isna(key) else str(int(key)) if isinstance(kind, IntegralType) else str(key)
+            yield pd.DataFrame([(name, n, named, error)], columns=["clip_id", "frames", "hypotheses", "error"])
+
+    return rows.mapInPandas(score, RESULT)
 
 
 def normalised_images(rois: DataFrame, size: int, mean: float = MEAN, std: float = STD) -> DataFrame:
