@@ -40,6 +40,7 @@ class Preprocessing:
 class Live:
     lead_in: float = 0.25
     buffer_seconds: float = 8.0
+    fps: float = 25.0
     queue: int = 2
     max_age: float = 6.0
     energy_window: int = 3

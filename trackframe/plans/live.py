@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.functions.timing import seconds
+from trackframe.params import Live
+from trackframe.plans import clips
 from trackframe.plans.streams import _SEGMENTS
-from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL
+from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL, WEEK, events
 from trackframe.streaming import live, scorers
 
 QUERIES: dict = {}
@@ -28,24 +30,35 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackframe-live-")
-    return f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='trackframe-live-')).rstrip('/')}/live-{uuid.uuid4().hex}"
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")
-    return rows.select(F.col("user_id").alias("stream_id"), F.timestamp_micros(F.round(seconds(F.col("ts")) * 1e6).cast("long")).alias("ts"), seconds(F.col("ts")).alias("t"), F.lit(None).cast("double").alias("aperture"), F.col("value").alias("energy"), F.lit("frame").alias("kind"))
+    rows = live.source(spark, f"{sf_dir}/events.parque[t]", schema)
+    return rows.select(
+        F.col("user_id").alias("stream_id"), F.timestamp_micros(F.round(seconds(F.col("ts")) * 1e6).cast("long")).alias("ts"), seconds(F.col("ts")).alias("t"), F.lit(None).cast("double").alias("aperture"),
+        F.col("value").alias("energy"), F.lit("frame").alias("kind"), "event_type", "event_id",
+    )
 
 
-def _run(stream: DataFrame, folder: str, each=None) -> None:
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
-    if each:
-        started = writer.foreachBatch(each).start()
-    else:
-        started = writer.format("parquet").outputMode("append").start(f"{folder}/out")
-    started.awaitTermination()
+def _run(stream: DataFrame, folder: str, each=None, mode: str = "append") -> None:
+    """Run a stream until its source is used up; the session's state store is put back afterwards."""
+    conf = stream.sparkSession.conf
+    before = conf.get(live.PROVIDER, None)
+    conf.set(live.PROVIDER, live.ROCKSDB)
+    try:
+        writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
+        (writer.foreachBatch(each).start() if each else writer.format("parquet").start(f"{folder}/out")).awaitTermination()
+    finally:
+        conf.set(live.PROVIDER, before) if before else conf.unset(live.PROVIDER)
+
+
+_CLOSED = "closed AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY sequence DESC) AS newness FROM segments WHERE reason <> 'stream_end')"
 
 
 @query(f"{_SEGMENTS} SELECT stream_id, sequence, start_time, end_time, reason FROM segments WHERE reason <> 'stream_end'")
@@ -56,24 +69,94 @@ def live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(live.SEGMENTS).parquet(f"{folder}/out")
 
 
-@query()
+#: Signups flush a stream, every 29th event resets it, other events are frames; errors miss their subject.
+_KIND = "CASE WHEN event_type = 'signup' THEN 'flush' WHEN event_id % 29 = 0 THEN 'reset' ELSE 'frame' END"
+
+
+def _controls_sql() -> str:
+    """Energy, segmenter and control messages as one recursion."""
+    p = EVENT_PARAMS
+    length, active = "t - start_t", f"CASE WHEN e >= {p.stop} THEN t ELSE active END"
+    over = f"({length} >= {p.max_length} OR t - coalesce({active}, t) >= {p.hangover})"
+    return f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT stream_id, t, aperture, {_KIND} AS kind, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i FROM events_),
+s AS (SELECT DISTINCT stream_id, 0::BIGINT AS i, NULL::DOUBLE AS start_t, NULL::DOUBLE AS active, NULL::DOUBLE AS last_t, NULL::DOUBLE AS prev, []::DOUBLE[] AS changes, NULL::DOUBLE AS seg_start, NULL::DOUBLE AS seg_end, NULL::VARCHAR AS reason FROM n
+  UNION ALL
+  SELECT stream_id, i,
+    CASE WHEN kind <> 'frame' THEN NULL WHEN start_t IS NULL THEN CASE WHEN e >= {p.start} THEN t END WHEN {over} THEN NULL ELSE start_t END,
+    CASE WHEN kind <> 'frame' THEN NULL WHEN start_t IS NULL THEN CASE WHEN e >= {p.start} THEN t END WHEN {over} THEN NULL ELSE {active} END,
+    CASE WHEN kind = 'frame' THEN t ELSE last_t END, CASE kind WHEN 'frame' THEN aperture WHEN 'flush' THEN prev END, changes,
+    start_t, CASE WHEN kind = 'frame' THEN t ELSE last_t END,
+    CASE WHEN start_t IS NULL OR kind = 'reset' THEN NULL WHEN kind = 'flush' THEN CASE WHEN last_t - start_t >= {p.min_length} THEN 'stream_end' END
+      WHEN {length} >= {p.max_length} THEN 'max_length' WHEN {over} AND {length} >= {p.min_length} THEN 'silence' END
+  FROM (SELECT *, CASE WHEN kind = 'frame' THEN coalesce(list_avg(changes), 0) END AS e FROM (
+    SELECT f.stream_id, f.i, f.t, f.kind, f.aperture, start_t, active, last_t, prev, CASE WHEN f.kind = 'flush' THEN changes WHEN f.kind = 'reset' OR f.aperture IS NULL THEN [] WHEN prev IS NULL THEN changes
+      WHEN len(changes) < 3 THEN list_append(changes, abs(f.aperture - prev)) ELSE list_append(changes[2:], abs(f.aperture - prev)) END AS changes
+    FROM s JOIN n f ON f.stream_id = s.stream_id AND f.i = s.i + 1)))
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY i) AS sequence, seg_start AS start_time, seg_end AS end_time, reason FROM s WHERE reason IS NOT NULL"""
+
+
+@query(_controls_sql())
+def live_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy from the aperture, and flush and reset messages, within a running stream."""
+    folder = _folder(spark)
+    rows = replay(spark, sf_dir).withColumn("kind", F.expr(_KIND)).withColumn("aperture", F.when(F.col("event_type") != "error", F.col("energy"))).withColumn("energy", F.lit(None).cast("double"))
+    _run(live.segments(rows, EVENT_PARAMS), folder)
+    return spark.read.schema(live.SEGMENTS).parquet(f"{folder}/out")
+
+
+@query(
+    f"""{_SEGMENTS}, g AS (SELECT stream_id, t, row_number() OVER w AS i, greatest(t - lag(t) OVER w, 0.001) AS gap, t - first_value(t) OVER (PARTITION BY stream_id ORDER BY t ROWS 39 PRECEDING) AS held FROM events_ WINDOW w AS (PARTITION BY stream_id ORDER BY t)),
+r AS (SELECT stream_id, i, gap AS ema FROM g WHERE i = 2 UNION ALL SELECT g.stream_id, g.i, 0.9 * ema + 0.1 * gap FROM r JOIN g ON g.stream_id = r.stream_id AND g.i = r.i + 1)
+SELECT s.stream_id, s.i AS frames_received, CASE WHEN start_t IS NULL THEN 'idle' ELSE 'speaking' END AS state, round(coalesce(s.t - start_t, 0), 3) AS utterance_seconds, round(coalesce(1 / ema, 0), 9) AS fps,
+  least(s.i, 40) AS buffered_frames, round(held, 3) AS buffered_seconds FROM segments_s s JOIN g ON g.stream_id = s.stream_id AND g.i = s.i LEFT JOIN r ON r.stream_id = s.stream_id AND r.i = s.i WHERE s.i % 5 = 0"""
+)
+def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth frame's status: counters, state, frame rate and what the buffer of forty frames holds."""
+    folder = _folder(spark)
+    _run(live.statuses(replay(spark, sf_dir), EVENT_PARAMS, Live(buffer_seconds=8.0, fps=5.0)), folder)
+    rows = spark.read.schema(live.STATUS).parquet(f"{folder}/out")
+    return rows.select("stream_id", "frames_received", "state", F.round("utterance_seconds", 3).alias("utterance_seconds"), F.round("fps", 9).alias("fps"), "buffered_frames", F.round("buffered_seconds", 3).alias("buffered_seconds"))
+
+
+@query(clips.ORACLES["subject_tracking"])
+def live_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of ``subject_tracking`` as a stream; the last box is its state."""
+    folder = _folder(spark)
+    clips.candidates(spark, sf_dir).select("stream_id", "frame", "cand", "box.*", F.lit("box").alias("kind")).write.parquet(f"{folder}/candidates")
+    schema = spark.read.parquet(f"{folder}/candidates").schema
+    _run(live.track(live.source(spark, f"{folder}/candidates", schema, 1_000_000)), folder)
+    return spark.read.schema(live.TRACK).parquet(f"{folder}/out").select("stream_id", "frame", "cand", "x", "y")
+
+
+@query(f"{_SEGMENTS}, {_CLOSED} SELECT stream_id, sequence, CASE WHEN newness <= 2 THEN 'queued' ELSE 'displaced' END AS status FROM closed")
 def live_shedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs that a stream's queue of two keeps, trigger by trigger; what is kept depends on the triggers, so there is no SQL."""
+    """Jobs that a stream's queue of two keeps of a trigger. The SQL is that of one trigger, as a table of one file has."""
     folder = _folder(spark)
     _run(live.segments(replay(spark, sf_dir), EVENT_PARAMS), folder, live.shedding(f"{folder}/kept", f"{folder}/dropped"))
     both = [spark.read.parquet(f"{folder}/{part}").select("stream_id", "sequence", "status") for part in ("kept", "dropped")]
     return both[0].unionByName(both[1])
 
 
+@query(
+    f"""{_SEGMENTS}, {_CLOSED}, n AS (SELECT max(t) AS now FROM events_) SELECT stream_id, sequence, CASE WHEN now - end_time <= 604800 THEN round(end_time - start_time)::BIGINT || ' s' END AS text,
+CASE WHEN now - end_time > 604800 THEN printf('Discarded: waited %.1f s, more than %.1f s.', now - end_time, 604800.0) END AS error, now - end_time > 604800 AS dropped, trunc((now - end_time) * 1000)::BIGINT AS queue_wait_ms FROM closed, n WHERE newness <= 2"""
+)
+def live_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a continuous sink has of every job that was run or was too old; a segment's length stands for its transcript. One trigger, as above."""
+    folder, now = _folder(spark), events(spark, sf_dir).agg(F.max("t")).first()[0]
+    score = lambda jobs: jobs.select("stream_id", "sequence", F.concat(F.round(F.col("end_time") - F.col("start_time")).cast("long").cast("string"), F.lit(" s")).alias("text"), F.lit(None).cast("string").alias("error"))
+    _run(live.segments(replay(spark, sf_dir), EVENT_PARAMS), folder, live.results(f"{folder}/results", score, F.lit(now), 2, WEEK))
+    return spark.read.parquet(f"{folder}/results").drop("batch")
+
+
 @query(f"WITH {EVENTS_SQL} SELECT stream_id, floor(t / 604800) * 604800 AS window_start, count(*) AS frames FROM events_ GROUP BY ALL")
 def live_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of each week, as windows of the stream; the last trigger's complete result."""
+    """Frames of each week, as windows of the stream. A trigger writes the windows that it changed; the last writing counts."""
     folder = _folder(spark)
-    counts = live.rates(replay(spark, sf_dir), "ts", "7 days", "30 days")
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
-    counts.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode("complete").foreachBatch(write).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return rows.select("stream_id", F.unix_micros("w.start").alias("m"), "count").select("stream_id", (F.col("m") / 1e6).alias("window_start"), F.col("count").alias("frames"))
+    write = lambda batch, i: batch.withColumn("at", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+    _run(live.rates(replay(spark, sf_dir), "ts", "7 days", "30 days"), folder, write, "update")
+    rows = spark.read.parquet(f"{folder}/out").groupBy("stream_id", F.unix_micros("w.start").alias("m")).agg(F.max_by("count", "at").alias("frames"))
+    return rows.select("stream_id", (F.col("m") / 1e6).alias("window_start"), "frames")
 
 
 def _loudest():

@@ -1,9 +1,13 @@
-"""Live streams: motion energy, segmentation, shedding and stale jobs under Structured Streaming.
+"""Live streams under Structured Streaming: energy, segments, status, tracking, shedding and results.
 
-The stateful operator keeps one small record for each stream (the open segment's
-start and last activity, the previous aperture and its recent changes), so its
-state does not grow with the stream. Within a trigger a stream's rows are taken
-in time order.
+The stateful operators keep one small record for each stream: the open segment, the
+previous aperture and its recent changes, the frame rate, the times that a buffer of
+some seconds would hold, the last box. So state does not grow with a stream. Within a
+trigger a stream's rows are taken in time order; how many there may be is the source's
+limit (``source``), which is also what keeps a fast producer back.
+
+A query needs the RocksDB state store (``ROCKSDB`` as
+``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
@@ -13,30 +17,43 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackframe.operators import jobs
+from trackframe.operators.segments import Hysteresis
+from trackframe.operators.tracking import SIDES, Subject
 from trackframe.params import Live, Segmenting
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SEGMENTS = "stream_id long, sequence long, start_time double, end_time double, reason string"
+STATUS = "stream_id long, frames_received long, rejected long, t double, state string, utterance_seconds double, energy double, fps double, buffered_frames long, buffered_seconds double"
+TRACK = "stream_id long, frame long, cand long, x int, y int, width int, height int"
+
+
+def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 4) -> DataFrame:
+    """Parquet files as a stream; at most ``files_per_trigger`` new ones are taken at a time, the rest wait."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 class Session:
-    """The state of one stream; ``frame``, ``flush`` and ``reset`` return a closed segment or None."""
+    """The state of one stream; ``frame`` and ``flush`` return a closed segment (sequence, start, end, reason) or None."""
 
     def __init__(self, p: Segmenting, live: Live, saved: str | None = None):
-        self.p, self.live = p, live
-        self.start = self.active = self.last = self.aperture = None
+        self.live, self.segmenter = live, Hysteresis(p)
+        self.aperture = self.gap = None
         self.changes: list[float] = []
-        self.sequence = self.frames = 0
+        self.times: list[float] = []
+        self.level, self.sequence, self.frames, self.rejected = 0.0, 0, 0, 0
         if saved:
-            self.start, self.active, self.last, self.aperture, self.changes, self.sequence, self.frames = json.loads(saved)
+            own, self.aperture, self.gap, self.changes, self.times, self.level, self.sequence, self.frames, self.rejected = json.loads(saved)
+            self.segmenter.start, self.segmenter.active, self.segmenter.last = own
 
     def save(self) -> str:
-        return json.dumps([self.start, self.active, self.last, self.aperture, self.changes, self.sequence, self.frames])
+        own = [self.segmenter.start, self.segmenter.active, self.segmenter.last]
+        return json.dumps([own, self.aperture, self.gap, self.changes, self.times, self.level, self.sequence, self.frames, self.rejected])
 
     def energy(self, aperture: float | None) -> float:
         """Mean of the recent changes; a missing aperture resets."""
@@ -49,66 +66,67 @@ class Session:
         return sum(self.changes) / len(self.changes) if self.changes else 0.0
 
     def frame(self, t: float, e: float) -> tuple | None:
-        self.frames, self.last = self.frames + 1, t
-        if self.start is None:
-            if e >= self.p.start:
-                self.start = self.active = t
-            return None
-        if e >= self.p.stop:
-            self.active = t
-        if t - self.start >= self.p.max_length:
-            return self._close(t, "max_length")
-        if t - self.active >= self.p.hangover:
-            if t - self.start >= self.p.min_length:
-                return self._close(t, "silence")
-            self.start = self.active = None
-        return None
+        if self.segmenter.last is not None:
+            gap = max(t - self.segmenter.last, 0.001)
+            self.gap = gap if self.gap is None else 0.9 * self.gap + 0.1 * gap
+        self.frames, self.level = self.frames + 1, e
+        # never more than the buffer holds
+        self.times = [*self.times, t][-max(1, round(self.live.buffer_seconds * self.live.fps)) :]
+        return self._closed(self.segmenter.frame(t, e))
 
     def flush(self) -> tuple | None:
-        if self.start is not None and self.last - self.start >= self.p.min_length:
-            return self._close(self.last, "stream_end")
-        self.start = self.active = None
-        return None
+        return self._closed(self.segmenter.flush())
 
     def reset(self) -> None:
-        self.start = self.active = self.aperture = None
-        self.changes = []
-
-    def _close(self, t: float, reason: str) -> tuple:
+        """Forget the open segment, the motion and the buffer; numbers go on."""
+        self.segmenter.reset()
+        self.aperture, self.changes, self.times = None, [], []
+
+    def status(self, t: float) -> tuple:
+        opened = self.segmenter.start
+        return (
+            self.frames, self.rejected, t, "idle" if opened is None else "speaking", 0.0 if opened is None else t - opened, self.level,
+            1 / self.gap if self.gap else 0.0, len(self.times), t - self.times[0],
+        )
+
+    def _closed(self, found: tuple | None) -> tuple | None:
+        if found is None:
+            return None
         self.sequence += 1
-        closed = (self.sequence, self.start, t, reason)
-        self.start = self.active = None
-        return closed
-
+        return (self.sequence, *found)
 
-class Segmenter(StatefulProcessor):
-    """Rows (stream_id, t, aperture, energy, kind) to segments.
 
-    ``kind`` is ``frame``, ``flush`` or ``reset``. A null energy is derived from the aperture.
-    """
+class _Sessions(StatefulProcessor):
+    """Rows (stream_id, t, aperture, energy, kind[, size]) walked through a ``Session`` each stream."""
 
-    def __init__(self, p: Segmenting, live: Live):
-        self.p, self.live = p, live
+    def __init__(self, p: Segmenting, live: Live, every: int | None = None):
+        self.p, self.live, self.every = p, live, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", "saved string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         saved = self.state.get()
-        session, out = Session(self.p, self.live, saved[0] if saved else None), []
-        batch = pd.concat(list(rows)).sort_values("t", kind="stable")
-        for t, aperture, energy, kind in zip(batch["t"], batch["aperture"], batch["energy"], batch["kind"], strict=True):
+        session, closed, told = Session(self.p, self.live, saved[0] if saved else None), [], []
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("t", kind="stable")
+        sizes = batch["size"] if "size" in batch else [0] * len(batch)
+        for t, aperture, energy, kind, size in zip(batch["t"], batch["aperture"], batch["energy"], batch["kind"], sizes, strict=True):
             if kind == "reset":
                 session.reset()
-                continue
-            if kind == "flush":
-                closed = session.flush()
-            else:
+            elif kind == "flush":
+                closed.append(session.flush())
+            elif kind == "frame" and not pd.isna(size) and size > self.live.max_message:
+                session.rejected += 1
+            elif kind == "frame":
                 own = session.energy(None if pd.isna(aperture) else float(aperture))
-                closed = session.frame(float(t), own if pd.isna(energy) else float(energy))
-            out += [closed] if closed else []
+                closed.append(session.frame(float(t), own if pd.isna(energy) else float(energy)))
+                if self.every and session.frames % self.every == 0:
+                    told.append(session.status(float(t)))
         self.state.update((session.save(),))
-        frame = pd.DataFrame(out, columns=["sequence", "start_time", "end_time", "reason"])
+        if self.every:
+            frame = pd.DataFrame(told, columns=[x.split()[0] for x in STATUS.split(", ")][1:])
+        else:
+            frame = pd.DataFrame([x for x in closed if x], columns=["sequence", "start_time", "end_time", "reason"])
         frame.insert(0, "stream_id", key[0])
         yield frame
 
@@ -117,9 +135,54 @@ class Segmenter(StatefulProcessor):
 
 
 def segments(frames: DataFrame, p: Segmenting = Segmenting(), live: Live = Live()) -> DataFrame:
-    """Segments of a streaming DataFrame (stream_id, t, aperture, energy, kind) as they close."""
-    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return frames.groupBy("stream_id").transformWithStateInPandas(Segmenter(p, live), SEGMENTS, "append", "None")
+    """``SEGMENTS`` of a streaming DataFrame (stream_id, t, aperture, energy, kind) as they close.
+
+    ``kind`` is ``frame``, ``flush`` (closes the open segment) or ``reset`` (forgets it, the motion and the
+    buffer); others do nothing. A null energy is derived from the aperture.
+    """
+    return frames.groupBy("stream_id").transformWithStateInPandas(_Sessions(p, live), SEGMENTS, "append", "None")
+
+
+def statuses(frames: DataFrame, p: Segmenting = Segmenting(), live: Live = Live()) -> DataFrame:
+    """``STATUS`` after every ``live.status_every``-th frame of each stream, with its counters so far.
+
+    Takes what ``segments`` takes, and ``size``, the bytes of a message: those larger than ``live.max_message`` are rejected.
+    """
+    return frames.groupBy("stream_id").transformWithStateInPandas(_Sessions(p, live, live.status_every), STATUS, "append", "None")
+
+
+class _Tracker(StatefulProcessor):
+    """Rows (stream_id, frame, cand, x, y, width, height, kind) to the chosen candidates; the last box is the state."""
+
+    def __init__(self, least_iou: float):
+        self.least_iou = least_iou
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "saved string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        saved = self.state.get()
+        subject, out = Subject(self.least_iou, tuple(json.loads(saved[0])) if saved and saved[0] != "null" else None), []
+        batch = pd.concat(list(rows), ignore_index=True)
+        for (frame, reset), own in batch.assign(later=batch["kind"] != "reset").sort_values(["frame", "later", "cand", *SIDES], kind="stable").groupby(["frame", "later"], sort=False):
+            if not reset:
+                subject.last = None
+                continue
+            best = subject.choose([(int(c), tuple(map(int, box))) for c, *box in own[["cand", *SIDES]].itertuples(index=False)])
+            out.append((key[0], frame, best[0], *best[1]))
+        self.state.update((json.dumps(subject.last),))
+        yield pd.DataFrame(out, columns=["stream_id", "frame", "cand", *SIDES])
+
+    def close(self) -> None:
+        pass
+
+
+def track(candidates: DataFrame, least_iou: float = 0.2) -> DataFrame:
+    """``TRACK``: one candidate of every frame of a streaming DataFrame (stream_id, frame, cand, x, y, width, height, kind).
+
+    A frame's candidates come in one trigger. ``kind`` ``reset`` forgets the last box before that frame.
+    """
+    return candidates.groupBy("stream_id").transformWithStateInPandas(_Tracker(least_iou), TRACK, "append", "None")
 
 
 def shedding(path: str, dropped_path: str, queue: int = 2) -> Callable[[DataFrame, int], None]:
@@ -134,6 +197,24 @@ def shedding(path: str, dropped_path: str, queue: int = 2) -> Callable[[DataFram
     return write
 
 
+def results(path: str, score: Callable[[DataFrame], DataFrame], now: Column, queue: int = 2, max_age: float = 6.0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that appends a row (stream_id, sequence, text, error, dropped, queue_wait_ms) for each job that is run or too old.
+
+    Jobs are closed segments. Of a stream and trigger the newest ``queue`` are run, those older than ``max_age``
+    at ``now`` are dropped with an error that says so. ``score`` takes the others and gives (stream_id, sequence, text, error).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = jobs.shed(batch, "stream_id", "sequence", queue).where("status = 'queued'")
+        kept = jobs.stale(kept, F.col("end_time"), now, max_age).withColumnRenamed("error", "stale")
+        done = score(kept.where("not dropped")).select("stream_id", "sequence", "text", "error")
+        rows = kept.join(done, ["stream_id", "sequence"], "left").withColumn("queue_wait_ms", ((now - F.col("end_time")) * 1000).cast("long"))
+        rows = rows.select("stream_id", "sequence", "text", F.coalesce("stale", "error").alias("error"), "dropped", "queue_wait_ms")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def rates(frames: DataFrame, ts: str, width: str, delay: str) -> DataFrame:
     """Frames in each tumbling window, for rows at most ``delay`` late."""
     return frames.withWatermark(ts, delay).groupBy("stream_id", F.window(ts, width).alias("w")).count()
