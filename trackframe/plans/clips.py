@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trackframe.functions import geometry, tensor, text
 from trackframe.operators import nbest, tracking
-from trackframe.plans.tables import KEYPOINTS_SQL, keypoints, table
+from trackframe.plans.tables import KEYPOINTS_SQL, folder_of, keypoints, table
 from trackframe.sources import files
+from trackframe.streaming import scorers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,7 +90,7 @@ def source_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DuckDB's distance counts bytes, so this has no SQL; ``tests/test_text.py`` holds it against brute force."""
+    """DuckDB's distance counts bytes, so this has no SQL; ``tests/test_operators.py`` holds it against brute force."""
     rows = pairs(spark, sf_dir).withColumn("e", text.character_errors(F.col("ref"), F.col("hyp")))
     return rows.select("conv_id", "turn", "e.errors", "e.total", text.rate_text(F.col("e.errors"), F.col("e.total")).alias("shown"))
 
@@ -103,20 +104,36 @@ _VOCAB = ["<blank>", "<unk>", "▁the", "ing", "▁a", "er", "<space>", "on", "
 
 
 @query(
-    f"""WITH i AS (SELECT doc_id, list_transform(range(0, 12), lambda k: (doc_id * 7 + k * (doc_id % 5 + 1)) % 11 - 1) AS ids FROM documents),
+    f"""WITH i AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w, k: (length(w) * 7 + k) % 11 - 1) AS ids FROM documents),
 s AS (SELECT doc_id, ids, CASE WHEN ids[1] = 9 THEN ids[2:] ELSE ids END AS led FROM i),
 t AS (SELECT doc_id, ids, led[1:coalesce(list_max(list_transform(range(1, len(led) + 1), lambda k: CASE WHEN led[k] <> 9 THEN k ELSE 0 END)), 0)] AS bare FROM s)
 SELECT doc_id, array_to_string(bare, ',') AS bare, trim(replace(replace(replace(replace(array_to_string(list_transform(list_filter(ids, lambda x: x <> -1), lambda x: {_VOCAB}[x + 1]), ''), '<space>', ' '), '▁', ' '), '<eos>', ''), '<blank>', '')) AS transcript FROM t"""
 )
 def detokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve ids made of each document's number; the vocabulary's last piece ends a hypothesis."""
-    ids = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: ((F.col("doc_id") * 7 + k * (F.col("doc_id") % 5 + 1)) % 11 - 1).cast("int"))
+    """An id for each word of a text, by its length and place; the vocabulary's last piece ends a hypothesis."""
+    ids = F.transform(F.split("text", " "), lambda w, k: ((F.char_length(w) * 7 + k + 1) % 11 - 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
     vocabulary = F.array(*map(F.lit, _VOCAB))
     bare = text.strip_special(F.col("ids"), F.lit(len(_VOCAB) - 1))
     return rows.select("doc_id", F.array_join(bare, ",").alias("bare"), text.detokenise(F.col("ids"), vocabulary).alias("transcript"))
 
 
+_UNITS = [f"{piece}  {i}" for i, piece in enumerate(_VOCAB)] + ["", "  "]
+
+
+@query(
+    f"""WITH u AS (SELECT unnest({_UNITS!r}) AS line), v AS (SELECT regexp_extract(trim(line), '^\\S+') AS piece, regexp_extract(trim(line), '\\S+$')::INT AS id FROM u WHERE trim(line) <> ''),
+w AS (SELECT conv_id, turn, k, string_split(text, ' ')[k] AS piece FROM (SELECT *, unnest(range(1, len(string_split(text, ' ')) + 1)) AS k FROM conversations))
+SELECT conv_id, turn, string_agg(coalesce(id, 1), ',' ORDER BY k) AS ids FROM w LEFT JOIN v ON w.piece = v.piece GROUP BY ALL"""
+)
+def piece_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of a turn as a piece: its id by the lines of a units file, that of ``<unk>`` for others."""
+    lines = spark.createDataFrame([(x,) for x in _UNITS], "line string").select(text.unit_line(F.col("line")).alias("u")).where("u is not null")
+    # a vocabulary is bounded; it becomes one map
+    ids = F.create_map(*(F.lit(x) for r in lines.select("u.*").collect() for x in (r.piece, r.token_id)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.piece_ids(F.split("text", " "), ids), ",").alias("ids"))
+
+
 # --- hypotheses: a document is a hypothesis of the clip that its source names
 
 _HYP = "h AS (SELECT source, doc_id, text, -n_chars / 100 AS score, n_chars // 5 AS tokens FROM documents)"
@@ -189,13 +206,15 @@ def clip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_HYP}, j AS (SELECT doc_id, lang, n_chars FROM documents)
-SELECT doc_id, '{{"text":"' || lang || '","frames_processed":' || (n_chars % 40) || CASE WHEN n_chars % 3 = 0 THEN ',"error":"too short"' ELSE '' END || CASE WHEN n_chars % 2 = 0 THEN ',"diagnostics":{{"lang":"' || lang || '"}}' ELSE '' END || '}}' AS json FROM j"""
+    f"""WITH {_HYP}, j AS (SELECT doc_id, lang, source, n_chars FROM documents)
+SELECT doc_id, '{{"text":"' || lang || '","frames_processed":' || (n_chars % 40) || CASE WHEN n_chars % 3 = 0 THEN ',"error":"too short"' ELSE '' END || CASE WHEN n_chars % 2 = 0 THEN ',"diagnostics":{{"lang":"' || lang || '"' || CASE WHEN n_chars % 4 = 0 THEN ',"source":"' || source || '"' ELSE '' END || '}}' ELSE '' END || '}}' AS json FROM j"""
 )
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     rows = table(spark, sf_dir, "documents")
-    more = F.when(n % 2 == 0, F.create_map(F.lit("lang"), F.col("lang"))).otherwise(F.create_map().cast("map<string,string>"))
+    none = F.create_map().cast("map<string,string>")
+    # the second map's language is the one that counts
+    more = F.when(n % 2 == 0, nbest.merged(F.create_map(F.lit("lang"), F.lit("??")), F.create_map(F.lit("lang"), F.col("lang")), F.when(n % 4 == 0, F.create_map(F.lit("source"), F.col("source"))).otherwise(none))).otherwise(none)
     error = F.when(n % 3 == 0, "too short").otherwise("")
     return rows.select("doc_id", nbest.result_json(F.col("lang"), F.lit(None).cast("double"), n % 40, error, more).alias("json"))
 
@@ -271,6 +290,29 @@ def mouth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", box).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("b.width").alias("w"), F.col("b.height").alias("h"), "b.x", "b.y")
 
 
+@query(
+    f"""WITH {KEYPOINTS_SQL}, q AS (SELECT vec_id, points[1] * 100 AS ax, points[3] * 100 AS bx, points[2] * 100 AS ay, points[4] * 100 AS by_, points[5] * 100 AS ux, points[7] * 100 AS lx FROM keypoints),
+d AS (SELECT *, sqrt((ax - bx) ** 2 + (ay - by_) ** 2) >= 15 AS fits, greatest(8, round_even((40 + vec_id % 30) * 0.45, 0)) AS w FROM q)
+SELECT vec_id, CASE WHEN fits THEN floor(least(ux, lx)) ELSE round_even(ux - w / 2, 0) END::INT AS x, CASE WHEN fits THEN greatest(1, ceil(greatest(ux, lx)) - floor(least(ux, lx))) ELSE w END::INT AS width FROM d"""
+)
+def measured_or_approximate_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lips' own box where the eyes are far enough apart to measure them, else one about the upper lip, sized by the face."""
+    mesh = F.transform(_points(), lambda p: F.struct((p["x"] * 100).alias("x"), (p["y"] * 100).alias("y")))
+    rows = keypoints(spark, sf_dir).select("vec_id", mesh.alias("mesh"))
+    contour = F.when(geometry.distance(F.col("mesh")[0], F.col("mesh")[1]) >= 15, F.slice("mesh", 3, 2))
+    face = geometry.box(F.lit(0), F.lit(0), 40 + F.col("vec_id") % 30, F.lit(60))
+    box = geometry.best_mouth_box(contour, F.col("mesh")[2], face)
+    return rows.select("vec_id", box["x"].alias("x"), box["width"].alias("width"))
+
+
+@query("SELECT event_id, event_type <> 'error' AS detected, CASE WHEN event_type <> 'error' THEN value END AS value FROM events")
+def frame_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames with their detection, if any: events that are no errors detect."""
+    rows = table(spark, sf_dir, "events")
+    found = rows.where("event_type <> 'error'").select("event_id", "value")
+    return tracking.with_detections(rows.select("event_id"), found, ["event_id"], "value").select("event_id", "detected", "value")
+
+
 @query(
     """SELECT p_partkey, CASE WHEN greatest(w, h) <= 640 THEN w ELSE greatest(1, round_even(w * (640 / greatest(w, h)), 0)) END::INT AS width, CASE WHEN greatest(w, h) <= 640 THEN h ELSE greatest(1, round_even(h * (640 / greatest(w, h)), 0)) END::INT AS height
 FROM (SELECT p_partkey, p_size * 40 AS w, 1 + p_partkey % 900 AS h FROM part)"""
@@ -369,18 +411,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", rows.alias("image"))
 
 
-@query("SELECT vec_id, " + ", ".join(f"round((abs(embedding[{r * 8 + c + 1}]::DOUBLE) * 100 / 255 - 0.421) / 0.165, 6) AS p{r}{c}" for r in (1, 4, 6) for c in (1, 6)) + " FROM embeddings")
+@query("SELECT vec_id, " + ", ".join(f"round((abs(embedding[{r * 8 + c + 1}]::DOUBLE) * 100 / 255 - 0.421) / 0.165, 6) AS p{r}{c}" for r in range(1, 7) for c in range(1, 7)) + " FROM embeddings")
 def normalised_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The middle 6 x 6 pixels in standard units; some of them are shown."""
+    """The middle 6 x 6 pixels in standard units."""
     rows = images(spark, sf_dir).select("vec_id", tensor.normalise(tensor.centre_crop(F.col("image"), 6)).alias("t"))
-    return rows.select("vec_id", *(F.round(F.col("t")[r - 1][c - 1], 6).alias(f"p{r}{c}") for r in (1, 4, 6) for c in (1, 6)))
+    return rows.select("vec_id", *(F.round(F.col("t")[r - 1][c - 1], 6).alias(f"p{r}{c}") for r in range(1, 7) for c in range(1, 7)))
 
 
-@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: round_even(greatest(0, least(1, x::DOUBLE * 0.165 + 0.421)) * 255, 0)::INT))::BIGINT AS total FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: round_even(greatest(0, least(1, x::DOUBLE * 0.165 + 0.421)) * 255, 0)::INT), ',') AS pixels FROM embeddings")
 def denormalised_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.transform("embedding", lambda x: x.cast("double")), i * 8 + 1, 8))
     whole = F.flatten(tensor.denormalise(raw))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(whole, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(whole, ",").alias("pixels"))
 
 
 @query("SELECT label, count(*) AS frames, 8 AS height, 8 AS width, true AS regular, 3 AS channels FROM embeddings GROUP BY label")
@@ -474,9 +516,22 @@ def manifest_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(stems, "doc_id").select("doc_id", "quality", "transcript")
 
 
-@query("SELECT count(*) AS rows FROM lineitem")
+@query("SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE lineitem)) AS columns, 1::BIGINT AS files, true AS by_footers FROM lineitem")
 def describe_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.describe(spark, f"{sf_dir}/lineitem.parquet").agg(F.sum("rows").alias("rows"))
+    """Rows, columns and files of a dataset; the footers, with their row groups, tell as many rows as a scan."""
+    path = f"{sf_dir}/lineitem.parquet"
+    scanned = files.describe(spark, path).agg(F.sum("rows").alias("rows"))
+    told = files.row_groups(spark, path).agg(F.sum("rows").alias("rows"), F.max("columns").cast("long").alias("columns"), F.count("*").alias("files"), F.min("row_groups").alias("least")).first()
+    return scanned.select("rows", F.lit(told.columns).alias("columns"), F.lit(told.files).alias("files"), ((F.col("rows") == told.rows) & F.lit(told.least > 0)).alias("by_footers"))
+
+
+@query("SELECT 'sample_' || CASE WHEN doc_id < 10 THEN '0' ELSE '' END || doc_id AS file, n_chars AS frames, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS transcript FROM documents")
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest as it is written, read again by its schema."""
+    rows = table(spark, sf_dir, "documents").select(F.format_string("sample_%02d", "doc_id").alias("file"), F.col("n_chars").cast("int").alias("frames"), F.lit(30.0).alias("fps"), F.btrim("text", F.lit(" \t\n\r")).alias("transcript"))
+    folder = folder_of(spark, "manifest")
+    files.write_manifest(rows, folder)
+    return files.read_manifest(spark, folder, lines=True).select("file", "frames", "transcript")
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM orders) SELECT o_orderkey, p // s AS nth, p // s // 4 AS sheet_row, (p // s) % 4 AS sheet_column FROM (SELECT o_orderkey, o_orderkey AS p, greatest(1, n // 12) AS s FROM orders, n) WHERE p % s = 0 AND p < s * 12")
@@ -508,11 +563,11 @@ def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.compare_keys(present, required, "key", ("n1",))
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 5000)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def missing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations without a rich machinery customer."""
-    present = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY' and c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, sf_dir, "nation").join(present, "n_nationkey", "left_anti").select("n_name")
+    """Parts that no large order line has."""
+    present = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return files.missing(table(spark, sf_dir, "part"), present, "p_partkey").select("p_partkey", "p_name")
 
 
 @query(
@@ -524,10 +579,22 @@ def catalogue_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.look_up(table(spark, sf_dir, "supplier"), catalog, "s_nationkey", "n_name").select("s_suppkey", "n_name", "error")
 
 
-@query("SELECT c_mktsegment AS name, bool_or(c_acctbal > 9990) AS implemented FROM customer GROUP BY 1")
+@query(
+    """WITH u AS (SELECT c_mktsegment AS name, count(*) AS uses FROM customer GROUP BY 1)
+SELECT name, uses, name IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AS registered, name IN ('BUILDING', 'MACHINERY') AS implemented,
+CASE WHEN name IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN '' ELSE 'Unknown model ' || chr(39) || name || chr(39) || '. Known: AUTOMOBILE, BUILDING, MACHINERY' END AS error FROM u ORDER BY name"""
+)
 def implemented_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a name is registered with an implementation."""
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.bool_or(F.col("c_acctbal") > 9990).alias("implemented"))
+    """What the registry says of every name in use, sorted: registered, implemented, or an error that lists the known ones."""
+    registry = scorers.Registry()
+    for name in ("BUILDING", "MACHINERY"):
+        registry.register(name, lambda: lambda rows: [])
+    registry.register("AUTOMOBILE", None)
+    known = spark.createDataFrame(list(registry.available().items()), "name string, implemented boolean")
+    names = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("uses"))
+    rows = names.join(F.broadcast(known), "name", "left").withColumn("registered", F.col("implemented").isNotNull())
+    unknown = F.concat(F.lit("Unknown model '"), F.col("name"), F.lit(f"'. Known: {', '.join(registry.available())}"))
+    return rows.select("name", "uses", "registered", F.coalesce("implemented", F.lit(False)).alias("implemented"), F.when(F.col("registered"), "").otherwise(unknown).alias("error")).orderBy("name")
 
 
 @query("SELECT doc_id AS clip_id, CASE WHEN toxic = 1 THEN 'quiet' ELSE 'speech' END AS label, 'labels' AS origin FROM labels UNION ALL SELECT item_id, 'speech', 'benchmark' FROM benchmark")

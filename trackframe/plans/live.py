@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from trackframe.functions.timing import seconds
 from trackframe.params import Live
 from trackframe.plans import clips
 from trackframe.plans.streams import _SEGMENTS
-from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL, WEEK, events
+from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL, WEEK, events, folder_of
 from trackframe.streaming import live, scorers
 
 QUERIES: dict = {}
@@ -30,10 +27,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='trackframe-live-')).rstrip('/')}/live-{uuid.uuid4().hex}"
+    return folder_of(spark, "live")
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,19 @@ def segment_frames_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("stream_id", "sequence", "event_id")
 
 
+@query(
+    f"""{_SEGMENTS}, k AS (SELECT * FROM events_ WHERE value >= 90), n AS (SELECT *, round_even(least(end_time - start_time + 3600, 300000) * {GRID_FPS}, 0) AS wanted FROM segments),
+j AS (SELECT n.stream_id, sequence, event_id, t, wanted, t >= start_time - 3600 AS own FROM n JOIN k ON n.stream_id = k.stream_id AND t <= end_time),
+r AS (SELECT *, bool_or(own) OVER (PARTITION BY stream_id, sequence) AS has FROM j)
+SELECT stream_id, sequence, event_id FROM r WHERE own = has QUALIFY row_number() OVER (PARTITION BY stream_id, sequence ORDER BY t DESC) <= wanted"""
+)
+def segment_frames_or_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a capture that kept loud frames only: a segment without frames takes the last ones before its end."""
+    kept = events(spark, sf_dir).where("value >= 90")
+    joined = segments.collect_by_count(event_segments(spark, sf_dir), kept, "stream_id", "t", 3600.0, P.max_length, GRID_FPS, 300_000.0)
+    return joined.select("stream_id", "sequence", "event_id")
+
+
 @query(
     f"""WITH {EVENTS_SQL}, h AS (SELECT event_id, stream_id, last_value(aperture IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS aperture FROM events_)
 SELECT event_id, stream_id, aperture, CASE WHEN aperture IS NULL THEN 'no value yet' END AS error FROM h"""
@@ -178,6 +191,18 @@ def rolling_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.latest(events(spark, sf_dir), "stream_id", "t", 20).select("stream_id", "event_id", "recency")
 
 
+@query(f"WITH {EVENTS_SQL} SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t DESC) AS recency FROM events_ QUALIFY recency <= round_even(1.5 * 5, 0)")
+def buffer_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of the last second and a half, counted at five a second."""
+    return timeseries.window_of(events(spark, sf_dir), "stream_id", "t", 1.5, 5.0).select("stream_id", "event_id", "recency")
+
+
+@query(f"WITH {EVENTS_SQL}, h AS (SELECT * FROM events_ QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY t DESC) <= 40) SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS position FROM h")
+def buffer_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a buffer of eight seconds at five frames a second holds, oldest first."""
+    return timeseries.drain(events(spark, sf_dir), "stream_id", "t", 8.0, 5.0).select("stream_id", "event_id", "position")
+
+
 @query(f"WITH {EVENTS_SQL} SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS position FROM events_ QUALIFY position <= 5")
 def buffer_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.oldest(events(spark, sf_dir), "stream_id", "t", 5).select("stream_id", "event_id", "position")

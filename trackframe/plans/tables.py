@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,14 @@ EVENT_PARAMS = Segmenting(start=50.0, stop=25.0, hangover=86400.0, min_length=72
 WEEK = 7 * 86400.0
 
 
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or of this process in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='trackframe-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

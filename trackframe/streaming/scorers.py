@@ -15,26 +15,32 @@ from trackframe.functions.tensor import MEAN, STD
 #: A scorer takes a clip's frames (one row each, in order) and returns [(text, score, token_ids)].
 Scorer = Callable[[pd.DataFrame], list[tuple[str, float, list[int]]]]
 RESULT = "clip_id string, frames long, hypotheses array<struct<text:string,score:double,token_ids:array<int>>>, error string"
-_FACTORIES: dict[str, tuple[Callable[[], Scorer] | None, bool]] = {}
 
 
-def register(name: str, factory: Callable[[], Scorer] | None, implemented: bool = True) -> None:
-    """Register the factory of a scorer; a stub has none."""
-    _FACTORIES[name] = (factory, implemented and factory is not None)
+class Registry:
+    """Scorer factories by name; a stub has none."""
 
+    def __init__(self) -> None:
+        self.factories: dict[str, tuple[Callable[[], Scorer] | None, bool]] = {}
 
-def available() -> dict[str, bool]:
-    """Names and whether they are implemented."""
-    return {name: _FACTORIES[name][1] for name in sorted(_FACTORIES)}
+    def register(self, name: str, factory: Callable[[], Scorer] | None, implemented: bool = True) -> None:
+        self.factories[name] = (factory, implemented and factory is not None)
 
+    def available(self) -> dict[str, bool]:
+        """Names, sorted, and whether they are implemented."""
+        return {name: self.factories[name][1] for name in sorted(self.factories)}
 
-def create(name: str) -> Callable[[], Scorer]:
-    if name not in _FACTORIES:
-        raise KeyError(f"Unknown model '{name}'. Known: {', '.join(sorted(_FACTORIES))}")
-    factory, implemented = _FACTORIES[name]
-    if not implemented:
-        raise NotImplementedError(name)
-    return factory
+    def create(self, name: str) -> Callable[[], Scorer]:
+        if name not in self.factories:
+            raise KeyError(f"Unknown model '{name}'. Known: {', '.join(sorted(self.factories))}")
+        factory, implemented = self.factories[name]
+        if not implemented:
+            raise NotImplementedError(name)
+        return factory
+
+
+_SHARED = Registry()
+register, available, create = _SHARED.register, _SHARED.available, _SHARED.create
 
 
 def transcribe(frames: DataFrame, clip: str, order: str, factory: Callable[[], Scorer], most_frames: int | None = None) -> DataFrame:
