@@ -250,13 +250,14 @@ class Reader(DataSourceReader):
         key, n_bytes = json.loads(info.comment or b"[null, null]")
 
         def fetch(attempt: int):
-            raw = block[1][info.header_offset - block[0] :][: HEAD_BYTES + info.compress_size] if attempt == 1 else b""
-            if not raw:
+            raw, at = block[1], info.header_offset - block[0]
+            if attempt > 1 or not raw:
                 with fs.open_input_file(archive) as f:
-                    raw = f.read_at(HEAD_BYTES + info.compress_size, info.header_offset)
-            name, extra = struct.unpack("<HH", raw[26:30])
-            media = raw[30 + name + extra :][: info.compress_size]
-            if raw[:4] != b"PK\x03\x04" or zlib.crc32(media) != info.CRC:
+                    raw, at = f.read_at(HEAD_BYTES + info.compress_size, info.header_offset), 0
+            name, extra = struct.unpack("<HH", raw[at + 26 : at + 30])
+            start = at + 30 + name + extra
+            media = raw[start : start + info.compress_size]
+            if raw[at : at + 4] != b"PK\x03\x04" or zlib.crc32(media) != info.CRC:
                 raise ValueError("damaged member")
             return media, from_png(media)
 
