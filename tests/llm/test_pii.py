@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from trackframe.llm import pii
+from trackframe.llm.common import apart
 from trackframe.llm.queries import op7_personal_data
 
 
@@ -184,3 +187,25 @@ def test_spans_equal_brute_force_and_recall(spark):
     extra = sum(len(found[i]) for i, (_, span) in enumerate(docs) if not span)
     print("recall", recall, "of ordinary rows", extra)
     assert recall >= 0.9 and not extra
+
+
+def test_tokens_apart_from_spans_equal_all_pairs(spark):
+    rnd = random.Random(9)
+
+    def stretches(n, size):
+        cuts = sorted(rnd.sample(range(size), 2 * n))
+        return [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+
+    rows = [([], []), ([(0, 3)], []), ([], [(0, 3)]), ([(0, 3)], [(3, 5)]), ([(3, 5)], [(0, 3)]), ([(3, 5), (1, 9)], [(0, 2), (4, 5), (9, 11)])]
+    rows += [(stretches(a, 9000) + stretches(c, 9000), stretches(b, 9000)) for a, b, c in [(1, 9, 0), (400, 700, 3), (700, 2000, 200), (3, 1500, 3), (1024, 512, 0)]]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s array<struct<start:long,end:long>>, o array<struct<start:long,end:long>>")
+    got = {r.i: [tuple(x) for x in r.f] for r in frame.select("i", apart(F.col("s"), F.col("o")).alias("f")).collect()}
+    assert got == {i: [(a, b) for a, b in o if not any(c < b and a < d for c, d in s)] for i, (s, o) in enumerate(rows)}
+
+
+def test_a_long_text_full_of_identifiers(spark):
+    text = " ".join(f"from 10.{i % 250}.{i // 250}.7 user K{i * 7919 % 100003:05d}x" for i in range(6000))
+    docs = [(1, text), (2, "no more")]
+    rows = pii.digests(pii.scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    check(rows, docs)
+    assert {r.id: r.n_ip for r in rows} == {1: 6000, 2: 0}

@@ -117,25 +117,67 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _sum(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
-def prefix_sums(lengths: Column) -> Column:
-    """Sums of the first 0, 1, 2, ... entries of a non-empty array of longs.
+def prefixes(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` (a sum, a maximum) over the first 0, 1, 2, ... entries of a non-empty array of longs; over none it is 0.
 
     Works in chunks, so an array of n entries costs n * 512 copies and not n * n.
     """
-    chunk = 512
-    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    chunk, zero = 512, F.lit(0).cast("long")
+    add = lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
     cut = lambda a: F.transform(F.sequence(F.lit(1), F.size(a), F.lit(chunk)), lambda i: F.slice(a, i, chunk))
 
     def chunked(chunks: Column) -> Column:
-        totals = F.aggregate(F.transform(chunks, _sum), F.array(F.lit(0).cast("long")), add)
+        totals = F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, zero, step)), F.array(zero), add)
         inner = let(totals, lambda t: F.zip_with(chunks, F.slice(t, F.lit(1), F.size(chunks)), lambda c, b: F.slice(F.aggregate(c, F.array(b), add), F.lit(2), F.size(c))))
-        return F.concat(F.array(F.lit(0).cast("long")), F.flatten(inner))
+        return F.concat(F.array(zero), F.flatten(inner))
+
+    return let(cut(values), chunked)
+
+
+def prefix_sums(lengths: Column) -> Column:
+    """Sums of the first 0, 1, 2, ... entries of a non-empty array of longs."""
+    return prefixes(lengths, lambda a, x: a + x)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Of ``others`` (structs with start and end, in order and apart from each other) those that overlap none of ``spans``.
+
+    One pass over both in the order of the text, so a long text with many of either costs no more than its length.
+    """
+    event = lambda at, late, reach: F.struct(at.alias("at"), F.lit(late).alias("late"), reach.alias("reach"))
+    # an entry of ``others`` stands before a span that begins where it ends; they keep their order
+    events = F.array_sort(F.concat(F.transform(spans, lambda x: event(x["start"], 1, x["end"])), F.transform(others, lambda x: event(x["end"], 0, x["start"]))))
+
+    def free(es: Column) -> Column:
+        reached = prefixes(F.transform(es, lambda e: F.when(e["late"] == 1, e["reach"]).otherwise(F.lit(0).cast("long"))), lambda a, x: F.greatest(a, x))
+        seen = F.zip_with(es, F.slice(reached, F.lit(1), F.size(es)), lambda e, r: F.when(e["late"] == 0, r <= e["reach"]))
+        return F.filter(seen, lambda x: x.isNotNull())
+
+    kept = F.filter(F.zip_with(others, let(events, free), lambda x, ok: F.struct(x.alias("x"), ok.alias("ok"))), lambda p: p["ok"])
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), F.transform(kept, lambda p: p["x"])).otherwise(others)
+
+
+#: Code points of a block of a text.
+BLOCK = 2048
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of ``BLOCK`` code points, so that ``part`` need not count them from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to before ``end`` of a text that ``blocks`` cut."""
+    number = lambda at: F.floor(at / BLOCK).cast("int")
+    block = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    inner = lambda v: F.substring(block(v["first"]), v["skip"], (end - start).cast("int"))
+
+    def across(v: Column) -> Column:
+        middle = F.array_join(F.slice(pieces, v["first"] + 2, v["last"] - v["first"] - 1), "")
+        return F.concat(F.substring(block(v["first"]), v["skip"], F.lit(BLOCK)), middle, F.substring(block(v["last"]), F.lit(1), (end % BLOCK).cast("int")))
 
-    return let(cut(lengths), chunked)
+    at = F.struct(number(start).alias("first"), number(end).alias("last"), (start % BLOCK + 1).cast("int").alias("skip"))
+    return let(at, lambda v: F.when(v["first"] == v["last"], inner(v)).otherwise(across(v)))
 
 
 SPAN = "array<struct<start:bigint,end:bigint,match:string,part:string,before:string,after:string>>"

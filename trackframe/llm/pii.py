@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import as_spans, join_unique, let, materialize, regex_spans, span_list
+from trackframe.llm.common import apart, as_spans, join_unique, let, materialize, regex_spans, span_list
 
 # The base kinds. The possessive forms and looks at the character before match what
 # the plain ones do, [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and the like, without
@@ -86,20 +86,20 @@ def patterns(before: Column, after: Column) -> Column:
 
 
 def occurrences(base: Column, tokens: Column) -> Column:
-    """Seeds and identifier-like tokens with their patterns: array of (start, end, seed, instance, patterns)."""
-    row = lambda x, end, value, seed: F.struct(
-        x["start"].alias("start"), end.alias("end"), F.lit(seed).alias("seed"), F.xxhash64(value).alias("instance"), patterns(x["before"], x["after"]).alias("patterns")
+    """Seeds, and the identifier-like tokens that overlap none, with their patterns: array of (start, end, seed, instance, patterns)."""
+    row = lambda x, seed: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.lit(seed).alias("seed"), F.xxhash64(x["match"]).alias("instance"), patterns(x["before"], x["after"]).alias("patterns")
     )
-    seeds = F.transform(base, lambda x: row(x, x["end"], x["match"], True))
 
     def trimmed(x: Column) -> Column:
-        return F.regexp_replace(x["match"], r"[._%+/#-]+\z", "")
+        match = F.regexp_replace(x["match"], r"[._%+/#-]+\z", "")
+        return let(match, lambda t: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(t)).alias("end"), t.alias("match"), x["before"].alias("before"), x["after"].alias("after")))
 
     def shaped(x: Column) -> Column:
         return F.char_length(F.regexp_replace(x["match"], "[^0-9]", "")) >= TOKEN_DIGITS
 
-    others = F.transform(F.filter(tokens, shaped), lambda x: let(trimmed(x), lambda t: row(x, x["start"] + F.char_length(t), t, False)))
-    return F.concat(seeds, others)
+    others = let(F.transform(F.filter(tokens, shaped), trimmed), lambda found: apart(base, found))
+    return F.concat(F.transform(base, lambda x: row(x, True)), F.transform(others, lambda x: row(x, False)))
 
 
 def confidences(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -141,12 +141,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         occurrences(F.concat(*KINDS), F.col("tokens")).alias("seen"),
     )
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "personal")
-    seen = rows.select("row", "base", F.explode("seen").alias("s")).select("row", "base", "s.*")
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    free = seen.where(F.col("seed") | free)
-    edges = free.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     good = confidences(materialize(edges, "edges")).where(F.col("confidence") >= CONFIDENCE).select("pattern", "n")
-    new = join_unique(free.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern")), good, "pattern")
+    new = join_unique(seen.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern")), good, "pattern")
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("context").alias("kind"), "end")
     new = new.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("found"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
