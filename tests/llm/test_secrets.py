@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import same
 from trackframe.llm import secrets
+from trackframe.llm.common import BLOCK
 from trackframe.llm.queries import ORACLES, op1_secret_scans
 
 
@@ -180,3 +181,26 @@ def test_masks(spark):
     rows = [("é𝒳cdef", span((1, 2), (4, 5)), "é<SECRET>cd<SECRET>f"), ("abcdef", span((0, 3), (2, 4), (4, 6)), "<SECRET><SECRET>"), ("abc", [], "abc"), ("abc", span((0, 3), (0, 3), (0, 1)), "<SECRET>")]
     got = spark.createDataFrame([r[:2] for r in rows], kind).select(secrets.masked(F.col("t"), F.col("s"))).collect()
     assert [r[0] for r in got] == [r[2] for r in rows]
+
+
+def test_masks_of_long_texts_equal_plain_slicing(spark):
+    rnd = random.Random(8)
+
+    def plain(text, spans):
+        out, at = [], 0
+        for a, b in sorted(spans):
+            if a >= at:
+                out.append(text[at:a])
+            at = max(at, b)
+        return "<SECRET>".join([*out, text[at:]])
+
+    rows = []
+    for size in (1, 2, 40, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK, 5 * BLOCK + 7):
+        for n in (0, 1, 2, 9, 700):
+            text = "".join(rnd.choices("ab \n漢𝒳é", k=size))
+            cuts = [sorted(rnd.sample(range(size + 1), 2)) for _ in range(n)]
+            rows.append((text, cuts + [[0, size]] * (n == 2)))
+    rows.append(("x" * (4 * BLOCK), [[0, BLOCK], [BLOCK, 2 * BLOCK], [4 * BLOCK - 1, 4 * BLOCK]]))
+    frame = spark.createDataFrame([(i, t, [(a, 0, "k", b) for a, b in c]) for i, (t, c) in enumerate(rows)], "i int, t string, s array<struct<start:long,rank:int,kind:string,end:long>>")
+    got = {r.i: r.m for r in frame.select("i", secrets.masked(F.col("t"), F.col("s")).alias("m")).collect()}
+    assert got == {i: plain(*row) for i, row in enumerate(rows)}

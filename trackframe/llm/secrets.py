@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import as_spans, let, materialize, regex_spans, span_list
+from trackframe.llm.common import as_spans, blocks, let, materialize, part, prefixes, regex_spans, span_list
 
 # The base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -190,16 +190,16 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def masked(text: Column, spans: Column, mask: str = "<SECRET>") -> Column:
     """``text`` with the union of ``spans`` replaced; overlapping spans give one mask."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("gaps"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.array(F.struct(acc["at"].alias("a"), x["start"].alias("b")))
-        inside = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["gaps"].alias("gaps"))
-        apart = F.struct(x["end"].alias("at"), F.concat(acc["gaps"], gap).alias("gaps"))
-        return F.when((x["start"] >= acc["at"]) & ((x["start"] > 0) | (acc["at"] == 0)), apart).otherwise(inside)
 
     def joined(v: Column) -> Column:
-        kept = F.transform(v["gaps"], lambda g: F.substring(text, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")))
-        return F.concat(F.array_join(F.concat(kept, F.array(F.lit(""))), mask), F.substring(text, (v["at"] + 1).cast("int"), F.char_length(text)))
+        n = F.size(v["spans"])
+        reached = prefixes(F.transform(v["spans"], lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+
+        def cut(at: Column) -> Column:
+            gaps = F.zip_with(v["spans"], F.slice(at, F.lit(1), n), lambda x, a: F.when(x["start"] >= a, part(v["blocks"], a, x["start"])))
+            return F.array_join(F.concat(F.filter(gaps, lambda g: g.isNotNull()), F.array(part(v["blocks"], F.element_at(at, -1), v["size"]))), mask)
+
+        return let(reached, cut)
 
-    return F.when(F.size(spans) > 0, let(F.aggregate(F.array_sort(spans), start, step), joined)).otherwise(text)
+    whole = F.struct(F.array_sort(spans).alias("spans"), blocks(text).alias("blocks"), F.char_length(text).cast("long").alias("size"))
+    return F.when(F.size(spans) > 0, let(whole, joined)).otherwise(text)
