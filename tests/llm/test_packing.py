@@ -104,3 +104,13 @@ def test_added_tokens_equal_the_other_library_by_default(spark, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in op4_best_fit_packing(spark, str(tmp_path)).collect()} == want
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_ranks_are_gapless_in_every_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
+    lengths = [5] * 300 + [1] * 6 + [9] * 7 + [1024]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "id long, piece int, start long, length long, ids_crc32 long")
+    found = {}
+    for r in packing._ranked(pieces, {5: 300, 1: 6, 9: 7, 1024: 1}).collect():
+        found.setdefault(r.length, []).append(r.rank)
+    assert {n: sorted(x) for n, x in found.items()} == {n: list(range(lengths.count(n))) for n in set(lengths)}

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import materialize, small_batches
 from trackframe.llm.tokens import ids_of
 
-#: About as many rows are ranked together.
-BUCKET_ROWS = 20_000
+#: About as many rows of one length are ranked together.
+BUCKET_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -120,11 +120,11 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows) or np.empty((0, 5)), np.int64).reshape(-1, 5)
 
 
-def _ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """``pieces`` with ``rank``, gapless from 0 within each length."""
-    buckets = 1 + total // BUCKET_ROWS
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with ``rank``, gapless from 0 within each length; the buckets of a length follow its own count."""
+    buckets = F.lit([1 + counts.get(n, 0) // BUCKET_ROWS for n in range(max(counts, default=0) + 1)])
     order = ["id", "piece", "start", "ids_crc32"]
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.get(buckets, F.col("length").cast("int"))))
     sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -150,7 +150,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
         nth = rank - at[:, 1]
         return pd.DataFrame({"sequence_id": at[:, 2] + nth // at[:, 3], "offset": at[:, 4] + nth % at[:, 3] * length})
 
-    ranked = _ranked(pieces, sum(counts.values()))
+    ranked = _ranked(pieces, counts)
     placed = ranked.withColumn("place", place("length", "rank"))
     return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
 
