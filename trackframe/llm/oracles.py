@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from trackframe.llm import licenses, secrets, warc
+from trackframe.llm import licenses, reputation, secrets, warc
 
 
 #: After a comment mark, which a line may lack.
@@ -137,7 +137,48 @@ SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KIND
 FROM texts t LEFT JOIN digests d ON t.doc_id = d.doc_id"""
 
 
+def _reputation_sql() -> str:
+    """The levels and the incomplete beta function in plain SQL, one expression for each distinct host."""
+    r, parts = reputation, _quote(reputation._PARTS)
+    least, most = 1 / (1 + r.MOST), 1 / (1 + r.LEAST)
+    fits = lambda x: f"((host = '{x.host}' OR ends_with(host, '.{x.host}')) AND starts_with(path, '{x.path}'))"
+    rules = sorted(r.RULES, key=lambda x: (-len(x.host + x.path), x.verdict == "allow"))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(x)} THEN '{value(x)}'" for x in rules) + " END"
+    two = rf"(?:\A|\.)((?:{'|'.join(r.SECOND_LEVEL)})\.[a-z]{{2}})\z"
+    suffix = rf"CASE WHEN regexp_matches(bare, '\A[0-9.]*\z|[\[\]]') THEN bare WHEN regexp_matches(bare, '{two}') THEN regexp_extract(bare, '{two}', 1) ELSE string_split(bare, '.')[-1] END"
+    domain = "CASE WHEN suffix = bare THEN bare ELSE array_to_string(string_split(bare, '.')[-1 - len(string_split(suffix, '.')):], '.') END"
+
+    def strength(groups: str, parent: str) -> str:
+        return f"""(SELECT CASE WHEN coalesce(sum(room), 0) <= 0 THEN {r.UNKNOWN} ELSE (1 - least(greatest(sum(spread) / sum(room), {least!r}), {most!r})) / least(greatest(sum(spread) / sum(room), {least!r}), {most!r}) END
+          FROM (SELECT rates - hits * hits / total - (k - 1) * hits / total * (1 - hits / total) AS spread, (total - squares / total - (k - 1)) * hits / total * (1 - hits / total) AS room
+            FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS total, sum(bad)::DOUBLE AS hits, sum(n::DOUBLE * n) AS squares, sum(bad::DOUBLE * bad / n) AS rates FROM {groups} WHERE n > 0 GROUP BY {parent}) WHERE k > 1))"""
+
+    e = "(CASE WHEN e.k % 2 = 0 THEN e.k // 2 * (q - e.k // 2) ELSE -(p + e.k // 2) * (p + q + e.k // 2) END * x / ((p + e.k - 1) * (p + e.k)))"
+    fraction = f"list_reduce(list_transform(range(2, (61 + 6 * sqrt(p + q))::BIGINT), lambda k: {{'k': k, 'c': 1.0::DOUBLE, 'd': 1.0::DOUBLE, 'h': 1.0::DOUBLE}}), lambda acc, e: {{'k': e.k, 'c': 1 + {e} / acc.c, 'd': 1 / (1 + {e} * acc.d), 'h': acc.h * (1 + {e} / acc.c) / (1 + {e} * acc.d)}}, {{'k': 1::BIGINT, 'c': 1.0::DOUBLE, 'd': 1 / (1 - (p + q) * x / (p + 1)), 'h': 1 / (1 - (p + q) * x / (p + 1))}}).h"
+    return rf"""
+WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, {parts}, 1), '{r._UPPER}', '{r._LOWER}'), '') AS host, coalesce(regexp_extract(url, {parts}, 2), '') AS path FROM pages),
+labelled AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+told AS (SELECT host, bad FROM parts JOIN labelled ON doc_id = TRY_CAST(regexp_extract(path, '\A/[a-z]+/([0-9]+)', 1) AS BIGINT) WHERE host <> ''),
+counts AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM told GROUP BY host),
+hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, regexp_replace(regexp_replace(host, '\A.*@', ''), '\.?(?::[0-9]*)?\z', '') AS bare FROM (SELECT DISTINCT host FROM parts) LEFT JOIN counts USING (host)),
+suffixed AS (SELECT *, {suffix} AS suffix FROM hosts),
+named AS MATERIALIZED (SELECT *, {domain} AS domain FROM suffixed),
+domains AS MATERIALIZED (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix, domain),
+suffixes AS MATERIALIZED (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
+strengths AS MATERIALIZED (SELECT {strength("suffixes", "true")} AS w0, {strength("domains", "suffix")} AS w1, {strength("named", "domain")} AS w2, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM suffixes) AS m),
+top AS (SELECT suffix, (bad + w0 * m) / (n + w0) AS prior, w1, w2 FROM suffixes, strengths),
+middle AS (SELECT domain, (bad + w1 * prior) / (n + w1) AS prior, w2 FROM domains JOIN top USING (suffix)),
+posteriors AS (SELECT host, n, bad, bad + w2 * prior AS a, n - bad + w2 * (1 - prior) AS b FROM named JOIN middle USING (domain)),
+sides AS (SELECT *, {r.LIMIT} >= (a + 1) / (a + b + 2) AS flipped FROM posteriors),
+given AS (SELECT *, CASE WHEN flipped THEN b ELSE a END AS p, CASE WHEN flipped THEN a ELSE b END AS q, CASE WHEN flipped THEN 1 - {r.LIMIT} ELSE {r.LIMIT} END::DOUBLE AS x FROM sides),
+tails AS (SELECT *, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(x) + q * ln(1 - x)) / p * {fraction} AS tail FROM given),
+judged AS MATERIALIZED (SELECT host, n, bad, a / (a + b) AS rate, CASE WHEN flipped THEN tail ELSE 1 - tail END AS above FROM tails)
+SELECT page_id, host, path, {case(lambda x: x.host + x.path)} AS rule, coalesce({case(lambda x: x.verdict)}, CASE WHEN above >= {r.SURE} THEN 'block' ELSE 'allow' END) AS verdict,
+  n::BIGINT AS n_labelled, bad::BIGINT AS n_bad, round(rate, 6) AS bad_rate, round(above, 6) AS above_limit
+FROM parts JOIN judged USING (host)"""
+
+
 #: ``pages`` has no fetch date.
 WARC_DATE = "2025-01-01T00:00:00Z"
 
-ORACLES: dict[str, str] = {"op1_secret_scans": _secrets_sql(), "op5_license_scans": _licence_sql(), "op8_warc_derivatives": _warc_sql(WARC_DATE)}
+ORACLES: dict[str, str] = {"op1_secret_scans": _secrets_sql(), "op5_license_scans": _licence_sql(), "op8_warc_derivatives": _warc_sql(WARC_DATE), "op11_url_filters": _reputation_sql()}

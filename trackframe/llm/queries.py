@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontamination, licenses, media, packing, pii, quality, secrets, simhash, warc, wordpieces
+from trackframe.llm import alignment, decontamination, licenses, media, packing, periodicity, pii, quality, reputation, secrets, simhash, warc, wordpieces
 from trackframe.llm.common import spread
 from trackframe.llm.common import table as given
 from trackframe.llm.oracles import ORACLES, WARC_DATE
@@ -73,6 +73,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumnRenamed("id", "doc_id")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are those of the labelled documents that a page's path names."""
+    pages = given(spark, sf_dir, "pages")
+    outcomes = reputation.numbered_outcomes(pages, given(spark, sf_dir, "labels"))
+    found = reputation.judge(pages, outcomes).withColumnRenamed("id", "page_id")
+    return found.withColumns({c: F.round(c, 6) for c in ("bad_rate", "above_limit")})
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodicity.plant)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    found = alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_media_columns": op2_media_columns,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_url_filters": op11_url_filters,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
