@@ -1,20 +1,21 @@
 """Utterance segments: hysteresis, hangover, shortest and longest length.
 
-A frame that comes ``hangover`` or more after the last frame of at least ``stop``
-always leaves the segmenter idle, whatever went before. Streams are cut after such
-quiet frames into stretches of activity, which tasks walk independently. A task
-reads its frames in order, batch by batch, and holds a segmenter's small state, so a
-stream that never falls quiet costs time and no memory.
+``Hysteresis`` says what a segmenter does, frame by frame, and serves live streams. Whole streams are cut into chunks of time,
+which tasks walk at once (``scan``): a chunk may be entered idle, or with a segment that one of the frames of the last
+``max_length`` opened. A stream that never falls quiet is shared by all tasks like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.operators import scan
 from trackframe.operators.timeseries import carry, numbered
 from trackframe.params import Segmenting
 
@@ -58,51 +59,103 @@ class Hysteresis:
         return closed
 
 
+class _Openings:
+    """The frames of a chunk as jumps: from each frame that may open a segment to the frame that closes it, and on to the next opening.
+
+    When a segment closes depends on its opening alone: the first frame ``max_length`` after it, or the first ``hangover`` after
+    the last active frame, which is the same for all openings before it.
+    """
+
+    def __init__(self, t: np.ndarray, e: np.ndarray, own: int, p: Segmenting, high: float, low: float):
+        """``own`` is the chunk's first own row; those before it have not closed what they may have opened."""
+        self.t, self.p, self.n = t, p, t.size
+        self.loud = loud = np.flatnonzero(e >= high)
+        self.first = int(np.searchsorted(loud, own))
+        active = np.maximum.accumulate(np.where(e >= low, np.arange(t.size), -1))
+        silent = np.flatnonzero((active >= 0) & (t - t[active] >= p.hangover))
+        silent = np.append(silent[silent >= own], t.size)
+        long = np.searchsorted(t, t[loud] + p.max_length)
+        while (more := (long > 0) & (t[long - 1] - t[loud] >= p.max_length)).any():  # as subtraction rounds
+            long = long - more
+        while (more := (long < t.size) & (t[np.minimum(long, t.size - 1)] - t[loud] < p.max_length)).any():
+            long = long + more
+        later = np.maximum(loud + 1, own)
+        self.close = np.minimum(np.maximum(long, later), silent[np.searchsorted(silent, later)])
+        self.then = np.searchsorted(loud, self.close, "right")
+
+    def exits(self) -> dict[str | None, str | None]:
+        """The state at the chunk's end by the state at its beginning: the time of the opening frame, null if idle."""
+        exit_: list[str | None] = [None] * (self.loud.size + 1)
+        for i in range(self.loud.size - 1, -1, -1):
+            exit_[i] = exit_[self.then[i]] if self.close[i] < self.n else repr(float(self.t[self.loud[i]]))
+        found = {repr(float(self.t[self.loud[i]])): exit_[i] for i in range(self.first)}
+        return found | {None: exit_[self.first]}
+
+    def segments(self, entry: str | None, final: bool) -> Iterator[tuple[float, float, str]]:
+        """(start_time, end_time, reason) of what closes here."""
+        i = self.first if entry is None else int(np.searchsorted(self.t[self.loud], float(entry)))
+        while i < self.loud.size:
+            start, at = float(self.t[self.loud[i]]), int(self.close[i])
+            if at < self.n:
+                end = float(self.t[at])
+                reason = "max_length" if end - start >= self.p.max_length else "silence"
+            elif final:
+                end, reason = float(self.t[-1]), "stream_end"
+            else:
+                return
+            if reason == "max_length" or end - start >= self.p.min_length:
+                yield start, end, reason
+            i = int(self.then[i]) if at < self.n else self.loud.size
+
+
 def walk(frames: DataFrame, stream: str, p: Segmenting, thresholds: list[tuple[float, float]]) -> DataFrame:
     """(stream, setting, start_time, end_time, reason) of frames (stream, t, e); ``setting`` numbers the (start, stop) pairs.
 
-    The stretches are cut where the lowest stop is quiet, where all the others are then too.
+    Frames of one time are taken by rising energy.
     """
-    width = 64 * p.max_length
-    lowest = min(stop for _, stop in thresholds)
-    rows = carry(frames, stream, "t", F.when(F.col("e") >= lowest, F.col("t")), "_active", width)
-    quiet = F.col("_active").isNull() | (F.col("t") - F.col("_active") >= p.hangover)
-    # a stretch is named by the quiet frame before it; a quiet frame ends the stretch that the one before it began
-    rows = carry(rows, stream, "t", F.when(quiet, F.col("t")), "_stretch", width, strict=True)
-    rows = rows.select(F.col(stream).alias("key"), "_stretch", "t", "e").repartition("key", "_stretch").sortWithinPartitions("key", "_stretch", "t")
+    named = frames.select(F.col(stream).alias("key"), "t", "e")
+    rows = scan.chunks(named, "key", "t", 64 * p.max_length, p.max_length)
     kind = rows.schema["key"].dataType.simpleString()
 
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, states, out, key_type = None, [], [], None
-
-        def flushed() -> None:
-            for i, state in enumerate(states):
-                closed = state.flush()
-                if closed:
-                    out.append((at[0], i, *closed))
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (key_type, pa.int32(), pa.float64(), pa.float64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "setting", "start_time", "end_time", "reason"])
-
-        for rows_ in batches:
-            key_type = rows_.schema.field("key").type
-            for key, stretch, t, e in zip(*(rows_.column(n).to_pylist() for n in ("key", "_stretch", "t", "e")), strict=True):
-                if at != (key, stretch) or at is None:
-                    flushed()
-                    at, states = (key, stretch), [Hysteresis(p, *x) for x in thresholds]
-                for i, state in enumerate(states):
-                    closed = state.frame(t, e)
-                    if closed:
-                        out.append((key, i, *closed))
-            yield batch()
-            out = []
-        flushed()
-        if out:
-            yield batch()
-
-    found = rows.mapInArrow(folded, f"key {kind}, setting int, start_time double, end_time double, reason string")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, list[pa.RecordBatch]]]:
+        """(key, chunk, rows) of each chunk."""
+        parts: list[pa.RecordBatch] = []
+        for first, part in scan.by_chunk(batches):
+            if first and parts:
+                yield parts[0]["key"][0], parts[0]["_chunk"][0], parts
+                parts = []
+            parts.append(part)
+        if parts:
+            yield parts[0]["key"][0], parts[0]["_chunk"][0], parts
+
+    def openings(table: pa.Table) -> Iterator[_Openings]:
+        t, e, own = (table[n].to_numpy() for n in ("t", "e", "_own"))
+        for high, low in thresholds:
+            yield _Openings(t, e, int(own.size - own.sum()), p, high, low)
+
+    def rows_of(key: pa.Scalar, columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
+        arrays = {n: pa.array(x, k) for n, (k, x) in columns.items()}
+        length = len(next(iter(arrays.values())))
+        return pa.RecordBatch.from_arrays([pa.array([key.as_py()] * length, key.type), *arrays.values()], ["key", *arrays])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, chunk, parts in gathered(batches):
+            found = [(i, a, b) for i, o in enumerate(openings(pa.Table.from_batches(parts))) for a, b in o.exits().items()]
+            setting, entry, exit_ = map(list, zip(*found, strict=True))
+            yield rows_of(key, {"setting": (pa.int32(), setting), "chunk": (pa.int64(), [chunk.as_py()] * len(found)), "entry": (pa.string(), entry), "exit": (pa.string(), exit_)})
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, parts in gathered(batches):
+            table = pa.Table.from_batches(parts)
+            told = pc.is_valid(table["setting"])
+            entries = {r["setting"]: r for r in table.filter(told).select(["setting", "entry", "final"]).to_pylist()}
+            found = [(i, *s) for i, o in enumerate(openings(table.filter(pc.invert(told)))) for s in o.segments(entries[i]["entry"], entries[i]["final"])]
+            if found:
+                setting, start, end, reason = map(list, zip(*found, strict=True))
+                yield rows_of(key, {"setting": (pa.int32(), setting), "start_time": (pa.float64(), start), "end_time": (pa.float64(), end), "reason": (pa.string(), reason)})
+
+    maps = scan.dealt(rows, None, "t", "e").mapInArrow(mapped, f"key {kind}, setting int, chunk long, entry string, exit string")
+    found = scan.dealt(rows, scan.entered(maps, ["key", "setting"]), "t", "e").mapInArrow(walked, f"key {kind}, setting int, start_time double, end_time double, reason string")
     return found.withColumnRenamed("key", stream)
 
 

@@ -19,19 +19,25 @@ from pyspark.sql.window import WindowSpec
 def carry(df: DataFrame, stream: str, t: str, value: Column, name: str, width: float, back: bool = True, strict: bool = False) -> DataFrame:
     """Adds ``name``: the last non-null ``value`` up to and at a row's ``t``, or (not ``back``) the first from it on.
 
-    ``strict`` leaves the row itself out.
+    ``strict`` leaves the row itself out. A null stream is a stream like others; a row without a time is beside no other: it
+    has its own value, or none if ``strict``. Of several values at one time the largest is the last one (chance, if they hold maps, which have no order).
 
     ``width`` is the bucket's length in the unit of ``t``; it changes the work, not the result.
     """
     buckets = df.withColumn("_value", value).withColumn("_bucket", F.floor(F.col(t) / width))
     order = F.col(t) if back else F.col(t).desc()
-    inside = Window.partitionBy(stream, "_bucket").orderBy(order, F.col("_value").isNull()).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    rows = buckets.withColumn("_own", F.last("_value", ignorenulls=True).over(inside))
+    ties = [] if "map<" in buckets.schema["_value"].dataType.simpleString() else ["_value"]
+    # rows without a time are apart from each other, so each is its own window
+    alone = F.when(F.col("_bucket").isNull(), F.monotonically_increasing_id())
+    inside = Window.partitionBy(stream, "_bucket", "_alone").orderBy(order, F.col("_value").isNull(), *(F.col(c) if back else F.col(c).desc() for c in ties)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    rows = buckets.withColumn("_alone", alone).withColumn("_own", F.last("_value", ignorenulls=True).over(inside))
     pick = F.max_by if back else F.min_by
-    held = buckets.groupBy(stream, "_bucket").agg(pick("_value", F.when(F.col("_value").isNotNull(), F.col(t))).alias("_edge"))
+    at = F.struct(t, *ties)
+    held = buckets.where(F.col("_bucket").isNotNull()).groupBy(stream, "_bucket").agg(pick("_value", F.when(F.col("_value").isNotNull(), at)).alias("_edge"))
     along = Window.partitionBy(stream).orderBy(F.col("_bucket") if back else F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(stream, "_bucket", F.last("_edge", ignorenulls=True).over(along).alias("_carried"))
-    return rows.join(held, [stream, "_bucket"]).withColumn(name, F.coalesce("_own", "_carried")).drop("_value", "_bucket", "_own", "_carried")
+    held = held.select(F.col(stream).alias("_s"), F.col("_bucket").alias("_b"), F.last("_edge", ignorenulls=True).over(along).alias("_carried"))
+    joined = rows.join(held, F.col(stream).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
+    return joined.withColumn(name, F.coalesce("_own", "_carried")).drop("_value", "_bucket", "_alone", "_own", "_carried", "_s", "_b")
 
 
 def numbered(df: DataFrame, stream: str, order: str, width: float, name: str, total: str | None = None) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.operators.timeseries import along, blocks, carry
+from trackframe.operators import scan
+from trackframe.operators.timeseries import along, blocks
 
 
 def preferred(candidates: DataFrame, keys: list[str], priority: str) -> DataFrame:
@@ -43,45 +45,72 @@ def overlap(a: tuple, b: tuple) -> float:
 def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, least_iou: float = 0.2, bucket: float = 1e4) -> DataFrame:
     """(stream, frame, cand, box) of the chosen candidate of every frame that has one.
 
-    The last box survives frames without candidates. A frame with a sole candidate
-    fixes the track whatever came before, so streams are cut there into stretches. A task
-    walks a stretch candidate by candidate and holds one frame and one box.
+    The last box survives frames without candidates. Streams are cut into chunks of ``bucket`` frames that tasks walk at
+    once (``scan``): a chunk may be entered with any candidate of the frame before it. A task holds one frame.
     """
-    counts = candidates.groupBy(stream, frame).agg(F.count("*").alias("_n"))
-    cuts = carry(counts, stream, frame, F.when(F.col("_n") == 1, F.col(frame)), "_stretch", bucket).drop("_n")
-    rows = candidates.select(stream, frame, F.col(cand).alias("cand"), *(F.col(box)[k].alias(k) for k in SIDES)).join(cuts, [stream, frame])
-    rows = rows.withColumnsRenamed({stream: "key", frame: "frame"}).select("key", "_stretch", "frame", "cand", *SIDES)
-    rows = rows.repartition("key", "_stretch").sortWithinPartitions("key", "_stretch", "frame", "cand", *SIDES)
+    rows = candidates.select(F.col(stream).alias("key"), F.col(frame).alias("frame"), F.col(cand).alias("cand"), *(F.col(box)[k].alias(k) for k in SIDES))
+    rows = scan.chunks(rows, "key", "frame", bucket, 0)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subject, at, held, out, schema = None, None, [], [], None
-
-        def chosen() -> None:
-            if held:
-                best = subject.choose(held)
-                out.append((at[0], at[2], best[0], *best[1]))
+    order = ("frame", "cand", *SIDES)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Schema, list[dict]]]:
+        """(whether it begins a chunk, schema, rows) of each frame, and of each chunk's entry, whose frame is null."""
+        held, begun, schema = [], False, None
+        for first, part in scan.by_chunk(batches):
+            for row in part.to_pylist():
+                if held and (first or row["frame"] != held[0]["frame"]):
+                    yield begun, schema, held
+                    held, begun = [], False
+                begun, first = begun or first, False
+                held.append(row)
+            schema = part.schema
+        if held:
+            yield begun, schema, held
+
+    named = lambda held: [(r["cand"], tuple(r[k] for k in SIDES)) for r in held]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[str | None, tuple | None] = {}
+        at: dict = {}
+
+        def done(schema: pa.Schema) -> pa.RecordBatch:
+            columns = [[at["key"]] * len(states), [at["_chunk"]] * len(states), list(states), [json.dumps(x) if x else None for x in states.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (schema.field("key").type, pa.int64(), pa.string(), pa.string()), strict=True)], ["key", "chunk", "entry", "exit"])
+
+        for begun, schema, held in frames(batches):
+            if begun:
+                if states:
+                    yield done(schema)
+                states, at = {None: None}, held[0]
+            if held[0]["_own"]:
+                chosen = {last: Subject(least_iou, last).choose(named(held))[1] for last in set(states.values())}
+                states = {entry: chosen[last] for entry, last in states.items()}
+            else:
+                states |= {json.dumps(b): b for _, b in named(held)}
+        if states:
+            yield done(schema)
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subject, out, schema = None, [], None
 
         def batch() -> pa.RecordBatch:
             columns = zip(*out, strict=True) if out else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, ("key", "frame", "cand", *SIDES), strict=True)], ["key", "frame", "cand", *SIDES])
-
-        for rows_ in batches:
-            schema = rows_.schema
-            for key, stretch, frame_, cand_, *sides in zip(*(rows_.column(n).to_pylist() for n in ("key", "_stretch", "frame", "cand", *SIDES)), strict=True):
-                if at != (key, stretch, frame_):
-                    chosen()
-                    if at is None or at[:2] != (key, stretch):
-                        subject = Subject(least_iou)
-                    at, held = (key, stretch, frame_), []
-                held.append((cand_, tuple(sides)))
-            yield batch()
-            out = []
-        chosen()
+            return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, ("key", *order), strict=True)], ["key", *order])
+
+        for begun, schema, held in frames(batches):
+            if begun:
+                subject = Subject(least_iou, tuple(json.loads(held[0]["entry"])) if held[0]["entry"] else None)
+            elif held[0]["_own"]:
+                best = subject.choose(named(held))
+                out.append((held[0]["key"], held[0]["frame"], best[0], *best[1]))
+                if len(out) == 10_000:
+                    yield batch()
+                    out = []
         if out:
             yield batch()
 
-    picked = rows.mapInArrow(walk, ", ".join(f"{n} {kinds[n]}" for n in ("key", "frame", "cand", *SIDES)))
+    maps = scan.dealt(rows, None, *order).mapInArrow(mapped, f"key {kinds['key']}, chunk long, entry string, exit string")
+    picked = scan.dealt(rows, scan.entered(maps, ["key"]), *order).mapInArrow(walked, ", ".join(f"{n} {kinds[n]}" for n in ("key", *order)))
     return picked.select(F.col("key").alias(stream), F.col("frame").alias(frame), F.col("cand").alias(cand), F.struct(*SIDES).alias(box))
 
 
