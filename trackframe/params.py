@@ -47,6 +47,7 @@ class Live:
     status_every: int = 5
     max_message: int = 4 << 20
     history: int = 12
+    idle: float = 8.0
 
 
 @dataclass(frozen=True)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from trackframe.functions.timing import seconds
 from trackframe.params import Live
 from trackframe.plans import clips
-from trackframe.plans.streams import _SEGMENTS
+from trackframe.plans.streams import _SEGMENTS, GRID_FPS, _segments_sql
 from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL, WEEK, events, folder_of
-from trackframe.streaming import live, scorers
+from trackframe.streaming import live, scorers, sessions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,6 +153,59 @@ def live_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream_id", (F.col("m") / 1e6).alias("window_start"), "frames")
 
 
+#: Frames and clips of several seconds, scaled to events hours apart: a session ends after three days, a buffer holds sixteen frames.
+_LIVE = Live(lead_in=3600.0, buffer_seconds=345600.0, fps=GRID_FPS, idle=259200.0)
+_DELAY = 20 * 86400
+
+
+def shuffled(spark: SparkSession, sf_dir: str, folder: str, parts: int = 5) -> DataFrame:
+    """``events`` as a stream of ``parts`` triggers in which rows arrive up to ``_DELAY`` seconds late, and a last one with a row of another stream, far later."""
+    rows = events(spark, sf_dir).select("stream_id", "t", F.col("value").alias("energy"), F.lit("frame").alias("kind"), F.col("event_id").cast("string").cast("binary").alias("payload"))
+    rows = rows.withColumn("_arrival", F.col("t") + F.pmod(F.xxhash64("payload"), F.lit(_DELAY)))
+    low, high = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+    step = (high - low) / parts
+    for i in range(parts):  # one after the other: the source takes files by their age
+        upper = F.lit(True) if i == parts - 1 else F.col("_arrival") < low + (i + 1) * step
+        rows.where((F.col("_arrival") >= low + i * step) & upper).drop("_arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.lit(high + 2 * _DELAY).alias("t"), F.lit(0.0).alias("energy"), F.lit("tick").alias("kind"), F.lit(None).cast("binary").alias("payload"))
+    last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = live.source(spark, f"{folder}/in", rows.drop("_arrival").schema, 1)
+    return stream.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
+
+
+def _sessions_sql() -> str:
+    """Sessions by gaps; each is a stream of its own."""
+    sessions = f"""gaps AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY stream_id ORDER BY t) > {_LIVE.idle})::INT, 0) AS new FROM events_),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY t) AS part FROM gaps),
+began AS (SELECT *, min(t) OVER (PARTITION BY stream_id, part) AS session FROM parts),
+e_ AS (SELECT {{'s': stream_id, 'b': session}} AS stream_id, t, value AS e FROM began)"""
+    return f"WITH RECURSIVE {EVENTS_SQL}, {sessions}, {_segments_sql('e_')}"
+
+
+@query(f"{_sessions_sql()} SELECT stream_id.s AS stream_id, stream_id.b AS session, sequence, start_time, end_time, reason FROM segments")
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of sessions that end when frames stop, of rows that arrive in any order over six triggers."""
+    folder = _folder(spark)
+    _run(sessions.segments(shuffled(spark, sf_dir, folder), f"{_DELAY} seconds", EVENT_PARAMS, _LIVE), folder)
+    return spark.read.schema(sessions.ENDED).parquet(f"{folder}/out")
+
+
+@query(
+    f"""{_sessions_sql()}, j AS (SELECT s.*, b.t, b.event_id, row_number() OVER (PARTITION BY s.stream_id, sequence ORDER BY b.t DESC) AS back FROM segments s JOIN began b ON b.stream_id = s.stream_id.s AND b.session = s.stream_id.b AND b.t <= end_time),
+w AS (SELECT * FROM j WHERE back <= round_even(least(end_time - start_time + {_LIVE.lead_in}, {_LIVE.buffer_seconds}) * {_LIVE.fps}, 0) AND t >= start_time - {_LIVE.lead_in}),
+ends AS (SELECT stream_id, sequence, start_time, end_time, reason, min(t) AS a, max(t) AS b FROM w GROUP BY ALL),
+grid AS (SELECT *, unnest(range(0, round_even((b - a) * {2 * GRID_FPS}, 0)::BIGINT + 1)) AS n FROM ends)
+SELECT g.stream_id.s AS stream_id, g.stream_id.b AS session, g.sequence, g.reason, n, event_id FROM grid g JOIN w ON w.stream_id = g.stream_id AND w.sequence = g.sequence
+QUALIFY row_number() OVER (PARTITION BY g.stream_id, g.sequence, n ORDER BY abs(t - (a + n / {2 * GRID_FPS})), t) = 1"""
+)
+def live_segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads (here event numbers) of the frames of each closed segment, from its lead-in on, on a grid of a frame every three hours."""
+    folder = _folder(spark)
+    _run(sessions.segment_frames(shuffled(spark, sf_dir, folder), f"{_DELAY} seconds", 2 * GRID_FPS, EVENT_PARAMS, _LIVE), folder)
+    rows = spark.read.schema(sessions.FRAMES).parquet(f"{folder}/out")
+    return rows.select("stream_id", "session", "sequence", "reason", "n", F.col("payload").cast("string").cast("long").alias("event_id"))
+
+
 def _loudest():
     """A scorer that says how many frames are loud, and fails on clips of under five frames."""
 
