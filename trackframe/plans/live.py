@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.functions.timing import seconds
+from trackframe.operators import jobs
 from trackframe.params import Live
 from trackframe.plans import clips
 from trackframe.plans.streams import _SEGMENTS, GRID_FPS, _segments_sql
 from trackframe.plans.tables import EVENT_PARAMS, EVENTS_SQL, WEEK, events, folder_of
-from trackframe.streaming import live, scorers, sessions
+from trackframe.streaming import live, queue, scorers, sessions, sink
+from trackframe.streaming.sink import FORMAT
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,14 +42,15 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _run(stream: DataFrame, folder: str, each=None, mode: str = "append") -> None:
+def _run(stream: DataFrame, folder: str, each=None, mode: str = "append", sink: str | None = None) -> None:
     """Run a stream until its source is used up; the session's state store is put back afterwards."""
     conf = stream.sparkSession.conf
     before = conf.get(live.PROVIDER, None)
     conf.set(live.PROVIDER, live.ROCKSDB)
     try:
         writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
-        (writer.foreachBatch(each).start() if each else writer.format("parquet").start(f"{folder}/out")).awaitTermination()
+        writer = writer.foreachBatch(each) if each else writer.format(FORMAT).option("path", sink) if sink else writer.format("parquet").option("path", f"{folder}/out")
+        writer.start().awaitTermination()
     finally:
         conf.set(live.PROVIDER, before) if before else conf.unset(live.PROVIDER)
 
@@ -160,14 +163,14 @@ _DELAY = 20 * 86400
 
 def shuffled(spark: SparkSession, sf_dir: str, folder: str, parts: int = 5) -> DataFrame:
     """``events`` as a stream of ``parts`` triggers in which rows arrive up to ``_DELAY`` seconds late, and a last one with a row of another stream, far later."""
-    rows = events(spark, sf_dir).select("stream_id", "t", F.col("value").alias("energy"), F.lit("frame").alias("kind"), F.col("event_id").cast("string").cast("binary").alias("payload"))
+    rows = events(spark, sf_dir).select("stream_id", "t", F.col("value").alias("energy"), F.lit("frame").alias("kind"), F.col("event_id").cast("string").cast("binary").alias("payload"), "event_type")
     rows = rows.withColumn("_arrival", F.col("t") + F.pmod(F.xxhash64("payload"), F.lit(_DELAY)))
     low, high = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
     step = (high - low) / parts
     for i in range(parts):  # one after the other: the source takes files by their age
         upper = F.lit(True) if i == parts - 1 else F.col("_arrival") < low + (i + 1) * step
         rows.where((F.col("_arrival") >= low + i * step) & upper).drop("_arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    last = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.lit(high + 2 * _DELAY).alias("t"), F.lit(0.0).alias("energy"), F.lit("tick").alias("kind"), F.lit(None).cast("binary").alias("payload"))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.lit(high + 2 * _DELAY).alias("t"), F.lit(0.0).alias("energy"), F.lit("tick").alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit("tick").alias("event_type"))
     last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = live.source(spark, f"{folder}/in", rows.drop("_arrival").schema, 1)
     return stream.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
@@ -206,6 +209,112 @@ def live_segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream_id", "session", "sequence", "reason", "n", F.col("payload").cast("string").cast("long").alias("event_id"))
 
 
+def _queue_sql() -> str:
+    """Signups are jobs, purchases say that the worker is free; a queue of two, three days of patience, as a recursion over a stream's messages."""
+    fresh, age = "list_filter(pending, lambda x: n.t - x.c <= 259200)", "list_filter(pending, lambda x: n.t - x.c > 259200)"
+    outcome = lambda job, what, wait: f"{{'q': {job}, 'o': '{what}', 'w': {wait}}}"
+    stale = f"list_transform({age}, lambda x: {outcome('x.q', 'stale', 'n.t - x.c')})"
+    return f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT stream_id, t, event_id, event_type = 'signup' AS job, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i FROM events_ WHERE event_type IN ('signup', 'purchase')),
+s AS (SELECT DISTINCT stream_id, 0::BIGINT AS i, NULL::DOUBLE AS t, NULL::BIGINT AS busy, []::STRUCT(q BIGINT, c DOUBLE)[] AS pending, 0 AS submitted, 0 AS completed, []::STRUCT(q BIGINT, o VARCHAR, w DOUBLE)[] AS told FROM n
+  UNION ALL
+  SELECT n.stream_id, n.i, n.t, CASE WHEN job THEN coalesce(busy, event_id) WHEN busy IS NULL THEN NULL ELSE {fresh}[1].q END,
+    CASE WHEN job THEN CASE WHEN busy IS NULL THEN [] WHEN len(pending) < 2 THEN list_append(pending, {{'q': event_id, 'c': n.t}}) ELSE list_append(pending[2:], {{'q': event_id, 'c': n.t}}) END WHEN busy IS NULL THEN pending ELSE {fresh}[2:] END,
+    submitted + job::INT, completed + (NOT job AND busy IS NOT NULL)::INT,
+    CASE WHEN job THEN CASE WHEN busy IS NULL THEN [{outcome('event_id', 'taken', '0.0')}] WHEN len(pending) < 2 THEN [] ELSE [{outcome('pending[1].q', 'displaced', 'n.t - pending[1].c')}] END
+      WHEN busy IS NULL THEN [] ELSE list_concat({stale}, CASE WHEN len({fresh}) > 0 THEN [{outcome(f'{fresh}[1].q', 'taken', f'n.t - {fresh}[1].c')}] ELSE [] END) END
+  FROM s JOIN n ON n.stream_id = s.stream_id AND n.i = s.i + 1),
+o AS (SELECT stream_id, i, t, submitted, completed, unnest(told, recursive := true), unnest(range(1, len(told) + 1)) AS k, len(pending) AS depth FROM s)
+SELECT stream_id, q AS sequence, o AS outcome, floor(w * 1000)::BIGINT AS queue_wait_ms, submitted::BIGINT AS submitted, completed::BIGINT AS completed,
+  count(*) FILTER (WHERE o <> 'taken') OVER (PARTITION BY stream_id ORDER BY i, k) AS dropped FROM o"""
+
+
+@query(_queue_sql())
+def live_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each job of a queue that lives through six triggers of rows in any order; the last part of the stream is still in it."""
+    folder = _folder(spark)
+    rows = shuffled(spark, sf_dir, folder).withColumn("sequence", F.col("payload").cast("string").cast("long"))
+    made, done = rows.where("event_type = 'signup'"), rows.where("event_type IN ('purchase', 'tick')").withColumn("sequence", F.lit(None).cast("long"))
+    _run(queue.outcomes(made, done, f"{_DELAY} seconds", 2, 259200.0, 1e9), folder)
+    return spark.read.schema(queue.OUTCOME).parquet(f"{folder}/out").select("stream_id", "sequence", "outcome", "queue_wait_ms", "submitted", "completed", "dropped")
+
+
+#: Signups are jobs, purchases results; the fifth of a stream's jobs has the fifth result, if it comes within five days.
+_PAIRS = f"""WITH {EVENTS_SQL}, a AS (SELECT stream_id, t, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS sequence FROM events_ WHERE event_type = 'signup'),
+b AS (SELECT stream_id, t, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS sequence FROM events_ WHERE event_type = 'purchase')"""
+
+
+@query(
+    f"""{_PAIRS} SELECT a.stream_id, a.sequence, b.event_id IS NULL AS dropped, b.event_id::VARCHAR AS text, floor((b.t - a.t) * 1000)::BIGINT AS wait_ms
+FROM a LEFT JOIN b ON b.stream_id = a.stream_id AND b.sequence = a.sequence AND b.t BETWEEN a.t AND a.t + 432000"""
+)
+def live_job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two running streams joined: jobs and their results, or that none came within five days."""
+    folder = _folder(spark)
+    for name, kind in (("jobs", "signup"), ("results", "purchase")):
+        rows = jobs.number(events(spark, sf_dir).where(F.col("event_type") == kind).select("stream_id", "t", F.col("event_id").cast("string").alias("text")), "stream_id", "t", WEEK)
+        rows = rows.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long"))).select("stream_id", F.col("sequence").cast("long"), "ts", "text")
+        low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+        for i in range(3):
+            part = F.least(F.lit(2), F.floor((F.unix_micros("ts") - low) * 3 / (high - low + 1)))
+            rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        last = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.col("id").alias("sequence"), F.timestamp_micros(F.lit(high + 100 * 86_400_000_000)).alias("ts"), F.lit(None).cast("string").alias("text"))
+        last.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    schema = "stream_id long, sequence long, ts timestamp, text string"
+    made, done = (live.source(spark, f"{folder}/{name}", schema, 1) for name in ("jobs", "results"))
+    _run(queue.joined(made, done.withColumnRenamed("ts", "done_ts"), "10 days", 432000.0), folder)
+    rows = spark.read.schema("stream_id long, sequence long, created timestamp, finished timestamp, text string, dropped boolean, wait_ms long").parquet(f"{folder}/out")
+    return rows.where("stream_id >= 0").select("stream_id", "sequence", "dropped", "text", "wait_ms")
+
+
+@query(f"{_SEGMENTS} SELECT stream_id, sequence, start_time, end_time, reason FROM segments WHERE reason <> 'stream_end'")
+def live_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``live_segments`` through the sink that commits by trigger."""
+    folder = _folder(spark)
+    sink.register(spark)
+    _run(live.segments(replay(spark, sf_dir), EVENT_PARAMS), folder, sink=f"{folder}/results")
+    return sink.committed(spark, f"{folder}/results", live.SEGMENTS).drop("batch")
+
+
+def message_files(spark: SparkSession, sf_dir: str, folder: str, parts: int = 4) -> DataFrame:
+    """``events`` as files of messages: frames of ten bytes, errors without a subject, JSON control messages, some malformed or too large."""
+    rows = events(spark, sf_dir).withColumn("kind", F.expr(_KIND))
+    control = F.when(F.col("event_id") % 7 == 0, F.lit('{"type": ')).otherwise(F.concat(F.lit('{"type": "'), "kind", F.lit('"}')))
+    frame = F.repeat(F.lit("x"), F.when(F.col("event_id") % 31 == 0, 40).otherwise(10))
+    text = F.col("kind") != "frame"
+    made = rows.select("stream_id", "t", text.alias("is_text"), F.when(text, control).otherwise(frame).cast("binary").alias("message"), "aperture")
+    low, high = made.agg(F.min("t"), F.max("t")).first()
+    for i in range(parts):  # one after the other: the source takes files by their age
+        made.where(F.least(F.lit(parts - 1), F.floor((F.col("t") - low) * parts / (high - low))) == i).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
+    return live.admitted(live.messages(spark, f"{folder}/messages", 1 << 10), Live(max_message=20))
+
+
+#: What ``message_files`` makes of an event, and what is left of it.
+_ADMITTED = _KIND.replace("THEN 'flush'", "THEN CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'flush' END").replace("THEN 'reset'", "THEN CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'reset' END").replace("ELSE 'frame'", "WHEN event_id % 31 = 0 THEN 'oversized' ELSE 'frame'")
+
+
+@query(_controls_sql().replace(f"{_KIND} AS kind, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i FROM events_", f"kind, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i FROM (SELECT *, {_ADMITTED} AS kind FROM events_) WHERE kind IN ('frame', 'flush', 'reset')"))
+def live_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and control messages in one stream of files, a few bytes a trigger; malformed and oversized ones are left out."""
+    folder = _folder(spark)
+    rows = message_files(spark, sf_dir, folder).where("kind IN ('frame', 'flush', 'reset')").withColumn("energy", F.lit(None).cast("double"))
+    _run(live.segments(rows.drop("size"), EVENT_PARAMS), folder)
+    return spark.read.schema(live.SEGMENTS).parquet(f"{folder}/out")
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, k AS (SELECT stream_id, {_ADMITTED} AS kind FROM events_) SELECT stream_id, count(*) FILTER (WHERE kind = 'frame') AS frames, count(*) FILTER (WHERE kind = 'oversized') AS oversized,
+count(*) FILTER (WHERE kind IN ('flush', 'reset')) AS controls, count(*) FILTER (WHERE kind = 'error') AS malformed FROM k GROUP BY 1"""
+)
+def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream's messages by what became of them; a trigger writes the counts that it changed, the last writing counts."""
+    folder = _folder(spark)
+    write = lambda batch, i: batch.withColumn("at", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+    _run(live.counters(message_files(spark, sf_dir, folder)), folder, write, "update")
+    rows = spark.read.parquet(f"{folder}/out")
+    names = ("frames", "oversized", "controls", "malformed")
+    return rows.groupBy("stream_id").agg(*(F.max_by(n, "at").alias(n) for n in names))
+
+
 def _loudest():
     """A scorer that says how many frames are loud, and fails on clips of under five frames."""
 

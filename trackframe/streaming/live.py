@@ -25,10 +25,12 @@ from trackframe.operators import jobs
 from trackframe.operators.segments import Hysteresis
 from trackframe.operators.tracking import SIDES, Subject
 from trackframe.params import Live, Segmenting
+from trackframe.streaming.control import action
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SEGMENTS = "stream_id long, sequence long, start_time double, end_time double, reason string"
+MESSAGES = "stream_id long, t double, is_text boolean, message binary, aperture double"
 STATUS = "stream_id long, frames_received long, rejected long, t double, state string, utterance_seconds double, energy double, fps double, buffered_frames long, buffered_seconds double"
 TRACK = "stream_id long, frame long, cand long, x int, y int, width int, height int"
 
@@ -38,6 +40,35 @@ def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def messages(spark: SparkSession, path: str, most_bytes: int = 512 << 10) -> DataFrame:
+    """``MESSAGES`` files as a stream, oldest first, of which one trigger takes ``most_bytes`` at most (or one file): so far ahead of the consumer a producer can be.
+
+    Offsets are the file source's own, so a restarted query goes on where it stopped.
+    """
+    return spark.readStream.schema(MESSAGES).option("maxBytesPerTrigger", most_bytes).parquet(path)
+
+
+def admitted(rows: DataFrame, live: Live = Live()) -> DataFrame:
+    """Adds ``size`` and ``kind`` to messages: ``frame``, an action of ``control``, ``oversized``, ``unknown`` or ``error`` (text that is no JSON object).
+
+    A frame is a message in bytes; a control message is text. Frames larger than ``live.max_message`` are oversized, whatever is in them.
+    """
+    size = F.length("message").cast("long")
+    kind = F.when(~F.col("is_text"), F.when(size > live.max_message, "oversized").otherwise("frame")).otherwise(action(F.col("message").cast("string")))
+    return rows.where("message IS NOT NULL AND is_text IS NOT NULL").withColumn("size", size).withColumn("kind", kind)
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """(stream_id, frames, oversized, controls, malformed) of admitted messages so far."""
+    kind = F.col("kind")
+    return rows.groupBy("stream_id").agg(
+        F.count_if(kind == "frame").alias("frames"),
+        F.count_if(kind == "oversized").alias("oversized"),
+        F.count_if(kind.isin("ping", "flush", "reset", "close")).alias("controls"),
+        F.count_if(kind.isin("error", "unknown")).alias("malformed"),
+    )
+
+
 class Session:
     """The state of one stream; ``frame`` and ``flush`` return a closed segment (sequence, start, end, reason) or None."""
 

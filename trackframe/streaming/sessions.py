@@ -1,8 +1,7 @@
 """Live sessions in event time: frames put in order, payloads held for some seconds, streams that end when frames stop.
 
-Rows of a stream may come late by up to a delay, in any order and over any number of triggers. Each waits in a list state
-until the watermark has passed it, and is then walked in the order of time, so results are those of the
-stream's rows in order, however they came. A timer wakes a stream when its next row is due, or when it has been idle for ``Live.idle`` seconds: that ends
+Rows of a stream may come late by up to a delay, in any order and over any number of triggers (``ordered``): results are those of the
+stream's rows in order. A stream that has been idle for ``Live.idle`` seconds is woken by a timer: that ends
 its session, closes an open segment and removes all of its state. A frame that comes later begins a new session.
 
 The state of a stream is one small record, the rows within the delay, and the frames that a buffer of ``Live.buffer_seconds`` holds.
@@ -11,21 +10,18 @@ The state of a stream is one small record, the rows within the delay, and the fr
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from trackframe.params import Live, Segmenting
 from trackframe.streaming.live import Session
+from trackframe.streaming.ordered import Ordered, apply
 
 #: ``session`` is the time of a session's first frame.
 ENDED = "stream_id long, session double, sequence long, start_time double, end_time double, reason string"
 FRAMES = f"{ENDED}, n long, source_t double, payload binary"
-_ROW = "t double, aperture double, energy double, kind string, size long, payload binary"
 #: At one time, frames come before control messages.
 _KINDS = {"frame": 0, "flush": 1, "reset": 2}
 
@@ -50,34 +46,24 @@ def frames_of(held: list[tuple[float, Any]], start: float, end: float, live: Liv
     return resampled([x for x in window if x[0] >= start - live.lead_in] or window, fps)
 
 
-class _Sessions(StatefulProcessor):
-    """Rows (stream_id, ts, t, aperture, energy, kind, size, payload) walked in the order of ``t`` as the watermark passes them."""
+class _Sessions(Ordered):
+    """Rows walked through a ``Session`` each stream, and with ``fps`` the frames that its buffer holds."""
+
+    row = "t double, aperture double, energy double, kind string, size long, payload binary"
 
     def __init__(self, p: Segmenting, live: Live, fps: float | None):
         self.p, self.live, self.fps = p, live, fps
+        self.result = FRAMES if fps else ENDED
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("session", "saved string, began double, last double")
-        self.waiting = handle.getListState("waiting", _ROW)
         self.held = handle.getListState("held", "t double, payload binary")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # pandas has numbers for nulls and floats for whole numbers beside them; the state wants neither
-        kinds = [(n, int if k == "long" else float if k == "double" else lambda x: x) for n, k in (x.split() for x in _ROW.split(", "))]
-        for batch in rows:
-            columns = [[None if pd.isna(x) else kind(x) for x in batch[n]] for n, kind in kinds]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key: Any, watermark: int) -> Iterator[pd.DataFrame]:
-        """Walk what the watermark has passed; no earlier row can come any more."""
-        rows = list(self.waiting.get())
-        due = sorted((r for r in rows if r[0] * 1000 <= watermark), key=lambda r: (r[0], _KINDS.get(r[3], 3), r[2] is not None, r[2] or 0.0))
-        later = [r for r in rows if r[0] * 1000 > watermark]
+    def rank(self, row: tuple) -> tuple:
+        """Frames before control messages, by energy."""
+        return _KINDS.get(row[3], 3), row[2] is not None, row[2] or 0.0
+
+    def walk(self, key: Any, due: list[tuple], watermark: float) -> tuple[list[tuple], float | None]:
         old = self.saved.get()
         session = Session(self.p, self.live, old[0]) if old else None
         began, last = (old[1], old[2]) if old else (None, None)
@@ -89,9 +75,9 @@ class _Sessions(StatefulProcessor):
             if found is None:
                 return
             if self.fps is None:
-                out.append((key[0], began, *found))
+                out.append((key, began, *found))
             else:
-                out.extend((key[0], began, *found, n, *x) for n, x in enumerate(frames_of(held, found[1], found[2], self.live, self.fps)))
+                out.extend((key, began, *found, n, *x) for n, x in enumerate(frames_of(held, found[1], found[2], self.live, self.fps)))
 
         for t, aperture, energy, kind, size, payload in due:
             if session is not None and t - last > self.live.idle:
@@ -112,39 +98,17 @@ class _Sessions(StatefulProcessor):
                 last = t
                 own = session.energy(aperture)
                 if self.fps:
-                    held = [*held[1 - capacity :], (t, payload)] if len(held) >= capacity else [*held, (t, payload)]
+                    held = [*held, (t, payload)][-capacity:]
                 closed(session.frame(t, own if energy is None else energy))
-        if session is not None and watermark > (last + self.live.idle) * 1000:
+        if session is not None and watermark > last + self.live.idle:
             closed(session.flush())
-            session = None
-        self._keep(session, began, last, held, later)
-        columns = [x.split()[0] for x in (FRAMES if self.fps else ENDED).split(", ")]
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    def _keep(self, session: Session | None, began: float | None, last: float | None, held: Iterable[tuple], later: list[tuple]) -> None:
+            session, held = None, []
+        self.held.put(held) if held else self.held.clear()
         if session is None:
             self.saved.clear()
-            self.held.clear()
-        else:
-            self.saved.update((session.save(), began, last))
-            if self.fps:
-                self.held.put(list(held)) if held else self.held.clear()
-        self.waiting.put(later) if later else self.waiting.clear()
-        due = [min(r[0] for r in later)] if later else []
-        due += [last + self.live.idle] if session is not None else []
-        for t in due:
-            self.handle.registerTimer(int(t * 1000) + 1)
-
-    def close(self) -> None:
-        pass
-
-
-def _rows(frames: DataFrame, delay: str) -> DataFrame:
-    """The columns that sessions take; those that are missing are null."""
-    given = {n: k for n, k in (x.split() for x in _ROW.split(", "))}
-    columns = [F.col(n).cast(k).alias(n) if n in frames.columns else F.lit(None).cast(k).alias(n) for n, k in given.items()]
-    return frames.withWatermark("ts", delay).select("stream_id", "ts", *columns)
+            return out, None
+        self.saved.update((session.save(), began, last))
+        return out, last + self.live.idle
 
 
 def segments(frames: DataFrame, delay: str, p: Segmenting = Segmenting(), live: Live = Live()) -> DataFrame:
@@ -154,7 +118,7 @@ def segments(frames: DataFrame, delay: str, p: Segmenting = Segmenting(), live:
     is ``frame``, ``flush`` or ``reset``; a null energy is derived from the aperture; a frame of more than ``live.max_message`` bytes is
     rejected. ``live.idle`` seconds without a frame end a session, with a last segment if one is open and long enough. Rows of a null time are dropped.
     """
-    return _rows(frames, delay).where("t IS NOT NULL").groupBy("stream_id").transformWithStateInPandas(_Sessions(p, live, None), ENDED, "append", "EventTime")
+    return apply(frames, delay, _Sessions(p, live, None))
 
 
 def segment_frames(frames: DataFrame, delay: str, fps: float, p: Segmenting = Segmenting(), live: Live = Live()) -> DataFrame:
@@ -163,4 +127,4 @@ def segment_frames(frames: DataFrame, delay: str, fps: float, p: Segmenting = Se
     Each stream's state holds the payloads of its last ``live.buffer_seconds`` at ``live.fps`` frames a second. A segment's frames
     are those from ``live.lead_in`` before it, as far as the buffer goes back.
     """
-    return _rows(frames, delay).where("t IS NOT NULL").groupBy("stream_id").transformWithStateInPandas(_Sessions(p, live, fps), FRAMES, "append", "EventTime")
+    return apply(frames, delay, _Sessions(p, live, fps))
