@@ -138,7 +138,7 @@ def test_error_rates_equal_brute_force(spark):
 
 def test_normalisation(spark):
     cases = ["Don't STOP—now!  é", "ﬁne ①", " a b\tc ", "", None, "under_score 12"]
-    rows = spark.createDataFrame([(c,) for c in cases], "t string").select(text.normalise(F.col("t")), text.normalise(F.col("t"), compose=True)).collect()
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select(text.normalise(F.col("t"), compose=False), text.normalise(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["don't stop now é", "ﬁne ①", "a b c", "", None, "under_score 12"]
     assert rows[1][1] == unicodedata.normalize("NFKC", "ﬁne ①")
 

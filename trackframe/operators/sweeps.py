@@ -52,12 +52,10 @@ def leaderboard(scored: DataFrame, n: int = 15) -> DataFrame:
 
 def report(motion: DataFrame, stream: str, t: str, aperture: str, energy: str, label: Column, p: Segmenting) -> DataFrame:
     """Per stream: unfitted frames, positive-energy p50 and p90 (0 if none), segments, verdict."""
-    positive = F.when(F.col(energy) > 0, F.col(energy))
-    stats = motion.groupBy(stream).agg(
-        F.count_if(F.col(aperture).isNull()).alias("unfitted"),
-        F.coalesce(F.percentile(positive, 0.5), F.lit(0.0)).alias("p50"),
-        F.coalesce(F.percentile(positive, 0.9), F.lit(0.0)).alias("p90"),
-        F.bool_or(label).alias("wanted"),
-    )
+    stats = motion.groupBy(stream).agg(F.count_if(F.col(aperture).isNull()).alias("unfitted"), F.bool_or(label).alias("wanted"))
+    positive = motion.select(F.col(stream).alias("_s"), F.when(F.col(energy) > 0, F.col(energy)).alias("_e"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    spread = timeseries.percentiles(positive, "_s", "_e", {"p50": 0.5, "p90": 0.9})
+    stats = stats.join(spread, F.col(stream).eqNullSafe(F.col("_s"))).select(stream, "unfitted", zero("p50"), zero("p90"), "wanted")
     counts = segment_counts(segment(motion, stream, t, energy, p), motion, stream)
     return stats.join(counts, stream).withColumn("right", (F.col("segments") > 0) == F.col("wanted")).drop("wanted")

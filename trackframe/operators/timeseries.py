@@ -231,3 +231,42 @@ def hold_last(df: DataFrame, stream: str, t: str, value: str, width: float) -> D
     """Replaces null ``value`` by the last one before it; ``error`` says where none has been seen yet."""
     rows = carry(df, stream, t, F.col(value), "_held", width)
     return rows.withColumn(value, F.col("_held")).withColumn("error", F.when(F.col("_held").isNull(), "no value yet")).drop("_held")
+
+
+#: Buckets of ``percentiles`` to a doubling of the value.
+PER_DOUBLING = 1024
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column for each of ``shares``): exact percentiles, between two values by their distance; null for a key without values.
+
+    Selection by counts: values are counted in buckets that keep their order (some 0.07 % wide), the counts tell
+    which bucket holds a rank, and only rows of those buckets are ranked. No aggregate holds a key's values. A null key is a key; NaN counts as no value.
+    """
+    v = F.col("_v")
+    width = lambda x: F.floor(F.log2(x) * PER_DOUBLING) + 2_000_000
+    bucket = F.when(v > 0, width(v)).when(v < 0, -width(-v)).otherwise(F.lit(0).cast("long"))
+    every = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    rows = every.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_b", F.when(F.abs(v) == float("inf"), F.signum(v) * 4_000_000).otherwise(bucket).cast("long"))
+    along = Window.partitionBy("_k").orderBy("_b")
+    counts = rows.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(along)).withColumn("_all", F.sum("_n").over(Window.partitionBy("_k")))
+    ranks = [f(q * (F.col("_all") - 1)).cast("long") for q in shares.values() for f in (F.floor, F.ceil)]
+    first = F.col("_upto") - F.col("_n")
+    wanted = counts.withColumn("_ranks", F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= first) & (r < F.col("_upto")))).where(F.size("_ranks") > 0)
+    wanted = wanted.select(F.col("_k").alias("_wk"), F.col("_b").alias("_wb"), "_ranks", first.alias("_first"), "_all")
+    near = rows.join(wanted, F.col("_k").eqNullSafe(F.col("_wk")) & (F.col("_b") == F.col("_wb")))
+    equal = near.groupBy("_k", "_b", "_v").agg(F.count("*").alias("_n"), F.first("_ranks").alias("_ranks"), F.first("_first").alias("_first"), F.first("_all").alias("_all"))
+    upto = F.col("_first") + F.sum("_n").over(Window.partitionBy("_k", "_b").orderBy("_v"))
+    placed = equal.withColumn("_upto", upto)
+    held = placed.withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))))
+    # a value for each rank: at most two a share
+    found = held.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"), F.first("_all").alias("_all"))
+    columns = []
+    for name, q in shares.items():
+        place = q * (F.col("_all") - 1)
+        low, high = (F.element_at("_m", f(place).cast("long")) for f in (F.floor, F.ceil))
+        columns.append(F.when(low == high, low).otherwise(low + (place - F.floor(place)) * (high - low)).alias(name))
+    found = found.select(F.col("_k").alias("_fk"), *columns)
+    keys = every.select("_k").distinct()
+    return keys.join(found, F.col("_k").eqNullSafe(F.col("_fk")), "left").select(F.col("_k").alias(key), *shares)

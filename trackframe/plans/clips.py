@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry, tensor, text
-from trackframe.operators import nbest, tracking
+from trackframe.operators import nbest, pixels, tracking
 from trackframe.plans.tables import KEYPOINTS_SQL, folder_of, keypoints, table
 from trackframe.sources import files
 from trackframe.streaming import scorers
@@ -33,7 +33,7 @@ _PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {_NORMAL.format("a.text
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.normalise(F.col("text"), compose=True).alias("ref"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.normalise(F.col("text")).alias("ref"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return turns.join(after, ["conv_id", "turn"], "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
 
@@ -45,7 +45,7 @@ def reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_NORMAL.format('text')} AS normal, len(list_filter(string_split({_NORMAL.format('text')}, ' '), lambda w: w <> '')) AS n_words FROM documents")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text"), compose=True).alias("normal"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("normal"))
     return rows.withColumn("n_words", F.size(text.words(F.col("normal"))).cast("long"))
 
 
@@ -436,6 +436,39 @@ def stacked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "frames", "first.height", "first.width", "regular", "first.channels")
 
 
+def byte_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedding is an image of 8 x 8 bytes; every third vector has three channels."""
+    value = lambda x: F.least(F.lit(255), F.rint(F.abs(x.cast("double")) * 1000)).cast("int")
+    hexed = F.transform("embedding", lambda x: F.lpad(F.hex(value(x).cast("long")), 2, "0"))
+    colour = F.col("vec_id") % 3 == 0
+    pixels = F.unhex(F.array_join(F.transform(hexed, lambda h: F.when(colour, F.repeat(h, 3)).otherwise(h)), ""))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(8).alias("height"), F.lit(8).alias("width"), F.when(colour, 3).otherwise(1).alias("channels"), pixels.alias("pixels"))
+
+
+_BYTE = "printf('%02X', least(255, round_even(abs(x::DOUBLE) * 1000, 0))::INT)"
+
+
+@query(
+    f"""WITH i AS (SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 40 AS block, list_transform(embedding, lambda x: {_BYTE}) AS h FROM embeddings),
+c AS (SELECT label, block, max(CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END) AS channels, count(*) AS frames FROM i GROUP BY ALL)
+SELECT label, block, any_value(frames) AS frames, 8 AS height, 8 AS width, any_value(channels) AS channels, string_agg(array_to_string(list_transform(h, lambda x: repeat(x, channels)), ''), '' ORDER BY vec_id) AS pixels FROM i JOIN c USING (label, block) GROUP BY label, block"""
+)
+def stacked_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label's images stacked in order, forty to a block, with all their pixels; grey ones get the channels of the others."""
+    found = pixels.stack(byte_images(spark, sf_dir), "label", "vec_id", 40)
+    return found.select("label", "block", F.col("frames").cast("long").alias("frames"), "height", "width", "channels", F.hex("pixels").alias("pixels"))
+
+
+@query(
+    f"""WITH i AS (SELECT vec_id, vec_id % 3 = 0 AS colour, list_transform(embedding, lambda x: {_BYTE}) AS h, round_even(vec_id % 11 - 0.5 - 3, 0)::INT AS x0, round_even(vec_id % 9 - 3, 0)::INT AS y0 FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(range(0, 36), lambda k: repeat(CASE WHEN x0 + k % 6 BETWEEN 0 AND 7 AND y0 + k // 6 BETWEEN 0 AND 7 THEN h[(y0 + k // 6) * 8 + x0 + k % 6 + 1] ELSE '00' END, CASE WHEN colour THEN 3 ELSE 1 END)), '') AS pixels FROM i"""
+)
+def cropped_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six by six pixels around a point of each image; many run past its edges."""
+    rows = byte_images(spark, sf_dir).withColumn("x", F.col("vec_id") % 11 - 0.5).withColumn("y", (F.col("vec_id") % 9).cast("double"))
+    return pixels.crop(rows, "x", "y", 6).select("vec_id", F.hex("pixels").alias("pixels"))
+
+
 # --- files: a page is a file, its address the name
 
 _TYPES = ["video/mp4", "video/webm", "application/octet-stream"]
