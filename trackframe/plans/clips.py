@@ -445,6 +445,32 @@ def byte_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(8).alias("height"), F.lit(8).alias("width"), F.when(colour, 3).otherwise(1).alias("channels"), pixels.alias("pixels"))
 
 
+@query("SELECT 'sample_' || doc_id AS stem, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS transcript FROM documents WHERE text IS NOT NULL")
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file, read again as a transcript."""
+    path = f"{folder_of(spark, 'transcripts')}/txt"
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("sample_"), "doc_id", F.lit(".txt")).alias("name"), "text")
+    files.write_files(rows, path, "name", "text")
+    return files.read_transcripts(spark, path)
+
+
+@query(
+    """WITH h AS (SELECT vec_id, vec_id % 7 = 0 AS broken, list_transform(embedding, lambda x: printf('%02X', least(255, round_even(abs(x::DOUBLE) * 1000, 0))::INT)) AS h FROM embeddings)
+SELECT 'still_' || vec_id || '.bmp' AS name, CASE WHEN broken THEN -1 ELSE 8 END AS width, CASE WHEN broken THEN -1 ELSE 8 END AS height, NOT broken AS valid,
+  CASE WHEN NOT broken THEN array_to_string(list_transform(h, lambda x: repeat(x, 3)), '') END AS pixels FROM h"""
+)
+def still_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as an image file of 8 x 8 pixels, each seventh cut short, read again with its pixels."""
+    head = "424D" + "F6000000" + "00000000" + "36000000" + "28000000" + "08000000" + "08000000" + "0100" + "1800" + "00000000" + "C0000000" + "00000000" * 4
+    bytes_ = F.transform("embedding", lambda x: F.repeat(F.lpad(F.hex(F.least(F.lit(255), F.rint(F.abs(x.cast("double")) * 1000)).cast("long")), 2, "0"), 3))
+    upside_down = F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0)), lambda r: F.array_join(F.slice(bytes_, r * 8 + 1, 8), "")), "")
+    content = F.when(F.col("vec_id") % 7 == 0, F.lit(head[:20])).otherwise(F.concat(F.lit(head), upside_down))
+    path = f"{folder_of(spark, 'stills')}/bmp"
+    files.write_files(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("still_"), "vec_id", F.lit(".bmp")).alias("name"), F.unhex(content).alias("content")), path, "name", "content")
+    found = files.read_stills(spark, path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "height", "valid", F.hex("data").alias("pixels"))
+
+
 _BYTE = "printf('%02X', least(255, round_even(abs(x::DOUBLE) * 1000, 0))::INT)"
 
 

@@ -328,7 +328,7 @@ def _loudest():
 
 
 @query(
-    "SELECT user_id::VARCHAR AS clip_id, count(*) AS frames, CASE WHEN count(*) >= 5 THEN count(*) FILTER (WHERE value >= 50) || ' loud' END AS text, CASE WHEN count(*) < 5 THEN 'ValueError: too few frames' END AS error FROM events GROUP BY 1"
+    "SELECT user_id::VARCHAR AS clip_id, count(*) AS frames, CASE WHEN count(*) BETWEEN 5 AND 1500 THEN count(*) FILTER (WHERE value >= 50) || ' loud' END AS text, CASE WHEN count(*) < 5 THEN 'ValueError: too few frames' WHEN count(*) > 1500 THEN 'ValueError: ' || count(*) || ' frames, at most 1500 are taken' END AS error FROM events GROUP BY 1"
 )
 def scored_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's model over every clip; its failures are rows."""

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs
 import pyarrow.parquet
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,32 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI (local, ``hdfs``, ``s3a``, ``gs``), and its path there."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path else f"file://{path}")
+
+
+def write_files(rows: DataFrame, path: str, name: str, content: str) -> int:
+    """Write each row's ``content`` (text or bytes) to a file of its ``name`` in a shared folder, by the tasks; the number of files.
+
+    A task that runs again writes the same files. Rows without a name or content are left out.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = folder(path)
+        at.create_dir(root, recursive=True)
+        for batch in batches:
+            for own, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with at.open_output_stream(f"{root}/{own}") as out:
+                    out.write(value)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    picked = rows.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
+    return picked.mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(stem, transcript) of whole text files."""
     rows = spark.read.text(path, wholetext=True)

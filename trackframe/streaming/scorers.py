@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from trackframe.functions.tensor import MEAN, STD
+from trackframe.params import Preprocessing
 
 #: A scorer takes a clip's frames (one row each, in order) and returns [(text, score, token_ids)].
 Scorer = Callable[[pd.DataFrame], list[tuple[str, float, list[int]]]]
@@ -43,7 +44,7 @@ _SHARED = Registry()
 register, available, create = _SHARED.register, _SHARED.available, _SHARED.create
 
 
-def transcribe(frames: DataFrame, clip: str, order: str, factory: Callable[[], Scorer], most_frames: int | None = None) -> DataFrame:
+def transcribe(frames: DataFrame, clip: str, order: str, factory: Callable[[], Scorer], most_frames: int = Preprocessing.max_frames) -> DataFrame:
     """One row of ``RESULT`` for each clip. A scorer's exception is the row's error.
 
     Each task makes one scorer and reads its clips in order. A scorer takes a whole
@@ -65,7 +66,7 @@ def transcribe(frames: DataFrame, clip: str, order: str, factory: Callable[[], S
                     yield key, n, parts
                     n, parts = 0, []
                 key, n = own.iloc[a], n + b - a
-                parts = None if parts is None or (most_frames is not None and n > most_frames) else [*parts, batch.iloc[a:b]]
+                parts = None if parts is None or n > most_frames else [*parts, batch.iloc[a:b]]
         if n:
             yield key, n, parts
 

@@ -20,13 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-FORMAT = "trackframe-results"
-
+from trackframe.sources.files import folder
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder's URI, and its path there."""
-    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri.replace("s3a://", "s3://", 1))
+FORMAT = "trackframe-results"
 
 
 @dataclass
@@ -41,7 +37,7 @@ class _Writer(DataSourceStreamArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        at, root = _open(self.path)
+        at, root = folder(self.path)
         at.create_dir(f"{root}/data", recursive=True)
         name, writer, rows = f"{uuid.uuid4().hex}.parquet", None, 0
         try:
@@ -55,7 +51,7 @@ class _Writer(DataSourceStreamArrowWriter):
         return Written([name] if rows else [])
 
     def commit(self, messages: list[Written | None], batchId: int) -> None:
-        at, root = _open(self.path)
+        at, root = folder(self.path)
         at.create_dir(f"{root}/commits", recursive=True)
         record = f"{root}/commits/{batchId}.json"
         if at.get_file_info(record).type != fs.FileType.NotFound:
@@ -70,7 +66,7 @@ class _Writer(DataSourceStreamArrowWriter):
         self._remove(messages)
 
     def _remove(self, messages: list[Written | None]) -> None:
-        at, root = _open(self.path)
+        at, root = folder(self.path)
         for name in (f for m in messages if m for f in m.files):
             at.delete_file(f"{root}/data/{name}")
 
