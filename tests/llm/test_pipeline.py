@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tests.llm import test_decontamination, test_packing, test_quality, test_secrets, test_simhash
-from trackframe.llm import quality
+from trackframe.llm import packing, quality
 from trackframe.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,26 @@ def test_edges(spark):
     assert "<SECRET>" in docs.where("doc_id is null").first().text
     for _, stage in p.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_clashing_columns_go_along(spark):
+    """Names that stages use themselves, one with a dot, one that differs by case."""
+    names = ["_row", "ROW", "__row", "base", "found", "kept", "changed", "clean", "bucket", "rank", "own", "id", "key", "_place", "label", "score", "a.b", "text_view"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    own = [(1, "an own text with token=abcdefgh12345"), (2, f"so {item}"), (3, "an own text with token=abcdefgh12345"), (4, "something else is written here")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), *(f"{n}{i}" for n in names)) for i, t in own], ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"`{n}` string" for n in names)]))
+    docs = materialize(docs, "t")
+    for _, stage in p.STAGES[1:-1]:
+        docs = materialize(stage(spark, docs, SF), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+    got = docs.orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, t, "en", "a", len(t), *(f"{n}{i}" for n in names)) for i, t in ((1, "an own text with <SECRET>"), (4, own[3][1]))]
+    assert p.quality_stage(spark, docs, SF).columns == docs.columns
+    assert p.packing_stage(spark, docs, SF).count() == 2
+
+
+def test_clashing_columns_of_pieces(spark):
+    names = ["row", "bucket", "own", "first", "rank", "n", "place"]
+    pieces = spark.createDataFrame([(i, 0, 0, 5, 1, *(f"{n}{i}" for n in names)) for i in range(9)], "id long, piece int, start long, length long, ids_crc32 long, " + ", ".join(f"{n} string" for n in names))
+    got = packing.pack(pieces).collect()
+    assert sorted(tuple(r)[:-2] for r in got) == sorted(map(tuple, pieces.collect())) and len({(r.sequence_id, r.offset) for r in got}) == 9

@@ -40,17 +40,18 @@ def test_query_equals_brute_force(spark):
     assert sum(r.n_random for r in rows) >= 0.95 * sum(r.n_hex for r in rows) > 0
 
 
-def plain_p(match, alphabet, excess):
+def plain_p(match, alphabet, excess, split, limit):
     s, k, n = [alphabet.index(c) for c in match], len(alphabet), len(match)
-    chi, crossing, serial = statistics(s, k)
+    chi, crossing, serial = statistics(s, k, split)
     cdf = lambda z: 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
     bounded = lambda z: cdf(max(-30.0, min(30.0, z)))
     mean, spread = k - 1 + n * excess, 2 * (k - 1 + 2 * n * excess)
     share = spread / (9 * mean * mean)
+    expected = 2 * (split / k) * (1 - split / k)
     return max(
         bounded(((max(chi, 0) / mean) ** (1 / 3) - (1 - share)) / math.sqrt(share)),
-        bounded((abs(crossing - 0.5) - secrets.LIMITS[0]) * math.sqrt(n - 1) * 2),
-        bounded((abs(serial) - secrets.LIMITS[1]) * math.sqrt(n)),
+        bounded((abs(crossing - expected) - limit) * math.sqrt((n - 1) / (expected * (1 - expected)))),
+        bounded((abs(serial) - secrets.CORRELATION) * math.sqrt(n)),
     )
 
 
@@ -59,11 +60,13 @@ def brute_random(docs):
     strata = {}
     for row, text in enumerate(docs):
         for m in re.finditer(secrets.CANDIDATE, text or ""):
-            for name, pattern, alphabet, excess in secrets.ENCODINGS:
-                if re.search(pattern.replace(r"\z", r"\Z"), m[0]):
-                    n = len(m[0])
-                    p = 10 ** (-min(secrets.LEVELS, math.floor(-math.log10(max(plain_p(m[0], alphabet, excess), 1e-30)) * 50 + 1e-9)) / 50)
-                    strata.setdefault((name, sum(n >= x for x in secrets.LENGTHS)), []).append((p, row, m.start(), name, m.end()))
+            bare = m[0].rstrip("=")
+            for name, pattern, *own in secrets.ENCODINGS:
+                if re.search(pattern.replace(r"\z", r"\Z"), bare):
+                    n = len(bare)
+                    p = 10 ** (-min(secrets.LEVELS, math.floor(-math.log10(max(plain_p(bare, *own), 1e-30)) * 50 + 1e-9)) / 50)
+                    end = m.end() if name in secrets.PADDED and len(m[0]) % 4 == 0 else m.start() + n
+                    strata.setdefault((name, sum(n >= x for x in secrets.LENGTHS)), []).append((p, row, m.start(), name, end))
                     break
     out = {}
     for own in strata.values():
@@ -76,15 +79,25 @@ def brute_random(docs):
     return out
 
 
+SIZES = (20, 24, 32, 40, 64)
+#: Where less than 0.9 of random tokens are found, as README says: so much at least.
+RECALL = {
+    "digits": {20: 0.0, 24: 0.8}, "lower": {20: 0.4, 24: 0.4, 32: 0.8}, "upper": {20: 0.35, 24: 0.4, 32: 0.85}, "letters": {20: 0.8, 24: 0.8}, "base62": {24: 0.8}, "base64url": {20: 0.65},
+}
+
+
 def mixed_tokens(seed):
-    """(token, kind) of random tokens of 20 to 40 characters in several encodings, and of ordinary identifiers."""
+    """(token, kind) of random tokens of 20 to 64 characters in every encoding, and of ordinary identifiers."""
     rnd = random.Random(seed)
     words = "get set user name data base time stamp value list index file path config request response handler factory manager service client server error message type object string count".split()
     out = []
-    for name, _, alphabet, _ in secrets.ENCODINGS[:7]:
-        for n in (20, 24, 32, 40):
+    for name, _, alphabet, *_ in secrets.ENCODINGS:
+        for n in SIZES:
             out += [("".join(rnd.choices(alphabet, k=n)), (name, n)) for _ in range(60)]
-    for _ in range(400):
+    for _ in range(600):
+        joined = "".join(rnd.choices(words, k=rnd.randint(4, 10)))
+        moment = f"20{rnd.randint(10, 29)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}{rnd.randint(0, 23):02}{rnd.randint(0, 59):02}{rnd.randint(0, 59):02}"
+        out += [(joined, "words"), (joined.upper(), "WORDS"), ("".join(w.capitalize() for w in rnd.choices(words, k=rnd.randint(4, 8))), "Words"), (moment + f"{rnd.randint(1, 400):08}", "moment")]
         camel = "".join(rnd.choice(words).capitalize() for _ in range(rnd.randint(4, 7))) + str(rnd.randint(0, 99))
         path = "/".join(rnd.choices(words, k=5)) + f"/{rnd.choice(words).capitalize()}{rnd.randint(1, 9)}"
         out += [(camel[0].lower() + camel[1:], "camel"), (path, "path"), (f"{rnd.choice(words)}_{rnd.choice(words)}_{rnd.choice(words).upper()}_{rnd.randint(1, 99)}", "snake")]
@@ -107,9 +120,11 @@ def test_spans_equal_brute_force_and_recall(spark):
             hits[kind] = hits.get(kind, 0) + (r.n_random > 0)
     share = {k: hits[k] / sizes[k] for k in sizes}
     print({k: round(v, 2) for k, v in sorted(share.items(), key=str)})
-    long = [v for k, v in share.items() if isinstance(k, tuple) and k[1] >= 32]
-    assert sum(long) / len(long) > 0.9
-    assert all(share[k] < 0.1 for k in ("camel", "path", "snake"))
+    for k, v in share.items():
+        if isinstance(k, tuple):
+            assert v >= RECALL.get(k[0], {}).get(k[1], 0.9), (k, v)
+        elif len(k) > 0:
+            assert v < 0.05, (k, v)
 
 
 def test_query_equals_sql(spark):
@@ -131,10 +146,10 @@ def test_base_edges(spark):
     assert secrets.scan(frame.limit(0)).count() == 0
 
 
-def statistics(symbols, k):
+def statistics(symbols, k, split):
     n = len(symbols)
     chi = sum(symbols.count(s) ** 2 for s in set(symbols)) * k / n - n
-    crossing = sum((a * 2 >= k) != (b * 2 >= k) for a, b in zip(symbols, symbols[1:])) / (n - 1)
+    crossing = sum((a >= split) != (b >= split) for a, b in zip(symbols, symbols[1:])) / (n - 1)
     mean = sum(symbols) / n
     square = sum((x - mean) ** 2 for x in symbols)
     serial = sum((a - mean) * (b - mean) for a, b in zip(symbols, symbols[1:])) / square if square else 1.0
@@ -144,9 +159,9 @@ def statistics(symbols, k):
 def test_statistics_and_normal_curve(spark):
     rnd = random.Random(8)
     rows = [([rnd.randrange(k) for _ in range(rnd.randint(20, 90))], k) for k in (16, 32, 36, 62, 64) for _ in range(8)] + [([3] * 25, 16), ([0, 15] * 15, 16)]
-    got = spark.createDataFrame(rows, "s array<int>, k int").select(secrets.chi_squared(F.col("s"), F.col("k")), secrets.crossing_rate(F.col("s"), F.col("k")), secrets.serial_correlation(F.col("s"))).collect()
+    got = spark.createDataFrame(rows, "s array<int>, k int").select(secrets.chi_squared(F.col("s"), F.col("k")), secrets.crossing_rate(F.col("s"), F.floor(F.col("k") / 3)), secrets.serial_correlation(F.col("s"))).collect()
     for (s, k), r in zip(rows, got, strict=True):
-        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(statistics(s, k), r, strict=True))
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(statistics(s, k, k // 3), r, strict=True))
     for z, p in [(z / 4, 0.5 * math.erfc(-z / 4 / math.sqrt(2))) for z in range(-16, 17)]:
         assert abs(spark.range(1).select(secrets.normal_cdf(F.lit(z))).first()[0] - p) < 2e-4
 
@@ -154,7 +169,7 @@ def test_statistics_and_normal_curve(spark):
 def test_battery_finds_random_runs_and_leaves_words(spark):
     rnd = random.Random(9)
     make = lambda alphabet, n: "".join(rnd.choices(alphabet, k=n))
-    b62 = secrets.ENCODINGS[5][2]
+    b62 = next(x[2] for x in secrets.ENCODINGS if x[0] == "base62")
     good = [make(b62, 60) for _ in range(60)] + [make("0123456789abcdef", 64) for _ in range(60)]
     bad = ["internationalisation" * 2, "aaaaaaaaaaaaaaaaaaaaaaaa11", "Section1Section2Section3Section4Section5", "2024-01-01T00-00-00-Report-Final-Version2", "abcdefghijklmnopqrstuvwxyz0123456789"]
     docs = [(i, f"x {t} y") for i, t in enumerate(good + bad * 5)]

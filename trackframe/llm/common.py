@@ -66,6 +66,19 @@ def with_row_key(docs: DataFrame, name: str) -> DataFrame:
         return materialize(docs, "rows").select("*", key)
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``select``, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it none of the table's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: So many ids at most (some 30 MB, if they are row keys) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 

@@ -302,7 +302,7 @@ class MediaArchives(DataSource):
 
 
 def store_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append", **options) -> None:
-    """Store every text (null: empty) as UTF-8, padded, in archives under ``path``. Other columns are left out.
+    """Store every text (null: empty) as UTF-8, padded, in archives under ``path``. Other columns are left out; ids are whole numbers, or strings of them.
 
     ``mode`` append adds to what is there, overwrite replaces it.
     """

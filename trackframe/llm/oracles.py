@@ -101,7 +101,7 @@ def _secrets_sql() -> str:
 
     def fits(pattern: str) -> str:
         needed, allowed = re.findall(r"\(\?=\.\*(\[[^\]]+\])\)", pattern), re.search(r"(\[[^\]]+\]\+)\\z", pattern)[1]
-        return " AND ".join([f"regexp_full_match(match, {_quote(allowed)})", *(f"regexp_matches(match, {_quote(x)})" for x in needed)])
+        return " AND ".join([f"regexp_full_match(bare, {_quote(allowed)})", *(f"regexp_matches(bare, {_quote(x)})" for x in needed)])
 
     def spans(kind: str, pattern: str, group: int, good: str) -> str:
         p = _quote(pattern)
@@ -111,26 +111,26 @@ def _secrets_sql() -> str:
     kinds = [("assign", secrets.ASSIGN, 2, "length(part) >= 6"), ("access", secrets.ACCESS, 0, "length(match) >= 20"), ("hex", secrets.HEX, 0, "length(match) >= 24")]
     base = " UNION ALL ".join(f"SELECT {rank} AS rank, * FROM ({spans(*k)})" for rank, k in enumerate(kinds))
     names = " ".join(f"WHEN {fits(pattern)} THEN {i}" for i, (_, pattern, *_) in enumerate(secrets.ENCODINGS))
-    labels, _, alphabets, excesses = (list(column) for column in zip(*secrets.ENCODINGS, strict=True))
-    crossing, correlation = secrets.LIMITS
+    labels, _, alphabets, excesses, splits, limits = (list(column) for column in zip(*secrets.ENCODINGS, strict=True))
+    padded = " OR ".join(f"encoding = '{x}'" for x in secrets.PADDED)
     classes = " + ".join(f"(n >= {n})::INT" for n in secrets.LENGTHS)
     cdf = lambda z: f"(1 / (1 + exp(-1.5976 * {z} - 0.07056 * {z} * {z} * {z})))"
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({base}),
-runs AS (SELECT *, CASE {names} END AS which FROM ({spans("run", secrets.CANDIDATE, 0, "true")})),
-symbols AS (SELECT *, {labels}[which + 1] AS encoding, length({alphabets}[which + 1])::DOUBLE AS k, {excesses}[which + 1] AS excess, length(match)::DOUBLE AS n, list_transform(string_split(match, ''), lambda c: strpos({alphabets}[which + 1], c) - 1) AS s FROM runs WHERE which IS NOT NULL),
+runs AS (SELECT *, CASE {names} END AS which FROM (SELECT *, rtrim(match, '=') AS bare FROM ({spans("run", secrets.CANDIDATE, 0, "true")}))),
+symbols AS (SELECT *, {labels}[which + 1] AS encoding, length({alphabets}[which + 1])::DOUBLE AS k, {excesses}[which + 1] AS excess, {splits}[which + 1]::DOUBLE AS split, {limits}[which + 1] AS far, length(bare)::DOUBLE AS n, list_transform(string_split(bare, ''), lambda c: strpos({alphabets}[which + 1], c) - 1) AS s FROM runs WHERE which IS NOT NULL),
 means AS (SELECT *, list_sum(s)::DOUBLE / n AS mean, list_sum(list_transform(list_distinct(s), lambda x: len(list_filter(s, lambda y: y = x)) ** 2)) * k / n - n AS chi,
-  list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN (s[i] * 2 >= k) <> (s[i + 1] * 2 >= k) THEN 1.0 ELSE 0.0 END))::DOUBLE / (n - 1) AS rate FROM symbols),
+  list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN (s[i] >= split) <> (s[i + 1] >= split) THEN 1.0 ELSE 0.0 END))::DOUBLE / (n - 1) AS rate FROM symbols),
 centred AS (SELECT *, list_transform(s, lambda x: x - mean) AS c FROM means),
 serial AS (SELECT *, list_sum(list_transform(c, lambda x: x * x)) AS square, list_sum(list_transform(range(1, len(c)), lambda i: c[i] * c[i + 1])) AS lag FROM centred),
 shares AS (SELECT *, CASE WHEN square > 0 THEN lag / square ELSE 1 END AS r, k - 1 + n * excess AS m, 2 * (k - 1 + 2 * n * excess) / (9 * (k - 1 + n * excess) ** 2) AS share FROM serial),
-scores AS (SELECT *, greatest(-30, least(30, (pow(greatest(chi, 0) / m, 1 / 3) - (1 - share)) / sqrt(share))) AS z1, greatest(-30, least(30, (abs(rate - 0.5) - {crossing}) * sqrt(n - 1) * 2)) AS z2,
-  greatest(-30, least(30, (abs(r) - {correlation}) * sqrt(n))) AS z3 FROM shares),
+scores AS (SELECT *, greatest(-30, least(30, (pow(greatest(chi, 0) / m, 1 / 3) - (1 - share)) / sqrt(share))) AS z1, greatest(-30, least(30, (abs(rate - expected) - far) * sqrt((n - 1) / (expected * (1 - expected))))) AS z2,
+  greatest(-30, least(30, (abs(r) - {secrets.CORRELATION}) * sqrt(n))) AS z3 FROM (SELECT *, 2 * (split / k) * (1 - split / k) AS expected FROM shares)),
 levels AS (SELECT *, which * {len(secrets.LENGTHS) + 1} + {classes} AS stratum, least(floor(-log10(greatest({cdf("z1")}, {cdf("z2")}, {cdf("z3")}, 1e-30)) * {secrets.PER_DECADE} + 1e-9), {secrets.LEVELS})::INT AS level FROM scores),
 counts AS (SELECT stratum, level, sum(count(*)) OVER (PARTITION BY stratum ORDER BY level DESC) AS seen, least(sum(count(*)) OVER (PARTITION BY stratum), 2 * (1 + coalesce(sum(count(*)) FILTER (WHERE level <= {secrets.HALF}) OVER (PARTITION BY stratum), 0))) AS ordinary FROM levels GROUP BY stratum, level),
 cut AS (SELECT stratum, min(level) AS least FROM counts WHERE pow(10, -level / {secrets.PER_DECADE}) <= {secrets.FDR} * least(1, seen / ordinary) GROUP BY stratum),
-spans AS (SELECT doc_id, rank, kind, start, start + length(match) AS stop FROM base UNION ALL SELECT doc_id, {len(secrets.KINDS)}, 'random_' || encoding, start, start + length(match) FROM levels JOIN cut USING (stratum) WHERE level >= least),
+spans AS (SELECT doc_id, rank, kind, start, start + length(match) AS stop FROM base UNION ALL SELECT doc_id, {len(secrets.KINDS)}, 'random_' || encoding, start, start + CASE WHEN ({padded}) AND length(match) % 4 = 0 THEN length(match) ELSE length(bare) END FROM levels JOIN cut USING (stratum) WHERE level >= least),
 digests AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.KINDS)}, count(*) FILTER (WHERE rank = {len(secrets.KINDS)}) AS n_random,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(secrets.KINDS)}) AS own, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
 SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random

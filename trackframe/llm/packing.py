@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize, small_batches
+from trackframe.llm.common import materialize, quoted, small_batches
 from trackframe.llm.tokens import ids_of
 
 #: About as many rows of one length are ranked together.
@@ -121,15 +121,16 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 
 def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """``pieces`` with ``rank``, gapless from 0 within each length; the buckets of a length follow its own count."""
+    """(row, length, rank): each of ``pieces`` as a struct, so that no name can clash, and its rank, gapless from 0 within its length; the buckets of a length follow its own count."""
     buckets = F.lit([1 + counts.get(n, 0) // BUCKET_ROWS for n in range(max(counts, default=0) + 1)])
-    order = ["id", "piece", "start", "ids_crc32"]
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.get(buckets, F.col("length").cast("int"))))
+    order = [F.col("row")[c] for c in ("id", "piece", "start", "ids_crc32")]
+    rows = pieces.select(F.struct(*map(quoted, pieces.columns)).alias("row"), "length")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.get(buckets, F.col("length").cast("int"))))
     sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))
-    return rows.withColumn("own", own).join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("own") - 1).drop("own", "bucket", "first")
+    return rows.withColumn("own", own).join(firsts, ["length", "bucket"]).select("row", "length", (F.col("first") + F.col("own") - 1).alias("rank"))
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
@@ -152,7 +153,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
 
     ranked = _ranked(pieces, counts)
     placed = ranked.withColumn("place", place("length", "rank"))
-    return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
+    return placed.select("row.*", "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize, small_batches
+from trackframe.llm.common import materialize, quoted, small_batches
 
 TRAIN_ROWS = 20_000
 EXCHANGED = 300
@@ -89,8 +89,8 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"text_view": [text_view(t) for t in text], "meta_view": [meta_view(*x) for x in zip(lang, source, strict=True)]})
 
     own = views(text_col, F.col(lang_col).cast("string"), F.col(source_col).cast("string"))
-    kept = [F.col(k).alias(f"kept_{k}") for k in keep]
-    return docs.select(F.col(id_col).alias("id"), own.alias("v"), *kept).select("id", "v.*", *(f"kept_{k}" for k in keep))
+    kept = [F.col(quoted(k)).alias(f"kept_{k}") for k in keep]
+    return docs.select(F.col(id_col).alias("id"), own.alias("v"), *kept).select("id", "v.*", *(quoted(f"kept_{k}") for k in keep))
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ class CoTrained:
         """(id, p_text, p_meta, score[, kept_...]): both views' odds over the prior's, as if the views were independent."""
         prior = math.log(self.prior / (1 - self.prior))
         a, b = self.text.log_odds("text_view"), self.meta.log_odds("meta_view")
-        return rows.select("id", probability(a).alias("p_text"), probability(b).alias("p_meta"), probability(a + b - prior).alias("score"), *(f"kept_{k}" for k in keep))
+        return rows.select("id", probability(a).alias("p_text"), probability(b).alias("p_meta"), probability(a + b - prior).alias("score"), *(quoted(f"kept_{k}") for k in keep))
 
 
 def _told(rows: DataFrame, models: dict[str, Linear]) -> dict[str, DataFrame]:
@@ -240,4 +240,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", threshold: float = THRESHOLD, **columns) -> DataFrame:
     """The rows of ``docs`` that are not rejected, whatever their id; all columns stay."""
     scored = _scored(docs, labels, id_col, label_col, tuple(docs.columns), **columns)
-    return scored.where(F.col("score") >= threshold).select(*(F.col(f"kept_{k}").alias(k) for k in docs.columns))
+    return scored.where(F.col("score") >= threshold).select(*(F.col(quoted(f"kept_{k}")).alias(k) for k in docs.columns))

@@ -4,9 +4,9 @@ The battery looks at every long run of encoding characters. Its encoding is
 inferred (the smallest alphabet of which it has every class of characters), and
 three statistics measure how far its symbols are from independent uniform ones:
 chi-squared over the alphabet, the rate at which symbols cross the alphabet's
-middle (runs), and the lag-1 serial correlation. Each is tested against "at least
-as far from random as ordinary identifiers are" (``LIMITS`` and the encoding's own
-excess), so that a small p-value speaks for a secret; the p-value of the battery is
+split (runs), and the lag-1 serial correlation. The split is the alphabet's middle, or, for letters only, that
+between vowels and others, which words cross far more often than random letters. Each is tested against "at least
+as far from random as ordinary identifiers are" (``ENCODINGS`` and ``CORRELATION``), so that a small p-value speaks for a secret; the p-value of the battery is
 the largest of the three. The distance that a test can exclude depends on the length,
 so false discoveries are controlled by length: within each stratum of an encoding and a
 length class (``LENGTHS``) the adaptive Benjamini-Hochberg rule at level ``FDR`` holds,
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import as_spans, blocks, let, materialize, part, prefixes, regex_spans, span_list
+from trackframe.llm.common import as_spans, blocks, let, materialize, part, prefixes, quoted, regex_spans, span_list
 
 # The base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,21 +30,33 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex")
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Runs that are tested; the padding of base64 is no symbol.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: name, characters and needed classes, alphabet, excess of chi-squared for each symbol that counts as ordinary; the first that fits is inferred.
+_VOWELS = "aeiou"
+#: Letters with the vowels first, which words alternate with the others.
+_SPOKEN = _VOWELS + "".join(c for c in _LOWER if c not in _VOWELS)
+_BOTH = _VOWELS + _VOWELS.upper() + _SPOKEN[5:] + _SPOKEN[5:].upper()
+#: name, characters and needed classes, alphabet; what counts as ordinary: the excess of chi-squared for each symbol, the place that
+#: splits the alphabet for the runs test, and the distance of the crossing rate from that of random symbols. The first that fits is inferred.
 ENCODINGS = (
-    ("hex", r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]+\z", _DIGITS + "abcdef", 1.0),
-    ("hex_upper", r"\A(?=.*[0-9])(?=.*[A-F])[0-9A-F]+\z", _DIGITS + "ABCDEF", 1.0),
-    ("base32", r"\A(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+\z", _UPPER + "234567", 1.0),
-    ("base36", r"\A(?=.*[0-9])(?=.*[a-z])[a-z0-9]+\z", _DIGITS + _LOWER, 1.0),
-    ("base36_upper", r"\A(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+\z", _DIGITS + _UPPER, 1.0),
-    ("base62", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+\z", _UPPER + _LOWER + _DIGITS, 1.5),
-    ("base64", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+\z", _UPPER + _LOWER + _DIGITS + "+/", 1.5),
-    ("base64url", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+\z", _UPPER + _LOWER + _DIGITS + "-_", 1.0),
+    ("digits", r"\A[0-9]+\z", _DIGITS, 0.8, 5, 0.42),
+    ("hex", r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]+\z", _DIGITS + "abcdef", 1.4, 8, 0.42),
+    ("hex_upper", r"\A(?=.*[0-9])(?=.*[A-F])[0-9A-F]+\z", _DIGITS + "ABCDEF", 1.4, 8, 0.42),
+    ("lower", r"\A[a-z]+\z", _SPOKEN, 0.9, 5, 0.4),
+    ("upper", r"\A[A-Z]+\z", _SPOKEN.upper(), 0.9, 5, 0.4),
+    ("base32", r"\A(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+\z", _UPPER + "234567", 1.4, 16, 0.42),
+    ("base36", r"\A(?=.*[0-9])(?=.*[a-z])[a-z0-9]+\z", _DIGITS + _LOWER, 1.4, 18, 0.42),
+    ("base36_upper", r"\A(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+\z", _DIGITS + _UPPER, 1.4, 18, 0.42),
+    ("letters", r"\A(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+\z", _BOTH, 2.2, 10, 0.4),
+    ("base62", r"\A(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+\z", _UPPER + _LOWER + _DIGITS, 1.8, 31, 0.42),
+    ("base64", r"\A(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+\z", _UPPER + _LOWER + _DIGITS + "+/", 1.8, 32, 0.42),
+    ("base64url", r"\A(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+\z", _UPPER + _LOWER + _DIGITS + "-_", 1.5, 32, 0.42),
 )
-#: Distance of the crossing rate from one half, and size of the correlation, that count as ordinary.
-LIMITS = (0.42, 0.75)
+#: Those that may end with padding, which counts if it fills up a group of four.
+PADDED = ("base64", "base64url")
+#: Size of the correlation that counts as ordinary.
+CORRELATION = 0.75
 #: Where a new length class begins.
 LENGTHS = (24, 32, 48, 96)
 FDR = 0.1
@@ -73,9 +85,9 @@ def chi_squared(symbols: Column, size: Column) -> Column:
     return squares * size / F.size(symbols) - F.size(symbols)
 
 
-def crossing_rate(symbols: Column, size: Column) -> Column:
-    """The share of neighbours that lie on different sides of the alphabet's middle."""
-    side = F.transform(symbols, lambda x: x * 2 >= size)
+def crossing_rate(symbols: Column, split: Column) -> Column:
+    """The share of neighbours that lie on different sides of a place of the alphabet."""
+    side = F.transform(symbols, lambda x: x >= split)
     n = F.size(symbols) - 1
     pairs = let(side, lambda s: F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)))
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / n
@@ -95,15 +107,16 @@ def serial_correlation(symbols: Column) -> Column:
     return let(centred, ratio)
 
 
-def battery_p(symbols: Column, size: Column, excess: Column) -> Column:
-    """The largest p-value of the three tests that the symbols are closer to random than ``excess`` and ``LIMITS``."""
-    n, (crossing, correlation) = F.size(symbols), LIMITS
+def battery_p(symbols: Column, size: Column, excess: Column, split: Column, limit: Column) -> Column:
+    """The largest p-value of the three tests that the symbols are closer to random than what counts as ordinary."""
+    n = F.size(symbols)
     mean, spread = size - 1 + n * excess, 2 * (size - 1 + 2 * n * excess)
     share = spread / (9 * mean * mean)
     cube_root = F.pow(F.greatest(chi_squared(symbols, size), F.lit(0.0)) / mean, F.lit(1 / 3))
     p_chi = normal_cdf((cube_root - (1 - share)) / F.sqrt(share))
-    p_runs = normal_cdf((F.abs(crossing_rate(symbols, size) - 0.5) - crossing) * F.sqrt(n - 1) * 2)
-    p_serial = normal_cdf((F.abs(serial_correlation(symbols)) - correlation) * F.sqrt(n))
+    expected = 2 * (split / size) * (1 - split / size)
+    p_runs = normal_cdf((F.abs(crossing_rate(symbols, split) - expected) - limit) * F.sqrt((n - 1) / (expected * (1 - expected))))
+    p_serial = normal_cdf((F.abs(serial_correlation(symbols)) - CORRELATION) * F.sqrt(n))
     return F.greatest(p_chi, p_runs, p_serial)
 
 
@@ -111,23 +124,26 @@ def candidates(text: Column) -> Column:
     """Runs whose encoding is inferred: array of (start, end, encoding, stratum, level)."""
 
     def encoded(x: Column) -> Column:
+        bare = F.rtrim(x["match"], F.lit("="))
         which = F.lit(None).cast("int")
         for i, (_, pattern, *_) in reversed(list(enumerate(ENCODINGS))):
-            which = F.when(F.rlike(x["match"], F.lit(pattern)), i).otherwise(which)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), which.alias("which"))
+            which = F.when(F.rlike(bare, F.lit(pattern)), i).otherwise(which)
+        return F.struct(x["start"].alias("start"), bare.alias("bare"), F.char_length(x["match"]).alias("whole"), which.alias("which"))
 
-    names, _, alphabets, excesses = (F.array(*map(F.lit, column)) for column in zip(*ENCODINGS, strict=True))
+    names, _, alphabets, excesses, splits, limits = (F.array(*map(F.lit, column)) for column in zip(*ENCODINGS, strict=True))
 
     def tested(x: Column) -> Column:
         of = lambda values: F.element_at(values, x["which"] + 1)
-        symbols = let(of(alphabets), lambda a: F.transform(F.split(x["match"], ""), lambda c: F.instr(a, c) - 1))
-        p = let(symbols, lambda s: battery_p(s, F.char_length(of(alphabets)), of(excesses)))
+        symbols = let(of(alphabets), lambda a: F.transform(F.split(x["bare"], ""), lambda c: F.instr(a, c) - 1))
+        p = let(symbols, lambda s: battery_p(s, F.char_length(of(alphabets)), of(excesses), of(splits), of(limits)))
         level = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * PER_DECADE + 1e-9), F.lit(LEVELS)).cast("int")
+        size = F.char_length(x["bare"])
         length_class = F.lit(0)
         for n in LENGTHS:
-            length_class = length_class + (F.char_length(x["match"]) >= n).cast("int")
+            length_class = length_class + (size >= n).cast("int")
         stratum = x["which"] * (len(LENGTHS) + 1) + length_class
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), of(names).alias("encoding"), stratum.alias("stratum"), level.alias("level"))
+        length = F.when(of(names).isin(*PADDED) & (x["whole"] % 4 == 0), x["whole"]).otherwise(size)
+        return F.struct(x["start"].alias("start"), (x["start"] + length).alias("end"), of(names).alias("encoding"), stratum.alias("stratum"), level.alias("level"))
 
     found = F.transform(regex_spans(text, CANDIDATE), encoded)
     return F.transform(F.filter(found, lambda x: x["which"].isNotNull()), tested)
@@ -155,7 +171,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), fdr: float = FDR) -> DataFrame:
-    """(id, base, found[, kept columns]) of every row of ``docs``.
+    """(id, base, found[, kept]) of every row of ``docs``; ``kept`` is a struct of the columns ``keep``, whatever their names.
 
     ``base`` and ``found`` are arrays of (start, rank, kind, end): the base
     kinds' spans and those of the battery, whose kind names the encoding. A null
@@ -164,7 +180,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*(as_spans(found, rank, kind) for rank, (kind, found) in enumerate(base_spans(text).items())))
-    rows = docs.select(F.col(id_col).alias("id"), *(F.col(k).alias(f"kept_{k}") for k in keep), base.alias("base"), candidates(text).alias("runs"))
+    kept = F.struct(*map(quoted, keep)) if keep else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), base.alias("base"), candidates(text).alias("runs"))
     rows = materialize(rows, "secrets")
     levels = rows.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.level").agg(F.count("*").alias("n"))
     strata: list[dict[int, int]] = [{} for _ in range(len(ENCODINGS) * (len(LENGTHS) + 1))]
@@ -173,7 +190,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     least = F.array(*(F.lit(threshold(own, fdr)) for own in strata))
     good = F.filter("runs", lambda x: x["level"] >= F.element_at(least, x["stratum"] + 1))
     found = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("random_"), x["encoding"]).alias("kind"), x["end"].alias("end")))
-    return rows.select("id", *(F.col(f"kept_{k}").alias(k) for k in keep), "base", found.alias("found"))
+    return rows.select("id", *(["kept"] if keep else []), "base", found.alias("found"))
 
 
 def digests(scanned: DataFrame) -> DataFrame:
