@@ -105,3 +105,18 @@ def test_no_unit_without_a_cue_reaches_the_threshold(similarity):
         # the best that a unit without cues can reach with a template
         assert all(sum(x * x for w, x in v.items() if w not in cue) ** 0.5 < similarity for v in vectors)
         assert len(cue) < len(licenses.VOCABULARY)
+
+
+def test_denied_licences_and_long_files(spark):
+    """What denies a licence states none and gives none to its neighbours; long licence files are known by their sentences."""
+    preamble = "The GNU General Public License is a free, copyleft license for software and other kinds of works. "
+    boost = "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted to anyone.\n" + "and more of it " * 2_000
+    files = [
+        ("a/readme.txt", "This is not released under the MIT License", None), ("a/b.py", "x", None), ("b/x.md", "It isn't licensed under the Apache License, Version 2.0.", None), ("c/y.md", "Never licensed under the MIT License", None),
+        ("d/COPYING", preamble * 40, "GPL-3.0"), ("d/z.c", "int x;", "GPL-3.0"), ("e/LICENSE", wrapped(whole("Zlib")), "Zlib"), ("e/q.c", "int x;", "Zlib"), ("f/LICENSE", boost, "BSL-1.0"),
+        ("g/LICENSE", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS\n" + "of this and that " * 3_000, "EPL-2.0"), ("h/LICENSE", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0\n\n1. Definitions.\n", "CDDL-1.0"),
+        ("i/main.c", GPL2.replace("ANY WARRANTY.", "ANY WARRANTY. If not, see the site."), "GPL-2.0"), ("j/bsd.c", wrapped(whole("BSD-3-Clause"), mark="#"), "BSD-3-Clause"),
+    ]
+    frame = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "id long, path string, text string")
+    got = {r.id: r.licence for r in licenses.scan(frame, "id", F.col("path")).collect()}
+    assert [(files[i][0], got[i]) for i in sorted(got)] == [(p, want) for p, _, want in files]

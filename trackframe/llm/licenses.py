@@ -16,6 +16,7 @@ are chosen from the weights so that a unit without any of them stays below the
 threshold with every template (what is left of a template's unit vector is shorter
 than it).
 
+A unit with more words of denial than a template does not count for it: "not released under the MIT License" states nothing.
 A file takes the licence of its best unit; a mere reservation of rights (``FALLBACK``)
 counts only where nothing else is found. A file without a licence takes that of the
 nearest directory above it that holds a licence file: one with a licence's name, or
@@ -42,6 +43,8 @@ COMMENT = "^[ \\t]*(?://+|/\\*+|\\*+/?|#+|--+|;+|%+|<!--|\"\"\"|''')"
 COMMENT_END = "[ \\t]*(?:\\*+/|-->|\"\"\"|''')?[ \\t]*$"
 SENTENCE_END = r"""([.!?]["')]*)[ \t]+"""
 FALLBACK = "proprietary"
+#: A unit that has more of these words than a template denies what the template states.
+NEGATIONS = ("aren", "cannot", "isn", "neither", "never", "no", "nor", "not", "wasn")
 
 _WARRANTY = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
@@ -67,6 +70,14 @@ _MIT_END = (
 )
 
 
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+    "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not "
+    "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+)
+
+
 def _gnu(name: str, version: str, thing: str, pause: str) -> str:
     return (
         f"This {thing} is free software{pause} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, "
@@ -124,6 +135,22 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", _ZLIB),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "Licensed under the zlib License"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("CDDL-1.0", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("CDDL-1.0", "SPDX-License-Identifier: CDDL-1.0"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
     (FALLBACK, "Copyright. All rights reserved"),
     (FALLBACK, "All rights reserved"),
 )
@@ -134,6 +161,10 @@ def _split(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
+def denials(words: list[str]) -> int:
+    return sum(w in NEGATIONS for w in words)
+
+
 VOCABULARY = tuple(sorted({w for _, text in TEMPLATES for w in _split(text)}))
 #: Longer units are looked at by their parts.
 LONGEST = 2 * max(len(_split(text)) for _, text in TEMPLATES)
@@ -226,17 +257,19 @@ def cosines(distinct: DataFrame, idf: dict[str, float], vectors: list[dict[str,
     """
     spark = distinct.sparkSession
     weights = spark.createDataFrame([(i, TEMPLATES[i][0], w, x, idf[w]) for i, v in enumerate(vectors) for w, x in v.items()], "template int, licence string, word string, v double, idf double")
-    counted = distinct.select("key", "n", F.explode(F.split("words", " ")).alias("word")).groupBy("key", "n", "word").agg(F.count("*").alias("tf"))
+    nots = F.size(F.filter(F.split("words", " "), lambda w: w.isin(*NEGATIONS))).alias("nots")
+    counted = distinct.select("key", "n", nots, F.explode(F.split("words", " ")).alias("word")).groupBy("key", "n", "nots", "word").agg(F.count("*").alias("tf"))
     known = F.broadcast(weights.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "v")).alias("of")))
     rows = counted.join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(max(idf.values()))))
     # a row for the norm, and one for each template that has the word
-    rows = rows.select("key", "n", "w", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("licence"), F.col("w").alias("v"))), F.coalesce("of", F.array().cast("array<struct<template:int,licence:string,v:double>>")))).alias("t"))
-    dots = rows.groupBy("key", "n", "t.template", "t.licence").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
+    rows = rows.select("key", "n", "nots", "w", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("licence"), F.col("w").alias("v"))), F.coalesce("of", F.array().cast("array<struct<template:int,licence:string,v:double>>")))).alias("t"))
+    dots = rows.groupBy("key", "n", "nots", "t.template", "t.licence").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
     one = F.struct((F.col("licence") != FALLBACK).alias("specific"), "dot", (-F.col("template")).alias("first"), "licence")
     norm = F.sqrt(F.max(F.when(F.col("template") < 0, F.col("dot"))))
-    reach = F.filter(F.col("all"), lambda x: F.round(x["dot"] / F.col("norm"), 6) >= similarity)
+    allowed = F.array(*(F.lit(denials(_split(text))) for _, text in TEMPLATES))
+    reach = F.filter(F.col("all"), lambda x: (F.round(x["dot"] / F.col("norm"), 6) >= similarity) & (F.element_at(allowed, 1 - x["first"]) >= F.col("nots")))
     rounded = F.transform(reach, lambda x: F.struct(x["specific"].alias("specific"), F.round(x["dot"] / F.col("norm"), 6).alias("cosine"), x["first"].alias("first"), x["licence"].alias("licence")))
-    best = dots.groupBy("key", "n").agg(norm.alias("norm"), F.collect_list(F.when(F.col("template") >= 0, one)).alias("all"))  # as many as there are templates at most
+    best = dots.groupBy("key", "n", "nots").agg(norm.alias("norm"), F.collect_list(F.when(F.col("template") >= 0, one)).alias("all"))  # as many as there are templates at most
     best = best.select("key", "n", F.array_max(rounded).alias("best")).where("best is not null")
     return best.select("key", "best.licence", "best.specific", "best.cosine", "n")
 
@@ -252,7 +285,7 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", si
     """(id, licence, origin, cosine, licence_directory, n_statements) of every file.
 
     ``origin`` is ``statement``, ``inherited`` or ``none``; ``n_statements`` counts
-    the distinct units that reach the threshold. Of equal cosines the smallest
+    the distinct units that reach the threshold and deny nothing. Of equal cosines the smallest
     licence name wins. Null and empty texts have no units; a null path has no
     directory and inherits nothing; repeated rows stay; an empty table gives no
     rows. Other columns of ``files`` are ignored.

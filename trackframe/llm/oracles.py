@@ -58,12 +58,13 @@ FROM records"""
 def _licence_sql() -> str:
     """Every unit of every file is compared: there are no cues here."""
     values = ", ".join(f"({i}, {_quote(name)}, {_quote(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    nots = lambda ws: f"len(list_filter({ws}, lambda w: list_contains({list(licenses.NEGATIONS)}, w)))"
     words = lambda x: f"regexp_extract_all(lower({x}), {_quote(licenses.WORD)})"
     order = f"(licence <> '{licenses.FALLBACK}') DESC, cosine DESC"
     return f"""
 WITH files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*)::DOUBLE AS n FROM files),
-templates AS (SELECT template, licence, {words("text")} AS words FROM (VALUES {values}) v(template, licence, text)),
+templates AS (SELECT template, licence, {words("text")} AS words, {nots(words("text"))} AS allowed FROM (VALUES {values}) v(template, licence, text)),
 vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM templates),
 frequency AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({words("text")}) AS word FROM files) GROUP BY word),
 idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN frequency USING (word), total),
@@ -77,12 +78,13 @@ rows_ AS (SELECT doc_id, regexp_replace(path, '/?[^/]*$', '') AS directory, rege
   list_distinct(list_transform(list_filter(list_transform(parts, lambda x: {words("x")}), lambda w: len(w) BETWEEN 1 AND {licenses.LONGEST}), lambda w: array_to_string(w, ' '))) AS units FROM parts),
 said AS (SELECT doc_id, unit, unit = whole AS is_whole FROM (SELECT doc_id, whole, unnest(units) AS unit FROM rows_)),
 distinct_ AS (SELECT DISTINCT unit, string_split(unit, ' ') AS words FROM said),
+denied AS (SELECT unit, {nots("words")} AS nots FROM distinct_),
 terms AS (SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(words) AS word FROM distinct_) GROUP BY ALL),
 weighed AS (SELECT unit, word, tf * coalesce(idf, (SELECT max(idf) FROM idf)) AS w FROM terms LEFT JOIN idf USING (word)),
 norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY unit),
 vectors AS (SELECT template, licence, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS v FROM (SELECT template, licence, word, count(*) AS tf FROM (SELECT template, licence, unnest(words) AS word FROM templates) GROUP BY ALL) JOIN idf USING (word)),
 dots AS (SELECT unit, template, licence, sum(w * v) AS dot FROM weighed JOIN vectors USING (word) GROUP BY ALL),
-found AS (SELECT unit, licence, cosine FROM (SELECT unit, template, licence, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (unit)) WHERE cosine >= {licenses.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY {order}, template) = 1),
+found AS (SELECT unit, licence, cosine FROM (SELECT unit, template, licence, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (unit) JOIN denied USING (unit) JOIN (SELECT template, allowed FROM templates) USING (template) WHERE nots <= allowed) WHERE cosine >= {licenses.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY {order}, template) = 1),
 matched AS (SELECT doc_id, licence, cosine, is_whole FROM said JOIN found USING (unit)),
 counts AS (SELECT doc_id, count(*) AS n_statements, bool_or(is_whole) AS whole FROM matched GROUP BY doc_id),
 own AS (SELECT doc_id, licence, cosine FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {order}, licence) = 1),
