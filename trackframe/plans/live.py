@@ -117,11 +117,13 @@ def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(clips.ORACLES["subject_tracking"])
 def live_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates of ``subject_tracking`` as a stream; the last box is its state."""
+    """The candidates of ``subject_tracking`` as a stream of three triggers; the last box is its state."""
     folder = _folder(spark)
-    clips.candidates(spark, sf_dir).select("stream_id", "frame", "cand", "box.*", F.lit("box").alias("kind")).write.parquet(f"{folder}/candidates")
-    schema = spark.read.parquet(f"{folder}/candidates").schema
-    _run(live.track(live.source(spark, f"{folder}/candidates", schema, 1_000_000)), folder)
+    rows = clips.candidates(spark, sf_dir).select("stream_id", "frame", "cand", "box.*", F.lit("box").alias("kind"))
+    low, high = rows.agg(F.min("frame"), F.max("frame")).first()
+    for i in range(3):  # whole frames in a file, earlier ones first
+        rows.where(F.floor((F.col("frame") - low) * 3 / (high - low + 1)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/candidates")
+    _run(live.track(live.source(spark, f"{folder}/candidates", rows.schema, 1)), folder)
     return spark.read.schema(live.TRACK).parquet(f"{folder}/out").select("stream_id", "frame", "cand", "x", "y")
 
 
