@@ -159,3 +159,16 @@ def test_null_and_repeated_ids_by_both_joins(spark):
     want = sorted(map(str, [(None, None), (None, 7), (3, None), (3, 7), (3, None), (9, 7), (9, None)]))
     for words in (d.BROADCAST_WORDS, 0):
         assert sorted(str((r.id, r.item_id)) for r in d.leaks(left, right, broadcast_words=words).collect()) == want
+
+
+def test_repetitions_give_rows_linear_in_their_texts(spark):
+    """300 repetitions of a sentence against items that repeat it: a stretch each, by both joins; two passages apart are two."""
+    sentence = "the quick brown fox jumps over it "
+    docs = [(1, sentence * 300), (2, f"{sentence * 3} {' '.join(f'x{i}' for i in range(50))} {sentence * 3}"), (3, "nothing of that")]
+    items = [(i, sentence * (20 + i)) for i in range(20)] + [(90, sentence * 3)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = [sorted(map(tuple, d.leaks(left, right, **w).collect())) for w in ({}, {"broadcast_words": 0})]
+    assert rows[0] == rows[1]
+    assert sorted(r[:2] for r in rows[0]) == sorted([(1, i) for i, _ in items] + [(2, i) for i, _ in items for _ in range(2)])
+    assert {(r[2], r[4], r[5]) for r in rows[0] if r[:2] == (2, 90)} == {(0, 21, 21), (71, 21, 21)}
+    assert {r[4] for r in rows[0] if r[:2] == (1, 5)} == {7 * 25}

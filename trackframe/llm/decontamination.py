@@ -5,20 +5,20 @@ substituted word there does not hide the match. Seeds of the benchmark and of th
 training texts are joined on (mask, hash); each hit names a diagonal (training
 position minus benchmark position), and along it the aligned words are compared:
 a stretch of ``min_overlap`` words, or of the whole item if that is shorter, with
-at least ``similarity`` equal words is a leak.
+at least ``similarity`` equal words is a leak. Leaks of one item that share words of the text are one.
 
 The join is a hash join. A benchmark whose words, bytes and items stay under
 ``BROADCAST_WORDS``, ``BROADCAST_BYTES`` and ``BROADCAST_ITEMS`` (counted first) is
 sent to the tasks and no text is shuffled; a larger one is joined by a shuffle of
-the seeds, and the texts, written once with row numbers, are joined with the hits
-by them. Both give the same rows: the switch is one of cost.
+the seeds, and the texts, written once with row numbers, are joined once with each pair of
+a text and an item. Both give the same rows: the switch is one of cost.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import materialize, small_batches, without_ids
+from trackframe.llm.common import join_unique, materialize, small_batches, without_ids
 
 #: By number of words: masks of which one at least hits, wherever a fifth of the words is substituted (a test tries all
 #: places). With fewer than 5 words none may be.
@@ -116,6 +116,21 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_overlap: int =
     return first + a + diagonal, first + a, n, same, same / n
 
 
+def stretches(doc: np.ndarray, item: np.ndarray, diagonals: Iterable[int], min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY) -> list[tuple]:
+    """One leak for each stretch of a text: those of different diagonals that share words of the text are one, and the one with most equal words
+    stands for them (of several the first in the text, then in the item). So a text that repeats what an item repeats has as many leaks as it has stretches."""
+    found = sorted(leak for x in diagonals if (leak := overlap(doc, item, x, min_overlap, similarity)))
+    out: list[tuple] = []
+    reached = -1
+    for leak in found:
+        if leak[0] >= reached:
+            out.append(leak)
+        elif leak[3] > out[-1][3]:
+            out[-1] = leak
+        reached = max(reached, leak[0] + leak[2])
+    return out
+
+
 class Index:
     """The benchmark's seeds: a bit table that most words fail, then sorted hashes."""
 
@@ -136,7 +151,7 @@ class Index:
             self.masks[mask] = (np.uint64(64) - bits, table, hashes[order], owner[order], at[order])
 
     def leaks(self, text: str | None, min_overlap: int, similarity: float) -> list[tuple]:
-        """(item_id, ...) of every diagonal of a text that holds a leak."""
+        """(item_id, ...) of every stretch of a text that is a leak."""
         words, found = word_hashes(text), np.empty(0, np.int64)
         for mask, (shift, table, hashes, owner, at) in self.masks.items():
             own = seeds(words, mask)
@@ -148,9 +163,13 @@ class Index:
             for position, a, n in zip(np.split(maybe, cuts), np.split(low, cuts), np.split(high - low, cuts), strict=True):
                 i = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
                 found = np.union1d(found, (owner[i] << 32) + np.repeat(position, n) - at[i] + (1 << 31))
-        pairs = zip((found >> 32).tolist(), ((found & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True)
-        rows = ((n, overlap(words, self.items[n][1], diagonal, min_overlap, similarity)) for n, diagonal in pairs)
-        return [(self.items[n][0], *leak) for n, leak in rows if leak]
+        owners, diagonals = found >> 32, (found & 0xFFFFFFFF) - (1 << 31)
+        firsts = np.flatnonzero(np.diff(owners, prepend=-1)).tolist()
+        out = []
+        for a, b in zip(firsts, [*firsts[1:], owners.size][: len(firsts)], strict=True):
+            key, item = self.items[owners[a]]
+            out += [(key, *leak) for leak in stretches(words, item, diagonals[a:b].tolist(), min_overlap, similarity)]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -192,11 +211,21 @@ def _seed_rows(texts: DataFrame, masks_of: Callable[[int], tuple[str, ...]]) ->
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts, n = [], 0
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 words = word_hashes(text)
                 for mask in masks_of(len(words)):
                     found = seeds(words, mask)
-                    yield pd.DataFrame({"id": key, "mask": mask, "hash": found.view(np.int64), "position": np.arange(len(found))})
+                    parts.append((np.full(len(found), key), np.full(len(found), mask), found.view(np.int64), np.arange(len(found))))
+                    n += len(found)
+                if n >= HITS_AT_ONCE:
+                    yield frame(parts)
+                    parts, n = [], 0
+            yield frame(parts)
+
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 4
+        return pd.DataFrame(dict(zip(("id", "mask", "hash", "position"), columns, strict=True)))
 
     return texts.mapInPandas(emit, "id long, mask string, hash long, position long")
 
@@ -213,17 +242,24 @@ def _shuffled_hits(docs: DataFrame, items: DataFrame, min_overlap: int, similari
     masks = tuple(r.mask for r in wanted.select("mask").distinct().collect())  # those by which any item is sought
     wanted = wanted.select(F.col("id").alias("item_id"), "mask", "hash", F.col("position").alias("item_at"))
     hits = _seed_rows(docs.select("id", "text"), lambda _: masks).join(wanted, ["mask", "hash"])
-    hits = hits.select("id", "item_id", (F.col("position") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = hits.join(docs, "id").join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
+    # a pair's diagonals are at most as many as its words
+    pairs = hits.groupBy("id", "item_id").agg(F.collect_set(F.col("position") - F.col("item_at")).alias("diagonals"))
+    pairs = materialize(pairs, "benchmark-pairs")
+    counted = lambda side, texts: texts.join(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), side)
+    sought = items.select(F.col("id").alias("item_id"), F.col("text").alias("item"))
+    # each text goes once to each of its pairs; those of most pairs by a bounded broadcast
+    pairs = join_unique(join_unique(pairs, counted("id", docs.select("id", "text")), "id"), counted("item_id", sought), "item_id")
 
     schema = f"id bigint, item_id bigint, {LEAK}"
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = ((x.id, x.item_id, overlap(word_hashes(x.text), word_hashes(x.item), int(x.diagonal), min_overlap, similarity)) for x in batch.itertuples(index=False))
-            yield _frame([(key, item, *leak) for key, item, leak in found if leak], schema)
+            rows = []
+            for x in batch.itertuples(index=False):
+                rows += [(x.id, x.item_id, *leak) for leak in stretches(word_hashes(x.text), word_hashes(x.item), map(int, x.diagonals), min_overlap, similarity)]
+            yield _frame(rows, schema)
 
-    found = pairs.select("id", "item_id", "diagonal", "text", "item").mapInPandas(verify, schema)
+    found = pairs.select("id", "item_id", "diagonals", "text", "item").mapInPandas(verify, schema)
     found = found.join(docs.select("id", "key"), "id").join(items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key")), "item_id")
     return found.select(F.col("key").alias("id"), F.col("item_key").alias("item_id"), "doc_start", "item_start", "n_words", "n_equal", "similarity")
 
@@ -239,7 +275,7 @@ def leaks(
     similarity: float = SIMILARITY,
     broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
-    """(id, item_id, doc_start, item_start, n_words, n_equal, similarity): one row for each leaked stretch.
+    """(id, item_id, doc_start, item_start, n_words, n_equal, similarity): one row for each leaked stretch of a text and item, that of most equal words.
 
     Starts count words. Null and empty texts and items leak nothing; rows and
     items with a null id are searched too; ids are whole numbers (given back as
