@@ -107,18 +107,22 @@ def confidences(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Seeds are believed fully and always, other instances not at all at first.
     """
-    belief = None
+    # of every pattern its edges and seeds, of every other instance its edges: the same in all rounds
+    fixed = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds")), "pattern-edges")
+    others = edges.where("not seed")
+    sizes = materialize(others.groupBy("instance").agg(F.count(F.lit(1)).alias("n")), "instance-edges")
+    scored = fixed.withColumn("sum", F.col("seeds").cast("double")).withColumn("support", F.col("seeds"))
     for left in range(rounds, 0, -1):
-        if belief is None:
-            rated = edges.withColumn("belief", F.col("seed").cast("double"))
-        else:
-            rated = edges.join(belief, "instance", "left").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-        scored = rated.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.count("*").alias("n"), F.count_if(F.col("belief") >= BELIEVED).alias("support"))
         scored = scored.select("pattern", (F.col("sum") / (F.col("n") + SMOOTHING)).alias("confidence"), "support", "n")
         scored = materialize(scored.where(F.col("support") >= SUPPORT), "patterns")
         if left > 1:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-            belief = join_unique(edges.where("not seed"), scored, "pattern").groupBy("instance").agg((1 - doubt).alias("belief"))
+            belief = join_unique(others, scored, "pattern").groupBy("instance").agg((1 - doubt).alias("belief"))
+            # an instance of many patterns goes to their tasks by a bounded broadcast
+            told = join_unique(others, belief.join(sizes, "instance"), "instance")
+            more = told.groupBy("pattern").agg(F.sum("belief").alias("more"), F.count_if(F.col("belief") >= BELIEVED).alias("believed"))
+            added = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0)))
+            scored = fixed.join(more, "pattern", "left").select("pattern", "n", added("seeds", "more").cast("double").alias("sum"), added("seeds", "believed").alias("support"))
     return scored
 
 
