@@ -14,10 +14,9 @@ All chunks are walked at once in the first and the third, so a stream of any len
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,11 +41,49 @@ def chunks(rows: DataFrame, key: str, order: str, width: float, reach: float) ->
     return joined.select(*(c for c in rows.columns if c != "_chunk"), F.col("_place.c").alias("_chunk"), F.col("_place.o").alias("_own"))
 
 
-def _maps(rows: pd.DataFrame) -> list[tuple[int, dict]]:
-    """(chunk, its exits by entry) in order."""
-    rows = rows.sort_values("chunk", kind="stable")
-    plain = lambda x: [None if pd.isna(v) else v for v in x]
-    return [(int(c), dict(zip(plain(own["entry"]), plain(own["exit"]), strict=True))) for c, own in rows.groupby("chunk", sort=False)]
+def _by_group(rows: DataFrame, group: list[str], order: list[str], one: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``one`` of the rows (group, order, others) of each group in order, for groups of any number and a bounded size.
+
+    Plain tuples in one pass over sorted partitions: a group of two rows costs microseconds.
+    """
+    names = [*group, *order, *(c for c in rows.columns if c not in (*group, *order))]
+    results = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        kinds: dict[str, pa.DataType] = {"entry": pa.string(), "exit": pa.string(), "chunk": pa.int64(), "_group": pa.int64(), "final": pa.bool_()}
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(results, zip(*out, strict=True), strict=True)], results)
+
+        for batch in batches:
+            kinds |= {n: batch.schema.field(n).type for n in group if n not in kinds}
+            for row in zip(*(batch[n].to_pylist() for n in names), strict=True):
+                if held and row[: len(group)] != held[0][: len(group)]:
+                    out += one(held)
+                    held = []
+                    if len(out) >= 10_000:
+                        yield table()
+                        out = []
+                held.append(row)
+        if held:
+            out += one(held)
+        if out:
+            yield table()
+
+    dealt_ = rows.select(*names).repartition(*group).sortWithinPartitions(*group, *(F.asc_nulls_first(c) for c in order))
+    return dealt_.mapInArrow(run, schema)
+
+
+def _maps(rows: list[tuple], at: int) -> list[tuple[int, dict]]:
+    """(chunk, its exits by entry) of rows (..., chunk, ..., entry, exit) in order of the chunk, which is column ``at``."""
+    found: list[tuple[int, dict]] = []
+    for row in rows:
+        if not found or found[-1][0] != row[at]:
+            found.append((row[at], {}))
+        found[-1][1][row[-2]] = row[-1]
+    return found
 
 
 def entered(maps: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,42 +92,40 @@ def entered(maps: DataFrame, keys: list[str]) -> DataFrame:
     ``maps`` has (keys, chunk, entry, exit), a row for each state (a string) that a chunk may be entered with; every chunk has
     one for null, the state at the stream's beginning.
     """
-    named = maps.select(*keys, "chunk", F.floor(F.col("chunk") / GROUP).alias("_group"), "entry", "exit")
-    kinds = ", ".join(f"{k} {named.schema[k].dataType.simpleString()}" for k in keys)
-    own = lambda rows: [rows[k].iloc[0] for k in keys]
+    k = len(keys)
+    named = maps.select(*keys, F.floor(F.col("chunk") / GROUP).alias("_group"), "chunk", "entry", "exit")
+    kinds = ", ".join(f"{n} {named.schema[n].dataType.simpleString()}" for n in keys)
 
-    def frame(rows: pd.DataFrame, found: list[tuple], columns: list[str]) -> pd.DataFrame:
-        return pd.DataFrame([(*own(rows), *x) for x in found], columns=[*keys, *columns])
-
-    def composed(rows: pd.DataFrame) -> pd.DataFrame:
+    def composed(rows: list[tuple]) -> list[tuple]:
         """A group's exits by its first chunk's entries; entries that come to one state go on as one."""
-        maps_ = _maps(rows)
+        maps_ = _maps(rows, k + 1)
         states = {e: e for e in maps_[0][1]}
         for _, exits in maps_:
             states = {e: exits[s] for e, s in states.items()}
-        group = int(rows["_group"].iloc[0])
-        return frame(rows, [(group, e, s) for e, s in states.items()], ["chunk", "entry", "exit"])
+        return [(*rows[0][: k + 1], e, s) for e, s in states.items()]
 
-    def followed(rows: pd.DataFrame) -> pd.DataFrame:
+    def followed(rows: list[tuple]) -> list[tuple]:
         state, found = None, []
-        for group, exits in _maps(rows):
-            found.append((group, state, False))
+        for group, exits in _maps(rows, k):
+            found.append((*rows[0][:k], group, state, False))
             state = exits[state]
-        found[-1] = (*found[-1][:2], True)
-        return frame(rows, found, ["_group", "entry", "final"])
-
-    def within(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        state, found = None if pd.isna(group["entry"].iloc[0]) else group["entry"].iloc[0], []
-        for chunk, exits in _maps(rows):
-            found.append((chunk, state, False))
+        found[-1] = (*found[-1][:-1], True)
+        return found
+
+    def within(rows: list[tuple]) -> list[tuple]:
+        """The first row, without a chunk, tells what the group is entered with."""
+        (*_, final, state, _), rows = rows[0], rows[1:]
+        found = []
+        for chunk, exits in _maps(rows, k + 1):
+            found.append((*rows[0][:k], chunk, state, False))
             state = exits[state]
-        found[-1] = (*found[-1][:2], bool(group["final"].iloc[0]))
-        return frame(rows, found, ["chunk", "entry", "final"])
+        found[-1] = (*found[-1][:-1], final)
+        return found
 
-    groups = named.groupBy(*keys, "_group").applyInPandas(composed, f"{kinds}, chunk long, entry string, exit string")
-    along = groups.groupBy(*keys).applyInPandas(followed, f"{kinds}, _group long, entry string, final boolean")
-    grouped = named.groupBy(*keys, "_group").cogroup(along.groupBy(*keys, "_group"))
-    return grouped.applyInPandas(within, f"{kinds}, chunk long, entry string, final boolean")
+    groups = _by_group(named, [*keys, "_group"], ["chunk"], composed, f"{kinds}, _group long, entry string, exit string")
+    along = _by_group(groups, keys, ["_group"], followed, f"{kinds}, _group long, entry string, final boolean")
+    both = named.unionByName(along, allowMissingColumns=True).select(*keys, "_group", "chunk", "final", "entry", "exit")
+    return _by_group(both, [*keys, "_group"], ["chunk"], within, f"{kinds}, chunk long, entry string, final boolean")
 
 
 def dealt(rows: DataFrame, entries: DataFrame | None, *order: str) -> DataFrame:

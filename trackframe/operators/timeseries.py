@@ -35,9 +35,9 @@ def carry(df: DataFrame, stream: str, t: str, value: Column, name: str, width: f
     at = F.struct(t, *ties)
     held = buckets.where(F.col("_bucket").isNotNull()).groupBy(stream, "_bucket").agg(pick("_value", F.when(F.col("_value").isNotNull(), at)).alias("_edge"))
     along = Window.partitionBy(stream).orderBy(F.col("_bucket") if back else F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(F.col(stream).alias("_s"), F.col("_bucket").alias("_b"), F.last("_edge", ignorenulls=True).over(along).alias("_carried"))
-    joined = rows.join(held, F.col(stream).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
-    return joined.withColumn(name, F.coalesce("_own", "_carried")).drop("_value", "_bucket", "_alone", "_own", "_carried", "_s", "_b")
+    held = held.select(F.col(stream).alias("_held_stream"), F.col("_bucket").alias("_held_bucket"), F.last("_edge", ignorenulls=True).over(along).alias("_carried"))
+    joined = rows.join(held, F.col(stream).eqNullSafe(F.col("_held_stream")) & (F.col("_bucket") == F.col("_held_bucket")), "left")
+    return joined.withColumn(name, F.coalesce("_own", "_carried")).drop("_value", "_bucket", "_alone", "_own", "_carried", "_held_stream", "_held_bucket")
 
 
 def numbered(df: DataFrame, stream: str, order: str, width: float, name: str, total: str | None = None) -> DataFrame:

@@ -53,42 +53,47 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     order = ("frame", "cand", *SIDES)
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Schema, list[dict]]]:
-        """(whether it begins a chunk, schema, rows) of each frame, and of each chunk's entry, whose frame is null."""
-        held, begun, schema = [], False, None
-        for first, part in scan.by_chunk(batches):
-            for row in part.to_pylist():
-                if held and (first or row["frame"] != held[0]["frame"]):
-                    yield begun, schema, held
-                    held, begun = [], False
-                begun, first = begun or first, False
-                held.append(row)
-            schema = part.schema
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Schema, tuple, list[tuple]]]:
+        """(whether it begins a chunk, schema, (key, chunk, frame, own, entry), [(cand, box)]) of each frame, and of each chunk's entry, whose frame is null."""
+        at, held, begun, schema = None, [], False, None
+        for batch in batches:
+            schema = batch.schema
+            names = ("key", "_chunk", "frame", "_own", *(["entry"] if "entry" in batch.schema.names else []))
+            for place, cand_, *sides in zip(zip(*(batch[n].to_pylist() for n in names), strict=True), *(batch[n].to_pylist() for n in ("cand", *SIDES)), strict=True):
+                if place != at:
+                    if held:
+                        yield begun, schema, at, held
+                    begun = at is None or place[:2] != at[:2]
+                    at, held = place, []
+                held.append((cand_, tuple(sides)))
         if held:
-            yield begun, schema, held
-
-    named = lambda held: [(r["cand"], tuple(r[k] for k in SIDES)) for r in held]
+            yield begun, schema, at, held
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[str | None, tuple | None] = {}
-        at: dict = {}
+        found: list[tuple] = []
+        key_type = pa.null()
 
-        def done(schema: pa.Schema) -> pa.RecordBatch:
-            columns = [[at["key"]] * len(states), [at["_chunk"]] * len(states), list(states), [json.dumps(x) if x else None for x in states.values()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (schema.field("key").type, pa.int64(), pa.string(), pa.string()), strict=True)], ["key", "chunk", "entry", "exit"])
+        def done() -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (key_type, pa.int64(), pa.string(), pa.string()), strict=True)], ["key", "chunk", "entry", "exit"])
 
-        for begun, schema, held in frames(batches):
+        name: tuple = ()
+        for begun, schema, place, held in frames(batches):
             if begun:
-                if states:
-                    yield done(schema)
-                states, at = {None: None}, held[0]
-            if held[0]["_own"]:
-                chosen = {last: Subject(least_iou, last).choose(named(held))[1] for last in set(states.values())}
+                found += [(*name, entry, json.dumps(x) if x else None) for entry, x in states.items()]
+                if len(found) >= 10_000:
+                    yield done()
+                    found = []
+                states, name, key_type = {None: None}, place[:2], schema.field("key").type
+            if place[3]:
+                chosen = {last: Subject(least_iou, last).choose(held)[1] for last in set(states.values())}
                 states = {entry: chosen[last] for entry, last in states.items()}
             else:
-                states |= {json.dumps(b): b for _, b in named(held)}
-        if states:
-            yield done(schema)
+                states |= {json.dumps(b): b for _, b in held}
+        found += [(*name, entry, json.dumps(x) if x else None) for entry, x in states.items()]
+        if found:
+            yield done()
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subject, out, schema = None, [], None
@@ -97,12 +102,12 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
             columns = zip(*out, strict=True) if out else [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, ("key", *order), strict=True)], ["key", *order])
 
-        for begun, schema, held in frames(batches):
+        for begun, schema, place, held in frames(batches):
             if begun:
-                subject = Subject(least_iou, tuple(json.loads(held[0]["entry"])) if held[0]["entry"] else None)
-            elif held[0]["_own"]:
-                best = subject.choose(named(held))
-                out.append((held[0]["key"], held[0]["frame"], best[0], *best[1]))
+                subject = Subject(least_iou, tuple(json.loads(place[4])) if place[4] else None)
+            elif place[3]:
+                best = subject.choose(held)
+                out.append((place[0], place[2], best[0], *best[1]))
                 if len(out) == 10_000:
                     yield batch()
                     out = []
