@@ -150,3 +150,23 @@ def test_segments_without_frames_take_the_last_ones(spark):
     for r in got:
         by.setdefault((r.s, r.sequence), []).append(r.i)
     assert {k: sorted(v) for k, v in by.items()} == {(1, 1): [21, 22, 23, 24], (1, 2): [26, 27, 28, 29]}
+
+
+def test_streams_share_keys_of_the_state(spark, tmp_path):
+    """A key costs milliseconds a trigger, so many streams are no more keys than there are buckets; each is tracked by itself."""
+    from trackframe.streaming.ordered import BUCKETS
+
+    n = 3 * BUCKETS
+    rows = spark.range(n).selectExpr("id AS stream_id", "explode(array(1L, 2L)) AS frame", "id").selectExpr("stream_id", "frame", "id % 7 AS cand", "cast(id AS int) AS x", "0 AS y", "9 AS width", "9 AS height", "'box' AS kind")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = live.track(live.source(spark, f"{tmp_path}/in", rows.schema, 1))
+    before = spark.conf.get(live.PROVIDER, None)
+    spark.conf.set(live.PROVIDER, live.ROCKSDB)
+    try:
+        q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").format("parquet").start(f"{tmp_path}/out")
+        q.awaitTermination()
+    finally:
+        spark.conf.set(live.PROVIDER, before) if before else spark.conf.unset(live.PROVIDER)
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= BUCKETS
+    got = spark.read.schema(live.TRACK).parquet(f"{tmp_path}/out").collect()
+    assert {(r.stream_id, r.frame, r.x) for r in got} == {(i, f, i) for i in range(n) for f in (1, 2)} and len(got) == 2 * n

@@ -119,10 +119,12 @@ def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of ``subject_tracking`` as a stream of three triggers; the last box is its state."""
     folder = _folder(spark)
-    rows = clips.candidates(spark, sf_dir).select("stream_id", "frame", "cand", "box.*", F.lit("box").alias("kind"))
+    made = clips.candidates(spark, sf_dir).select("stream_id", "frame", "cand", "box.*", F.lit("box").alias("kind"))
+    made.write.parquet(f"{folder}/made")  # once, for all triggers
+    rows = spark.read.schema(made.schema).parquet(f"{folder}/made")
     low, high = rows.agg(F.min("frame"), F.max("frame")).first()
     for i in range(3):  # whole frames in a file, earlier ones first
-        rows.where(F.floor((F.col("frame") - low) * 3 / (high - low + 1)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/candidates")
+        rows.where(F.floor((F.col("frame") - low) * 3 / (high - low + 1)) == i).repartition(1).write.mode("append").parquet(f"{folder}/candidates")
     _run(live.track(live.source(spark, f"{folder}/candidates", rows.schema, 1)), folder)
     return spark.read.schema(live.TRACK).parquet(f"{folder}/out").select("stream_id", "frame", "cand", "x", "y")
 
@@ -171,9 +173,9 @@ def shuffled(spark: SparkSession, sf_dir: str, folder: str, parts: int = 5) -> D
     step = (high - low) / parts
     for i in range(parts):  # one after the other: the source takes files by their age
         upper = F.lit(True) if i == parts - 1 else F.col("_arrival") < low + (i + 1) * step
-        rows.where((F.col("_arrival") >= low + i * step) & upper).drop("_arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.where((F.col("_arrival") >= low + i * step) & upper).drop("_arrival").repartition(1).write.mode("append").parquet(f"{folder}/in")
     last = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.lit(high + 2 * _DELAY).alias("t"), F.lit(0.0).alias("energy"), F.lit("tick").alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit("tick").alias("event_type"))
-    last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last.repartition(1).write.mode("append").parquet(f"{folder}/in")
     stream = live.source(spark, f"{folder}/in", rows.drop("_arrival").schema, 1)
     return stream.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
 
@@ -258,9 +260,9 @@ def live_job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
         for i in range(3):
             part = F.least(F.lit(2), F.floor((F.unix_micros("ts") - low) * 3 / (high - low + 1)))
-            rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+            rows.where(part == i).repartition(1).write.mode("append").parquet(f"{folder}/{name}")
         last = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.col("id").alias("sequence"), F.timestamp_micros(F.lit(high + 100 * 86_400_000_000)).alias("ts"), F.lit(None).cast("string").alias("text"))
-        last.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        last.repartition(1).write.mode("append").parquet(f"{folder}/{name}")
     schema = "stream_id long, sequence long, ts timestamp, text string"
     made, done = (live.source(spark, f"{folder}/{name}", schema, 1) for name in ("jobs", "results"))
     _run(queue.joined(made, done.withColumnRenamed("ts", "done_ts"), "10 days", 432000.0), folder)
@@ -286,7 +288,7 @@ def message_files(spark: SparkSession, sf_dir: str, folder: str, parts: int = 4)
     made = rows.select("stream_id", "t", text.alias("is_text"), F.when(text, control).otherwise(frame).cast("binary").alias("message"), "aperture")
     low, high = made.agg(F.min("t"), F.max("t")).first()
     for i in range(parts):  # one after the other: the source takes files by their age
-        made.where(F.least(F.lit(parts - 1), F.floor((F.col("t") - low) * parts / (high - low))) == i).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
+        made.where(F.least(F.lit(parts - 1), F.floor((F.col("t") - low) * parts / (high - low))) == i).repartition(1).write.mode("append").parquet(f"{folder}/messages")
     return live.admitted(live.messages(spark, f"{folder}/messages", 1 << 10), Live(max_message=20))
 
 

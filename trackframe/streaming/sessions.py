@@ -13,7 +13,6 @@ from bisect import bisect_left
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from trackframe.params import Live, Segmenting
 from trackframe.streaming.live import Session
@@ -50,24 +49,21 @@ class _Sessions(Ordered):
     """Rows walked through a ``Session`` each stream, and with ``fps`` the frames that its buffer holds."""
 
     row = "t double, aperture double, energy double, kind string, size long, payload binary"
+    own = "saved:string,began:double,last:double,held:array<struct<t:double,payload:binary>>"
+    nothing = (None, None, None, [])
 
     def __init__(self, p: Segmenting, live: Live, fps: float | None):
         self.p, self.live, self.fps = p, live, fps
         self.result = FRAMES if fps else ENDED
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("session", "saved string, began double, last double")
-        self.held = handle.getListState("held", "t double, payload binary")
-
     def rank(self, row: tuple) -> tuple:
         """Frames before control messages, by energy."""
         return _KINDS.get(row[3], 3), row[2] is not None, row[2] or 0.0
 
-    def walk(self, key: Any, due: list[tuple], watermark: float) -> tuple[list[tuple], float | None]:
-        old = self.saved.get()
-        session = Session(self.p, self.live, old[0]) if old else None
-        began, last = (old[1], old[2]) if old else (None, None)
-        held = [tuple(x) for x in self.held.get()] if self.fps else []
+    def walk(self, key: Any, own: tuple | None, due: list[tuple], watermark: float) -> tuple[list[tuple], tuple | None, float | None]:
+        saved, began, last, held = own or (None, None, None, [])
+        session = Session(self.p, self.live, saved) if own else None
+        held = [(t, None if x is None else bytes(x)) for t, x in held]
         out: list[tuple] = []
         capacity = round(self.live.buffer_seconds * self.live.fps)
 
@@ -96,19 +92,16 @@ class _Sessions(Ordered):
                 session.rejected += 1
             elif kind == "frame":
                 last = t
-                own = session.energy(aperture)
+                moved = session.energy(aperture)
                 if self.fps:
                     held = [*held, (t, payload)][-capacity:]
-                closed(session.frame(t, own if energy is None else energy))
+                closed(session.frame(t, moved if energy is None else energy))
         if session is not None and watermark > last + self.live.idle:
             closed(session.flush())
-            session, held = None, []
-        self.held.put(held) if held else self.held.clear()
+            session = None
         if session is None:
-            self.saved.clear()
-            return out, None
-        self.saved.update((session.save(), began, last))
-        return out, last + self.live.idle
+            return out, None, None
+        return out, (session.save(), began, last, held), last + self.live.idle
 
 
 def segments(frames: DataFrame, delay: str, p: Segmenting = Segmenting(), live: Live = Live()) -> DataFrame:
