@@ -77,3 +77,18 @@ def test_rows_of_null_streams_and_times_stay(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 1.0, 5.0), (None, 2.0, 5.0), (1, 1.0, 7.0), (1, None, None), (1, None, 3.0), (1, 3.0, 7.0)]))
     filled = timeseries.resample(frame.where("t IS NOT NULL"), "s", "t", "v", 1.0, 10.0).where("s IS NULL").collect()
     assert sorted((r.n, r.source_t) for r in filled) == [(0, 1.0), (1, 2.0)]
+
+
+def test_thin_buckets_are_one_chunk(spark):
+    """A row in each of many buckets; a chunk costs more than a row."""
+    rows = spark.range(3000).selectExpr("id % 3 AS key", "cast(id * 10 AS double) AS t")
+    got = scan.chunks(rows, "key", "t", 5.0, 5.0)
+    assert got.select("key", "_chunk").distinct().count() == 3 and got.count() == 3000 and got.where("_sole AND _own").count() == 3000
+
+
+def test_chunks_of_single_buckets_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS", 1)
+    test_tracks_over_many_chunks_equal_a_plain_loop(spark, 0)
+    test_segments_over_many_chunks_equal_a_plain_loop(spark, 1)
+    monkeypatch.setattr(scan, "ROWS", 40)
+    test_tracks_over_many_chunks_equal_a_plain_loop(spark, 1)

@@ -23,22 +23,31 @@ from pyspark.sql import functions as F
 
 #: Chunks in one group.
 GROUP = 512
+#: Thin buckets in a row become one chunk of some so many rows.
+ROWS = 4096
 
 
 def chunks(rows: DataFrame, key: str, order: str, width: float, reach: float) -> DataFrame:
-    """Rows with ``_chunk`` (the number of their bucket of ``width``) and ``_own``; each chunk also has, not ``_own``, those
-    rows of its stream before it that come at most ``reach`` before the last of them. ``reach`` is at most ``width``."""
+    """Rows with ``_chunk`` and ``_own``; each chunk also has, not ``_own``, those rows of its stream before it that come at
+    most ``reach`` before the last of them. ``reach`` is at most ``width``. ``_sole``: the stream has no other chunk.
+
+    A chunk is one bucket of ``width``, or as many thin ones in a row as hold some ``ROWS`` rows together: a chunk costs more than a row.
+    """
     if reach > width:
         raise ValueError("reach must not exceed width")
-    rows = rows.withColumn("_chunk", F.floor(F.col(order) / width))
-    in_order = Window.partitionBy(key).orderBy("_chunk")  # a row for each chunk
-    ends = rows.groupBy(key, "_chunk").agg(F.max(order).alias("_last"))
-    ends = ends.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), "_last", F.lead("_chunk").over(in_order).alias("_next"), F.lead("_last").over(in_order).alias("_next_last"), F.lead("_chunk", 2).over(in_order).alias("_after"))
+    rows = rows.withColumn("_bucket", F.floor(F.col(order) / width))
+    buckets = rows.groupBy(F.col(key).alias("_k"), F.col("_bucket").alias("_b")).agg(F.max(order).alias("_last"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
+    merged = buckets.where("_b IS NOT NULL").withColumn("_chunk", F.floor(F.coalesce(before, F.lit(0)) / ROWS)).groupBy("_k", "_chunk").agg(F.max("_last").alias("_last"), F.collect_list("_b").alias("_bs"))
+    in_order = Window.partitionBy("_k").orderBy("_chunk")
+    follows = merged.withColumn("_next", F.lead("_chunk").over(in_order)).withColumn("_next_last", F.lead("_last").over(in_order)).withColumn("_after", F.lead("_chunk", 2).over(in_order))
+    ends = follows.withColumn("_sole", F.col("_next").isNull() & (F.col("_chunk") == 0)).withColumn("_b", F.explode("_bs")).drop("_bs")
     near = F.when(F.col("_next").isNotNull() & (F.col(order) >= F.col("_last") - reach), F.col("_next"))
-    far = F.when((F.col("_next") == F.col("_chunk") + 1) & (F.col(order) >= F.col("_next_last") - reach), F.col("_after"))
+    # a chunk in between that spans two buckets is longer than the reach
+    far = F.when(F.col(order) >= F.col("_next_last") - reach, F.col("_after"))
     places = F.filter(F.array(F.struct(F.col("_chunk").alias("c"), F.lit(True).alias("o")), *(F.struct(x.alias("c"), F.lit(False).alias("o")) for x in (near, far))), lambda x: x["c"].isNotNull())
-    joined = rows.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c"))).withColumn("_place", F.explode(places))
-    return joined.select(*(c for c in rows.columns if c != "_chunk"), F.col("_place.c").alias("_chunk"), F.col("_place.o").alias("_own"))
+    joined = rows.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))).withColumn("_place", F.explode(places))
+    return joined.select(*(c for c in rows.columns if c != "_bucket"), F.col("_place.c").alias("_chunk"), F.col("_place.o").alias("_own"), "_sole")
 
 
 def _by_group(rows: DataFrame, group: list[str], order: list[str], one: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:

@@ -105,7 +105,7 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
         for begun, schema, place, held in frames(batches):
             if begun:
                 subject = Subject(least_iou, tuple(json.loads(place[4])) if place[4] else None)
-            elif place[3]:
+            if place[3]:  # a sole chunk has no entry
                 best = subject.choose(held)
                 out.append((place[0], place[2], best[0], *best[1]))
                 if len(out) == 10_000:
@@ -114,7 +114,7 @@ def track(candidates: DataFrame, stream: str, frame: str, cand: str, box: str, l
         if out:
             yield batch()
 
-    maps = scan.dealt(rows, None, *order).mapInArrow(mapped, f"key {kinds['key']}, chunk long, entry string, exit string")
+    maps = scan.dealt(rows.where("not _sole"), None, *order).mapInArrow(mapped, f"key {kinds['key']}, chunk long, entry string, exit string")
     picked = scan.dealt(rows, scan.entered(maps, ["key"]), *order).mapInArrow(walked, ", ".join(f"{n} {kinds[n]}" for n in ("key", *order)))
     return picked.select(F.col("key").alias(stream), F.col("frame").alias(frame), F.col("cand").alias(cand), F.struct(*SIDES).alias(box))
 

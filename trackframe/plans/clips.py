@@ -258,7 +258,9 @@ r AS (SELECT stream_id, i, frame, cand, x, y, width, height FROM n WHERE i = 1 Q
 SELECT stream_id, frame, cand, x, y FROM r"""
 )
 def subject_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracked = tracking.track(candidates(spark, sf_dir), "stream_id", "frame", "cand", "box")
+    made, path = candidates(spark, sf_dir), folder_of(spark, "candidates")
+    made.write.parquet(path)  # once, for all walks
+    tracked = tracking.track(spark.read.schema(made.schema).parquet(path), "stream_id", "frame", "cand", "box")
     return tracked.select("stream_id", "frame", "cand", "box.x", "box.y")
 
 
