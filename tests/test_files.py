@@ -62,3 +62,13 @@ def test_key_rewrites_need_the_marker(spark):
     rules = [("module.a.", "enc."), ("module.", "")]
     assert [r.new_key for r in files.rewrite_keys(keys, "key", rules, "module.").orderBy("key").collect()] == ["b.y", "enc.x"]
     assert [r.new_key for r in files.rewrite_keys(keys, "key", rules, "zzz").orderBy("key").collect()] == ["b.y", "module.a.x"]
+
+
+def test_files_in_folders_are_read_by_few_tasks(spark, tmp_path):
+    """However many small files there are, the driver plans no task for every few of them."""
+    texts = [f" text {i} \n" if i % 5 else "" for i in range(1500)]
+    rows = spark.createDataFrame([(f"a.{i}.txt", t) for i, t in enumerate(texts)] + [(None, "x"), ("y", None)], "name string, text string")
+    assert files.write_files(rows, f"{tmp_path}/in", "name", "text", 64) == 1500
+    got = files.read_transcripts(spark, f"{tmp_path}/in", 64)
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, got.collect())) == sorted((f"a.{i}", t.strip()) for i, t in enumerate(texts))

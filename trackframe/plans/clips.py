@@ -453,8 +453,8 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file, read again as a transcript."""
     path = f"{folder_of(spark, 'transcripts')}/txt"
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("sample_"), "doc_id", F.lit(".txt")).alias("name"), "text")
-    files.write_files(rows, path, "name", "text")
-    return files.read_transcripts(spark, path)
+    files.write_files(rows, path, "name", "text", 1024)
+    return files.read_transcripts(spark, path, 1024)
 
 
 @query(

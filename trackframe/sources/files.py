@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow.fs
@@ -80,17 +81,25 @@ def folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path else f"file://{path}")
 
 
-def write_files(rows: DataFrame, path: str, name: str, content: str) -> int:
+def write_files(rows: DataFrame, path: str, name: str, content: str, folders: int = 1) -> int:
     """Write each row's ``content`` (text or bytes) to a file of its ``name`` in a shared folder, by the tasks; the number of files.
 
-    A task that runs again writes the same files. Rows without a name or content are left out.
+    A task that runs again writes the same files. Rows without a name or content are left out. With several ``folders`` the files are
+    dealt by their names to so many numbered ones, which tasks can list side by side.
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, root = folder(path)
         at.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for own, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if folders > 1:
+                    part = zlib.crc32(own.encode()) % folders
+                    if part not in made:
+                        at.create_dir(f"{root}/{part}", recursive=True)
+                        made.add(part)
+                    own = f"{part}/{own}"
                 with at.open_output_stream(f"{root}/{own}") as out:
                     out.write(value)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
@@ -99,10 +108,41 @@ def write_files(rows: DataFrame, path: str, name: str, content: str) -> int:
     return picked.mapInArrow(written, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, transcript) of whole text files."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("stem"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("transcript"))
+def read_transcripts(spark: SparkSession, path: str, folders: int = 1) -> DataFrame:
+    """(stem, transcript) of whole text files.
+
+    Of ``folders`` that ``write_files`` made, tasks list and read the files: the driver, which would list them all and plan a task for
+    every few small files, sees none of them.
+    """
+    if folders > 1:
+        rows = spark.range(0, folders, 1, min(folders, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_contents(path), "file string, content binary")
+        rows = rows.select("file", F.col("content").cast("string").alias("value"))
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return rows.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("stem"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("transcript"))
+
+
+def _contents(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(file, content) of the files in the numbered folders of a batch, some 16 MB or 1,000 files at once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = folder(path)
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for part in (x for batch in batches for x in batch["id"].to_pylist()):
+            for info in at.get_file_info(fs.FileSelector(f"{root}/{part}", allow_not_found=True)):
+                if not info.is_file:
+                    continue
+                with at.open_input_stream(info.path) as f:
+                    held.append((info.base_name, f.read()))
+                size += len(held[-1][1])
+                if size > 16 << 20 or len(held) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.string(), pa.binary()), strict=True)], ["file", "content"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.string(), pa.binary()), strict=True)], ["file", "content"])
+
+    return read
 
 
 def read_stills(spark: SparkSession, path: str) -> DataFrame:
