@@ -35,6 +35,23 @@ def test_segments_over_many_chunks_equal_a_plain_loop(spark, seed):
     assert len(want) > 100 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_one_walk_along_several_energies_equals_a_loop_for_each(spark):
+    """Frames of one time stand in another order in each column; streams of one chunk, of many and null."""
+    rnd, p = random.Random(9), Segmenting(0.5, 0.3, 0.5, 0.7, 4.0)
+    settings = [(0.5, 0.3, "a"), (0.7, 0.5, "b"), (0.7, 0.3, "a")]
+    rows, want = [], []
+    for key, n in ((0, 3000), (1, 9000), (2, 3), (None, 2000), (4, 1)):
+        times = sorted(rnd.choice([0.1, 0.2, 0.3]) * rnd.randint(0, 3 * n) for _ in range(n))
+        frames = [(t, rnd.random(), rnd.random()) for t in times]
+        rows += [(key, *f) for f in frames]
+        for i, (high, low, name) in enumerate(settings):
+            own = sorted((t, {"a": a, "b": b}[name]) for t, a, b in frames)
+            want += [(key, i, *x[1:]) for x in loop_segments(own, Segmenting(high, low, 0.5, 0.7, 4.0))]
+    rnd.shuffle(rows)
+    got = segments.walk(spark.createDataFrame(rows, "s int, t double, a double, b double"), "s", p, settings).collect()
+    assert len({t for _, t, *_ in rows}) < len(rows) and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_tracks_over_many_chunks_equal_a_plain_loop(spark, seed):
     rnd, rows, want = random.Random(seed), [], {}

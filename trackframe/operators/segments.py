@@ -8,10 +8,10 @@ which tasks walk at once (``scan``): a chunk may be entered idle, or with a segm
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,54 +108,67 @@ class _Openings:
             i = int(self.then[i]) if at < self.n else self.loud.size
 
 
-def walk(frames: DataFrame, stream: str, p: Segmenting, thresholds: list[tuple[float, float]]) -> DataFrame:
+def walk(frames: DataFrame, stream: str, p: Segmenting, thresholds: list[tuple[float, float] | tuple[float, float, str]]) -> DataFrame:
     """(stream, setting, start_time, end_time, reason) of frames (stream, t, e); ``setting`` numbers the (start, stop) pairs.
 
-    Frames of one time are taken by rising energy.
+    A third entry of a pair names another column of energies than ``e``. Frames of one time are taken by rising energy.
+    A stream of one chunk is walked once.
     """
-    named = frames.select(F.col(stream).alias("key"), "t", "e")
+    settings = [(*x, "e")[:3] for x in thresholds]
+    energies = list(dict.fromkeys(x[2] for x in settings))
+    named = frames.select(F.col(stream).alias("key"), "t", *energies)
     rows = scan.chunks(named, "key", "t", 64 * p.max_length, p.max_length)
     kind = rows.schema["key"].dataType.simpleString()
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, list[pa.RecordBatch]]]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, pa.RecordBatch]]:
         """(key, chunk, rows) of each chunk."""
         parts: list[pa.RecordBatch] = []
+        whole = lambda: parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         for first, part in scan.by_chunk(batches):
             if first and parts:
-                yield parts[0]["key"][0], parts[0]["_chunk"][0], parts
+                yield parts[0]["key"][0].as_py(), parts[0]["_chunk"][0].as_py(), whole()
                 parts = []
             parts.append(part)
         if parts:
-            yield parts[0]["key"][0], parts[0]["_chunk"][0], parts
-
-    def openings(table: pa.Table) -> Iterator[_Openings]:
-        t, e, own = (table[n].to_numpy() for n in ("t", "e", "_own"))
-        for high, low in thresholds:
-            yield _Openings(t, e, int(own.size - own.sum()), p, high, low)
-
-    def rows_of(key: pa.Scalar, columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
-        arrays = {n: pa.array(x, k) for n, (k, x) in columns.items()}
-        length = len(next(iter(arrays.values())))
-        return pa.RecordBatch.from_arrays([pa.array([key.as_py()] * length, key.type), *arrays.values()], ["key", *arrays])
+            yield parts[0]["key"][0].as_py(), parts[0]["_chunk"][0].as_py(), whole()
+
+    def openings(batch: pa.RecordBatch) -> Iterator[_Openings]:
+        t, own = (batch[n].to_numpy(zero_copy_only=False) for n in ("t", "_own"))
+        columns = {n: batch[n].to_numpy(zero_copy_only=False) for n in energies}
+        if t.size > 1 and (np.diff(t) == 0).any():
+            columns = {n: e[np.lexsort((e, t))] for n, e in columns.items()}
+        for high, low, n in settings:
+            yield _Openings(t, columns[n], int(own.size - own.sum()), p, high, low)
+
+    def batches_of(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+        """Many streams have few rows each, so rows of many go together."""
+        while held := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    def seen(batches: Iterator[pa.RecordBatch], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+        """Tells the key's type, which Spark has given it."""
+        for batch in batches:
+            kinds["key"] = batch.schema.field("key").type
+            yield batch
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, chunk, parts in gathered(batches):
-            found = [(i, a, b) for i, o in enumerate(openings(pa.Table.from_batches(parts))) for a, b in o.exits().items()]
-            setting, entry, exit_ = map(list, zip(*found, strict=True))
-            yield rows_of(key, {"setting": (pa.int32(), setting), "chunk": (pa.int64(), [chunk.as_py()] * len(found)), "entry": (pa.string(), entry), "exit": (pa.string(), exit_)})
+        kinds = {"key": pa.null(), "setting": pa.int32(), "chunk": pa.int64(), "entry": pa.string(), "exit": pa.string()}
+        found = ((key, i, chunk, a, b) for key, chunk, rows in gathered(seen(batches, kinds)) for i, o in enumerate(openings(rows)) for a, b in o.exits().items())
+        yield from batches_of(found, kinds)
+
+    def told(batch: pa.RecordBatch) -> tuple[dict[int, tuple[str | None, bool]], pa.RecordBatch]:
+        """What each setting enters the chunk with and whether it is the last (a sole chunk is told nothing); the frames."""
+        n = batch.num_rows - batch["setting"].null_count
+        entries = batch.slice(0, n).select(["setting", "entry", "final"]).to_pylist() if n else []
+        return {r["setting"]: (r["entry"], r["final"]) for r in entries}, batch.slice(n)
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, parts in gathered(batches):
-            table = pa.Table.from_batches(parts)
-            told = pc.is_valid(table["setting"])
-            entries = {r["setting"]: r for r in table.filter(told).select(["setting", "entry", "final"]).to_pylist()}
-            found = [(i, *s) for i, o in enumerate(openings(table.filter(pc.invert(told)))) for s in o.segments(entries[i]["entry"], entries[i]["final"])]
-            if found:
-                setting, start, end, reason = map(list, zip(*found, strict=True))
-                yield rows_of(key, {"setting": (pa.int32(), setting), "start_time": (pa.float64(), start), "end_time": (pa.float64(), end), "reason": (pa.string(), reason)})
-
-    maps = scan.dealt(rows, None, "t", "e").mapInArrow(mapped, f"key {kind}, setting int, chunk long, entry string, exit string")
-    found = scan.dealt(rows, scan.entered(maps, ["key", "setting"]), "t", "e").mapInArrow(walked, f"key {kind}, setting int, start_time double, end_time double, reason string")
+        kinds = {"key": pa.null(), "setting": pa.int32(), "start_time": pa.float64(), "end_time": pa.float64(), "reason": pa.string()}
+        chunks = ((key, *told(rows)) for key, _, rows in gathered(seen(batches, kinds)))
+        yield from batches_of(((key, i, *s) for key, entries, rows in chunks for i, o in enumerate(openings(rows)) for s in o.segments(*entries.get(i, (None, True)))), kinds)
+
+    maps = scan.dealt(rows.where("not _sole"), None, "t").mapInArrow(mapped, f"key {kind}, setting int, chunk long, entry string, exit string")
+    found = scan.dealt(rows, scan.entered(maps, ["key", "setting"]), "t").mapInArrow(walked, f"key {kind}, setting int, start_time double, end_time double, reason string")
     return found.withColumnRenamed("key", stream)
 
 

@@ -20,19 +20,16 @@ def settings(statistics: list[str], windows: list[int], starts: list[float], sto
 def sweep(motion: DataFrame, stream: str, t: str, aperture: str, label: Column, grid: list[tuple[str, int, float, float]], lengths: Segmenting, width: float = 600.0) -> DataFrame:
     """(statistic, window, start, stop, hits, misses, false_alarms, score), best first.
 
-    ``label`` is true for streams that should have a segment. The energy of a
-    (statistic, window) is computed once, and one walk along its frames tries all of
-    that pair's thresholds, so no frame is copied for a setting.
+    ``label`` is true for streams that should have a segment. The energies of all
+    (statistic, window) are computed in one order of the frames, and one walk along them
+    tries all settings, so no frame is copied for a setting.
     """
     labelled = motion.groupBy(stream).agg(F.bool_or(label).alias("wanted"))
-    hit = None
-    for statistic, window in dict.fromkeys(x[:2] for x in grid):
-        own = [x for x in grid if x[:2] == (statistic, window)]
-        energies = timeseries.motion_energy(motion.select(stream, t, aperture), stream, t, aperture, window, statistic, width)
-        found = walk(energies.select(stream, F.col(t).cast("double").alias("t"), F.col("energy").alias("e")).where("t is not null"), stream, lengths, [x[2:] for x in own])
-        rows = found.select(F.col(stream).alias("_s"), (F.col("setting") + grid.index(own[0])).alias("setting")).distinct()
-        assert own == grid[grid.index(own[0]) :][: len(own)], "settings of a (statistic, window) stand together"
-        hit = rows if hit is None else hit.unionByName(rows)
+    names = {pair: f"e{i}" for i, pair in enumerate(dict.fromkeys(x[:2] for x in grid))}
+    energies = timeseries.motion_energies(motion.select(stream, t, aperture), stream, t, aperture, {name: (window, statistic) for (statistic, window), name in names.items()}, width)
+    frames = energies.select(stream, F.col(t).cast("double").alias("t"), *names.values()).where("t is not null")
+    found = walk(frames, stream, lengths, [(start, stop, names[statistic, window]) for statistic, window, start, stop in grid])
+    hit = found.select(F.col(stream).alias("_s"), "setting").distinct()
     every = labelled.select(F.col(stream).alias("_s"), "wanted", F.explode(F.array(*map(F.lit, range(len(grid))))).alias("setting"))
     out = every.join(hit.withColumn("found", F.lit(True)), ["_s", "setting"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
     scored = out.groupBy("setting").agg(

@@ -160,19 +160,25 @@ def smooth(df: DataFrame, stream: str, order: str, points: str, window: int, wid
     return rows.withColumn(points, moved).drop("_i", "_block", "_inside", "_n", "_near", "_m", "_mean", "_dx", "_dy")
 
 
-def motion_energy(df: DataFrame, stream: str, t: str, aperture: str, window: int = 3, statistic: str = "mean", width: float = 600.0) -> DataFrame:
-    """Adds ``energy``: mean or max of the last ``window`` absolute changes of ``aperture``.
+def motion_energies(df: DataFrame, stream: str, t: str, aperture: str, wanted: dict[str, tuple[int, str]], width: float = 600.0) -> DataFrame:
+    """Adds columns: each name's mean or max (its statistic) of the last (its window) absolute changes of ``aperture``.
 
-    A null aperture resets; it and the first frame after it have energy 0.
+    A null aperture resets; it and the first frame after it have energy 0. The frames are put in order once for all.
     """
     ordered = along(stream)
-    rows = blocks(df, stream, t, width, window)
+    rows = blocks(df, stream, t, width, max(window for window, _ in wanted.values()))
     rows = rows.withColumn("_change", F.abs(F.col(aperture) - F.lag(aperture).over(ordered)))
     # the changes since the last row without one: the null itself, the first known frame, or the beginning
     rows = rows.withColumn("_run", F.count_if(F.col("_change").isNull()).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    pick = {"mean": F.avg, "max": F.max}[statistic]
-    energy = pick("_change").over(Window.partitionBy(stream, "_block", "_run").orderBy("_i").rowsBetween(-(window - 1), 0))
-    return _ended(rows.withColumn("energy", F.when(F.col("_change").isNull(), 0.0).otherwise(energy)), "_run", "_change")
+    pick = {"mean": F.avg, "max": F.max}
+    within = Window.partitionBy(stream, "_block", "_run").orderBy("_i")
+    energies = {name: pick[statistic]("_change").over(within.rowsBetween(-(window - 1), 0)) for name, (window, statistic) in wanted.items()}
+    return _ended(rows.withColumns({name: F.when(F.col("_change").isNull(), 0.0).otherwise(e) for name, e in energies.items()}), "_run", "_change")
+
+
+def motion_energy(df: DataFrame, stream: str, t: str, aperture: str, window: int = 3, statistic: str = "mean", width: float = 600.0) -> DataFrame:
+    """Adds ``energy``, one of ``motion_energies``."""
+    return motion_energies(df, stream, t, aperture, {"energy": (window, statistic)}, width)
 
 
 def inter_arrival_fps(df: DataFrame, stream: str, t: str, keep: float = 0.9, least: float = 0.001, width: float = 600.0) -> DataFrame:
