@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tests.llm import test_decontamination, test_packing, test_quality, test_secrets, test_simhash
-from trackframe.llm import packing, quality
+from trackframe.llm import common, packing, quality
 from trackframe.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +96,37 @@ def test_clashing_columns_of_pieces(spark):
     pieces = spark.createDataFrame([(i, 0, 0, 5, 1, *(f"{n}{i}" for n in names)) for i in range(9)], "id long, piece int, start long, length long, ids_crc32 long, " + ", ".join(f"{n} string" for n in names))
     got = packing.pack(pieces).collect()
     assert sorted(tuple(r)[:-2] for r in got) == sorted(map(tuple, pieces.collect())) and len({(r.sequence_id, r.offset) for r in got}) == 9
+
+
+def rows_beside(spark, kept, docs):
+    """How many rows ``kept`` reads of other tables than ``docs``: those that its join broadcasts."""
+    own = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+    return sum(spark.read.parquet(f).count() for f in {f.rsplit("/", 1)[0] for f in kept.inputFiles()} - own)
+
+
+def test_dropped_copies_are_no_rows_of_a_broadcast(spark):
+    kind = spark.read.parquet(f"{SF}/documents.parquet").schema
+    copies = spark.range(40_000).selectExpr("id AS doc_id", "concat('copy of text ', id % 20, ' alone') AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars")
+    docs = materialize(copies.to(kind).repartition(2), "t")
+    kept = p.near_duplicate_stage(spark, docs, SF)
+    texts = {i: f"copy of text {i} alone" for i in range(20)}
+    root = test_simhash.brute_components({test_simhash.plain_fingerprint(t) for t in texts.values()})
+    groups = {}
+    for i, t in texts.items():
+        groups.setdefault(root[test_simhash.plain_fingerprint(t)], i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(groups.values())
+    assert rows_beside(spark, kept, docs) <= 8
+
+
+def test_rows_are_dropped_by_bits_or_by_keys(spark, monkeypatch):
+    docs = materialize(spark.range(100_000).selectExpr("id", "id AS bits", "id % 7 AS `file`", "id AS `a.b`").repartition(2), "t")
+    keyed = common.with_row_key(docs, "row")
+    places = keyed.select(F.substring_index("row", ":", -1).cast("long").alias("at"), "row", "id")
+    chosen = places.where("at IN (0, 1, 7, 8, 32766, 32767, 32768, 32769) OR pmod(xxhash64(id), 3) = 0")
+    want = {r.id for r in places.collect()} - {r.id for r in chosen.collect()}
+    for most in (common.BROADCAST_BITMAPS, 3):
+        monkeypatch.setattr(common, "BROADCAST_BITMAPS", most)
+        kept = common.without_rows(keyed, chosen.select("row").union(chosen.select("row")), "row")
+        assert kept.schema.names == ["id", "bits", "file", "a.b", "row"]
+        assert kept.count() == len(want) and {r.id for r in kept.collect()} == want
+        assert common.without_rows(keyed, chosen.select("row").limit(0), "row").count() == 100_000
